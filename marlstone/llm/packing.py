@@ -15,8 +15,10 @@ are ignored.
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,9 @@ VOCABULARY = "word_bpe_49k.json"
 RANK_BUCKETS = 256
 #: Words whose ids a worker keeps; others are encoded again in each batch.
 KEPT_WORDS = 300_000
+KEPT_PARTS = 500_000
+#: Signs that may follow a word's letters; no apostrophe, which the tokenizer treats by what follows.
+SIGNS = ".,;:!?*#&%$|"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -42,28 +47,45 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class WordEncoder:
-    """Ids of whole texts. The tokenizer never merges across white space, so words are encoded once."""
+    """Ids of whole texts. The tokenizer never merges across white space, nor from letters to signs, so
+    words are encoded once, and most of them as letters and the signs after them."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
         # split() also cuts at four control characters that are no white space to the tokenizer
         return re.split("[ \t\n\x0b\x0c\r]+", text) if re.search("[\x1c-\x1f]", text) else text.split()
 
+    def parted(self, word: str) -> tuple[str, str]:
+        core = word.rstrip(SIGNS)
+        if not core.isalpha():
+            return word, ""
+        return core.lower() if core.isascii() else core, word[len(core) :]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers, with the end id."""
         split = [self.words(t or "") for t in texts]
-        new = sorted(set().union(*split) - self.known.keys()) if split else []
-        found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(
-            new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
-        if len(self.known) < KEPT_WORDS:
-            self.known |= found
-        table = self.known if found.keys() <= self.known.keys() else self.known | found
-        end = np.array([END_ID], "<u4").tobytes()
-        return [b"".join(map(table.__getitem__, w)) + end for w in split]
+        new = {w: self.parted(w) for w in set().union(*split) - self.known.keys()}
+        parts = sorted({p for two in new.values() for p in two} - self.parts.keys())
+        room = len(self.parts) < KEPT_PARTS
+        for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+            self.parts[p] = array("I", e.ids).tobytes()
+        self.known.update((w, self.parts[a] + self.parts[b]) for w, (a, b) in new.items())
+        end = array("I", [END_ID]).tobytes()
+        out = [b"".join(map(self.known.__getitem__, w)) + end for w in split]
+        if not room:
+            for p in parts:
+                del self.parts[p]
+        if len(self.known) > KEPT_WORDS:
+            for w in new:
+                del self.known[w]
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
