@@ -116,8 +116,9 @@ def near_classes(fps: DataFrame) -> DataFrame:
         "fp", F.coalesce("root", "fp").alias("root"))
     rooted = common.written(rooted, "rooted")
     index = variants(rooted)
-    mixed = index.groupBy("wild", "rest").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    busy = common.written(index.join(mixed.select("wild", "rest"), ["wild", "rest"]), "busy-variants")
+    same = Window.partitionBy("wild", "rest")
+    busy = index.withColumns({"lo": F.min("root").over(same), "hi": F.max("root").over(same)})
+    busy = common.written(busy.filter("lo <> hi").drop("lo", "hi"), "busy-variants")
     a, b = busy.alias("a"), busy.alias("b")
     links = a.join(
         b,
