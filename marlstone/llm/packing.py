@@ -34,7 +34,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Ranks within a length are counted in so many buckets, so that no length is hot.
 RANK_BUCKETS = 256
 #: Words whose ids a worker keeps; others are encoded again in each batch.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 500_000
 KEPT_PARTS = 500_000
 #: Signs that may follow a word's letters; no apostrophe, which the tokenizer treats by what follows.
 SIGNS = ".,;:!?*#&%$|"
@@ -56,7 +56,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.ends[k] = token.endswith("</w>")
 
     def words(self, text: str) -> list[str]:
         # split() also cuts at four control characters that are no white space to the tokenizer
@@ -68,23 +71,44 @@ class WordEncoder:
             return word, ""
         return core.lower() if core.isascii() else core, word[len(core) :]
 
+    def learn(self, parts: list[str]) -> None:
+        """Encodes new parts, many in one text: letters or signs alone are one piece that ends one word."""
+        plain = [p for p in parts if p.isalpha() or not p.strip(SIGNS)]
+        for at in range(0, len(plain), 2000):
+            some = plain[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                raw, last = ids.tobytes(), 0
+                for p, end in zip(some, (4 * ends).tolist(), strict=True):
+                    self.parts[p] = raw[last:end]
+                    last = end
+        rest = [p for p in parts if p not in self.parts]
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.parts[p] = array("I", e.ids).tobytes()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers, with the end id."""
         split = [self.words(t or "") for t in texts]
-        new = {w: self.parted(w) for w in set().union(*split) - self.known.keys()}
-        parts = sorted({p for two in new.values() for p in two} - self.parts.keys())
-        room = len(self.parts) < KEPT_PARTS
-        for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-            self.parts[p] = array("I", e.ids).tobytes()
-        self.known.update((w, self.parts[a] + self.parts[b]) for w, (a, b) in new.items())
+        known, parts, new, fresh = self.known, self.parts, {}, {}
+        for w in {w for doc in split for w in doc if w not in known}:
+            a, b = new[w] = self.parted(w)
+            if a not in parts:
+                fresh[a] = None
+            if b not in parts:
+                fresh[b] = None
+        room = len(parts) < KEPT_PARTS
+        self.learn(list(fresh))
+        for w, (a, b) in new.items():
+            known[w] = parts[a] + parts[b]
         end = array("I", [END_ID]).tobytes()
-        out = [b"".join(map(self.known.__getitem__, w)) + end for w in split]
+        out = [b"".join(map(known.__getitem__, w)) + end for w in split]
         if not room:
-            for p in parts:
-                del self.parts[p]
-        if len(self.known) > KEPT_WORDS:
+            for p in fresh:
+                del parts[p]
+        if len(known) > KEPT_WORDS:
             for w in new:
-                del self.known[w]
+                del known[w]
         return out
 
 
