@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.numbers import rounded
+
 ROUTE = ("product", "location", "incoterm")
 
 
@@ -12,11 +14,6 @@ def month(date="date"):
     return F.date_format(date, "yyyy-MM")
 
 
-def rounded(value, digits: int):
-    """Half up on the binary value, the same in every engine."""
-    return F.floor(value * 10**digits + 0.5) / 10**digits
-
-
 def monthly_statistics(prices: DataFrame) -> DataFrame:
     """n, average mid, lowest low and highest high of each route and month."""
     return prices.groupBy(*ROUTE, month().alias("month")).agg(
