@@ -25,6 +25,14 @@ def next_changes(means: DataFrame) -> DataFrame:
         "concept", "month", "next_change")
 
 
+def proxy_margin(means: DataFrame, ratios: DataFrame) -> DataFrame:
+    """Sum of ratio x mean in the months where every concept of ratios (concept, ratio) has data; ratios is config."""
+    terms = means.join(F.broadcast(ratios), "concept").groupBy("month").agg(
+        F.sum(F.col("ratio") * F.col("mean")).alias("margin"), F.countDistinct("concept").alias("k"))
+    every = ratios.agg(F.countDistinct("concept").alias("every"))
+    return terms.join(F.broadcast(every), F.col("k") == F.col("every")).select("month", rounded(F.col("margin"), 2).alias("margin"))
+
+
 def naive_rank(means: DataFrame) -> DataFrame:
     """Drivers of each month by the size of their change to the month before, which must be the calendar's."""
     at = (F.substring("month", 1, 4).cast("int") * 12 + F.substring("month", 6, 2).cast("int")).alias("mi")

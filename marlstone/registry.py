@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.jobs import prices, stories
+from marlstone.jobs import diagnoses, prices, stories
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (prices, stories):
+for _module in (prices, stories, diagnoses):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
