@@ -71,7 +71,7 @@ QUERIES = {
 _MENTIONS_SQL = f"""
 SELECT article_id, concept_id, CAST(sum(n) AS BIGINT) AS n FROM (
   SELECT article_id, term, count(*) AS n FROM (
-    SELECT doc_id AS article_id, unnest(regexp_split_to_array(lower(substr(text, 1, 3000)), '[^a-z0-9]')) AS term FROM documents)
+    SELECT doc_id AS article_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]')) AS term FROM documents)
   GROUP BY ALL) JOIN (VALUES {_TERMS_SQL}) t(term, concept_id) USING (term) GROUP BY ALL"""
 
 ORACLE_SQL = {

@@ -7,16 +7,13 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Text after this many characters is not searched for terms.
-MENTION_CHARS = 3000
 
-
-def mentions(articles: DataFrame, terms: DataFrame, term_list: list[str]) -> DataFrame:
-    """article_id, concept_id and n: whole terms found in a text's beginning, longest term first, any case."""
+def mentions(articles: DataFrame, terms: DataFrame, term_list: list[str], chars: int | None = None) -> DataFrame:
+    """article_id, concept_id and n: whole terms, longest first, any case, found in whole texts or their first chars."""
     ordered = sorted({t.lower() for t in term_list if len(t) >= 3}, key=lambda t: (-len(t), t))
     pattern = rf"(?iu)(?<![A-Za-z0-9])({'|'.join(map(re.escape, ordered))})(?![A-Za-z0-9])"
-    found = articles.select(
-        "article_id", F.explode(F.regexp_extract_all(F.substring("text", 1, MENTION_CHARS), F.lit(pattern), F.lit(1))).alias("term"))
+    text = F.substring("text", 1, chars) if chars else F.col("text")
+    found = articles.select("article_id", F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("term"))
     counted = found.groupBy("article_id", F.lower("term").alias("term")).count()
     return counted.join(F.broadcast(terms), "term").groupBy("article_id", "concept_id").agg(F.sum("count").alias("n"))
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.jobs import diagnoses, grids, prices, stories
+from marlstone.jobs import diagnoses, grids, prices, reviews, stories
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (prices, stories, diagnoses, grids):
+for _module in (prices, stories, diagnoses, grids, reviews):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
