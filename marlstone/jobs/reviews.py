@@ -52,7 +52,7 @@ def e8_link_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e5_market_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brands' lines as events on nations' items: what a line's discount did to its return flag's market."""
+    """Order lines as events on their return flag's market; the discount gives the direction."""
     events = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("incident"), F.col("l_returnflag").alias("concept"),
         F.when(F.col("l_discount") < 0.03, "up").when(F.col("l_discount") > 0.06, "down").otherwise("disrupted").alias("direction"))
