@@ -6,9 +6,9 @@ letters, and share their class by smoothed counts, with a place for unknown word
 probabilities of all words add up to one. The recurrent part reads and predicts classes.
 
 Counts cover every training document. The recurrent part is trained in tasks where the documents are, by truncated
-backpropagation with the state carried on, on one in TRAIN_SHARE training documents (drawn by a hash,
-so the number grows with the corpus), in rounds after which the weights of all tasks are averaged; the first
-round is one task's. Scoring carries the state through each whole document.
+backpropagation with the state carried on, in rounds after which the weights of all tasks are averaged; the first
+round is one task's and gives all tasks one start, each further round reads every training document.
+Scoring carries the state through each whole document.
 
 Words with one in TOP_WORDS of all tokens or more number at most TOP_WORDS: these are broadcast; the counts of other
 words reach the documents by a join.
@@ -39,7 +39,6 @@ HIDDEN = 24
 STEPS = 16
 LANES = 128
 RATE = 4e-3
-TRAIN_SHARE = 16
 ROUNDS = 3
 TOP_WORDS = 1 << 17
 KEPT_WORDS = 300_000
@@ -158,7 +157,10 @@ class Trainer:
         states = [s[1] * (s[0] - s[3]) + s[3] for s in saved]
         flat = np.concatenate(states)
         target = np.concatenate([block[:n, t] for t, n in enumerate(used)])
-        d = np.exp(log_softmax(p, flat))
+        d = flat @ p["w"] + p["b"]
+        d -= d.max(1, keepdims=True)
+        np.exp(d, out=d)
+        d /= d.sum(1, keepdims=True)
         d[np.arange(len(target)), target] -= 1
         d /= len(target)
         grad = {"w": flat.T @ d, "b": d.sum(0), "u": np.zeros_like(p["u"])}
@@ -178,9 +180,10 @@ class Trainer:
             grad["u"] += h0.T @ da
             dh = dht * z + da @ p["u"].T
         c = np.concatenate(inputs)
-        hot = np.zeros((len(c), CLASSES + 1), np.float32)
-        hot[np.arange(len(c)), c] = 1
-        grad["x"] = hot.T @ np.concatenate(dg_all)
+        by_class = np.argsort(c, kind="stable")
+        present, first = np.unique(c[by_class], return_index=True)
+        grad["x"] = np.zeros_like(p["x"])
+        grad["x"][present] = np.add.reduceat(np.concatenate(dg_all)[by_class], first)
         self.t += 1
         for k, g in grad.items():
             self.m[k] += 0.1 * (g - self.m[k])
@@ -237,7 +240,7 @@ def tail_class(word):
 def _train(docs: DataFrame, heads: list[bytes], weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     spark = docs.sparkSession
     names, shapes = list(weights), {k: v.shape for k, v in weights.items()}
-    drawn = docs.filter(~is_held_out()).filter(F.pmod(F.xxhash64(F.lit("lm"), "doc_id", F.length("text")), F.lit(TRAIN_SHARE)) == 0)
+    learnt = docs.filter(~is_held_out())
     for k in range(ROUNDS):
         start = spark.sparkContext.broadcast(weights)
 
@@ -255,7 +258,7 @@ def _train(docs: DataFrame, heads: list[bytes], weights: dict[str, np.ndarray])
                 flat = np.concatenate([trainer.p[x].ravel() for x in names]).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * n), pa.array(np.full(len(flat), n, np.int64))], names=["i", "w", "n"])
 
-        parts = drawn.select("text").mapInArrow(run, "i bigint, w double, n bigint")
+        parts = learnt.select("text").mapInArrow(run, "i bigint, w double, n bigint")
         means = parts.groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()  # a row for each weight
         if means.num_rows:
             flat = np.zeros(sum(int(np.prod(s)) for s in shapes.values()), np.float32)

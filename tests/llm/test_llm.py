@@ -192,6 +192,13 @@ def test_lm_scores(docs, none):
     assert rnn_lm.score(none).count() == 0
 
 
+def test_lm_learns_from_every_training_document(spark):
+    start = rnn_lm.start_weights(np.zeros(rnn_lm.CLASSES))
+    for k in [k for k in range(20) if zlib.crc32(str(k).encode()) % 7 != 2][:5]:
+        one = spark.createDataFrame([(k, "one two three")], "doc_id long, text string").coalesce(1)
+        assert not np.array_equal(rnn_lm._train(one, [b"one"], start)["x"], start["x"])
+
+
 def test_lm_carries_its_state_across_windows():
     rng = np.random.default_rng(1)
     p = rnn_lm.start_weights(np.zeros(rnn_lm.CLASSES))
