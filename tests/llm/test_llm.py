@@ -248,3 +248,15 @@ def test_pseudonyms_round_trip_and_stay_valid(spark):
     kept = {"999.1.1.1", "2001-02-29", "000-11-2222", "4245100581169931"}
     assert all((w in got[1].split()) == (w in kept) for w in text.split() if any(c.isdigit() for c in w) and w not in ("+1", "GB82"))
     assert got[4] == "call " + got[1] and got[2] is None and got[3] == "" and pseudonyms.restore(hidden).collect() == d.collect()
+
+
+def test_pseudonyms_find_a_card_beside_another_number(spark):
+    card, spaced = "4952935900253052", "4952 9359 0025 3052"
+    texts = [f"order {a}{b} paid" for b in (card, spaced) for a in ("12 ", "7-", "123 ")]
+    texts += [f"{c} {k:03d}" for k in range(0, 1000, 25) for c in (card, spaced)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hidden = pseudonyms.pseudonymise(d)
+    got = {r["doc_id"]: r["text"] for r in hidden.collect()}
+    assert not [t for t in got.values() if card in t or spaced in t]
+    assert got[0].startswith("order 12 ") and got[1].startswith("order 7-") and len(got[4]) == len(texts[4])
+    assert sorted(pseudonyms.restore(hidden).collect()) == sorted(d.collect())
