@@ -40,17 +40,18 @@ def week(date: str = "date"):
     return F.concat(F.lit("w"), F.least(F.ceil(F.dayofmonth(date) / 7), F.lit(4)).cast("string"))
 
 
-def paths(edges: DataFrame, starts: DataFrame, depth: int = 4) -> DataFrame:
-    """Shortest path (start, node, path) from each start over edges (src, dst); of equal ones the first by name."""
+def paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Shortest path (start, node, path) from each start over edges (src, dst), of any length; of equal ones the first by name."""
     steps = edges.select("src", "dst").distinct()
     found = new = starts.select(F.col("start"), F.col("start").alias("node"), F.array("start").alias("path")).distinct()
-    for _ in range(depth):
+    while not new.isEmpty():
         # one path a node and step is enough: a shortest path's beginnings are shortest themselves
         new = new.join(steps, (F.col("node") == F.col("src")) & ~F.array_contains("path", F.col("dst"))).select(
             "start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")).groupBy("start", "node").agg(
-            F.min("path").alias("path"))
-        found = found.unionByName(new)
-    return found.groupBy("start", "node").agg(F.min_by("path", F.struct(F.size("path"), "path")).alias("path"))
+            F.min("path").alias("path")).join(found.select("start", "node"), ["start", "node"], "left_anti")
+        new = cut(new)
+        found = cut(found.unionByName(new))
+    return found
 
 
 def candidates(edges: DataFrame, metric: str, product: str, series: DataFrame) -> DataFrame:

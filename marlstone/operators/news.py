@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.lineage import cut
+
 
 def mentions(articles: DataFrame, terms: DataFrame, term_list: list[str], chars: int | None = None) -> DataFrame:
     """article_id, concept_id and n: whole terms, longest first, any case, found in whole texts or their first chars."""
@@ -49,12 +51,15 @@ def multiset_diff(ours: DataFrame, stored: DataFrame) -> DataFrame:
         "agree", F.col("n_common") >= 0.9 * F.least("n_ours", "n_stored"))
 
 
-def reachable(edges: DataFrame, depth: int = 6) -> DataFrame:
-    """src, dst and the fewest steps between them, up to a depth: each round joins the newly found pairs only."""
+def reachable(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """src, dst and the fewest steps between them, up to a depth if one is given: each round joins the newly found pairs only."""
     steps = edges.select("src", "dst").distinct()
     found = new = steps.withColumn("steps", F.lit(1))
-    for k in range(2, depth + 1):
+    k = 1
+    while (depth is None or k < depth) and not new.isEmpty():
+        k += 1
         new = new.alias("n").join(steps.alias("e"), F.col("n.dst") == F.col("e.src")).select(
             F.col("n.src"), F.col("e.dst")).distinct().join(found, ["src", "dst"], "left_anti").withColumn("steps", F.lit(k))
+        new = cut(new)
         found = found.unionByName(new)
     return found

@@ -24,6 +24,12 @@ def test_roles_and_the_way_down(spark):
     assert got == {"p": ("primary", 0, []), "f": ("direct", 1, []), "i": ("direct", 2, ["p"]), "j": ("propagation", 3, ["i", "p"])}
 
 
+def test_drivers_far_upstream_are_found(spark):
+    e = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(7)] + [("n0", "n2"), ("n3", "n1")], "src string, dst string")
+    got = {r["node"]: r["path"] for r in diagnosis.paths(e, spark.createDataFrame([("n0",)], "start string")).collect()}
+    assert got["n7"] == ["n0", "n2", "n3", "n4", "n5", "n6", "n7"] and len(got) == 8
+
+
 def test_evidence_follows_the_definition(spark):
     got = diagnosis.evidence(_series(spark, {"p": [10.0, 10.0, 10.0, 20.0]})).filter("mi = 2026 * 12 + 4 and win = 'month'").first()
     base = [10.0 * (1.01 if d % 2 else 1.0) for _ in range(3) for d in (2, 9, 17, 25)]

@@ -46,3 +46,9 @@ def test_reachability_survives_cycles(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "src int, dst int")
     got = {(r["src"], r["dst"]): r["steps"] for r in news.reachable(e).collect()}
     assert got[1, 3] == 2 and got[1, 1] == 3 and len(got) == 9
+
+
+def test_reachability_has_no_limit(spark):
+    e = spark.createDataFrame([(k, k + 1) for k in range(10)], "src int, dst int")
+    got = {(r["src"], r["dst"]): r["steps"] for r in news.reachable(e).collect()}
+    assert len(got) == 55 and got[0, 10] == 10
