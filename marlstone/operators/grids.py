@@ -103,12 +103,12 @@ def total_rows(found: DataFrame) -> DataFrame:
 
 
 def located(cells: DataFrame, anchors: DataFrame, reach: int = 60) -> DataFrame:
-    """anchors (sheet, col, row, text) -> sheet, offset: how far the nearest cell with the text lies; null beyond reach."""
+    """anchors (sheet, col, row, text) -> sheet, offset: how far the nearest cell with the text lies, of those above or at most reach below; null without one."""
     spots = cells.filter("v_str is not null").select("sheet", "col", F.col("row").alias("at"), F.lower(F.btrim("v_str")).alias("text"))
     wanted = anchors.select("sheet", "col", F.col("row").alias("from"), F.lower(F.btrim("text")).alias("text"))
     offset = F.col("at") - F.col("from")
-    both = wanted.join(spots, ["sheet", "col", "text"], "left").withColumn("offset", F.when(F.abs(offset) <= reach, offset))
-    return both.groupBy("sheet").agg(F.min_by("offset", F.struct(F.abs(offset), "at")).alias("offset"))
+    both = wanted.join(spots, ["sheet", "col", "text"], "left").withColumn("offset", F.when(offset <= reach, offset))
+    return both.groupBy("sheet").agg(F.min_by("offset", F.when(F.col("offset").isNotNull(), F.struct(F.abs("offset"), "at"))).alias("offset"))
 
 
 def report(checks: dict[str, DataFrame]) -> DataFrame:

@@ -45,6 +45,12 @@ def test_anchor_takes_the_nearest_within_reach(spark):
     assert {r["sheet"]: r["offset"] for r in grids.located(cells, anchors).collect()} == {"s": 2, "t": None, "u": None}
 
 
+def test_anchor_may_move_up_any_number_of_rows(spark):
+    cells = spark.createDataFrame([("s", r, 0, "total", None, None) for r in (20, 191)] + [("t", 162, 0, "total", None, None)], CELLS)
+    anchors = spark.createDataFrame([("s", 0, 110, "total"), ("t", 0, 101, "total")], "sheet string, col int, row int, text string")
+    assert {r["sheet"]: r["offset"] for r in grids.located(cells, anchors).collect()} == {"s": -90, "t": None}
+
+
 def test_checks_reject_disorder_and_texts(spark):
     cells = spark.createDataFrame(
         [("s", 2, 0, "Oct-25", None, None), ("s", 3, 0, "Sep-25", None, None), ("s", 2, 1, "NM", None, None), ("s", 3, 1, None, 1.0, None)], CELLS)
