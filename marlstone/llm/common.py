@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +63,18 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPLIT_PATTERN))
 
 
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(number of each word in all texts, the distinct words, each text's first place and the end), split at the six
+    ASCII spaces; null has no words."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    lists = pc.ascii_split_whitespace(texts)
+    flat, first = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    real = np.flatnonzero(pc.not_equal(flat, "").to_numpy(zero_copy_only=False))
+    flat, first = flat.take(pa.array(real)) if len(real) < len(flat) else flat, np.searchsorted(real, first)
+    coded = flat.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary, first
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +34,10 @@ END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Ranks within a length are counted in so many buckets, so that no length is hot.
 RANK_BUCKETS = 256
-#: Words whose ids a worker keeps; others are encoded again in each batch.
-KEPT_WORDS = 500_000
+#: Parts of words whose ids a worker keeps; others are encoded again in each batch.
 KEPT_PARTS = 500_000
+#: Words of these letters alone are parted from the signs after them; lower-casing keeps each of them one letter.
+LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+$"
 #: Signs that may follow a word's letters; no apostrophe, which the tokenizer treats by what follows.
 SIGNS = ".,;:!?*#&%$|"
 
@@ -47,32 +49,22 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class WordEncoder:
-    """Ids of whole texts. The tokenizer never merges across white space, nor from letters to signs, so
-    words are encoded once, and most of them as letters and the signs after them."""
+    """Ids of whole texts. The tokenizer never merges across white space, nor from letters to signs, so the distinct
+    words of a batch are parted into letters and the signs after them, and only parts not met before are encoded."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {"": b""}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, k in self.tokenizer.get_vocab().items():
             self.ends[k] = token.endswith("</w>")
 
-    def words(self, text: str) -> list[str]:
-        # split() also cuts at four control characters that are no white space to the tokenizer
-        return re.split("[ \t\n\x0b\x0c\r]+", text) if re.search("[\x1c-\x1f]", text) else text.split()
-
-    def parted(self, word: str) -> tuple[str, str]:
-        core = word.rstrip(SIGNS)
-        if not core.isalpha():
-            return word, ""
-        return core.lower() if core.isascii() else core, word[len(core) :]
-
-    def learn(self, parts: list[str]) -> None:
-        """Encodes new parts, many in one text: letters or signs alone are one piece that ends one word."""
+    def learn(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts, many encoded in one text: letters or signs alone are one piece that ends one word."""
+        found: dict[str, bytes] = {}
         plain = [p for p in parts if p.isalpha() or not p.strip(SIGNS)]
         for at in range(0, len(plain), 2000):
             some = plain[at : at + 2000]
@@ -81,35 +73,51 @@ class WordEncoder:
             if len(ends) == len(some):
                 raw, last = ids.tobytes(), 0
                 for p, end in zip(some, (4 * ends).tolist(), strict=True):
-                    self.parts[p] = raw[last:end]
+                    found[p] = raw[last:end]
                     last = end
-        rest = [p for p in parts if p not in self.parts]
+        rest = [p for p in parts if p not in found]
         for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.parts[p] = array("I", e.ids).tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers, with the end id."""
-        split = [self.words(t or "") for t in texts]
-        known, parts, new, fresh = self.known, self.parts, {}, {}
-        for w in {w for doc in split for w in doc if w not in known}:
-            a, b = new[w] = self.parted(w)
-            if a not in parts:
-                fresh[a] = None
-            if b not in parts:
-                fresh[b] = None
-        room = len(parts) < KEPT_PARTS
-        self.learn(list(fresh))
-        for w, (a, b) in new.items():
-            known[w] = parts[a] + parts[b]
-        end = array("I", [END_ID]).tobytes()
-        out = [b"".join(map(known.__getitem__, w)) + end for w in split]
-        if not room:
-            for p in fresh:
-                del parts[p]
-        if len(known) > KEPT_WORDS:
-            for w in new:
-                del known[w]
-        return out
+            found[p] = array("I", e.ids).tobytes()
+        return found
+
+    def table(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids in a row, where each part's begin and the last one's end) of distinct parts."""
+        names, known = parts.to_pylist(), self.known
+        new = self.learn([p for p in names if p not in known])
+        raw = [known[p] if p in known else new[p] for p in names]
+        if len(known) < KEPT_PARTS:
+            known.update(new)
+        ends = np.cumsum([0, *map(len, raw)]) // 4
+        return np.frombuffer(b"".join(raw), "<u4"), ends
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, each text's first place and the end), the end id after each text."""
+        codes, words, first = common.coded_words(texts)
+        core = pc.utf8_rtrim(words, characters=SIGNS)
+        parted = pc.match_substring_regex(core, LETTERS)
+        core = pc.if_else(parted, pc.utf8_lower(core), words)
+        sign = pc.if_else(parted, pc.replace_substring_regex(words, LETTERS[:-1], ""), "")
+        core, sign = core.dictionary_encode(), sign.dictionary_encode()
+        flat, at = zip(*(self.table(x.dictionary) for x in (core, sign)), strict=True)
+        pair = np.stack([x.indices.to_numpy() + shift for x, shift in ((core, 0), (sign, len(core.dictionary)))], 1).ravel()
+        both = np.concatenate(flat)
+        starts = np.concatenate((at[0][:-1], at[1][:-1] + len(flat[0])))
+        sizes = np.concatenate((np.diff(at[0]), np.diff(at[1])))
+        word_ids = _gathered(both, starts[pair], sizes[pair])
+        word_sizes = sizes[pair].reshape(-1, 2).sum(1)
+        # the end id is one more word
+        word_sizes = np.append(word_sizes, 1)
+        word_starts = np.cumsum(word_sizes) - word_sizes
+        codes = np.insert(codes, first[1:], len(word_sizes) - 1)
+        ids = _gathered(np.append(word_ids, np.uint32(END_ID)).astype("<u4"), word_starts[codes], word_sizes[codes])
+        places = np.concatenate(([0], np.cumsum(word_sizes[codes])))
+        return ids, places[first + np.arange(len(first))]
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs flat[start : start + size], one after another."""
+    before = np.cumsum(sizes) - sizes
+    return flat[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -124,11 +132,12 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
         for batch in batches:
             out = []
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for doc, raw in zip(ids, encoder.encode(texts), strict=True):
-                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[at : at + 4 * capacity]
-                    out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            ids, places = encoder.encode(batch.column("text"))
+            raw = memoryview(ids.tobytes())
+            for doc, first, end in zip(batch.column("doc_id").to_pylist(), places.tolist(), places[1:].tolist()):
+                for k, at in enumerate(range(first, end, capacity)):
+                    to = min(end, at + capacity)
+                    out.append((doc, k, at - first, to - at, zlib.crc32(raw[4 * at : 4 * to])))
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.int64()] * 3), strict=True)],
