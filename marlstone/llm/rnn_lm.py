@@ -1,17 +1,17 @@
 """LM scoring with a gated recurrent language model in numpy.
 
-The output softmax is factored by class: P(word) = P(class | state) * P(word | class). The end token and
-the most frequent words are classes of their own; other words fall into classes by their last two
-letters, and share their class by smoothed counts, with a place for unknown words, so the
-probabilities of all words add up to one. The recurrent part reads and predicts classes.
+The output softmax is factored by class: P(word) = P(class | state) * P(word | class, state). The end token is a class
+of its own; other words fall into classes by their last two letters. The most frequent words of a class have input and
+output vectors of their own; its other words share one place, whose probability depends on the state too and is dealt
+to them by smoothed counts, with a place for unknown words, so the probabilities of all words add up to one.
 
-Counts cover every training document. The recurrent part is trained in tasks where the documents are, by truncated
-backpropagation with the state carried on, in rounds after which the weights of all tasks are averaged; the first
-round is one task's and gives all tasks one start, each further round reads every training document.
-Scoring carries the state through each whole document.
+Counts cover every training document. The weights are trained by truncated backpropagation with the state carried on
+through each document: documents are dealt by hash into shards of a like number of tokens, so shards grow in number with
+the corpus; one shard gives all a common start, then every shard is learnt from that start and their weights are
+averaged, so each training document is learnt, whatever the partitions. Scoring carries the state through each whole document.
 
-Words with one in TOP_WORDS of all tokens or more number at most TOP_WORDS: these are broadcast; the counts of other
-words reach the documents by a join.
+Texts are read twice: for the counts, and to code the words as numbers, which training and scoring read. The TOP_WORDS
+most frequent words at most are broadcast; the counts of other words reach the documents by a join.
 
 Defined cases: null and empty texts are the end token alone; without training documents all counts are
 zero and the weights stay as drawn; null doc_ids are trained on (no remainder); repeated rows count as often as they occur; an empty
@@ -20,245 +20,358 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import common
 
-END = b"\n"  # no word holds it
-HEADS = 63
-TAILS = 64
-CLASSES = 1 + HEADS + TAILS
+END = "\n"  # no word holds it
+CLASSES = 64  # of words; the end is one more
+SLOTS = 64  # the last one is for a class's other words
+END_ID = CLASSES * SLOTS
+START = END_ID + 1
 HIDDEN = 24
 STEPS = 16
-LANES = 128
-RATE = 4e-3
-ROUNDS = 3
+SCORE_STEPS = 64
+LANES = 256
+RATE = 0.1
+#: Documents that share the lanes of one training round.
+GROUP = 1024
+#: Training tokens of a shard.
+SHARD_TOKENS = 4_000_000
 TOP_WORDS = 1 << 17
-KEPT_WORDS = 300_000
-#: Words of one task that are counted before they are passed on.
-FLUSH = 300_000
-_FOLD = bytes.maketrans(common.UPPER.encode(), common.LOWER.encode())
+Weights = dict[str, np.ndarray]
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return [*(text or "").encode().translate(_FOLD).split(), END]
-
-
-def is_held_out():
+def is_held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2, F.lit(False))
 
 
-class Classes(dict):
-    """Class of a word: 0 the end, then the frequent words, then endings."""
-
-    def __init__(self, heads: list[bytes]):
-        super().__init__({END: 0} | {w: k + 1 for k, w in enumerate(heads)})
-
-    def __missing__(self, w: bytes) -> int:
-        k = 1 + HEADS + zlib.crc32(w.decode()[-2:].encode()) % TAILS
-        if len(self) < KEPT_WORDS:
-            self[w] = k
-        return k
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+def word_class(word: Column) -> Column:
+    return F.pmod(F.crc32(F.right(word, F.lit(2))), F.lit(CLASSES)).cast("int")
 
 
-def start_weights(log_share: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    scale = 1 / np.sqrt(HIDDEN)
-    return {
-        "x": rng.normal(0, 0.3, (CLASSES + 1, 3 * HIDDEN)).astype(np.float32),  # the last row is the start
-        "u": rng.normal(0, scale, (HIDDEN, 3 * HIDDEN)).astype(np.float32),
-        "w": rng.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32),
-        "b": log_share.astype(np.float32)}
+def word_classes(words: pa.Array) -> np.ndarray:
+    """The same in Python, once for each ending."""
+    ends = pc.utf8_slice_codeunits(words, -2).dictionary_encode()
+    of = np.array([zlib.crc32(e.encode()) % CLASSES for e in ends.dictionary.to_pylist()], np.int64)
+    return of[ends.indices.to_numpy()] if len(of) else np.zeros(0, np.int64)
 
 
-def _gate(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+# ---- the network
 
 
-def step(p: dict[str, np.ndarray], h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, tuple]:
+def start_weights(shares: np.ndarray | None = None, seed: int = 7) -> Weights:
+    """Drawn weights; the biases are the log shares of the word numbers (END_ID + 1 of them) in the training tokens."""
+    rng = np.random.default_rng(seed)
+    shares = np.ones(END_ID + 1) if shares is None else shares + 0.5
+    by_class = np.append(shares[:END_ID].reshape(CLASSES, SLOTS).sum(1), shares[END_ID])
+    inside = shares[:END_ID].reshape(CLASSES, SLOTS) / by_class[:CLASSES, None]
+    p = {
+        "x": rng.normal(0, 0.1, (START + 1, 3 * HIDDEN)), "g": np.zeros(3 * HIDDEN), "u": rng.normal(0, 1 / np.sqrt(HIDDEN), (HIDDEN, 3 * HIDDEN)),
+        "w": np.zeros((HIDDEN, CLASSES + 1)), "b": np.log(by_class / by_class.sum()),
+        "v": np.zeros((CLASSES, HIDDEN, SLOTS)), "c": np.log(inside)}
+    return {k: a.astype(np.float32) for k, a in p.items()}
+
+
+def step(p: Weights, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """The state after the inputs c, and what its derivative needs."""
     a, g = h @ p["u"], p["x"][c]
-    zr = _gate(g[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
+    g += p["g"]
+    zr = g[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]
+    np.tanh(0.5 * zr, out=zr)
+    zr = 0.5 * zr + np.float32(0.5)
     z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
     an = a[:, 2 * HIDDEN :]
     n = np.tanh(g[:, 2 * HIDDEN :] + r * an)
     return n + z * (h - n), (h, z, r, n, an)
 
 
-def log_softmax(p: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
-    o = h @ p["w"] + p["b"]
+def _softmax(o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(o - max) in place of o, and its row sums."""
     o -= o.max(1, keepdims=True)
-    return o - np.log(np.exp(o).sum(1, keepdims=True))
-
-
-def document_logs(p: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of each class sequence; all documents advance together, longest first."""
-    order = np.argsort([-len(d) for d in docs], kind="stable")
-    lengths = np.array([len(docs[k]) for k in order])
-    out, h = np.zeros(len(docs)), np.zeros((len(docs), HIDDEN), np.float32)
-    last = np.full(len(docs), CLASSES)
-    for t0 in range(0, int(lengths[0]) if len(docs) else 0, STEPS):
-        live = int((lengths > t0).sum())
-        block = np.full((live, STEPS), -1)
-        for k in range(live):
-            part = docs[order[k]][t0 : t0 + STEPS]
-            block[k, : len(part)] = part
-        states, targets, whose = [], [], []
-        for t in range(STEPS):
-            n = int((lengths > t0 + t).sum())
-            if not n:
-                break
-            h = h[:n]
-            h, _ = step(p, h, last[:n])
+    np.exp(o, out=o)
+    return o, o.sum(1)
+
+
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the targets by class, and (class, first, end) of each class but the end token's."""
+    k = target // SLOTS
+    order = np.argsort(k, kind="stable")
+    edges = np.searchsorted(k[order], np.arange(CLASSES + 1)).tolist()
+    return order, [(c, a, b) for c, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+
+
+def _word_logits(p: Weights, hs: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
+    o = np.empty((parts[-1][2] if parts else 0, SLOTS), np.float32)
+    for c, a, b in parts:
+        np.matmul(hs[a:b], p["v"][c], out=o[a:b])
+        o[a:b] += p["c"][c]
+    return o
+
+
+def target_logs(p: Weights, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log probability of the word number that follows each state."""
+    o = h @ p["w"]
+    o += p["b"]
+    at = np.arange(len(target))
+    o -= o.max(1, keepdims=True)
+    out = o[at, target // SLOTS].astype(np.float64)
+    np.exp(o, out=o)
+    out -= np.log(o.sum(1))
+    order, parts = _by_class(target)
+    o = _word_logits(p, h[order], parts)
+    order = order[: len(o)]
+    o -= o.max(1, keepdims=True)
+    inside = o[at[: len(o)], target[order] % SLOTS].astype(np.float64)
+    np.exp(o, out=o)
+    out[order] += inside - np.log(o.sum(1))
+    return out
+
+
+class Lanes:
+    """Documents one after another in lanes of like length, longest lane first; all lanes advance together."""
+
+    def __init__(self, docs: list[np.ndarray], lanes: int = LANES):
+        heap = [(0, k, []) for k in range(min(lanes, len(docs)))]
+        for d in sorted(range(len(docs)), key=lambda d: -len(docs[d])):  # stable, so the same in every run
+            n, k, held = heap[0]
+            held.append(d)
+            heapq.heapreplace(heap, (n + len(docs[d]), k, held))
+        heap.sort(key=lambda x: (-x[0], x[1]))
+        order = [d for *_, held in heap for d in held]
+        sizes = np.array([len(docs[d]) for d in order], np.int64)
+        self.target = np.concatenate([docs[d] for d in order]).astype(np.int64) if order else np.zeros(0, np.int64)
+        self.doc = np.repeat(np.array(order, np.int64), sizes)
+        first = np.cumsum(sizes) - sizes
+        self.input = np.concatenate(([START], self.target[:-1])) if order else self.target
+        self.input[first] = START
+        self.keep = np.ones((len(self.target), 1), np.float32)  # 0 where a document begins
+        self.keep[first] = 0
+        self.length = np.array([n for n, *_ in heap], np.int64)
+        self.first = np.cumsum(self.length) - self.length
+
+    def windows(self, steps: int) -> Iterator[list[np.ndarray]]:
+        """For each step of a window, the places of the lanes that are not at their end."""
+        for t0 in range(0, int(self.length[0]) if len(self.length) else 0, steps):
+            live = [int((self.length > t).sum()) for t in range(t0, t0 + steps)]
+            yield [self.first[:n] + t0 + k for k, n in enumerate(live) if n]
+
+
+def document_logs(p: Weights, docs: list[np.ndarray]) -> np.ndarray:
+    """Natural log probability of each document's word numbers."""
+    lanes, out = Lanes(docs), np.zeros(len(docs))
+    h = np.zeros((len(lanes.length), HIDDEN), np.float32)
+    for window in lanes.windows(SCORE_STEPS):
+        states = []
+        for at in window:
+            h, _ = step(p, h[: len(at)] * lanes.keep[at], lanes.input[at])
             states.append(h)
-            last = block[:n, t]
-            targets.append(last)
-            whose.append(np.arange(n))
-        o = np.concatenate(states) @ p["w"] + p["b"]
-        o -= o.max(1, keepdims=True)
-        targets = np.concatenate(targets)
-        at_target = o[np.arange(len(targets)), targets].astype(np.float64)
-        np.exp(o, out=o)
-        out += np.bincount(np.concatenate(whose), at_target - np.log(o.sum(1)), len(lengths))
-    back = np.zeros(len(docs))
-    back[order] = out
-    return back
+        at = np.concatenate(window)
+        out += np.bincount(lanes.doc[at], target_logs(p, np.concatenate(states), lanes.target[at]), len(docs))
+    return out
 
 
 class Trainer:
-    """Adam over truncated backpropagation through STEPS steps."""
+    """Truncated backpropagation through STEPS steps, with rates that fall with each weight's past gradients."""
 
-    def __init__(self, p: dict[str, np.ndarray]):
+    def __init__(self, p: Weights):
         self.p = {k: v.copy() for k, v in p.items()}
-        self.m = {k: np.zeros_like(v) for k, v in p.items()}
-        self.v = {k: np.zeros_like(v) for k, v in p.items()}
-        self.t = 0
-
-    def window(self, h: np.ndarray, last: np.ndarray, block: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Learns one window of documents sorted by length; returns the state after it."""
-        p, saved, used, inputs = self.p, [], [], []
-        for t in range(int(lengths.max())):
-            n = int((lengths > t).sum())
-            h = h[:n]
-            c = (last if t == 0 else block[:, t - 1])[:n]
-            h, s = step(p, h, c)
+        self.past = {k: np.full_like(v, 1e-2) for k, v in p.items()}
+
+    def _turn(self, k: str, g: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
+        past = self.past[k][rows] + g * g
+        self.past[k][rows] = past
+        self.p[k][rows] -= np.float32(RATE) * g / np.sqrt(past)
+
+    def window(self, h: np.ndarray, lanes: Lanes, places: list[np.ndarray]) -> np.ndarray:
+        """Learns one window; returns the state after it."""
+        p, saved, states = self.p, [], []
+        for at in places:
+            h, s = step(p, h[: len(at)] * lanes.keep[at], lanes.input[at])
             saved.append(s)
-            used.append(n)
-            inputs.append(c)
-        states = [s[1] * (s[0] - s[3]) + s[3] for s in saved]
-        flat = np.concatenate(states)
-        target = np.concatenate([block[:n, t] for t, n in enumerate(used)])
-        d = flat @ p["w"] + p["b"]
-        d -= d.max(1, keepdims=True)
-        np.exp(d, out=d)
-        d /= d.sum(1, keepdims=True)
-        d[np.arange(len(target)), target] -= 1
-        d /= len(target)
-        grad = {"w": flat.T @ d, "b": d.sum(0), "u": np.zeros_like(p["u"])}
+            states.append(h)
+        flat, at = np.concatenate(states), np.concatenate(places)
+        target = lanes.target[at]
+        n = np.float32(LANES)  # a window's gradient is a sum over its tokens, scaled alike for all windows
+        o = flat @ p["w"]
+        o += p["b"]
+        d, total = _softmax(o)
+        d /= total[:, None]
+        d[np.arange(len(target)), target // SLOTS] -= 1
+        d /= n
         dflat = d @ p["w"].T
-        ends = np.cumsum(used)
-        dg_all, dh = [None] * len(used), np.zeros((0, HIDDEN), np.float32)
-        for t in range(len(used) - 1, -1, -1):
-            n = used[t]
+        order, parts = _by_class(target)
+        hs = flat[order]
+        e, total = _softmax(_word_logits(p, hs, parts))
+        e /= total[:, None]
+        e[np.arange(len(e)), target[order[: len(e)]] % SLOTS] -= 1
+        e /= n
+        dhs = np.zeros_like(hs)
+        grad_v, grad_c, used = np.empty((len(parts), HIDDEN, SLOTS), np.float32), np.empty((len(parts), SLOTS), np.float32), [c for c, _, _ in parts]
+        for k, (c, a, b) in enumerate(parts):
+            grad_v[k] = hs[a:b].T @ e[a:b]
+            grad_c[k] = e[a:b].sum(0)
+            dhs[a:b] = e[a:b] @ p["v"][c].T
+        dflat[order] += dhs
+        grad_u, grad_w, grad_b = np.zeros_like(p["u"]), flat.T @ d, d.sum(0)
+        dg_all, dh = [None] * len(places), np.zeros((0, HIDDEN), np.float32)
+        end = len(target)
+        for t in range(len(places) - 1, -1, -1):
+            m = len(places[t])
             h0, z, r, nn, an = saved[t]
-            dht = dflat[ends[t] - n : ends[t]].copy()
+            dht = dflat[end - m : end]
+            end -= m
             dht[: len(dh)] += dh
             dn = dht * (1 - z) * (1 - nn * nn)
             dz = dht * (h0 - nn) * z * (1 - z)
             dr = dn * an * r * (1 - r)
             da = np.concatenate((dz, dr, dn * r), 1)
             dg_all[t] = np.concatenate((dz, dr, dn), 1)
-            grad["u"] += h0.T @ da
-            dh = dht * z + da @ p["u"].T
-        c = np.concatenate(inputs)
-        by_class = np.argsort(c, kind="stable")
-        present, first = np.unique(c[by_class], return_index=True)
-        grad["x"] = np.zeros_like(p["x"])
-        grad["x"][present] = np.add.reduceat(np.concatenate(dg_all)[by_class], first)
-        self.t += 1
-        for k, g in grad.items():
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.001 * (g * g - self.v[k])
-            p[k] -= RATE * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
+            grad_u += h0.T @ da
+            dh = (dht * z + da @ p["u"].T) * lanes.keep[places[t]]
+        dg, inputs = np.concatenate(dg_all), lanes.input[at]
+        by_input = np.argsort(inputs, kind="stable")
+        present, first = np.unique(inputs[by_input], return_index=True)
+        self._turn("x", np.add.reduceat(dg[by_input], first), present)
+        self._turn("g", dg.sum(0))
+        self._turn("u", grad_u)
+        self._turn("w", grad_w)
+        self._turn("b", grad_b)
+        if used:
+            self._turn("v", grad_v, np.array(used))
+            self._turn("c", grad_c, np.array(used))
         return h
 
     def documents(self, docs: list[np.ndarray]) -> None:
-        docs = sorted(docs, key=len, reverse=True)
-        for at in range(0, len(docs), LANES):
-            group = docs[at : at + LANES]
-            lengths = np.array([len(d) for d in group])
-            h, last = np.zeros((len(group), HIDDEN), np.float32), np.full(len(group), CLASSES)
-            for t0 in range(0, int(lengths[0]), STEPS):
-                live = int((lengths > t0).sum())
-                block = np.zeros((live, STEPS), np.int64)
-                left = np.minimum(lengths[:live] - t0, STEPS)
-                for k in range(live):
-                    block[k, : left[k]] = group[k][t0 : t0 + STEPS]
-                h = self.window(h[:live], last[:live], block, left)
-                last = block[: len(h), -1]
+        lanes = Lanes(docs)
+        h = np.zeros((len(lanes.length), HIDDEN), np.float32)
+        for places in lanes.windows(STEPS):
+            h = self.window(h, lanes, places)
+
+
+# ---- the corpus
+
+
+def _lowered(batch: pa.RecordBatch) -> pa.Array:
+    return pc.ascii_lower(batch.column("text"))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """word, c (in training documents) and c_all of every token of the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bool, Counter] = {False: Counter(), True: Counter()}
-
-        def flush() -> pa.RecordBatch:
-            words = sorted(counts[False].keys() | counts[True].keys())
-            c = [counts[False][w] for w in words]
-            both = [a + counts[True][w] for a, w in zip(c, words, strict=True)]
-            for x in counts.values():
-                x.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([w.decode() for w in words], pa.string()), pa.array(c, pa.int64()), pa.array(both, pa.int64())], names=["word", "c", "c_all"])
-
         for batch in batches:
-            for text, out in zip(batch.column("text").to_pylist(), batch.column("out").to_pylist(), strict=True):
-                counts[out].update(tokens(text))
-                if sum(map(len, counts.values())) > FLUSH:
-                    yield flush()
-        yield flush()
+            codes, words, first = common.coded_words(_lowered(batch))
+            learnt = np.logical_not(batch.column("out").to_numpy(zero_copy_only=False))
+            every = np.bincount(codes, minlength=len(words))
+            some = np.bincount(codes[np.repeat(learnt, np.diff(first))], minlength=len(words))
+            words = pa.concat_arrays([words, pa.array([END], words.type)])
+            yield pa.RecordBatch.from_arrays(
+                [words.cast(pa.string()), pa.array(np.append(some, learnt.sum()), pa.int64()), pa.array(np.append(every, len(learnt)), pa.int64())],
+                names=["word", "c", "c_all"])
 
     parts = docs.select("text", is_held_out().alias("out")).mapInArrow(run, "word string, c bigint, c_all bigint")
     return parts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
 
 
-def tail_class(word):
-    return F.lit(1 + HEADS) + F.pmod(F.crc32(F.right(word, F.lit(2))), F.lit(TAILS))
-
-
-def _train(docs: DataFrame, heads: list[bytes], weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    spark = docs.sparkSession
+def _least_count(counts: DataFrame) -> int:
+    """The least c_all so that TOP_WORDS words at most have as many."""
+    level = F.floor(F.log2("c_all") * 16).cast("int")
+    held = sorted(((r["k"], r["n"]) for r in counts.groupBy(level.alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True)  # 16 * 64 rows at most
+    most, k = 0, 62 * 16
+    for level_, n in held:
+        most += n
+        if most > TOP_WORDS:
+            break
+        k = level_
+    return int(np.ceil(2 ** (k / 16)))
+
+
+class Coder:
+    """Word numbers, and what counts give a document without its rare words."""
+
+    def __init__(self, top: pa.Array, logs: np.ndarray, numbers: np.ndarray, log_room: np.ndarray):
+        self.top, self.logs, self.numbers, self.log_room = top, np.append(logs, 0.0), numbers, log_room
+
+    def code(self, texts: pa.Array) -> dict[str, pa.Array]:
+        codes, words, first = common.coded_words(texts)
+        at = pc.fill_null(pc.index_in(words, value_set=self.top.cast(words.type)), -1).to_numpy()
+        number = np.append(self.numbers, -1)[at]  # -1 is the last one
+        other = number < 0
+        number = np.where(other, word_classes(words) * SLOTS + SLOTS - 1, number)
+        room = np.where(other, self.log_room[np.minimum(number // SLOTS, CLASSES - 1)], 0.0)
+        end_log = self.logs[0]  # the end token is the first of the top words
+        docs = np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+        def summed(per_word: np.ndarray) -> np.ndarray:
+            return np.bincount(docs, per_word[codes], len(first) - 1) if len(codes) else np.zeros(len(first) - 1)
+
+        log = self.logs[at]
+        rare = at < 0
+        pairs, times = np.unique(docs[rare[codes]] * max(1, len(words)) + codes[rare[codes]], return_counts=True)
+        whose, which = np.divmod(pairs, max(1, len(words)))
+        ends = pa.array(np.searchsorted(whose, np.arange(len(first))).astype(np.int32))
+        ids = np.insert(number[codes], first[1:], END_ID).astype("<u2").tobytes()
+        places = (2 * (first + np.arange(len(first)))).astype(np.int32)
+        return {
+            "n": pa.array(np.diff(first) + 1, pa.int64()), "known": pa.array((summed(log > 0) + (end_log > 0)).astype(np.int64)),
+            "tail": pa.array(summed(np.where(other, log, 0.0) - room)), "all": pa.array(summed(log) + end_log),
+            "words": pa.ListArray.from_arrays(ends, words.take(pa.array(which)).cast(pa.string())),
+            "times": pa.ListArray.from_arrays(ends, pa.array(times, pa.int32())),
+            "ids": pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer(places.tobytes()), pa.py_buffer(ids)])}
+
+
+def _numbers(ids: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2").astype(np.int64) for x in ids.to_pylist()]
+
+
+def _shards(learnt: DataFrame, tokens: int) -> tuple[DataFrame, int]:
+    """Rows dealt by a hash of document and content, each shard's in an order of its own."""
+    n = max(1, round(tokens / SHARD_TOKENS))
+    key = F.xxhash64(F.lit("shard"), "doc_id", "ids")
+    return learnt.select("ids", key.alias("key")).withColumn("shard", F.pmod(F.col("key"), F.lit(n)).cast("int")), n
+
+
+def train(learnt: DataFrame, tokens: int, weights: Weights) -> Weights:
+    """Weights from every row of learnt (doc_id, ids), whatever its partitions."""
+    spark = learnt.sparkSession
     names, shapes = list(weights), {k: v.shape for k, v in weights.items()}
-    learnt = docs.filter(~is_held_out())
-    for k in range(ROUNDS):
+    dealt, n = _shards(learnt, tokens)
+    for rows in (dealt.filter("shard = 0"), dealt):  # the common start, then all
         start = spark.sparkContext.broadcast(weights)
 
-        def run(batches: Iterator[pa.RecordBatch], k: int = k, start=start) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
+        def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+            trainer, shard, held, seen = None, None, [], 0
+
+            def told() -> Iterator[pa.RecordBatch]:
+                if held:
+                    trainer.documents(held)
+                if seen:
+                    flat = np.concatenate([trainer.p[x].ravel() for x in names]).astype(np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen, np.int64))], names=["i", "w", "n"])
 
-            trainer, classes, n = Trainer(start.value), Classes(heads), 0
-            if k == 0 and TaskContext.get().partitionId() > 0:
-                return  # the first round gives all tasks one start
             for batch in batches:
-                seen = [classes.of(tokens(t)) for t in batch.column("text").to_pylist()]
-                n += sum(map(len, seen))
-                trainer.documents(seen)
-            if n:
-                flat = np.concatenate([trainer.p[x].ravel() for x in names]).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * n), pa.array(np.full(len(flat), n, np.int64))], names=["i", "w", "n"])
-
-        parts = learnt.select("text").mapInArrow(run, "i bigint, w double, n bigint")
+                for k, ids in zip(batch.column("shard").to_pylist(), _numbers(batch.column("ids")), strict=True):
+                    if k != shard:
+                        yield from told()
+                        trainer, shard, held, seen = Trainer(start.value), k, [], 0
+                    held.append(ids)
+                    seen += len(ids)
+                    if len(held) == GROUP:
+                        trainer.documents(held)
+                        held = []
+            yield from told()
+
+        rows = rows.repartition(n, "shard").sortWithinPartitions("shard", "key").select("shard", "ids")
+        parts = rows.mapInArrow(run, "i bigint, w double, n bigint")
         means = parts.groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()  # a row for each weight
         if means.num_rows:
             flat = np.zeros(sum(int(np.prod(s)) for s in shapes.values()), np.float32)
@@ -271,73 +384,65 @@ def _train(docs: DataFrame, heads: list[bytes], weights: dict[str, np.ndarray])
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     spark = docs.sparkSession
-    common.python_ready(spark, 1000)
+    common.python_ready(spark, 2000)
     docs = docs.select("doc_id", "text")
     counts = common.written(count_words(docs), "word-counts")
-    n, v, n_all = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.sum("c_all")).first()
-    n, v, n_all = n or 0, v or 0, n_all or 0
-    end = END.decode()
-    top = counts.filter(F.col("c_all") >= max(1, -(-n_all // TOP_WORDS))).select("word", "c").toArrow()  # TOP_WORDS rows at most
-    ranked = sorted(zip(top.column("c").to_pylist(), top.column("word").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
-    logs = {w.encode(): float(np.log10(c + 1)) for c, w in ranked}
-    heads = [w.encode() for c, w in ranked if w != end and c > 0][:HEADS]
-    head_words = [w.decode() for w in heads]
-    group = F.when(F.col("word") == end, 0).when(F.col("word").isin(head_words or [end]), -1).otherwise(tail_class("word"))
-    by_class = counts.filter("c > 0").groupBy(group.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # CLASSES rows at most
-    size = np.zeros(CLASSES)
-    room = np.ones(CLASSES)  # N_c + V_c + 1 of the classes of many words
-    known = dict(zip((w.encode() for _, w in ranked), (c for c, _ in ranked), strict=True))
-    size[0] = known.get(END, 0)
-    for j, w in enumerate(heads):
-        size[j + 1] = known[w]
-    for r in by_class:
-        if r["k"] > HEADS:
-            size[r["k"]], room[r["k"]] = r["n"], r["n"] + r["v"] + 1
-    weights = _train(docs, heads, start_weights(np.log((size + 1) / (size + 1).sum())))
-    log_room = np.log10(room)
-    table = spark.sparkContext.broadcast((weights, heads, logs, log_room))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, head_list, top_logs, log_rooms = table.value
-        classes, single = Classes(head_list), {END, *head_list}
+    n, v = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    n, v = n or 0, v or 0
+    top = counts.filter((F.col("c_all") >= _least_count(counts)) | (F.col("word") == END)).select("word", "c").toArrow()  # TOP_WORDS + 1 rows at most
+    ranked = sorted(zip(top.column("c").to_pylist(), top.column("word").to_pylist(), strict=True), key=lambda x: (x[1] != END, -x[0], x[1]))
+    if not ranked:
+        ranked = [(0, END)]
+    # the END token comes first; heads take the places of their class by frequency
+    names = pa.array([w for _, w in ranked])
+    numbers, shares, taken = np.full(len(ranked), -1), np.zeros(END_ID + 1), np.zeros(CLASSES, np.int64)
+    numbers[0], shares[END_ID] = END_ID, ranked[0][0]
+    for j, k in enumerate(word_classes(names).tolist()):
+        c = ranked[j][0]
+        if j and c > 0 and taken[k] < SLOTS - 1:
+            numbers[j] = k * SLOTS + taken[k]
+            taken[k] += 1
+            shares[numbers[j]] = c
+    heads = spark.createDataFrame([(w,) for (_, w), k in zip(ranked, numbers, strict=True) if k >= 0], "word string")  # CLASSES * SLOTS rows at most
+    others = counts.filter("c > 0").join(F.broadcast(heads), "word", "left_anti")
+    others = others.groupBy(word_class(F.col("word")).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # CLASSES rows at most
+    room = np.ones(CLASSES)  # N + V + 1 of a class's other words
+    for r in others:
+        room[r["k"]] = r["n"] + r["v"] + 1
+        shares[r["k"] * SLOTS + SLOTS - 1] = r["n"]
+    logs = np.log10(np.array([c for c, _ in ranked], np.float64) + 1)
+    table = spark.sparkContext.broadcast((names, logs, numbers, np.log10(room)))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(*table.value)
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("n", "known", "model", "tail", "all", "words", "times")}
-            seen = []
-            for text in batch.column("text").to_pylist():
-                w = tokens(text)
-                c = classes.of(w)
-                seen.append(c)
-                known_, all_, tail, words, times = 0, 0.0, -float(log_rooms[c].sum()), [], []
-                for x, k in Counter(w).items():
-                    y = top_logs.get(x)
-                    if y is None:
-                        words.append(x.decode())
-                        times.append(k)
-                        continue
-                    known_ += k if y > 0 else 0
-                    all_ += k * y
-                    tail += 0 if x in single else k * y
-                for name, value in zip(out, (len(w), known_, 0.0, tail, all_, words, times), strict=True):
-                    out[name].append(value)
-            out["model"] = (document_logs(p, seen) / np.log(10)).tolist()
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("out"), *(pa.array(out[k], t) for k, t in zip(out, kinds, strict=True))],
-                names=["doc_id", "held_out", *out])
+            found = coder.code(_lowered(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("out"), *found.values()], names=["doc_id", "held_out", *found])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    common.python_ready(spark, 2000)
     rows = docs.select("doc_id", "text", is_held_out().alias("out")).mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, n bigint, known bigint, model double, tail double, all double, words array<string>, times array<int>")
-    rows = common.written(rows.withColumn("row_id", F.monotonically_increasing_id()), "scored")
+        code, f"doc_id {kind}, held_out boolean, n bigint, known bigint, tail double, all double, words array<string>, times array<int>, ids binary")
+    rows = common.written(rows.withColumn("row_id", F.monotonically_increasing_id()), "coded")
+    weights = spark.sparkContext.broadcast(train(rows.filter("not held_out"), n, start_weights(shares)))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            logs_ = document_logs(weights.value, _numbers(batch.column("ids"))) / np.log(10)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in COLUMNS), pa.array(logs_)], names=[*COLUMNS, "model"])
+
     rare = rows.select("row_id", F.explode(F.arrays_zip("words", "times")).alias("r")).select("row_id", F.col("r.words").alias("word"), F.col("r.times").alias("k"))
     rare = rare.join(counts.select("word", "c"), "word")
     rare = rare.groupBy("row_id").agg(
         F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more_known"))
     more = F.coalesce("more", F.lit(0.0))
-    return rows.drop("words", "times").join(rare, "row_id", "left").select(
+    judged = rows.select(*COLUMNS, "ids").mapInArrow(
+        judge, f"row_id bigint, doc_id {kind}, held_out boolean, n bigint, known bigint, tail double, all double, model double")
+    return judged.join(rare, "row_id", "left").select(
         "doc_id", "held_out", F.col("n").alias("n_tokens"),
         (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("bigint").alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
         (F.col("all") + more - F.col("n") * float(np.log10(n + v + 1))).alias("base_score"),
         (F.col("model") + F.col("tail") + more).alias("score"))
+
+
+COLUMNS = ("row_id", "doc_id", "held_out", "n", "known", "tail", "all")

@@ -200,23 +200,88 @@ def test_lm_scores(docs, none):
     assert rnn_lm.score(none).count() == 0
 
 
-def test_lm_learns_from_every_training_document(spark):
-    start = rnn_lm.start_weights(np.zeros(rnn_lm.CLASSES))
-    for k in [k for k in range(20) if zlib.crc32(str(k).encode()) % 7 != 2][:5]:
-        one = spark.createDataFrame([(k, "one two three")], "doc_id long, text string").coalesce(1)
-        assert not np.array_equal(rnn_lm._train(one, [b"one"], start)["x"], start["x"])
+def _drawn(shares=None):
+    p, rng = rnn_lm.start_weights(shares), np.random.default_rng(2)
+    return p | {k: (p[k] + rng.normal(0, 0.3, p[k].shape)).astype(np.float32) for k in "gwbvc"}
+
+
+def test_lm_score_equals_a_plain_sum(docs, monkeypatch):
+    monkeypatch.setattr(rnn_lm, "train", lambda learnt, tokens, weights: _drawn())
+    got = collections.Counter((r["doc_id"], r["n_tokens"], round(r["score"], 2)) for r in rnn_lm.score(docs).collect())
+    p = {k: v.astype(float) for k, v in _drawn().items()}
+    tokens = {k: [*(t or "").translate(str.maketrans(*map(bytes.decode, (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")))).split(), "\n"] for k, (_, t, *_) in enumerate(ROWS)}
+    c = collections.Counter(w for k, ws in tokens.items() for w in ws if ROWS[k][0] is None or zlib.crc32(str(ROWS[k][0]).encode()) % 7 != 2)
+    number, rest = {"\n": rnn_lm.END_ID}, collections.defaultdict(list)
+    for w in sorted(set().union(*tokens.values()) - {"\n"}, key=lambda w: (-c[w], w)):
+        k = zlib.crc32(w[-2:].encode()) % rnn_lm.CLASSES
+        taken = sum(x // rnn_lm.SLOTS == k for x in number.values() if x < rnn_lm.END_ID)
+        if c[w] and taken < rnn_lm.SLOTS - 1:
+            number[w] = k * rnn_lm.SLOTS + taken
+        else:
+            rest[k].append(w)
+    want, gate = collections.Counter(), lambda x: 1 / (1 + np.exp(-x))
+    for k, ws in tokens.items():
+        h, last, total, n = np.zeros(rnn_lm.HIDDEN), rnn_lm.START, 0.0, rnn_lm.HIDDEN
+        for w in ws:
+            a, g = h @ p["u"], p["x"][last] + p["g"]
+            z, r = gate(a[:n] + g[:n]), gate(a[n : 2 * n] + g[n : 2 * n])
+            new = np.tanh(g[2 * n :] + r * a[2 * n :])
+            h = (1 - z) * new + z * h
+            kind = zlib.crc32(w[-2:].encode()) % rnn_lm.CLASSES
+            last = number.get(w, kind * rnn_lm.SLOTS + rnn_lm.SLOTS - 1)
+            o = h @ p["w"] + p["b"]
+            total += (o - np.log(np.exp(o).sum()))[last // rnn_lm.SLOTS]
+            if w != "\n":
+                o = h @ p["v"][kind] + p["c"][kind]
+                total += (o - np.log(np.exp(o).sum()))[last % rnn_lm.SLOTS]
+            if w not in number:
+                total += np.log((c[w] + 1) / (sum(c[x] + (c[x] > 0) for x in rest[kind]) + 1))
+        want[ROWS[k][0], len(ws), round(total / np.log(10), 2)] += 1
+    assert sum(abs(got[x] - want[x]) for x in got | want) <= 4 and {x[:2] for x in got} == {x[:2] for x in want}  # roundings may part
+
+
+def test_lm_probabilities_add_up_to_one():
+    p, rng = _drawn(), np.random.default_rng(4)
+    for h in rng.normal(0, 1, (3, rnn_lm.HIDDEN)).astype(np.float32):
+        every = np.arange(rnn_lm.END_ID + 1)
+        assert abs(np.exp(rnn_lm.target_logs(p, np.repeat(h[None], len(every), 0), every)).sum() - 1) < 1e-4
+
+
+def test_lm_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(6)
+    p, docs_ = _drawn(), [rng.integers(0, rnn_lm.END_ID, 5), np.array([70, 70, rnn_lm.END_ID])]
+    trainer = rnn_lm.Trainer(p)
+    grads, trainer._turn = {}, lambda k, g, rows=slice(None): grads.__setitem__(k, (g, rows))
+    trainer.documents(docs_)
+    for k, at in (("u", (3, 40)), ("g", (50,)), ("w", (2, 7)), ("b", (1,))):
+        sides = []
+        for d in (1e-2, -1e-2):
+            q = {x: v.astype(np.float64) for x, v in p.items()}
+            q[k][at] += d
+            sides.append(-rnn_lm.document_logs(q, docs_).sum() / rnn_lm.LANES)
+        assert abs((sides[0] - sides[1]) / 2e-2 - grads[k][0][at]) < 1e-4
+
+
+def test_lm_learns_from_every_training_document_and_not_from_partitions(spark, docs):
+    rows = [(k, np.array([k, 70 + k, rnn_lm.END_ID], "<u2").tobytes()) for k in range(12)]
+    learnt = spark.createDataFrame(rows, "doc_id long, ids binary")
+    start = rnn_lm.start_weights()
+    one, six = (rnn_lm.train(learnt.repartition(n), 36, start)["x"] for n in (1, 6))
+    assert np.array_equal(one, six) and all((one[k] != start["x"][k]).any() for k in range(12))
+    a, b = (sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in rnn_lm.score(docs.repartition(n)).collect()) for n in (1, 6))
+    assert [x[:2] for x in a] == [x[:2] for x in b] and np.allclose([x[2] for x in a], [x[2] for x in b], 1e-5)
 
 
 def test_lm_carries_its_state_across_windows():
     rng = np.random.default_rng(1)
-    p = rnn_lm.start_weights(np.zeros(rnn_lm.CLASSES))
-    docs = [rng.integers(0, rnn_lm.CLASSES, k) for k in (1, 70, 16, 33)]
-    for d, total in zip(docs, rnn_lm.document_logs(p, docs), strict=True):
-        h, last, out = np.zeros((1, rnn_lm.HIDDEN), np.float32), np.array([rnn_lm.CLASSES]), 0.0
+    p = _drawn()
+    docs_ = [rng.integers(0, rnn_lm.END_ID + 1, k) for k in (1, 70, 16, 33, 300, 0)]
+    for d, total in zip(docs_, rnn_lm.document_logs(p, docs_), strict=True):
+        h, last, out = np.zeros((1, rnn_lm.HIDDEN), np.float32), np.array([rnn_lm.START]), 0.0
         for c in d:
             h, _ = rnn_lm.step(p, h, last)
-            out += float(rnn_lm.log_softmax(p, h)[0, c])
             last = np.array([c])
+            out += float(rnn_lm.target_logs(p, h, last)[0])
         assert abs(out - total) < 1e-2
 
 
