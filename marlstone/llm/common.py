@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +40,69 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+_made: list[list[str]] = []  # tables of the scratch() blocks that are open, the innermost last
+
+
+def written(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
+
+    Inside scratch() the table goes when the block ends; a lasting one goes with the block around it.
+    """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    blocks = _made[:-1] if lasting else _made
+    if blocks:
+        blocks[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes, at its end, the tables that written() made inside and that are not lasting."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        spark = SparkSession.active()
+        for path in _made.pop():
+            deleted(spark, path)
+
+
+def tidy(label: str):
+    """A function from DataFrames to a DataFrame whose result is written as a table, and its other tables deleted."""
+
+    def wrap(f):
+        @functools.wraps(f)
+        def run(*args, **kwargs):
+            with scratch():
+                return written(f(*args, **kwargs), label, lasting=True)
+
+        return run
+
+    return wrap
+
+
 def removed(df: DataFrame) -> None:
     """Deletes the files of a table made by written() that nothing will read again."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+        deleted(df.sparkSession, parent)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like those wanted that df does not have, whatever the case."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 def shuffles(spark: SparkSession) -> int:

@@ -10,7 +10,7 @@ is gathered and broadcast does not grow with the corpus.
 
 Defined cases: null and empty texts have the features of no words and get the score those give; a
 corpus without labels, or with one label only, scores every text by the bias (0.5 without labels);
-null labels are left out; repeated rows are scored each; other columns are never read.
+null labels are left out; a null doc_id is not held out; repeated rows are scored each; other columns are never read.
 """
 
 from __future__ import annotations
@@ -131,8 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
     return out / SHARDS
 
 
-def score(docs: DataFrame, weights: np.ndarray, *keep: str) -> DataFrame:
-    """The columns keep and score (0 to 1) of each row."""
+def score(docs: DataFrame, weights: np.ndarray, *keep: str, name: str = "score") -> DataFrame:
+    """The columns keep and the score (0 to 1), under a name, of each row."""
     table = docs.sparkSession.sparkContext.broadcast(weights)
     common.python_ready(docs.sparkSession)
 
@@ -145,11 +145,11 @@ def score(docs: DataFrame, weights: np.ndarray, *keep: str) -> DataFrame:
                 dots.append(w[i] @ v + w[-1])
             p = 1 / (1 + np.exp(-np.clip(np.array(dots), -35, 35)))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(p, pa.float64())], names=[*keep, "score"])
+                [*(batch.column(c) for c in keep), pa.array(p, pa.float64())], names=[*keep, name])
 
     columns = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return columns.mapInArrow(run, f"{schema}, score double")
+    return columns.mapInArrow(run, f"{schema}, {name} double")
 
 
 _features = Features()
@@ -159,11 +159,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """doc_id, held_out, score and predicted of each row; rows held out are never learnt from."""
     weights = train(docs, labels.filter(crc_mod("doc_id", 5) != 0))
     return score(docs, weights, "doc_id").select(
-        "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score",
+        "doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, that score the threshold or more."""
     weights = train(docs, labels.filter(crc_mod("doc_id", 5) != 0))
-    return score(docs, weights, *docs.columns).filter(F.col("score") >= threshold).drop("score")
+    (name,) = common.free_names(docs, "quality_score")
+    return score(docs, weights, *docs.columns, name=name).filter(F.col(name) >= threshold).drop(name)

@@ -86,6 +86,7 @@ def host_verdicts(rules: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     return hosts.select("host", "n", "failed", rate.alias("rate"), (rate <= limit).alias("host_ok"))
 
 
+@common.tidy("quality-rules")
 def quality_rules(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """Every document with its counts, base_failed, its host's rate and the verdict kept."""
     rules = common.written(document_rules(docs), "document-rules")

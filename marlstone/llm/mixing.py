@@ -50,6 +50,7 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
         "source", "source_size", F.least(cap.cast("double"), F.col("w") * F.col("final")).alias("target"))
 
 
+@common.tidy("mixture")
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target and taken (words taken, repeats counted) of each row."""
     sized = docs.select(
@@ -78,20 +79,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPO
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs that the mix takes, whole, as often as it takes from them; rows of no words go."""
-    named = docs.withColumns({
-        "__id": F.struct(F.col("doc_id")), "__tie": F.xxhash64("text"),
-        "__size": F.size(common.words(F.col("text"))).cast("bigint")})
+    """The rows of docs that the mix takes, whole, as often as it takes from them; rows of no words go. Columns may have any names."""
+    key, tie, nth, times, copy = common.free_names(docs, "mix_key", "mix_tie", "mix_nth", "mix_times", "mix_copy")
     taken = mix(docs, **settings).filter("taken > 0").select(
-        F.struct("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("source").alias("__source"),
-        F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+        F.struct("doc_id", "source").alias(key), F.col("tie").alias(tie), F.ceil(F.col("taken") / F.col("size")).cast("int").alias(times))
     # repeated rows share an id, a text and a source: their takes are added up and one row stands for all
-    taken = taken.groupBy("__id", "__tie", "__source").agg(F.sum("__times").alias("__times"))
-    one = Window.partitionBy("__id", "__tie", "__source").orderBy("__size")
-    taken = taken.withColumnsRenamed({"__id": "__i", "__tie": "__t", "__source": "__s"})
-    both = named.withColumn("__source", F.col("source")).join(
-        taken, (F.col("__id") == F.col("__i")) & (F.col("__tie") == F.col("__t"))
-        & F.col("__source").eqNullSafe(F.col("__s")))
-    both = both.withColumn("__nth", F.row_number().over(one)).filter("__nth = 1")
-    return both.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times").cast("int")))).select(
-        *[docs[c] for c in docs.columns])
+    taken = taken.groupBy(key, tie).agg(F.sum(times).cast("int").alias(times))
+    named = docs.withColumns({key: F.struct("doc_id", "source"), tie: F.xxhash64("text")})
+    one = named.join(taken, [key, tie]).withColumn(nth, F.row_number().over(Window.partitionBy(key, tie).orderBy(tie))).filter(F.col(nth) == 1)
+    return one.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])

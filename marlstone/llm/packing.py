@@ -237,6 +237,7 @@ def slots(patterns: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.nda
     return dict(zip(("length", "first", "times", "sequence", "offset"), np.array(rows, np.int64).reshape(-1, 5).T, strict=True))
 
 
+@common.tidy("packed")
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of all documents with sequence_id and offset."""
     spark = docs.sparkSession

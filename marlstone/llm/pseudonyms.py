@@ -10,7 +10,7 @@ Kept as they are: separators, country codes, the domain of an e-mail address, th
 secret's "=", and every candidate that is not valid.
 
 Defined cases: null text stays null, an empty one empty; repeated rows are treated alike; texts of any length are
-scanned whole; other columns are passed on by pseudonymise() and ignored by found().
+scanned whole; an empty table gives no rows; other columns, whatever their names, are passed on.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "change-me"
+#: The key of the registered query, on made-up personal data only: whoever knows the key can undo the pseudonyms.
+DEMO_KEY = "change-me"
 ROUNDS = 8
 #: Days from 0001-01-01 to 9999-12-31, as a product of two numbers of like size.
 DAYS_A, DAYS_B = 2127, 1717
-#: Longest half of digits or letters that one Feistel step adds up as a number.
+#: Longest half, in characters, that one Feistel step adds up as a number.
 CHUNK = 9
 
 #: Fixed patterns of the kinds, each tried in this order at a place.
@@ -51,22 +52,23 @@ def once(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def _draw(key: str, kind: str, k: int, other: Column, size: Column) -> Column:
-    """A number below size that depends on the key, the step and the other half."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), F.lit(str(k)), other.cast("string")), 256)
+def _draw(key: str, kind: str, k: int, other: Column, size: Column, tweak: Column) -> Column:
+    """A number below size that depends on the key, the step, the other half and the tweak."""
+    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), F.lit(str(k)), other.cast("string"), tweak), 256)
     return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), size)
 
 
-def _feistel(key: str, kind: str, left: Column, right: Column, a: Column, b: Column, inverse: bool) -> Column:
-    """struct(l, r): a permutation of the pairs (left below a, right below b)."""
+def _feistel(key: str, kind: str, left: Column, right: Column, a: Column, b: Column, inverse: bool, tweak: Column | None = None) -> Column:
+    """struct(l, r): a permutation of the pairs (left below a, right below b), another one for each tweak."""
+    tweak = F.lit("") if tweak is None else tweak
     state = F.struct(left.cast("bigint").alias("l"), right.cast("bigint").alias("r"))
     sign = -1 if inverse else 1
 
     def on_left(k: int):
-        return lambda s: F.struct(F.pmod(s["l"] + sign * _draw(key, kind, k, s["r"], a), a).alias("l"), s["r"].alias("r"))
+        return lambda s: F.struct(F.pmod(s["l"] + sign * _draw(key, kind, k, s["r"], a, tweak), a).alias("l"), s["r"].alias("r"))
 
     def on_right(k: int):
-        return lambda s: F.struct(s["l"].alias("l"), F.pmod(s["r"] + sign * _draw(key, kind, k, s["l"], b), b).alias("r"))
+        return lambda s: F.struct(s["l"].alias("l"), F.pmod(s["r"] + sign * _draw(key, kind, k, s["l"], b, tweak), b).alias("r"))
 
     for k in reversed(range(ROUNDS)) if inverse else range(ROUNDS):
         state = once(state, on_right(k) if k % 2 else on_left(k))
@@ -77,43 +79,39 @@ def _power(base: int, n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(base**i) for i in range(CHUNK + 1)]), n + 1)
 
 
-def _digits(key: str, kind: str, s: Column, inverse: bool) -> Column:
-    """A permutation of the digit strings of one length. Up to 18 digits are two halves; of longer
-    strings, each 18 are permuted under the digits before them."""
+def _permuted(key: str, kind: str, s: Column, inverse: bool, letters: str) -> Column:
+    """A permutation of the strings of one length over some letters (36 at most). Up to 2 * CHUNK letters are two halves;
+    longer strings are cut into such blocks, each permuted under the plain letters of the blocks before it."""
+    base = len(letters)
+    figures = ("0123456789" + LETTERS)[:base]
 
-    def two(x: Column, tweak: str) -> Column:
-        n = F.length(x)
-        h = F.floor(n / 2).cast("int")
-        left, right = F.substr(x, F.lit(1), h), F.substr(x, h + 1)
-        number = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("0")).cast("bigint")
-        out = _feistel(key, kind + tweak, number(left), number(right), _power(10, h), _power(10, n - h), inverse)
-        pad = lambda c, k: F.when(k > 0, F.lpad(c.cast("string"), k, "0")).otherwise("")
-        return once(out, lambda o: F.concat(pad(o["l"], h), pad(o["r"], n - h)))
+    def number(x: Column) -> Column:
+        return F.when(x == "", F.lit(0)).otherwise(F.conv(F.translate(x, letters, figures), base, 10).try_cast("bigint"))
 
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.length(s) - 1) / (2 * CHUNK)).cast("int")),
-        lambda i: once(F.substr(s, i * 2 * CHUNK + 1, F.lit(2 * CHUNK)), lambda x: two(x, "")))
-    return F.when(F.length(s) == 0, s).otherwise(F.array_join(blocks, ""))
+    def text(n: Column, k: Column) -> Column:
+        return F.when(k > 0, F.lpad(F.translate(F.lower(F.conv(n.cast("string"), 10, base)), figures, letters), k, letters[0])).otherwise("")
 
+    def block(so_far: Column, i: Column) -> Column:
+        def two(x: Column) -> Column:
+            n = F.length(x)
+            h = F.floor(n / 2).cast("int")
+            out = _feistel(key, kind, number(F.substr(x, F.lit(1), h)), number(F.substr(x, h + 1)), _power(base, h), _power(base, n - h), inverse, so_far["plain"])
+            done = once(out, lambda o: F.concat(text(o["l"], h), text(o["r"], n - h)))
+            return once(done, lambda d: F.struct(F.concat(so_far["done"], d).alias("done"), F.concat(so_far["plain"], d if inverse else x).alias("plain")))
 
-def _letters(key: str, kind: str, s: Column, inverse: bool, letters: str = LETTERS) -> Column:
-    """A permutation of the strings of one length over some letters: each turns by an amount that
-    depends on all letters before it, once from the left and once from the right."""
+        return once(F.substr(s, i * 2 * CHUNK + 1, F.lit(2 * CHUNK)), two)
+
+    first = F.struct(F.lit("").alias("done"), F.lit("").alias("plain"))
+    count = F.floor((F.length(s) - 1) / (2 * CHUNK)).cast("int")
+    return F.when(F.length(s) == 0, s).otherwise(F.aggregate(F.sequence(F.lit(0), count), first, block, lambda o: o["done"]))
 
-    def turn(x: Column, tweak: str) -> Column:
-        def add(out: Column, c: Column) -> Column:
-            # the letters that the next turn depends on are the plain ones, in both directions
-            amount = _draw(key, kind + tweak, 0, out["plain"], F.lit(len(letters)))
-            at = F.instr(F.lit(letters), c) - 1
-            new = F.substr(F.lit(letters), (F.pmod(at - amount if inverse else at + amount, F.lit(len(letters))) + 1).cast("int"), F.lit(1))
-            return F.struct(F.concat(out["done"], new).alias("done"), F.concat(out["plain"], new if inverse else c).alias("plain"))
 
-        first = F.struct(F.lit("").alias("done"), F.lit("").alias("plain"))
-        return F.aggregate(F.filter(F.split(x, ""), lambda c: c != ""), first, add, lambda o: o["done"])
+def _digits(key: str, kind: str, s: Column, inverse: bool) -> Column:
+    return _permuted(key, kind, s, inverse, HEX[:10])
+
 
-    if inverse:
-        return turn(F.reverse(turn(F.reverse(s), "R")), "L")
-    return F.reverse(turn(F.reverse(turn(s, "L")), "R"))
+def _letters(key: str, kind: str, s: Column, inverse: bool, letters: str = LETTERS) -> Column:
+    return _permuted(key, kind, s, inverse, letters)
 
 
 def _weave(shape: Column, digits: Column, letters: Column) -> Column:
@@ -250,7 +248,7 @@ def kind_of(match: Column) -> Column:
     return bare
 
 
-def pseudonym(match: Column, key: str = KEY, inverse: bool = False) -> Column:
+def pseudonym(match: Column, key: str, inverse: bool = False) -> Column:
     """The pseudonym of one match; the match itself if it is not valid."""
     head = F.regexp_extract(match, r"^(?i:(?:password|passwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}\"?)", 0)
     tail = lambda h: F.substr(match, F.length(h) + 1)
@@ -273,18 +271,18 @@ def pseudonym(match: Column, key: str = KEY, inverse: bool = False) -> Column:
     return once(kind_of(match), of)
 
 
-def replaced(text: Column, key: str = KEY, inverse: bool = False) -> Column:
+def replaced(text: Column, key: str, inverse: bool = False) -> Column:
     """A text with all its valid matches replaced. Texts without candidates are scanned once and left."""
     matches = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: pseudonym(m, key, inverse))
     woven = F.zip_with(F.split(text, PATTERN, -1), matches, lambda a, m: F.concat(a, F.coalesce(m, F.lit(""))))
     return F.when(text.rlike(PATTERN), F.array_join(woven, "")).otherwise(text)
 
 
-def pseudonymise(docs: DataFrame, column: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """docs with the personal data in a text column replaced; all other columns as they are."""
     return docs.withColumn(column, replaced(F.col(column), key))
 
 
-def restore(docs: DataFrame, column: str = "text", key: str = KEY) -> DataFrame:
+def restore(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """Undoes pseudonymise() with the same key."""
     return docs.withColumn(column, replaced(F.col(column), key, inverse=True))

@@ -370,7 +370,7 @@ def train(learnt: DataFrame, tokens: int, weights: Weights) -> Weights:
                         held = []
             yield from told()
 
-        rows = rows.repartition(n, "shard").sortWithinPartitions("shard", "key").select("shard", "ids")
+        rows = rows.repartitionByRange(n, "shard").sortWithinPartitions("shard", "key").select("shard", "ids")
         parts = rows.mapInArrow(run, "i bigint, w double, n bigint")
         means = parts.groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()  # a row for each weight
         if means.num_rows:
@@ -381,6 +381,7 @@ def train(learnt: DataFrame, tokens: int, weights: Weights) -> Weights:
     return weights
 
 
+@common.tidy("lm-scores")
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     spark = docs.sparkSession

@@ -5,6 +5,10 @@ differing bits one segment differs by one bit at most. Each segment is indexed u
 itself with one bit wild; an equality join on the variants finds the pairs, and the whole fingerprints verify
 them inside the join. A pair counts only at the first variant that both share, so it comes out once.
 
+Variants that many fingerprints share are cut further: of the 42 or 43 bits outside the segment at most four differ, so one of
+five pieces of them is equal, and pairs meet on the variant and a piece. Work then does not grow with the square of
+the fingerprints that share 20 bits.
+
 Only distinct fingerprints are indexed, whatever their number of copies. Links inside a dense group are
 not all made: neighbours in each variant's order are linked first, and the join then looks only at
 pairs that those links have left in different components, in variants that hold more than one
@@ -29,6 +33,9 @@ from marlstone.llm import common
 SHINGLE = 4
 SEED = 42
 MAX_BITS = 4
+#: Fingerprints of a variant from which pairs meet on a piece of the other bits as well.
+MANY = 64
+PIECES = MAX_BITS + 1
 #: (first bit, bits) of the segments: 3 of them leave one with MAX_BITS // 3 = 1 differing bit at most.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _FOLD = bytes.maketrans(common.UPPER.encode(), common.LOWER.encode())
@@ -55,17 +62,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_tie and fp (the 64 bits as a bigint) of each row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *keep: str) -> DataFrame:
+    """doc_id, the string columns keep and fp (the 64 bits as a bigint) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(batch.column(c) for c in keep), pa.array(fp.view(np.int64))], names=["doc_id", *keep, "fp"])
 
     common.python_ready(docs.sparkSession)
-    columns = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    return columns.mapInArrow(run, "doc_id bigint, fp bigint")
+    columns = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), *keep)
+    return columns.mapInArrow(run, ", ".join(["doc_id bigint", *(f"{c} string" for c in keep), "fp bigint"]))
 
 
 def hex_digits(fp: Column) -> Column:
@@ -86,6 +94,18 @@ def variants(fps: DataFrame) -> DataFrame:
             .select(*fps.columns, F.col("v.wild").alias("wild"), F.col("fp").bitwiseAND(F.col("v.mask")).alias("rest")))
 
 
+def pieces() -> Column:
+    """The keys besides its variant under which a fingerprint meets others: none, or five pieces of the bits outside its segment."""
+    none = F.array(F.struct(F.lit(-1).alias("nth"), F.lit(0).cast("bigint").alias("bits")))
+    cut = none
+    for first, n in SEGMENTS:
+        outside = [b for b in range(64) if not first <= b < first + n]
+        masks = [_signed(sum(1 << b for b in outside[k::PIECES])) for k in range(PIECES)]
+        own = F.array(*[F.struct(F.lit(k).alias("nth"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks)])
+        cut = F.when(F.col("wild").between(first, first + n - 1), own).otherwise(cut)
+    return F.when(F.col("many"), cut).otherwise(none)
+
+
 def _linked(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS
 
@@ -117,12 +137,12 @@ def near_classes(fps: DataFrame) -> DataFrame:
     rooted = common.written(rooted, "rooted")
     index = variants(rooted)
     same = Window.partitionBy("wild", "rest")
-    busy = index.withColumns({"lo": F.min("root").over(same), "hi": F.max("root").over(same)})
-    busy = common.written(busy.filter("lo <> hi").drop("lo", "hi"), "busy-variants")
+    busy = index.withColumns({"lo": F.min("root").over(same), "hi": F.max("root").over(same), "many": F.count("*").over(same) >= MANY})
+    busy = common.written(busy.filter("lo <> hi").drop("lo", "hi").withColumn("piece", F.explode(pieces())).drop("many"), "busy-variants")
     a, b = busy.alias("a"), busy.alias("b")
     links = a.join(
         b,
-        (F.col("a.wild") == F.col("b.wild")) & (F.col("a.rest") == F.col("b.rest")) & (F.col("a.root") < F.col("b.root"))
+        (F.col("a.wild") == F.col("b.wild")) & (F.col("a.rest") == F.col("b.rest")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.root") < F.col("b.root"))
         & _linked(F.col("a.fp"), F.col("b.fp")) & _first_variant(F.col("a.fp"), F.col("b.fp"), F.col("a.wild")))
     links = links.select(F.col("a.root").alias("a"), F.col("b.root").alias("b")).distinct()
     second = common.written(components(links, "links"), "second-components")
@@ -134,9 +154,10 @@ def near_classes(fps: DataFrame) -> DataFrame:
     return common.lookup(named, smallest, ["top"], "n_fps", named.count()).select("fp", "component_id", "n")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, component_id and same (rows with this very fingerprint) of each row."""
-    prints = common.written(fingerprints(docs, shingle), "fingerprints")
+@common.tidy("near-duplicates")
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, *keep: str) -> DataFrame:
+    """doc_id, the string columns keep, fp, component_id and same (rows with this very fingerprint) of each row."""
+    prints = common.written(fingerprints(docs, shingle, *keep), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("d"), F.count("*").alias("n"))
     distinct = common.written(distinct, "distinct-fingerprints")
     classes = common.written(near_classes(distinct), "near-classes")
@@ -144,6 +165,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id is the smallest of their component."""
-    gone = near_duplicates(docs, shingle).filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The rows of docs, with all their columns, but those whose component has a smaller doc_id.
+
+    Rows go by doc_id and text, so of rows that share a doc_id only those linked to a smaller one go; a row without
+    doc_id goes if its component has any.
+    """
+    named = docs.select("doc_id", "text").withColumn("text_tie", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    gone = near_duplicates(named, shingle, "text_tie").filter("not component_id <=> doc_id").select(
+        F.struct("doc_id").alias("k"), "text_tie").distinct()
+    key, tie = common.free_names(docs, "near_key", "near_tie")
+    gone = common.written(gone.select(F.col("k").alias(key), F.col("text_tie").alias(tie)), "near-copies")
+    rows = docs.withColumns({key: F.struct(F.col("doc_id").cast("bigint").alias("doc_id")), tie: F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)})
+    return rows.join(gone, [key, tie], "left_anti").select(*[rows[c] for c in docs.columns])

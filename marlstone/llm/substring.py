@@ -166,6 +166,7 @@ def cut(work: DataFrame) -> DataFrame:
     return work.select("doc_id", "tie", "text", "gone", "more").mapInArrow(run, "doc_id bigint, tie bigint, n_removed bigint, sha string")
 
 
+@common.tidy("substring-dedup")
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row."""
     rows = common.written(scanned(docs), "runs")
