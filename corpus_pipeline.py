@@ -56,7 +56,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; tables of a stage go when it is done, and its rows when the next one is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with common.scratch():
+            docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"), lasting=True)
+        if before is not None:
+            common.removed(before)
+        before = docs
     return docs
