@@ -130,7 +130,7 @@ ORACLE_SQL = {
     "x2_anchor_offset": CELLS_SQL + """
 SELECT n_nationkey AS sheet, arg_min(d, (abs(d), "row")) AS "offset" FROM nation LEFT JOIN (
   SELECT sheet, "row", v_str FROM cells WHERE col = 0 AND lower(trim(v_str)) = 'total') ON sheet = n_nationkey
-CROSS JOIN LATERAL (SELECT CASE WHEN abs("row" - 20 - n_nationkey) <= 60 THEN "row" - 20 - n_nationkey END AS d) GROUP BY 1""",
+CROSS JOIN LATERAL (SELECT CASE WHEN "row" - 20 - n_nationkey <= 60 THEN "row" - 20 - n_nationkey END AS d) GROUP BY 1""",
     "x3_headers": CELLS_SQL + "SELECT sheet, col, header FROM heads",
     "x5_sections": CELLS_SQL + 'SELECT sheet, "row", label, fmt, section FROM rows_',
     "x6_facts": CELLS_SQL + "SELECT * FROM facts",

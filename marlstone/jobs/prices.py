@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marlstone.functions.numbers import rounded
 from marlstone.operators import series, statistics
-from marlstone.sources.tables import ASSESSMENTS_SQL, assessments
+from marlstone.sources.tables import ASSESSMENTS_SQL, assessments, table
 
 LOCATIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
@@ -52,11 +53,19 @@ def e9_price_move(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.price_move(series.monthly_means(assessments(spark, sf_dir)))
 
 
+def t1_route_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each product's series is that of one route: Asia's, by the flag that its name's length gives."""
+    products = table(spark, sf_dir, "part").select("p_type").distinct()
+    flag = F.element_at(F.array(*map(F.lit, "ANR")), F.length("p_type") % 3 + 1)
+    routes = products.select(F.lower("p_type").alias("concept"), F.col("p_type").alias("product"), F.lit("ASIA").alias("location"), flag.alias("incoterm"))
+    return series.daily_series(assessments(spark, sf_dir), routes)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         n5_outlier_guard, n12_route_coverage, n13_monthly_price_stats, n15_best_routes, n16_route_pivot,
-        t1_daily_series, t2_monthly_means, t4_next_changes, t21_naive_rank, e9_price_move)
+        t1_daily_series, t1_route_series, t2_monthly_means, t4_next_changes, t21_naive_rank, e9_price_move)
 }
 
 MEANS_SQL = f"SELECT product AS concept, strftime(date, '%Y-%m') AS month, avg(mid) AS mean FROM ({ASSESSMENTS_SQL}) GROUP BY ALL"
@@ -89,10 +98,11 @@ SELECT product, location, incoterm, n, median,
 FROM p JOIN m USING (product, location, incoterm) GROUP BY ALL
 """,
     "t1_daily_series": f"SELECT product AS concept, date, floor(avg(mid) * 10 + 0.5) / 10 AS value FROM ({ASSESSMENTS_SQL}) GROUP BY ALL",
+    "t1_route_series": f"SELECT lower(product) AS concept, date, floor(avg(mid) * 10 + 0.5) / 10 AS value FROM ({ASSESSMENTS_SQL}) WHERE location = 'ASIA' AND incoterm = (['A', 'N', 'R'])[length(product) % 3 + 1] GROUP BY ALL",
     "t2_monthly_means": f"SELECT concept, month, floor(mean * 100 + 0.5) / 100 AS mean FROM ({MEANS_SQL})",
     "t4_next_changes": f"""
 SELECT concept, month, next_change FROM (
-  SELECT concept, month, floor((lead(mean) OVER (PARTITION BY concept ORDER BY month) - mean) * 10 + 0.5) / 10 AS next_change FROM ({MEANS_SQL}))
+  SELECT concept, month, floor((lead(mean) OVER (PARTITION BY concept ORDER BY month) - mean) * 100 + 0.5) / 100 AS next_change FROM ({MEANS_SQL}))
 WHERE next_change IS NOT NULL
 """,
     "t21_naive_rank": f"""

@@ -58,9 +58,10 @@ def x22_multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v13_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = table(spark, sf_dir, "nation")
-    edges = nations.select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 3 + 1) % 25).alias("dst"))
-    return news.reachable(edges, 6)  # the bound of its SQL
+    """Parts lead to the parts of their half and third number."""
+    part = table(spark, sf_dir, "part").filter("p_partkey > 0").select(F.col("p_partkey").alias("src"))
+    dst = F.explode(F.array(*[F.floor(F.col("src") / k).cast("bigint") for k in (2, 3)]))
+    return news.reachable(part.select("src", dst.alias("dst")).filter("src % 5 > 0"))
 
 
 QUERIES = {
@@ -105,8 +106,8 @@ SELECT sheet, CAST(sum(coalesce(a, 0)) AS BIGINT) AS n_ours, CAST(sum(coalesce(b
 FROM x FULL JOIN y USING (sheet, v) GROUP BY sheet
 """,
     "v13_reachability": """
-WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 3 + 1) % 25 AS dst FROM nation),
-r AS (SELECT src, dst, 1 AS steps FROM e UNION SELECT r.src, e.dst, r.steps + 1 FROM r JOIN e ON r.dst = e.src WHERE r.steps < 6)
-SELECT src, dst, min(steps) AS steps FROM r GROUP BY ALL
+WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS src, p_partkey // k AS dst FROM part, (VALUES (2), (3)) t(k) WHERE p_partkey > 0 AND p_partkey % 5 > 0),
+r AS (SELECT src, dst, 1 AS steps FROM e UNION SELECT r.src, e.dst, r.steps + 1 FROM r JOIN e ON r.dst = e.src)
+SELECT src, dst, CAST(min(steps) AS INT) AS steps FROM r GROUP BY ALL
 """,
 }

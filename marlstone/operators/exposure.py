@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values: (role of a lane, what happened on it) -> effect.
@@ -24,37 +24,129 @@ def effect(role, state):
 
 
 def remapped(events: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Events whose concept is an alias (alias, route) get the route; aliases are a small configuration table."""
-    return events.join(F.broadcast(aliases), F.col("concept") == F.col("alias"), "left").withColumn(
+    """Events whose concept is an alias (alias, route) get the route."""
+    return events.join(aliases, F.col("concept") == F.col("alias"), "left").withColumn(
         "concept", F.coalesce("route", "concept")).drop("alias", "route")
 
 
 def touches(lanes: DataFrame) -> DataFrame:
-    """lane_id, role, item, concept: the places where news touches a lane; an export lane's origin is none of them."""
+    """lane_id, role, item, concept, pos, kind: the places where news touches a lane, in order; an export lane's origin is none of them."""
     origin = F.when(F.col("role") != "export", F.col("origin"))
     places = F.concat(F.array(origin), F.coalesce("via", F.array().cast("array<string>")), F.array("destination"))
-    return lanes.select("lane_id", "role", "item", F.explode(F.array_distinct(F.array_compact(places))).alias("concept"))
+    kind = F.when(F.col("concept") == F.col("origin"), "origin").when(F.col("concept") == F.col("destination"), "destination").otherwise("route")
+    return lanes.select("lane_id", "role", "item", "origin", "destination", F.posexplode(F.array_distinct(F.array_compact(places))).alias("pos", "concept")).select(
+        "lane_id", "role", "item", "concept", "pos", kind.alias("kind"))
 
 
 def lane_links(events: DataFrame, lanes: DataFrame) -> DataFrame:
     """effect, role, item: incidents, first and last date, lanes. Events: incident, date, concept, state.
 
-    Events are reduced to one row an incident, concept and state before they meet the lanes.
+    Of an incident's touches of a link the first counts, by lane, place on it and date. Events are reduced to one row an
+    incident, concept and state before they meet the lanes.
     """
-    few = events.groupBy("incident", "concept", "state").agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    few = events.groupBy("incident", "concept", "state").agg(F.min("date").alias("first"))
     both = few.join(touches(lanes), "concept").withColumn("effect", effect(F.col("role"), F.col("state")))
-    return both.groupBy("effect", "role", "item").agg(
-        F.count_distinct("incident").alias("incidents"), F.min("first").alias("first_date"), F.max("last").alias("last_date"),
-        F.count_distinct("lane_id").alias("lanes"))
+    per = both.groupBy("effect", "role", "item", "incident").agg(
+        F.min_by("first", F.struct("lane_id", "pos", "first")).alias("date"), F.collect_set("lane_id").alias("on"))
+    lanes_ = both.groupBy("effect", "role", "item").agg(F.count_distinct("lane_id").alias("lanes"))
+    return per.groupBy("effect", "role", "item").agg(
+        F.count("*").alias("incidents"), F.min("date").alias("first_date"), F.max("date").alias("last_date")).join(lanes_, ["effect", "role", "item"])
+
+
+def link_events(events: DataFrame, lanes: DataFrame, most: int = 8) -> DataFrame:
+    """effect, role, item, touched (the kinds of touches) and events: the link's first incidents by date, as one text."""
+    few = events.groupBy("incident", "concept", "state").agg(F.min("date").alias("first"))
+    both = few.join(touches(lanes), "concept").withColumn("effect", effect(F.col("role"), F.col("state")))
+    per = both.groupBy("effect", "role", "item", "incident").agg(F.min(F.struct("lane_id", "pos", "first", "kind")).alias("t"))
+    told = F.concat_ws(" ", "t.first", "incident", "t.kind")
+    ranked = per.withColumn("nth", F.row_number().over(Window.partitionBy("effect", "role", "item").orderBy("t.first", "incident")))
+    return ranked.filter(F.col("nth") <= most).groupBy("effect", "role", "item").agg(
+        F.array_join(F.array_sort(F.collect_set("t.kind")), ",").alias("touched"), F.array_join(F.array_sort(F.collect_list(told)), "; ").alias("events"))
+
+
+def merged_events(reports: DataFrame, incidents: DataFrame) -> DataFrame:
+    """incident, date, concept, direction, channel and article_ids of reports (event_id, date, concept, direction, channel, article_id).
+
+    incidents: event_id, incident, incident_date; an event of none is its own. Of an incident's reports on a concept the most frequent direction and
+    channel count, the first seen of equal ones, and the three least articles are named.
+    """
+    both = reports.join(incidents, "event_id", "left").withColumns({
+        "incident": F.coalesce("incident", F.col("event_id").cast("string")), "date": F.coalesce("incident_date", "date")})
+    key = ["incident", "concept"]
+
+    def most(c: str) -> DataFrame:
+        n = both.groupBy(*key, c).agg(F.count("*").alias("n"), F.min("event_id").alias("seen"))
+        return n.groupBy(*key).agg(F.max_by(c, F.struct("n", -F.col("seen"))).alias(c))
+
+    rest = both.groupBy(*key).agg(F.min_by("date", "event_id").alias("date"), F.array_join(F.slice(F.array_sort(F.collect_set("article_id")), 1, 3).cast("array<string>"), ",").alias("article_ids"))
+    return rest.join(most("direction"), key).join(most("channel"), key)
+
+
+def site_effects(events: DataFrame, made_at: DataFrame) -> DataFrame:
+    """effect, site, product, incidents of events at sites, for what is made there (site, product)."""
+    impaired, eased = F.col("direction").isin("disrupted", "down"), F.col("direction").isin("restored", "up")
+    named = events.withColumn("effect", F.when(impaired, "headwind").when(eased, "tailwind").otherwise("unclear"))
+    counted = named.groupBy("effect", F.col("concept").alias("site")).agg(F.count_distinct("incident").alias("incidents"))
+    return counted.join(made_at.distinct(), "site")
+
+
+def reached(items: DataFrame, made_from: DataFrame, own: DataFrame) -> DataFrame:
+    """item, product: the own products that an item reaches, as itself or through what is made from it (product, input)."""
+    from marlstone.operators.news import reachable
+
+    up = reachable(made_from.select(F.col("input").alias("src"), F.col("product").alias("dst"))).select(F.col("src").alias("item"), F.col("dst").alias("product"))
+    itself = items.select("item", F.col("item").alias("product"))
+    return itself.unionByName(up.join(items, "item", "left_semi")).distinct().join(own.select("product").distinct(), "product", "left_semi").select("item", "product")
+
+
+def scoped(links: DataFrame, reach: DataFrame, scope: str | None = None) -> DataFrame:
+    """links (effect, role, item, incidents) with the products they reach, as one text; with a scope only those that reach it."""
+    told = reach.groupBy("item").agg(F.array_sort(F.collect_set("product")).alias("reached"))
+    out = links.join(told, "item", "left").withColumn("reached", F.coalesce("reached", F.array().cast("array<string>")))
+    out = out.filter(F.array_contains("reached", scope)) if scope else out
+    return out.withColumn("reached", F.array_join("reached", ","))
+
+
+def untouched(items: DataFrame, links: DataFrame, reach: DataFrame) -> DataFrame:
+    """Items that no link is about, nor reaches."""
+    hit = links.select("item").unionByName(links.join(reach, "item").select(F.col("product").alias("item"))).distinct()
+    return items.select("item").distinct().join(hit, "item", "left_anti")
+
+
+def status_label(statuses: DataFrame) -> DataFrame:
+    """item, lane_status of lanes (item, status): a note where all are public, else the statuses."""
+    held = statuses.groupBy("item").agg(F.array_sort(F.collect_set("status")).alias("s"))
+    return held.select("item", F.when(F.size(F.array_except("s", F.array(F.lit("public")))) == 0, "public knowledge, not confirmed").otherwise(F.array_join("s", ",")).alias("lane_status"))
+
+
+def lane_snapshot(lanes: DataFrame, hops: DataFrame) -> DataFrame:
+    """lanes with via: the routes of hops (lane_id, nth, route) in order, as one text; "direct" without any."""
+    told = hops.groupBy("lane_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "route"))), lambda x: x["route"]), " -> ").alias("via"))
+    return lanes.join(told, "lane_id", "left").na.fill({"via": "direct"})
+
+
+def monthly_prices(prices: DataFrame, configured: DataFrame, first: str, last: str) -> DataFrame:
+    """concept, month, mean, source: each product's configured route (product, location, incoterm); where that has fewer than two
+    months in the period, its most quoted route in it, of equal ones the first by name."""
+    route = ["product", "location", "incoterm"]
+    inside = prices.filter(F.col("date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last))))
+    monthly = inside.groupBy(*route, F.date_format("date", "yyyy-MM").alias("month")).agg(F.sum("mid").alias("s"), F.count("*").alias("n"))
+    routes = monthly.groupBy(*route).agg(F.sum("n").alias("n"), F.count("*").alias("months")).join(configured.select(*route, F.lit(True).alias("own")), route, "left")
+    good = F.col("own").isNotNull() & (F.col("months") >= 2)
+    order = Window.partitionBy("product").orderBy(good.desc(), F.col("n").desc(), "location", "incoterm")
+    best = routes.withColumn("nth", F.row_number().over(order)).filter("nth = 1").select(*route, F.when(good, "configured").otherwise("most quoted").alias("source"))
+    return monthly.join(best, route).select(F.col("product").alias("concept"), "month", (F.col("s") / F.col("n")).alias("mean"), "source")
 
 
 def market_effects(events: DataFrame, roles: DataFrame) -> DataFrame:
     """effect, role, item, incidents of events on the items themselves: dearer inputs hurt, dearer products help.
 
-    roles: item, role (bought or sold); directions other than up and down are unclear.
+    roles: item, role (bought or sold). A disrupted input is dearer, a restored one cheaper; for products these two, and other
+    directions for both, are unclear.
     """
     up, down = F.col("direction") == "up", F.col("direction") == "down"
+    scarce, plenty = F.col("direction").isin("up", "disrupted"), F.col("direction").isin("down", "restored")
     bought = F.col("role") == "bought"
-    named = events.join(F.broadcast(roles), F.col("concept") == F.col("item")).withColumn(
-        "effect", F.when((bought & up) | (~bought & down), "headwind").when(up | down, "tailwind").otherwise("unclear"))
+    named = events.join(roles, F.col("concept") == F.col("item")).withColumn(
+        "effect", F.when((bought & scarce) | (~bought & down), "headwind").when((bought & plenty) | (~bought & up), "tailwind").otherwise("unclear"))
     return named.groupBy("effect", "role", "item").agg(F.count_distinct("incident").alias("incidents"))

@@ -17,7 +17,7 @@ def mentions(articles: DataFrame, terms: DataFrame, term_list: list[str], chars:
     text = F.substring("text", 1, chars) if chars else F.col("text")
     found = articles.select("article_id", F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("term"))
     counted = found.groupBy("article_id", F.lower("term").alias("term")).count()
-    return counted.join(F.broadcast(terms), "term").groupBy("article_id", "concept_id").agg(F.sum("count").alias("n"))
+    return counted.join(terms, "term").groupBy("article_id", "concept_id").agg(F.sum("count").alias("n"))
 
 
 def mentioning_all(found: DataFrame, concepts: list[str]) -> DataFrame:
@@ -53,7 +53,7 @@ def multiset_diff(ours: DataFrame, stored: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """src, dst and the fewest steps between them, up to a depth if one is given: each round joins the newly found pairs only."""
-    steps = edges.select("src", "dst").distinct()
+    steps = cut(edges.select("src", "dst").distinct())
     found = new = steps.withColumn("steps", F.lit(1))
     k = 1
     while (depth is None or k < depth) and not new.isEmpty():
@@ -61,5 +61,5 @@ def reachable(edges: DataFrame, depth: int | None = None) -> DataFrame:
         new = new.alias("n").join(steps.alias("e"), F.col("n.dst") == F.col("e.src")).select(
             F.col("n.src"), F.col("e.dst")).distinct().join(found, ["src", "dst"], "left_anti").withColumn("steps", F.lit(k))
         new = cut(new)
-        found = found.unionByName(new)
+        found = found.unionByName(new)  # a scan a round: plans grow by one line, not by a copy
     return found

@@ -9,8 +9,10 @@ from marlstone.functions.numbers import rounded
 from marlstone.operators.statistics import ROUTE, month
 
 
-def daily_series(prices: DataFrame) -> DataFrame:
-    """Mean of a day for each driver."""
+def daily_series(prices: DataFrame, routes: DataFrame | None = None) -> DataFrame:
+    """Mean of a day for each driver, over its configured route (concept, product, location, incoterm) or, without any, all of a product's routes."""
+    if routes is not None:
+        return prices.join(routes, list(ROUTE)).groupBy("concept", "date").agg(rounded(F.avg("mid"), 1).alias("value"))
     return prices.groupBy(F.col("product").alias("concept"), "date").agg(rounded(F.avg("mid"), 1).alias("value"))
 
 
@@ -21,13 +23,13 @@ def monthly_means(prices: DataFrame) -> DataFrame:
 def next_changes(means: DataFrame) -> DataFrame:
     """Change to the next month that has data; the last month has none."""
     later = F.lead("mean").over(Window.partitionBy("concept").orderBy("month"))
-    return means.withColumn("next_change", rounded(later - F.col("mean"), 1)).filter("next_change is not null").select(
+    return means.withColumn("next_change", rounded(later - F.col("mean"), 2)).filter("next_change is not null").select(
         "concept", "month", "next_change")
 
 
 def proxy_margin(means: DataFrame, ratios: DataFrame) -> DataFrame:
-    """Sum of ratio x mean in the months where every concept of ratios (concept, ratio) has data; ratios is config."""
-    terms = means.join(F.broadcast(ratios), "concept").groupBy("month").agg(
+    """Sum of ratio x mean in the months where every concept of ratios (concept, ratio) has data."""
+    terms = means.join(ratios, "concept").groupBy("month").agg(
         F.sum(F.col("ratio") * F.col("mean")).alias("margin"), F.countDistinct("concept").alias("k"))
     every = ratios.agg(F.countDistinct("concept").alias("every"))
     return terms.join(F.broadcast(every), F.col("k") == F.col("every")).select("month", rounded(F.col("margin"), 2).alias("margin"))
