@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions.lineage import cut
 from marlstone.operators import grids
 from marlstone.sources.tables import table
 
@@ -12,6 +13,11 @@ HEADER_ROWS, MARKER, FIRST_YEAR = 2, "^Year ", 1995
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheets, derived once and read by every branch of a query."""
+    return cut(_cells(spark, sf_dir))
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     values = orders.groupBy(
         F.col("c_nationkey").alias("sheet"), F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"),
@@ -108,12 +114,12 @@ def x15_period_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x17_total_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.total_rows(x6_facts(spark, sf_dir))
+    return grids.total_rows(cut(x6_facts(spark, sf_dir)))
 
 
 def x21_check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = cells(spark, sf_dir)
-    found = grids.facts(grid, HEADER_ROWS, MARKER)
+    found = cut(grids.facts(grid, HEADER_ROWS, MARKER))
     bad = grids.total_rows(found).select("sheet").distinct().withColumn("bad", F.lit(True))
     no_totals = found.select("sheet").distinct().join(bad, "sheet", "left").select("sheet", F.col("bad").isNull().alias("ok"))
     return grids.report({
@@ -121,9 +127,134 @@ def x21_check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         "no_total_rows": no_totals})
 
 
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(grids.facts(cells(spark, sf_dir), HEADER_ROWS, MARKER))
+
+
+def x1_spec_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as specifications, many of them wrong somewhere."""
+    n = F.col("c_custkey")
+    pick = lambda xs, k: F.element_at(F.array(*map(F.lit, xs)), (n % k + 1).cast("int"))
+    ops = F.when(n % 5 == 0, F.array(F.lit("stack"), F.lit("ffill"))).when(n % 5 == 1, F.array(F.lit("pivot"), F.lit("stack"))).when(n % 5 == 2, F.lit(None).cast("array<string>")).otherwise(F.array(F.lit("ffill"), F.lit("stack")))
+    specs = table(spark, sf_dir, "customer").select(
+        n.alias("spec_id"), F.lit(3).alias("first_row"), F.lit(20).alias("last_row"), F.lit(1).alias("first_col"), F.lit(6).alias("last_col"), F.array((n % 7 + 2).cast("int")).alias("header_rows"),
+        F.array((n % 8).cast("int")).alias("label_columns"), ops.alias("operators"), pick(["kiloton", "usd_per_ton", "bushel"], 3).alias("value_unit"), pick(["Prices", " ", None], 3).alias("anchor_text"))
+    return grids.spec_problems(specs, ["kiloton", "usd_per_ton"], ["ffill", "subtitle", "stack"])
+
+
+def x4_filled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A supplier's lines as rows: its first label stands in the first of three rows, the second in most; some rows are dropped."""
+    line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("sheet"), (F.col("l_partkey") + 2).cast("int").alias("row")).agg(F.max("l_linenumber").alias("k"))
+    first = line.filter("row % 3 = 0").select("sheet", "row", F.lit(0).alias("col"), F.concat(F.lit("A"), "row").alias("v_str"))
+    second = line.filter("k < 6").select("sheet", "row", F.lit(1).alias("col"), F.when(F.col("row") % 10 == 3, "Sub Total").otherwise(F.concat(F.lit("B"), "k")).alias("v_str"))
+    rest = line.filter("k >= 6").select("sheet", "row", F.lit(4).alias("col"), F.lit(None).cast("string").alias("v_str"))
+    return grids.filled_labels(first.unionByName(second).unionByName(rest), 2, 2, ["TOTAL"])
+
+
+def x7_marked_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column 3 is formatted as forecast; published in June 2000."""
+    found = _facts(spark, sf_dir)
+    formats = found.select("sheet", "col").distinct().select("sheet", "col", F.when(F.col("col") == 3, '0 "F"').alias("fmt"))
+    return grids.marked_facts(found, formats, "2000-06").select("cell", "sheet", "status")
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months of labels as names: January is a region, February a region and a country, March a country."""
+    return spark.createDataFrame([(f"{m}-{y:02d}", k) for y in range(95, 100) for m, k in (("jan", "region"), ("feb", "region"), ("feb", "country"), ("mar", "country"))], "term string, kind string")
+
+
+def x8_without_subtotals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids.without_subtotals(_facts(spark, sf_dir), _terms(spark, sf_dir), ["region"]).groupBy("sheet").agg(F.count("*").alias("n"))
+
+
+#: A closed vocabulary of units, and which of them say more than others.
+UNITS = {"metric ton": "metric_ton", "tonnes": "metric_ton", "000 tonnes": "kiloton", "kt": "kiloton", "kt p2o5": "kiloton_p2o5"}
+BETTER = {"metric_ton": ["kiloton_p2o5", "kiloton"], "kiloton": ["kiloton_p2o5"]}
+
+
+def _unit_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("c_custkey")
+    said = F.element_at(F.array(*map(F.lit, ["Sales in 000 tonnes, ", "(kt P2O5) ", "ktonnes or tonnes ", "no unit", "kt; "])), (n % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select(n.alias("sheet"), F.concat(said, "c_name").alias("text"))
+
+
+def x10_evidenced_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids.evidenced_units(_unit_texts(spark, sf_dir), UNITS)
+
+
+def x10_unit_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    specs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sheet"), F.when(F.col("c_custkey") % 2 == 0, " KT ").otherwise("Tonnes").alias("value_unit"))
+    return grids.unit_check(specs, grids.evidenced_units(_unit_texts(spark, sf_dir), UNITS), UNITS, BETTER)
+
+
+def x12_header_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header cells of some sheets are numbers."""
+    number = (F.col("row") < 2) & (F.col("sheet") % 4 == 0) & (F.col("col") % 3 > 0)
+    odd = cells(spark, sf_dir).withColumn("v_num", F.when(number, F.when(F.col("col") == 1, 1999).otherwise(F.col("col") * 10)).otherwise(F.col("v_num")))
+    return grids.header_check(odd, HEADER_ROWS)
+
+
+def x12_label_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blank = (F.col("col") == 0) & (F.col("sheet") % 3 == 0) & (F.col("row") % 4 == 0)
+    odd = cells(spark, sf_dir).withColumn("v_str", F.when(blank, " ").otherwise(F.col("v_str")))
+    return grids.label_check(odd, HEADER_ROWS)
+
+
+def x13_section_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first year's marker is missing in some sheets."""
+    odd = cells(spark, sf_dir).filter(f"not (sheet % 5 = 1 and col = 0 and v_str = 'Year {FIRST_YEAR}')")
+    return grids.section_check(grids.facts(odd, HEADER_ROWS, MARKER))
+
+
+def x14_outside_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounds = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("sheet"), F.lit(2).alias("first_row"), (F.col("n_nationkey") * 2 + 20).alias("last_row"), F.lit(0).alias("first_col"), (F.col("n_nationkey") % 3 + 3).alias("last_col"))
+    return grids.outside_check(cells(spark, sf_dir), bounds)
+
+
+def x16_corner_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corners = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sheet"), F.concat(F.when(F.col("c_custkey") % 7 > 0, F.concat("c_mktsegment", F.lit(" \\ Months"))).otherwise(F.col("c_name"))).alias("corner"),
+                                                      F.lit("building_furniture").alias("row_dimension"), F.when(F.col("c_custkey") % 2 == 0, "month").otherwise("by months").alias("column_dimension"))
+    return grids.corner_check(corners)
+
+
+def x18_total_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In some sheets a sixth column holds the sum of the others; in others it misses one row's."""
+    found = _facts(spark, sf_dir).select("sheet", "row", "col", F.col("value").cast("bigint").alias("value"))
+    sums = found.groupBy("sheet", "row").agg(F.sum("value").alias("value")).filter("sheet % 3 > 0").withColumn("value", F.when((F.col("sheet") % 3 == 2) & (F.col("row") == 16), 7).otherwise(F.col("value")))
+    return grids.total_columns(found.unionByName(sums.select("sheet", "row", F.lit(6).alias("col"), "value")))
+
+
+def x19_dropped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years' totals are dropped without their label, and in some sheets December too."""
+    found = _facts(spark, sf_dir)
+    gone = (F.col("label") == "Total") | ((F.col("sheet") % 2 == 0) & F.col("label").rlike("^Dec"))
+    kept = found.filter((F.col("label") != "Total"))
+    dropped = found.filter(gone).withColumn("label", F.when(F.col("sheet") % 5 == 0, F.concat(F.lit("my "), F.col("label"))))
+    return grids.dropped_row_check(kept, dropped)
+
+
+def x20_subtotal_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _facts(spark, sf_dir).filter("sheet % 2 = 0 or label <> 'Total'").filter("sheet % 3 > 0 or not label rlike '^(Feb|Mar)'")
+    return grids.subtotal_label_check(found, _terms(spark, sf_dir))
+
+
+def x23_latest_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    specs = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("f"), F.col("o_custkey") % 50).alias("file"), F.concat(F.lit("s"), F.col("o_orderkey") % 7).alias("sheet"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("at"),
+        F.concat(F.lit("n"), F.col("o_orderkey")).alias("name"), F.col("o_orderstatus").alias("status"))
+    return grids.latest_specs(specs)
+
+
+def x24_monthly_mid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group 3 and the column right of it."""
+    return grids.monthly_mid(cells(spark, sf_dir), " group 3".strip(), HEADER_ROWS).withColumn("mid", F.col("mid").cast("double"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (x2_anchor_offset, x3_headers, x5_sections, x6_facts, x9_periods, x11_value_check, x15_period_order, x17_total_rows, x21_check_report)
+    for f in (x2_anchor_offset, x3_headers, x5_sections, x6_facts, x9_periods, x11_value_check, x15_period_order, x17_total_rows, x21_check_report,
+              x1_spec_problems, x4_filled_labels, x7_marked_facts, x8_without_subtotals, x10_evidenced_units, x10_unit_check, x12_header_check, x12_label_check, x13_section_check, x14_outside_check,
+              x16_corner_check, x18_total_columns, x19_dropped_rows, x20_subtotal_labels, x23_latest_specs, x24_monthly_mid)
 }
 
 ORACLE_SQL = {
@@ -143,4 +274,32 @@ CROSS JOIN LATERAL (SELECT CASE WHEN "row" - 20 - n_nationkey <= 60 THEN "row" -
   UNION ALL SELECT sheet, 'row_periods_in_order', n_violations = 0 FROM ordered
   UNION ALL SELECT DISTINCT sheet, 'no_total_rows', sheet NOT IN (SELECT sheet FROM totals) FROM facts)
 SELECT *, CASE WHEN bool_and(ok) OVER (PARTITION BY sheet) THEN 'proposed' ELSE 'rejected' END AS status FROM every""",
+    "x1_spec_problems": """SELECT c_custkey AS spec_id, concat_ws(',', CASE WHEN c_custkey % 5 = 2 THEN 'missing key' END, CASE WHEN c_custkey % 5 = 1 THEN 'unknown operator' END, CASE WHEN c_custkey % 5 = 0 THEN 'stack is not last' END,
+  CASE WHEN c_custkey % 7 + 2 < 3 THEN 'row outside' END, CASE WHEN c_custkey % 8 NOT BETWEEN 1 AND 6 THEN 'column outside' END, CASE WHEN c_custkey % 3 = 2 THEN 'unknown unit' END, CASE WHEN c_custkey % 3 = 1 THEN 'anchor without text' END) AS problems FROM customer""",
+    "x4_filled_labels": """WITH l AS (SELECT l_suppkey AS sheet, CAST(l_partkey + 2 AS INT) AS "row", max(l_linenumber) AS k FROM lineitem GROUP BY ALL), o AS (SELECT * FROM l WHERE k >= 6 OR "row" % 10 <> 3)
+SELECT sheet, "row", coalesce(last_value(CASE WHEN "row" % 3 = 0 THEN 'A' || "row" END IGNORE NULLS) OVER w, '') || ' | ' || coalesce(last_value(CASE WHEN k < 6 THEN 'B' || k END IGNORE NULLS) OVER w, '') AS labels FROM o WINDOW w AS (PARTITION BY sheet ORDER BY "row")""",
+    "x7_marked_facts": CELLS_SQL + """SELECT cell, sheet, CASE WHEN status = 'forecast' OR col = 3 OR (label <> 'Total' AND strftime(try_strptime(label, '%b-%y'), '%Y-%m') > '2000-06') THEN 'forecast' ELSE 'actual' END AS status FROM facts""",
+    "x8_without_subtotals": CELLS_SQL + "SELECT sheet, count(*) AS n FROM facts WHERE NOT regexp_matches(label, '^Jan-9[5-9]') GROUP BY 1",
+    "x10_evidenced_units": "SELECT c_custkey AS sheet, unnest(([['kiloton', 'metric_ton'], ['kiloton', 'kiloton_p2o5'], ['metric_ton'], [], ['kiloton']])[c_custkey % 5 + 1]) AS unit FROM customer",
+    "x10_unit_check": """SELECT c_custkey AS sheet, CASE WHEN c_custkey % 2 = 0 THEN 'kiloton' ELSE 'metric_ton' END AS unit, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 5 IN (0, 4) ELSE c_custkey % 5 = 2 END AS ok FROM customer""",
+    "x12_header_check": CELLS_SQL + """, h AS (SELECT sheet, v_str, CASE WHEN sheet % 4 = 0 AND col % 3 > 0 THEN CASE WHEN col = 1 THEN 1999 ELSE col * 10 END END AS n FROM cells WHERE "row" < 2 AND col > 0)
+SELECT sheet, count(*) AS n_cells, count(*) FILTER (n <> 1999) AS n_numbers, 5 * count(*) FILTER (n <> 1999) <= count(*) AS ok FROM h WHERE v_str IS NOT NULL OR n IS NOT NULL GROUP BY 1""",
+    "x12_label_check": CELLS_SQL + """, v AS (SELECT DISTINCT sheet, "row" FROM cells WHERE "row" >= 2 AND col > 0 AND v_num IS NOT NULL)
+SELECT sheet, count(*) AS n_rows, count(*) FILTER (sheet % 3 = 0 AND "row" % 4 = 0) AS n_empty, 5 * count(*) FILTER (sheet % 3 = 0 AND "row" % 4 = 0) <= count(*) AS ok FROM v GROUP BY 1""",
+    "x13_section_check": CELLS_SQL + """, o AS (SELECT *, sheet % 5 = 1 AND section = 'Year 1995' AS bad FROM facts)
+SELECT sheet, count(*) FILTER (bad) AS n_orphans, coalesce(array_to_string(list_slice(list_sort(list(cell) FILTER (bad)), 1, 5), ','), '') AS orphans, count(*) FILTER (bad) = 0 AS ok FROM o GROUP BY 1""",
+    "x14_outside_check": CELLS_SQL + """SELECT sheet, count(*) FILTER ("row" > lr AND "row" <= lr + 3 AND col <= lc) AS below, count(*) FILTER (col > lc AND col <= lc + 2 AND "row" BETWEEN 2 AND least(lr, 22)) AS "right",
+  count(*) FILTER ("row" > lr AND "row" <= lr + 3 AND col <= lc) = 0 AND count(*) FILTER (col > lc AND col <= lc + 2 AND "row" BETWEEN 2 AND least(lr, 22)) = 0 AS ok
+  FROM (SELECT *, sheet * 2 + 20 AS lr, sheet % 3 + 3 AS lc FROM cells WHERE v_num IS NOT NULL) GROUP BY 1""",
+    "x16_corner_check": "SELECT c_custkey AS sheet, contains('building_furniture', lower(c_mktsegment[1:5])) AS ok FROM customer WHERE c_custkey % 7 > 0",
+    "x18_total_columns": CELLS_SQL + ", s AS (SELECT DISTINCT sheet FROM facts) SELECT sheet, CAST(6 AS INT) AS col FROM s WHERE sheet % 3 = 1 OR (sheet % 3 = 2 AND sheet NOT IN (SELECT sheet FROM facts WHERE \"row\" = 16))",
+    "x19_dropped_rows": CELLS_SQL + """, k AS (SELECT sheet, section, col, sum(value) AS s FROM facts WHERE label <> 'Total' GROUP BY ALL),
+d AS (SELECT f.*, coalesce(s, 0) AS s FROM facts f LEFT JOIN k USING (sheet, section, col) WHERE label = 'Total' OR (sheet % 2 = 0 AND label LIKE 'Dec%'))
+SELECT sheet, "row", bool_or(sheet % 5 = 0 AND label = 'Total') OR bool_and(abs(value - s) * 100 <= greatest(abs(value), abs(s), 1)) AS ok FROM d GROUP BY ALL""",
+    "x20_subtotal_labels": CELLS_SQL + """, n AS (SELECT DISTINCT sheet, lower(label) AS l FROM facts WHERE (sheet % 2 = 0 OR label <> 'Total') AND (sheet % 3 > 0 OR NOT regexp_matches(label, '^(Feb|Mar)'))),
+c AS (SELECT sheet, count(*) FILTER (regexp_matches(l, '^jan-9[5-9]')) AS n_regions, count(*) FILTER (regexp_matches(l, '^(feb|mar)-9[5-9]')) AS n_countries, count(*) FILTER (l = 'total') AS n_totals FROM n GROUP BY 1)
+SELECT *, (n_regions = 0 OR n_countries = 0) AND n_totals = 0 AS ok FROM c""",
+    "x23_latest_specs": """SELECT 'f' || (o_custkey % 50) AS file, 's' || (o_orderkey % 7) AS sheet, strftime(o_orderdate, '%Y-%m-%d') AS at, 'n' || o_orderkey AS name, o_orderstatus AS status FROM orders
+  QUALIFY row_number() OVER (PARTITION BY o_custkey % 50, o_orderkey % 7 ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, 'n' || o_orderkey DESC) = 1""",
+    "x24_monthly_mid": CELLS_SQL + """SELECT sheet, strftime(strptime(label, '%b-%y'), '%Y-%m') AS month, avg(value) AS mid FROM facts WHERE label <> 'Total' AND col IN (3, 4) AND status = 'actual' GROUP BY ALL HAVING count(*) = 2""",
 }

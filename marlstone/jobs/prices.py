@@ -32,6 +32,18 @@ def n5_outlier_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.outliers(assessments(spark, sf_dir))
 
 
+def n15_weak_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Early prices only, so that routes differ in months; one configured route has none."""
+    products = table(spark, sf_dir, "part").select(F.col("p_type").alias("product")).distinct()
+    configured = products.select("product", F.when(F.col("product") == "PROMO", "MOON").otherwise("ASIA").alias("location"), F.lit("A").alias("incoterm"))
+    early = F.when(F.col("location") == "ASIA", F.to_date(F.lit("1995-09-01"))).otherwise(F.to_date(F.lit("1998-01-01")))
+    return series.weak_routes(assessments(spark, sf_dir).filter(F.col("date") < early), configured)
+
+
+def n16_top_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.top_routes(assessments(spark, sf_dir))
+
+
 def t1_daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.daily_series(assessments(spark, sf_dir))
 
@@ -64,7 +76,7 @@ def t1_route_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        n5_outlier_guard, n12_route_coverage, n13_monthly_price_stats, n15_best_routes, n16_route_pivot,
+        n5_outlier_guard, n12_route_coverage, n13_monthly_price_stats, n15_best_routes, n15_weak_routes, n16_route_pivot, n16_top_routes,
         t1_daily_series, t1_route_series, t2_monthly_means, t4_next_changes, t21_naive_rank, e9_price_move)
 }
 
@@ -90,6 +102,13 @@ QUALIFY row_number() OVER (PARTITION BY product ORDER BY months DESC, n DESC, lo
     "n16_route_pivot": "SELECT strftime(date, '%Y-%m') AS month, "
     + ", ".join(f"count(*) FILTER (location = '{x}') AS \"{x}\"" for x in LOCATIONS)
     + f" FROM ({ASSESSMENTS_SQL}) GROUP BY 1",
+    "n15_weak_routes": f"""
+WITH p AS (SELECT * FROM ({ASSESSMENTS_SQL}) WHERE date < CASE WHEN location = 'ASIA' THEN DATE '1995-09-01' ELSE DATE '1998-01-01' END),
+m AS (SELECT product, location, incoterm, count(DISTINCT strftime(date, '%Y-%m')) AS months FROM p GROUP BY ALL)
+SELECT b.product, coalesce(o.months, 0) AS months, best_months, 3 * coalesce(o.months, 0) < best_months AS weak FROM (SELECT product, max(months) AS best_months FROM m GROUP BY 1) b
+LEFT JOIN (SELECT * FROM m WHERE location = 'ASIA' AND incoterm = 'A' AND product <> 'PROMO') o ON o.product = b.product""",
+    "n16_top_routes": f"""
+SELECT *, row_number() OVER (ORDER BY n DESC, product, location, incoterm) AS place FROM (SELECT product, location, incoterm, count(*) AS n FROM ({ASSESSMENTS_SQL}) GROUP BY ALL) QUALIFY place <= 5""",
     "n5_outlier_guard": f"""
 WITH p AS ({ASSESSMENTS_SQL}),
 m AS (SELECT product, location, incoterm, count(*) AS n, list_sort(list(mid))[count(*) // 2 + 1] AS median FROM p GROUP BY ALL)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.audits import squashed
-from marlstone.operators.series import outliers
+from marlstone.operators.series import upper_medians
 
 ROUTE = ["product", "location", "incoterm"]
 
@@ -39,7 +39,7 @@ def priced(items: DataFrame) -> DataFrame:
 def guarded(prices: DataFrame) -> DataFrame:
     """Verified assessments with mid and outlier: farther than twice from the upper median of their route, names in any case."""
     named = prices.withColumns({"mid": (F.col("low") + F.col("high")) / 2, **{f"r_{c}": F.lower(c) if c != "incoterm" else F.col(c) for c in ROUTE}})
-    medians = outliers(named.select(*[F.col(f"r_{c}").alias(c) for c in ROUTE], "mid")).select(*[F.col(c).alias(f"r_{c}") for c in ROUTE], "median")
+    medians = upper_medians(named.select(*[F.col(f"r_{c}").alias(c) for c in ROUTE], "mid")).select(*[F.col(c).alias(f"r_{c}") for c in ROUTE], "median")
     both = named.join(medians, [f"r_{c}" for c in ROUTE])
     ratio = F.col("mid") / F.col("median")
     return both.withColumn("outlier", (ratio < 0.5) | (ratio > 2.0)).drop(*[f"r_{c}" for c in ROUTE], "median")

@@ -67,22 +67,47 @@ def best_routes(prices: DataFrame) -> DataFrame:
     return found.withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
 
 
-def outliers(prices: DataFrame, low: float = 0.5, high: float = 2.0) -> DataFrame:
-    """n, upper median and rows outside [low, high] times it, of each route.
+def _value_range(value):
+    """A number of a value's range, 64 to an octave, that never falls as the value grows."""
+    size = F.floor(F.log2(F.abs(value)) * 64)
+    return F.when(value > 0, size + 100_000).when(value < 0, -100_000 - size).otherwise(0).cast("bigint")
+
+
+def upper_medians(prices: DataFrame) -> DataFrame:
+    """n and median (the upper one) of each route's mid.
 
-    The upper median is found by counting equal values and adding the counts up, so that a hot
-    route's values are summed before they are shuffled.
+    Rows are counted by route and range of values before any shuffle; the range that holds the middle is then looked into. So no
+    task sees more than the counts of a route's ranges, or the values of one range.
     """
-    counts = prices.groupBy(*ROUTE, "mid").agg(F.count("*").alias("k"))
+    ranged = prices.withColumn("range_", _value_range(F.col("mid")))
+    counts = ranged.groupBy(*ROUTE, "range_").agg(F.count("*").alias("k"))
     w = Window.partitionBy(*ROUTE)
+    before = F.coalesce(F.sum("k").over(w.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.withColumns({"before": before, "n": F.sum("k").over(w)}).withColumn("middle", F.floor(F.col("n") / 2) + 1)
+    held = placed.filter((F.col("before") < F.col("middle")) & (F.col("before") + F.col("k") >= F.col("middle"))).select(*ROUTE, "range_", "n", (F.col("middle") - F.col("before")).alias("nth"))
+    inside = ranged.join(held, [*ROUTE, "range_"]).groupBy(*ROUTE, "n", "nth", "mid").agg(F.count("*").alias("k"))
     up = F.sum("k").over(w.orderBy("mid").rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.withColumns({"up": up, "n": F.sum("k").over(w)})
-    middle = F.floor(F.col("n") / 2) + 1
-    median = F.min(F.when(F.col("up") >= middle, F.col("mid"))).over(w)
-    judged = placed.withColumn("median", median)
+    return inside.withColumn("up", up).filter("up >= nth").groupBy(*ROUTE, "n").agg(F.min("mid").alias("median"))
+
+
+def outliers(prices: DataFrame, low: float = 0.5, high: float = 2.0) -> DataFrame:
+    """n, upper median and rows outside [low, high] times it, of each route."""
     out = (F.col("mid") < low * F.col("median")) | (F.col("mid") > high * F.col("median"))
-    return judged.groupBy(*ROUTE).agg(
-        F.max("n").alias("n"), F.max("median").alias("median"), F.sum(F.when(out, F.col("k")).otherwise(0)).alias("n_outliers"))
+    return prices.join(upper_medians(prices), list(ROUTE)).groupBy(*ROUTE, "n", "median").agg(F.count_if(out).alias("n_outliers")).select(*ROUTE, "n", "median", "n_outliers")
+
+
+def top_routes(prices: DataFrame, most: int = 5) -> DataFrame:
+    """The most quoted routes with their places; ties by name."""
+    counted = prices.groupBy(*ROUTE).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), *ROUTE).limit(most)
+    return counted.withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), *ROUTE)).cast("bigint"))  # `most` rows
+
+
+def weak_routes(prices: DataFrame, configured: DataFrame) -> DataFrame:
+    """product, months (of the configured route), best_months, weak: whether it covers less than a third of the best route's months."""
+    months = prices.groupBy(*ROUTE).agg(F.count_distinct(month()).alias("months"))
+    best = months.groupBy("product").agg(F.max("months").alias("best_months"))
+    own = configured.select(*ROUTE).join(months, list(ROUTE), "left").select("product", F.coalesce("months", F.lit(0)).alias("months"))
+    return own.join(best, "product").withColumn("weak", 3 * F.col("months") < F.col("best_months"))
 
 
 def route_pivot(prices: DataFrame, locations: list[str]) -> DataFrame:
