@@ -43,13 +43,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 _made: list[list[str]] = []  # tables of the scratch() blocks that are open, the innermost last
 
 
-def written(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
+def written(df: DataFrame, label: str, lasting: bool = False, codec: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
 
-    Inside scratch() the table goes when the block ends; a lasting one goes with the block around it.
+    Inside scratch() the table goes when the block ends; a lasting one goes with the block around it. Tables of whole texts
+    take less room under the codec zstd.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     blocks = _made[:-1] if lasting else _made
     if blocks:
         blocks[-1].append(path)
