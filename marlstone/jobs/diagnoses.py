@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from marlstone.functions.lineage import cut
 from marlstone.functions.numbers import rounded
 from marlstone.operators import diagnosis, series
-from marlstone.sources.tables import ASSESSMENTS_SQL, assessments
+from marlstone.sources.tables import ASSESSMENTS_SQL, assessments, table
 
 METRIC, PRODUCT = "margin", "ECONOMY"
 #: Demonstration graph: what the product is made from and what the metric depends on.
 EDGES = [("ECONOMY", "MADE_FROM", "LARGE"), ("LARGE", "MADE_FROM", "MEDIUM"), ("ECONOMY", "MADE_FROM", "PROMO"),
-         ("margin", "DEPENDS_ON", "SMALL"), ("margin", "DEPENDS_ON", "freight"), ("freight", "DEPENDS_ON", "STANDARD")]
+         ("margin", "DEPENDS_ON", "SMALL"), ("margin", "DEPENDS_ON", "freight"), ("freight", "DEPENDS_ON", "STANDARD"),
+         ("PROMO", "MADE_FROM", "sulphur"), ("LARGE", "MADE_FROM", "gas"), ("margin", "DEPENDS_ON", "fx"),
+         ("LARGE", "TRANSITS", "suez"), ("LARGE", "TRANSITS", "cape"), ("SMALL", "TRANSITS", "suez")]
 #: Demonstration ratios of a proxy margin.
 RATIOS = [("ECONOMY", 1.0), ("LARGE", -0.5), ("PROMO", -0.25)]
 
@@ -42,7 +44,8 @@ def t3_proxy_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t6_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drivers(spark, _daily(spark, sf_dir)).withColumn("downstream", F.array_join("downstream", ","))
+    joined = {c: F.array_join(c, ",") for c in ("downstream", "path", "routes")}
+    return _drivers(spark, _daily(spark, sf_dir)).withColumns(joined)
 
 
 def t8_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +79,84 @@ def t16_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnosis.ranking(*_state(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (t3_proxy_margin, t6_candidates, t8_evidence, t10_scores, t13_analogs, t14_analog_support, t15_weekly_votes, t16_ranking)}
+def t7_unrankable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnosis.unrankable(spark.createDataFrame(EDGES, "src string, rel string, dst string"), METRIC, PRODUCT, _daily(spark, sf_dir), ["gas"])
+
+
+def t17_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking of the product and of an input that is taken for one."""
+    daily = cut(_daily(spark, sf_dir))
+    got = diagnosis.batch(cut(diagnosis.evidence(daily)), daily, spark.createDataFrame(EDGES, "src string, rel string, dst string"), [(METRIC, PRODUCT)])
+    return got.drop("metric", "product")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as reviewed diagnoses; a third is approved, a third corrected, a third rejected."""
+    k = F.col("o_orderkey")
+    types = F.array(*map(F.lit, ("ECONOMY", "LARGE", "PROMO", "SMALL")))
+    pick = lambda n: F.element_at(types, (n % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(
+        F.lpad(k.cast("string"), 8, "0").alias("file"), F.element_at(F.array(*map(F.lit, ("approved", "corrected", "rejected"))), (k % 3 + 1).cast("int")).alias("status"), F.col("o_orderpriority").alias("metric"),
+        F.col("o_orderstatus").alias("product"), F.date_format("o_orderdate", "yyyy-MM").alias("period"), pick(k).alias("top1"), F.when(k % 5 > 0, F.array(pick(k + 1), pick(k))).otherwise(F.array().cast("array<string>")).alias("ranking"),
+        F.when(k % 3 == 0, pick(k)).when(k % 3 == 1, pick(k + 1)).alias("label"))
+
+
+def t18_reviewed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnosis.reviewed_labels(_documents(spark, sf_dir))
+
+
+def t19_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnosis.listed(_documents(spark, sf_dir))
+
+
+def t20_answer_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as answers; each rule is broken by some."""
+    k = F.col("o_orderkey")
+    texts = lambda *xs: F.array(*map(F.lit, xs))
+    none = F.array().cast("array<string>")
+    claim = lambda kind, evidence: F.struct(F.lit(kind).alias("kind"), F.lit("so").alias("text"), evidence.alias("evidence"))
+    answers = table(spark, sf_dir, "orders").select(
+        k.alias("answer_id"), F.when(k % 13 == 0, none).otherwise(texts("ECONOMY", "LARGE", "PROMO")).alias("ranking"), F.when(k % 2 == 0, "ECONOMY").otherwise("LARGE").alias("top1"),
+        F.when(k % 3 == 0, texts("SMALL")).otherwise(texts("PROMO")).alias("top3"), F.when(k % 4 == 0, texts("MEDIUM", "ECONOMY")).otherwise(texts("MEDIUM", "LARGE", "ECONOMY")).alias("path"),
+        texts("ev:1", "analog:2024-01").alias("known"), F.array(
+            claim("top3", F.when(k % 5 == 0, texts("ev:9")).when(k % 5 == 1, none).otherwise(texts("ev:1"))), claim("outlook", F.when(k % 7 == 0, texts("ev:1")).otherwise(texts("analog:2024-01")))).alias("claims"),
+        F.when(k % 11 == 0, "Deterministic first is ECONOMY").otherwise("none").alias("uncertainty"))
+    return diagnosis.answer_problems(answers, spark.createDataFrame(EDGES, "src string, rel string, dst string").filter("rel = 'MADE_FROM'"))
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A case a driver, month of 1997 and size: its level moves from a day of the month on."""
+    days = table(spark, sf_dir, "part").select(F.col("p_type").alias("driver")).distinct()
+    month = F.explode(F.sequence(F.lit(1), F.lit(12)))
+    sized = days.select("driver", month.alias("m")).select("driver", "m", F.explode(F.array(F.lit(0.5), F.lit(3.0))).alias("size"))
+    return sized.select(F.concat_ws(":", "driver", "m", "size").alias("case_id"), "driver", F.make_date(F.lit(1997), F.col("m"), F.lit(5)).alias("start"), "size")
+
+
+def t22_shocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = diagnosis.shocked(series.daily_series(assessments(spark, sf_dir)), _cases(spark, sf_dir))
+    return got.groupBy("case_id", "concept").agg(F.count("*").alias("n"), rounded(F.max("value"), 2).alias("most"))
+
+
+def t23_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the naive rank by monthly change finds the injected driver: its place among the others' own changes."""
+    daily = cut(series.daily_series(assessments(spark, sf_dir)))
+    month = F.date_format("date", "yyyy-MM")
+    moved = lambda df, *by: df.groupBy(*by, month.alias("month")).agg(F.avg("value").alias("mean"))
+    cases = _cases(spark, sf_dir)
+    hit = moved(diagnosis.shocked(daily, cases), "case_id").join(cases, "case_id")
+    now, before = hit.filter(F.col("month") == F.date_format("start", "yyyy-MM")), hit.filter(F.col("month") == F.date_format(F.add_months("start", -1), "yyyy-MM"))
+    own = now.join(before.select("case_id", F.col("mean").alias("old")), "case_id").select("case_id", "driver", "size", "month", (F.abs(F.col("mean") / F.col("old") - 1) * 100).alias("pct"))
+    others = series.naive_rank(moved(daily, "concept")).select("month", "concept", F.col("pct").alias("theirs"))
+    place = own.join(others, "month").groupBy("case_id", "driver", "size").agg((F.count_if((F.col("concept") != F.col("driver")) & (F.col("theirs") > F.col("pct"))) + 1).alias("place"))
+    return diagnosis.evaluation(place)
+
+
+def t24_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnosis.report_lines(cut(t16_ranking(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (t3_proxy_margin, t6_candidates, t8_evidence, t10_scores, t13_analogs, t14_analog_support, t15_weekly_votes, t16_ranking,
+                                   t7_unrankable, t17_batch, t18_reviewed_labels, t19_listed, t20_answer_problems, t22_shocked, t23_evaluation, t24_report)}
 
 _RATIOS_SQL = ", ".join(f"('{c}', {r})" for c, r in RATIOS)
 _DAILY = f"""
@@ -145,8 +225,8 @@ SELECT month, floor(sum(ratio * mean) * 100 + 0.5) / 100 AS margin FROM (
 JOIN (VALUES {_RATIOS_SQL}) r(concept, ratio) USING (concept) GROUP BY month HAVING count(DISTINCT concept) = {len(RATIOS)}
 """,
     "t6_candidates": f"""
-WITH {_CANDIDATES} SELECT c.concept, role, ord, coalesce((SELECT string_agg(down, ',' ORDER BY down) FROM l WHERE up = c.concept), '') AS downstream
-FROM c WHERE concept IN (SELECT p_type FROM part)
+WITH {_CANDIDATES} SELECT concept, role, ord, coalesce((SELECT string_agg(down, ',' ORDER BY down) FROM l WHERE up = concept), '') AS downstream, path, routes
+FROM c JOIN (VALUES ('ECONOMY', 'ECONOMY', ''), ('LARGE', 'ECONOMY,LARGE', 'cape,suez'), ('PROMO', 'ECONOMY,PROMO', ''), ('SMALL', 'margin,SMALL', 'suez'), ('STANDARD', 'margin,freight,STANDARD', ''), ('MEDIUM', 'ECONOMY,LARGE,MEDIUM', '')) p(concept, path, routes) USING (concept) WHERE concept IN (SELECT p_type FROM part)
 """,
     "t8_evidence": f"WITH {_EVIDENCE} SELECT * FROM ev",
     "t10_scores": f"WITH {_SCORES} SELECT * FROM sc",
@@ -165,3 +245,26 @@ SELECT printf('%04d-%02d', (mi - 1) // 12, (mi - 1) % 12 + 1) AS month,
   concept, role, s_evid, floor(support * 1000 + 0.5) / 1000 AS s_ret, score, votes, onset FROM t
 """,
 }
+_DOCS_SQL = """d AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS file, (['approved', 'corrected', 'rejected'])[o_orderkey % 3 + 1] AS status, o_orderpriority AS metric, o_orderstatus AS product, strftime(o_orderdate, '%Y-%m') AS period,
+  (['ECONOMY', 'LARGE', 'PROMO', 'SMALL'])[o_orderkey % 4 + 1] AS top1, (['ECONOMY', 'LARGE', 'PROMO', 'SMALL'])[(o_orderkey + 1) % 4 + 1] AS next, o_orderkey AS k FROM orders)"""
+_CASES_SQL = f"""dl AS (SELECT product AS concept, date, floor(avg(mid) * 10 + 0.5) / 10 AS value FROM ({ASSESSMENTS_SQL}) GROUP BY ALL),
+ca AS (SELECT driver, m, size, driver || ':' || m || ':' || size AS case_id, make_date(1997, CAST(m AS INT), 5) AS start FROM (SELECT DISTINCT p_type AS driver FROM part), range(1, 13) r(m), (VALUES (0.5::DOUBLE), (3.0)) z(size)),
+sh AS (SELECT case_id, driver, size, start, concept, date, floor(CASE WHEN date >= start THEN value * (1 + size) ELSE value END * 10000 + 0.5) / 10000 AS value FROM ca JOIN dl ON concept = driver)"""
+ORACLE_SQL |= {
+    "t7_unrankable": "SELECT concept FROM (VALUES ('sulphur'), ('fx')) t(concept) WHERE concept NOT IN (SELECT p_type FROM part)",
+    "t17_batch": ORACLE_SQL["t16_ranking"],
+    "t18_reviewed_labels": f"WITH {_DOCS_SQL} SELECT metric, product, period, arg_max(CASE WHEN k % 3 = 0 THEN top1 ELSE next END, file) AS label FROM d WHERE k % 3 < 2 GROUP BY ALL",
+    "t19_listed": f"WITH {_DOCS_SQL} SELECT file, status, metric, product, period, top1, CASE WHEN k % 5 > 0 THEN next END AS deterministic_top1, CASE k % 3 WHEN 0 THEN top1 WHEN 1 THEN next END AS reviewed_top1 FROM d",
+    "t20_answer_problems": """SELECT o_orderkey AS answer_id, concat_ws(',', CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 3 = 0 THEN 'driver not ranked' END, CASE WHEN o_orderkey % 4 = 0 THEN 'path not in the graph' END,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'unknown evidence' END, CASE WHEN o_orderkey % 5 = 1 THEN 'claim without evidence' END, CASE WHEN o_orderkey % 7 = 0 THEN 'outlook beyond analogs' END,
+  CASE WHEN o_orderkey % 13 > 0 AND o_orderkey % 2 = 1 AND o_orderkey % 11 > 0 THEN 'first driver not told' END) AS problems FROM orders""",
+    "t22_shocked": f"WITH {_CASES_SQL} SELECT case_id, concept, count(*) AS n, floor(max(value) * 100 + 0.5) / 100 AS most FROM sh GROUP BY ALL",
+    "t23_evaluation": f"""WITH {_CASES_SQL}, mm AS (SELECT case_id, driver, size, start, strftime(date, '%Y-%m') AS month, avg(value) AS mean FROM sh GROUP BY ALL),
+ow AS (SELECT a.case_id, a.driver, a.size, a.month, abs(a.mean / b.mean - 1) * 100 AS pct FROM mm a JOIN mm b USING (case_id) WHERE a.month = strftime(a.start, '%Y-%m') AND b.month = strftime(a.start - INTERVAL 1 MONTH, '%Y-%m')),
+dm AS (SELECT concept, strftime(date, '%Y-%m') AS month, year(date) * 12 + month(date) AS mi, avg(value) AS mean FROM dl GROUP BY ALL),
+nr AS (SELECT concept, month, floor(abs(mean / lag(mean) OVER w - 1) * 100 * 10000 + 0.5) / 10000 AS theirs, mi - lag(mi) OVER w AS gap FROM dm WINDOW w AS (PARTITION BY concept ORDER BY mi)),
+pl AS (SELECT case_id, driver, size, count(*) FILTER (concept <> driver AND theirs > pct) + 1 AS place FROM ow JOIN nr USING (month) WHERE gap = 1 GROUP BY ALL)
+SELECT driver, size, count(*) AS n, floor(avg(CASE WHEN place <= 1 THEN 1.0 ELSE 0.0 END) * 10000 + 0.5) / 10000 AS top1, floor(avg(CASE WHEN place <= 3 THEN 1.0 ELSE 0.0 END) * 10000 + 0.5) / 10000 AS top3,
+  floor((avg(1 / place) + 1e-12) * 10000 + 0.5) / 10000 AS mrr FROM pl GROUP BY GROUPING SETS ((), (driver), (size))""",
+    "t24_report": f"""SELECT month, string_agg(printf('%d. %s [%s]: first abnormal %s; score %.4f, weekly votes %d', rank, concept, role, coalesce(onset, 'none'), score, votes), chr(10) ORDER BY rank) AS report FROM ({ORACLE_SQL["t16_ranking"]}) GROUP BY 1""",
+}

@@ -55,10 +55,11 @@ def paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def candidates(edges: DataFrame, metric: str, product: str, series: DataFrame) -> DataFrame:
-    """concept, role, ord and downstream of the drivers that have a series; edges are (src, rel, dst).
+    """concept, role, ord, downstream, path and routes of the drivers that have a series; edges are (src, rel, dst).
 
     The product is primary; inputs one hop away, and what the metric depends on, are direct; farther
-    inputs are propagation. downstream is the way back to the product, over concepts with a series.
+    inputs are propagation. downstream is the way back to the product, over concepts with a series; path the way from the product, or else
+    from the metric; routes are what a driver TRANSITS.
     """
     have = series.select("concept").distinct()
     spark = edges.sparkSession
@@ -66,7 +67,7 @@ def candidates(edges: DataFrame, metric: str, product: str, series: DataFrame) -
     leans = paths(edges.filter("rel = 'DEPENDS_ON'"), spark.createDataFrame([(metric,)], "start string")).filter("size(path) > 1")
     own = spark.createDataFrame([(product,)], "concept string").select("concept", F.lit(0).alias("hops"), F.array("concept").alias("path"))
     inputs = made.select(F.col("node").alias("concept"), (F.size("path") - 1).alias("hops"), "path")
-    every = own.unionByName(inputs).join(leans.select(F.col("node").alias("concept"), F.lit(True).alias("leans")), "concept", "full")
+    every = own.unionByName(inputs).join(leans.select(F.col("node").alias("concept"), F.lit(True).alias("leans"), F.col("path").alias("lean_path")), "concept", "full")
     role = (F.when(F.col("hops") == 0, "primary").when((F.col("hops") == 1) | F.col("leans"), "direct").otherwise("propagation"))
     every = every.join(have, "concept", "left_semi").withColumn("role", role)
     place = F.element_at(F.create_map(*[F.lit(x) for k, r in enumerate(ROLE_WEIGHT) for x in (r, k)]), F.col("role"))
@@ -74,8 +75,71 @@ def candidates(edges: DataFrame, metric: str, product: str, series: DataFrame) -
         have.withColumnRenamed("concept", "down"), "down", "left_semi").groupBy("concept").agg(F.array_sort(F.collect_set("down")).alias("downstream"))
     # a metric has tens of drivers: this order is over that config-sized set
     order = Window.orderBy(place, "concept")
-    return every.join(on_way, "concept", "left").select(
-        "concept", "role", (F.row_number().over(order) - 1).cast("bigint").alias("ord"), F.coalesce("downstream", F.array().cast("array<string>")).alias("downstream"))
+    routes = edges.filter("rel = 'TRANSITS'").groupBy(F.col("src").alias("concept")).agg(F.array_sort(F.collect_set("dst")).alias("routes"))
+    none = F.array().cast("array<string>")
+    return every.join(on_way, "concept", "left").join(routes, "concept", "left").select(
+        "concept", "role", (F.row_number().over(order) - 1).cast("bigint").alias("ord"), F.coalesce("downstream", none).alias("downstream"),
+        F.coalesce("path", "lean_path").alias("path"), F.coalesce("routes", none).alias("routes"))
+
+
+def unrankable(edges: DataFrame, metric: str, product: str, series: DataFrame, covered: list[str] = ()) -> DataFrame:
+    """concept: leaves that the graph reaches from product or metric and that have no series, nor are covered otherwise."""
+    spark = edges.sparkSession
+    ways = {"MADE_FROM": product, "DEPENDS_ON": metric}
+    found = [paths(edges.filter(F.col("rel") == r), spark.createDataFrame([(s,)], "start string")).select(F.col("node").alias("concept")) for r, s in ways.items()]
+    inner = edges.filter(F.col("rel").isin(*ways)).select(F.col("src").alias("concept")).distinct()
+    leaves = found[0].unionByName(found[1]).distinct().join(inner, "concept", "left_anti").join(series.select("concept").distinct(), "concept", "left_anti")
+    return leaves.filter(~F.col("concept").isin([metric, product, *covered]))
+
+
+def reviewed_labels(documents: DataFrame) -> DataFrame:
+    """metric, product, period, label: of a month's documents (file, label) that carry a label the last by file; others erase nothing."""
+    held = documents.filter("label is not null").groupBy("metric", "product", "period").agg(F.max_by("label", "file").alias("label"))
+    return held
+
+
+def listed(documents: DataFrame) -> DataFrame:
+    """Diagnoses with the model's, the deterministic and the reviewed first driver."""
+    return documents.select("file", "status", "metric", "product", "period", "top1", F.try_element_at("ranking", F.lit(1)).alias("deterministic_top1"), F.col("label").alias("reviewed_top1"))
+
+
+def answer_problems(answers: DataFrame, edges: DataFrame) -> DataFrame:
+    """answer_id, problems of answers (answer_id, ranking, top1, top3, path, known, claims, uncertainty); claims are (kind, text, evidence).
+
+    Drivers must be ranked, the path's links in the graph in either direction, evidence known, claims cited, the outlook's by analogs
+    only, and another first driver than the ranking's told as such.
+    """
+    pairs = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    linked = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().withColumn("there", F.lit(True))
+    steps = answers.select("answer_id", F.explode(F.filter(F.transform("path", lambda x, i: F.struct(x.alias("a"), F.get("path", i + 1).alias("b"))), lambda s: s["b"].isNotNull())).alias("s"))
+    broken = steps.select("answer_id", "s.a", "s.b").join(linked, ["a", "b"], "left").groupBy("answer_id").agg(F.count_if(F.col("there").isNull()).alias("broken"))
+    cited = F.flatten(F.transform("claims", lambda c: c["evidence"]))
+    first = F.try_element_at("ranking", F.lit(1))
+    rules = {
+        "driver not ranked": F.size(F.array_except(F.concat(F.array("top1"), "top3"), "ranking")) > 0,
+        "path not in the graph": F.coalesce("broken", F.lit(0)) > 0,
+        "unknown evidence": F.size(F.array_except(cited, "known")) > 0,
+        "claim without evidence": F.exists("claims", lambda c: F.size(c["evidence"]) == 0),
+        "outlook beyond analogs": F.exists("claims", lambda c: (c["kind"] == "outlook") & F.exists(c["evidence"], lambda e: ~F.startswith(e, F.lit("analog:")))),
+        "first driver not told": first.isNotNull() & (F.col("top1") != first) & ~F.contains(F.lower("uncertainty"), F.lit("deterministic"))}
+    told = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules.items()]))
+    return answers.join(broken, "answer_id", "left").select("answer_id", F.array_join(told, ",").alias("problems"))
+
+
+def report_lines(ranked: DataFrame) -> DataFrame:
+    """month, report: a line a ranked driver, in order."""
+    line = F.format_string("%d. %s [%s]: first abnormal %s; score %.4f, weekly votes %d", "rank", "concept", "role", F.coalesce("onset", F.lit("none")), "score", "votes")
+    told = ranked.groupBy("month").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))
+    return told.select("month", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("report"))
+
+
+def batch(found: DataFrame, series: DataFrame, edges: DataFrame, requests: list[tuple[str, str]]) -> DataFrame:
+    """metric, product and the ranking of each request for all months; evidence is shared by all requests, which are a short configuration."""
+    out = None
+    for metric, product in sorted(set(requests)):
+        one = ranking(found, cut(candidates(edges, metric, product, series))).select(F.lit(metric).alias("metric"), F.lit(product).alias("product"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def baselines(series: DataFrame) -> DataFrame:
@@ -123,7 +187,7 @@ def scores(found: DataFrame, drivers: DataFrame) -> DataFrame:
     An upstream driver that moved first and the same way, now or in the month before, explains a driver's move away;
     downstream ones that moved later support it.
     """
-    found = found.join(F.broadcast(drivers.select("concept")), "concept", "left_semi")
+    found = found.join(drivers.select("concept"), "concept", "left_semi")
     now = found.select("mi", "win", "concept", F.col("abnormality").alias("a"), F.col("direction").alias("way"), "onset")
     past = found.filter("win = 'month'").select(
         (F.col("mi") + 1).alias("mi"), F.explode(F.array(F.lit("month"), *map(F.lit, WEEKS))).alias("win"), "concept",
@@ -133,7 +197,7 @@ def scores(found: DataFrame, drivers: DataFrame) -> DataFrame:
     links = downs.select(F.col("up").alias("concept"), F.col("down").alias("other"), F.lit("down").alias("side")).unionByName(
         downs.select(F.col("down").alias("concept"), F.col("up").alias("other"), F.lit("up").alias("side")))
     other = state.select("mi", "win", F.col("concept").alias("other"), *[F.col(c).alias("o_" + c) for c in ("a", "way", "onset", "pa", "pway", "ponset")])
-    near = state.join(F.broadcast(links), "concept", "left").join(other, ["mi", "win", "other"], "left")
+    near = state.join(links, "concept", "left").join(other, ["mi", "win", "other"], "left")
     up, down = F.col("side") == "up", F.col("side") == "down"
     explains = F.when(up & (F.col("o_onset") <= F.coalesce("onset", F.lit(NEVER))) & (F.col("o_way") == F.col("way")), F.col("o_a"))
     explained = F.when(up & F.col("o_ponset").isNotNull() & (F.col("o_pway") == F.col("way")), F.col("o_pa"))
@@ -147,7 +211,7 @@ def scores(found: DataFrame, drivers: DataFrame) -> DataFrame:
     share = F.when(F.col("a") > 0, F.least(F.lit(1.0), F.col("explained") / F.col("a"))).otherwise(0.0)
     moved = F.coalesce(weight * F.col("a") * (1 - EXPLAIN_AWAY * share) + PROPAGATION_SUPPORT * F.col("a") * F.col("later"), F.lit(0.0))
     passing = F.when(F.col("ponset").isNotNull(), F.col("pa") * F.sqrt("confirmed")).otherwise(0.0)
-    return seen.join(F.broadcast(drivers.select("concept", "role", "ord")), "concept").select(
+    return seen.join(drivers.select("concept", "role", "ord"), "concept").select(
         "concept", "role", "ord", "mi", "win", rounded(F.greatest(moved, passing), 4).alias("score"), "onset", "ponset")
 
 
@@ -220,4 +284,4 @@ def evaluation(ranked: DataFrame) -> DataFrame:
     hit = lambda k: rounded(F.avg(F.when(F.col("place") <= k, 1.0).otherwise(0.0)), 4)
     return ranked.groupingSets([[], ["driver"], ["size"]], "driver", "size").agg(
         F.count("*").alias("n"), hit(1).alias("top1"), hit(3).alias("top3"),
-        rounded(F.avg(F.coalesce(1 / F.col("place"), F.lit(0.0))), 4).alias("mrr"))
+        rounded(F.avg(F.coalesce(1 / F.col("place"), F.lit(0.0))) + 1e-12, 4).alias("mrr"))  # halves go up in whatever order places are added

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.jobs import budgets, diagnoses, extractions, grids, knowledge, prices, reviews, stories
+from marlstone.jobs import budgets, diagnoses, extractions, grids, knowledge, prices, reviews, stories, workbooks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (prices, stories, extractions, knowledge, diagnoses, grids, reviews, budgets):
+for _module in (prices, stories, extractions, knowledge, diagnoses, grids, reviews, budgets, workbooks):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
