@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import common, digest_index, ftrl, mixing, packing, simhash
+from marlstone.llm import common, digest_index, ftrl, mixing, packing, similar_texts
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,8 +28,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the smallest doc_id stays; five-word shingles."""
-    return simhash.keep_one_of_each(docs.select(*COLUMNS), shingle=5)
+    """Of each component of texts whose five-word shingles are 0.8 alike the smallest doc_id stays."""
+    return similar_texts.keep_one_of_each(docs.select(*COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,21 +41,23 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _FOLD = bytes.maketrans(common.UPPER.encode(), common.LOWER.encode())
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The majority of each bit over the XXH64 values of all shingles, as an unsigned number."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The XXH64 values of all shingles, repeats included; fewer words than a shingle are one, no words none."""
     import xxhash
 
     w = (text or "").encode().translate(_FOLD).split()  # bytes split at the six ASCII spaces only
-    if not w:
-        return 0
     if len(w) < shingle:
-        h = np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED)], "<u8")
-    else:
-        joined = b" ".join(w)
-        ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
-        starts = np.concatenate(([0], ends[:-1]))[: len(w) - shingle + 1].tolist()
-        hash_ = xxhash.xxh64_intdigest
-        h = np.array([hash_(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], "<u8")
+        return np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED)] if w else [], "<u8")
+    joined = b" ".join(w)
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))[: len(w) - shingle + 1].tolist()
+    hash_ = xxhash.xxh64_intdigest
+    return np.array([hash_(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], "<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The majority of each bit over the XXH64 values of all shingles, as an unsigned number; zero for no words."""
+    h = shingle_hashes(text, shingle)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marlstone.llm import ftrl, mixing, packing, simhash
+from marlstone.llm import ftrl, mixing, packing, similar_texts
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -27,18 +27,23 @@ def _documents():
     return rows, labels
 
 
+def _shingles(text):
+    w = (text or "").translate(FOLD).split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
 def _near(rows):
-    """One row of each group of fingerprints linked at four bits or fewer: the smallest doc_id."""
-    prints = {d: simhash.fingerprint(t, 5) for d, t, *_ in rows}
+    """One row of each group of texts linked by five-word shingles that are 0.8 alike: the smallest doc_id."""
+    sets = {d: _shingles(t) for d, t, *_ in rows}
     seen, kept = set(), []
-    for d in sorted(prints):
+    for d in sorted(sets):
         if d not in seen:
             kept.append(d)
             todo = [d]
             while todo:
                 at = todo.pop()
                 seen.add(at)
-                todo += [x for x in prints if x not in seen and (prints[x] ^ prints[at]).bit_count() <= 4]
+                todo += [x for x in sets if x not in seen and len(sets[x] & sets[at]) >= 0.8 * len(sets[x] | sets[at])]
     return [r for r in rows if r[0] in kept]
 
 
@@ -111,3 +116,52 @@ def test_pipeline_equals_a_plain_program(spark, tmp_path):
         assert [o for o, _ in spans] == [0, *ends[:-1]] and ends[-1] <= packing.CAPACITY
     assert len(places) <= 1 + -(-sum(r["length"] for r in got) // packing.CAPACITY)
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier"
+
+
+def test_similar_texts_are_those_of_all_pairs(spark):
+    """Against all pairs: no pair below 0.8 joins two groups, and of the planted copies from 0.8 on at least nine in ten are found."""
+    rng = np.random.default_rng(7)
+
+    def random_words(n):
+        return [f"w{x}" for x in rng.integers(0, 5000, n)]
+
+    texts, pairs = [], []
+    for k in range(300):
+        whole = random_words(rng.integers(60, 400))
+        copy = list(whole)
+        for at in rng.choice(len(copy), max(1, len(copy) * (k % 4) // 100), replace=False):
+            copy[at] = "changed"
+        if k % 5 == 0:
+            copy += random_words(len(copy) // 8)
+        texts += [" ".join(whole), "\n".join(copy).upper()]
+        pairs.append((2 * k, 2 * k + 1))
+    # one dense group, far from each other at its ends
+    base = random_words(200)
+    for k in range(120):
+        base[(k * 7) % 200] = f"step{k}"
+        texts.append(" ".join(base))
+    texts += [None, "", " \n", "one two", "One Two", "one two three", "long " + " ".join(random_words(60000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in similar_texts.similar(docs).collect()}
+
+    sets = [_shingles(t) for t in texts]
+    of = list(range(len(texts)))
+
+    def top(d):
+        while of[d] != d:
+            d = of[d]
+        return d
+
+    def alike(a, b):
+        return len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] & sets[b] and alike(a, b) or not sets[a] and not sets[b]:
+                x, y = top(a), top(b)
+                of[max(x, y)] = min(x, y)
+    assert all(top(d) == top(c) for d, c in got.items())
+    true = [p for p in pairs if alike(*p)]
+    assert 150 < len(true) < 300 and sum(got[a] == got[b] for a, b in true) >= 0.95 * len(true)
+    assert len({got[d] for d in range(600, 720)}) <= len({top(d) for d in range(600, 720)}) + 2
+    assert [got[d] for d in range(720, 726)] == [720, 720, 720, 723, 723, 725]
