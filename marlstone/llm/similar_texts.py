@@ -34,6 +34,8 @@ SHINGLE = 5
 WORDS, BITS, EACH = 5, 20, 3  #: words of a fingerprint, bits of a segment, segments of a word
 #: Differing bits beyond which a pair is not looked at, of 64 and of 320: at 0.8 it is 9.7 +- 2.9 and 48 +- 6.4, unrelated 32 +- 4 and 160 +- 9.
 MOST_OF_FIRST, MOST_OF_ALL = 21, 84
+#: Rows of eight bytes that are broadcast at most, about 64 MB in a task's table.
+MOST_SENT = 2_000_000
 PARTS = [f"f{k}" for k in range(1, WORDS)]
 
 
@@ -107,7 +109,11 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard index of 0.8 or more."""
     named = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b"))).distinct()
     wanted = common.written(nodes.join(named, "fp").select("fp", "tie"), "pair-texts")
-    texts = docs.select("text", _tie(F.col("text")).alias("tie")).join(wanted, "tie").select("fp", "text")
+    texts = docs.select("text", _tie(F.col("text")).alias("tie"))
+    if wanted.count() <= MOST_SENT:  # other texts need not be shuffled
+        sent = wanted.select(F.xxhash64("tie").alias("hash")).distinct()
+        texts = texts.withColumn("hash", F.xxhash64("tie")).join(F.broadcast(sent), "hash", "left_semi")
+    texts = texts.join(wanted.hint("merge"), "tie").select("fp", "text")
     sets = texts.mapInArrow(_shingled, "fp bigint, shingles array<bigint>").groupBy("fp").agg(F.any_value("shingles").alias("shingles"))
     sets = common.written(sets, "shingle-sets")
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("s")), "a").join(
@@ -146,13 +152,13 @@ def near_classes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     nodes = _rooted(nodes, _links(_alike(chain, nodes, docs), nodes))
     # variants: pairs between components; a pair meets once in a segment, where its bit differs or, if none does, at the first
     same, rooted = Window.partitionBy("key"), Window.partitionBy("key", "root")
-    index = _variants(nodes).withColumn("n", F.count("*").over(rooted))
+    # one exchange by key serves both windows and both sides of the join
+    index = _variants(nodes).repartition("key").withColumn("n", F.count("*").over(rooted))
     index = index.withColumns({"top": F.max(F.struct("n", "root")).over(same), "lo": F.min("root").over(same), "hi": F.max("root").over(same)})
     busy = index.filter("lo <> hi").select("key", "bit", "fp", "root", (F.col("root") == F.col("top.root")).alias("top"))
-    busy = common.written(busy, "busy-variants", codec="zstd")
     first = F.floor(F.shiftright("a.key", BITS) % BITS) == 0
     met = busy.filter("not top").alias("a").join(
-        busy.alias("b"),
+        busy.hint("merge").alias("b"),  # the planner's estimate does not know how many rows explode() makes
         (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (F.col("b.top") | (F.col("a.root") < F.col("b.root")))
         & _close("a.fp", "b.fp") & ((F.col("a.bit") != F.col("b.bit")) | first))
     met = met.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct()
