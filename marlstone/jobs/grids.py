@@ -113,6 +113,14 @@ def x15_period_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.period_order(cells(spark, sf_dir), HEADER_ROWS, MARKER)
 
 
+def x15_header_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns are years, in some sheets quarters that begin anew in the fourth column."""
+    quarter = F.concat((F.col("col") % 4 + 1).cast("string"), F.lit("Q1995"))
+    label = F.when(F.col("sheet") % 3 == 0, quarter).otherwise((FIRST_YEAR + F.col("col")).cast("string"))
+    odd = cells(spark, sf_dir).withColumn("v_str", F.when((F.col("row") == 1) & (F.col("col") > 0), label).otherwise(F.col("v_str")))
+    return grids.header_order(odd, HEADER_ROWS)
+
+
 def x17_total_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.total_rows(cut(x6_facts(spark, sf_dir)))
 
@@ -217,11 +225,22 @@ def x16_corner_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.corner_check(corners)
 
 
-def x18_total_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _with_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In some sheets a sixth column holds the sum of the others; in others it misses one row's."""
     found = _facts(spark, sf_dir).select("sheet", "row", "col", F.col("value").cast("bigint").alias("value"))
     sums = found.groupBy("sheet", "row").agg(F.sum("value").alias("value")).filter("sheet % 3 > 0").withColumn("value", F.when((F.col("sheet") % 3 == 2) & (F.col("row") == 16), 7).otherwise(F.col("value")))
-    return grids.total_columns(found.unionByName(sums.select("sheet", "row", F.lit(6).alias("col"), "value")))
+    return found.unionByName(sums.select("sheet", "row", F.lit(6).alias("col"), "value"))
+
+
+def x18_total_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids.total_columns(_with_sums(spark, sf_dir))
+
+
+def x19_dropped_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifth column is dropped, the sixth, and a seventh that is empty."""
+    found = cut(_with_sums(spark, sf_dir))
+    dropped = found.select("sheet").distinct().withColumn("col", F.explode(F.array(F.lit(5), F.lit(6), F.lit(7))))
+    return grids.dropped_column_check(found, dropped)
 
 
 def x19_dropped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,9 +271,9 @@ def x24_monthly_mid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (x2_anchor_offset, x3_headers, x5_sections, x6_facts, x9_periods, x11_value_check, x15_period_order, x17_total_rows, x21_check_report,
+    for f in (x2_anchor_offset, x3_headers, x5_sections, x6_facts, x9_periods, x11_value_check, x15_period_order, x15_header_order, x17_total_rows, x21_check_report,
               x1_spec_problems, x4_filled_labels, x7_marked_facts, x8_without_subtotals, x10_evidenced_units, x10_unit_check, x12_header_check, x12_label_check, x13_section_check, x14_outside_check,
-              x16_corner_check, x18_total_columns, x19_dropped_rows, x20_subtotal_labels, x23_latest_specs, x24_monthly_mid)
+              x16_corner_check, x18_total_columns, x19_dropped_rows, x19_dropped_columns, x20_subtotal_labels, x23_latest_specs, x24_monthly_mid)
 }
 
 ORACLE_SQL = {
@@ -268,6 +287,9 @@ CROSS JOIN LATERAL (SELECT CASE WHEN "row" - 20 - n_nationkey <= 60 THEN "row" -
     "x9_periods": CELLS_SQL + "SELECT * FROM periods",
     "x11_value_check": CELLS_SQL + "SELECT *, n_numeric > 0 AND 10 * n_other <= n_numeric + n_other AS ok FROM checked",
     "x15_period_order": CELLS_SQL + "SELECT *, n_violations = 0 AS ok FROM ordered",
+    "x15_header_order": CELLS_SQL + """, p AS (SELECT sheet, col, CASE WHEN sheet % 3 = 0 THEN '1995-' || lpad(CAST(3 * (col % 4) + 1 AS VARCHAR), 2, '0') ELSE (1995 + col) || '-01' END AS p FROM (SELECT DISTINCT sheet, col FROM val)),
+l AS (SELECT sheet, p, lag(p) OVER (PARTITION BY sheet ORDER BY col) AS l FROM p)
+SELECT sheet, count(*) AS n_periods, count(*) FILTER (p < l) AS n_violations, count(*) FILTER (p < l) = 0 AS ok FROM l GROUP BY 1""",
     "x17_total_rows": CELLS_SQL + "SELECT * FROM totals",
     "x21_check_report": CELLS_SQL + """, every AS (
   SELECT sheet, 'values_parse' AS "check", n_numeric > 0 AND 10 * n_other <= n_numeric + n_other AS ok FROM checked
@@ -296,6 +318,8 @@ SELECT sheet, count(*) FILTER (bad) AS n_orphans, coalesce(array_to_string(list_
     "x19_dropped_rows": CELLS_SQL + """, k AS (SELECT sheet, section, col, sum(value) AS s FROM facts WHERE label <> 'Total' GROUP BY ALL),
 d AS (SELECT f.*, coalesce(s, 0) AS s FROM facts f LEFT JOIN k USING (sheet, section, col) WHERE label = 'Total' OR (sheet % 2 = 0 AND label LIKE 'Dec%'))
 SELECT sheet, "row", bool_or(sheet % 5 = 0 AND label = 'Total') OR bool_and(abs(value - s) * 100 <= greatest(abs(value), abs(s), 1)) AS ok FROM d GROUP BY ALL""",
+    "x19_dropped_columns": CELLS_SQL + """, s AS (SELECT DISTINCT sheet FROM facts), c AS (SELECT sheet, CAST(unnest([5, 6, 7]) AS INT) AS col FROM s)
+SELECT sheet, col, CASE col WHEN 5 THEN sheet NOT IN (SELECT sheet FROM facts WHERE col = 5 AND value <> 0) WHEN 6 THEN sheet % 3 <> 2 OR sheet NOT IN (SELECT sheet FROM facts WHERE "row" = 16) ELSE true END AS ok FROM c""",
     "x20_subtotal_labels": CELLS_SQL + """, n AS (SELECT DISTINCT sheet, lower(label) AS l FROM facts WHERE (sheet % 2 = 0 OR label <> 'Total') AND (sheet % 3 > 0 OR NOT regexp_matches(label, '^(Feb|Mar)'))),
 c AS (SELECT sheet, count(*) FILTER (regexp_matches(l, '^jan-9[5-9]')) AS n_regions, count(*) FILTER (regexp_matches(l, '^(feb|mar)-9[5-9]')) AS n_countries, count(*) FILTER (l = 'total') AS n_totals FROM n GROUP BY 1)
 SELECT *, (n_regions = 0 OR n_countries = 0) AND n_totals = 0 AS ok FROM c""",

@@ -37,6 +37,12 @@ def n10_articles_mentioning_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news.mentioning_all(_mentions(spark, sf_dir), ["english", "grammar"])
 
 
+def n10_newest_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are published on 365 days; those of the second quarter."""
+    articles = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.date_add(F.make_date(F.lit(2024), F.lit(1), F.lit(1)), (F.col("doc_id") % 365).cast("int")).alias("date"))
+    return news.newest_mentioning(_mentions(spark, sf_dir), articles, ["english", "grammar"], "2024-04-01", "2024-06-30").withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
 def n8_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news.incidents(_events(spark, sf_dir))
 
@@ -57,6 +63,14 @@ def x22_multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news.multiset_diff(facts, stored)
 
 
+def x22_compared_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored texts: some prices moved, some no numbers, some nan; nothing is stored for a sheet."""
+    k = F.col("l_orderkey")
+    facts = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("sheet"), F.col("l_extendedprice").cast("double").alias("value"), k)
+    text = F.when(k % 19 == 0, "n.a.").when(k % 23 == 0, "nan").when((k % 17 == 0) | ((F.col("sheet") == 1) & (k % 2 == 0)), (F.col("value") + 1).cast("string")).otherwise(F.col("value").cast("string"))
+    return news.compared(facts, facts.filter("sheet <> 5").select("sheet", text.alias("value")))
+
+
 def v13_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts lead to the parts of their half and third number."""
     part = table(spark, sf_dir, "part").filter("p_partkey > 0").select(F.col("p_partkey").alias("src"))
@@ -66,7 +80,7 @@ def v13_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (n1_term_mentions, n8_incidents, n10_articles_mentioning_all, e1_dominant_direction, s3_new_records, x22_multiset_diff, v13_reachability)
+    for f in (n1_term_mentions, n8_incidents, n10_articles_mentioning_all, n10_newest_articles, e1_dominant_direction, s3_new_records, x22_multiset_diff, x22_compared_values, v13_reachability)
 }
 
 _MENTIONS_SQL = f"""
@@ -80,6 +94,11 @@ ORACLE_SQL = {
     "n10_articles_mentioning_all": f"""
 SELECT article_id, CAST(sum(n) AS BIGINT) AS n FROM ({_MENTIONS_SQL}) WHERE concept_id IN ('english', 'grammar')
 GROUP BY article_id HAVING count(DISTINCT concept_id) = 2
+""",
+    "n10_newest_articles": f"""
+WITH m AS (SELECT article_id FROM ({_MENTIONS_SQL}) WHERE concept_id IN ('english', 'grammar') GROUP BY 1 HAVING count(DISTINCT concept_id) = 2),
+d AS (SELECT article_id, strftime(DATE '2024-01-01' + CAST(article_id % 365 AS INT), '%Y-%m-%d') AS date FROM m)
+SELECT *, row_number() OVER (ORDER BY date DESC, article_id) AS place FROM d WHERE date BETWEEN '2024-04-01' AND '2024-06-30' QUALIFY place <= 50
 """,
     "n8_incidents": f"""
 SELECT type, date, concepts, count(*) AS reports, min(event_key) AS first_event FROM (
@@ -104,6 +123,17 @@ SELECT sheet, CAST(sum(coalesce(a, 0)) AS BIGINT) AS n_ours, CAST(sum(coalesce(b
   CAST(sum(least(coalesce(a, 0), coalesce(b, 0))) AS BIGINT) AS n_common,
   sum(least(coalesce(a, 0), coalesce(b, 0))) >= 0.9 * least(sum(coalesce(a, 0)), sum(coalesce(b, 0))) AS agree
 FROM x FULL JOIN y USING (sheet, v) GROUP BY sheet
+""",
+    "x22_compared_values": """
+WITH f AS (SELECT l_linenumber AS sheet, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS a, l_orderkey % 19 = 0 AS odd, l_orderkey % 23 = 0 AS n,
+  CAST(floor((CASE WHEN l_orderkey % 17 = 0 OR (l_linenumber = 1 AND l_orderkey % 2 = 0) THEN l_extendedprice + 1 ELSE l_extendedprice END) * 100 + 0.5) AS BIGINT) AS b FROM lineitem),
+x AS (SELECT sheet, a AS v, count(*) AS a FROM f WHERE a <> 0 GROUP BY 1, 2),
+y AS (SELECT sheet, CASE WHEN NOT n THEN b END AS v, count(*) AS b FROM f WHERE NOT odd AND sheet <> 5 AND (n OR b <> 0) GROUP BY 1, 2),
+t AS (SELECT sheet, CAST(sum(coalesce(a, 0)) AS BIGINT) AS n_ours, CAST(sum(coalesce(b, 0)) AS BIGINT) AS n_stored,
+  CAST(sum(least(coalesce(a, 0), coalesce(b, 0))) AS BIGINT) AS n_common FROM x FULL JOIN y USING (sheet, v) GROUP BY sheet),
+u AS (SELECT sheet, count(*) FILTER (odd AND sheet <> 5) AS unparseable FROM f GROUP BY 1)
+SELECT sheet, n_ours, n_stored, n_common, unparseable, round(100.0 * n_common / n_ours, 1) AS ours_pct, CASE WHEN n_stored > 0 THEN round(100.0 * n_common / n_stored, 1) END AS stored_pct,
+  CASE WHEN n_stored = 0 THEN 'nothing stored' WHEN n_common >= 0.9 * least(n_ours, n_stored) THEN 'agree' ELSE 'inspect' END AS verdict FROM t JOIN u USING (sheet)
 """,
     "v13_reachability": """
 WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS src, p_partkey // k AS dst FROM part, (VALUES (2), (3)) t(k) WHERE p_partkey > 0 AND p_partkey % 5 > 0),

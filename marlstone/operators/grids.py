@@ -92,6 +92,14 @@ def period_order(cells: DataFrame, n_rows: int, marker: str) -> DataFrame:
     return counted.withColumn("ok", F.col("n_violations") == 0)
 
 
+def header_order(cells: DataFrame, n_rows: int) -> DataFrame:
+    """sheet, n_periods, n_violations, ok: columns whose period, in the last header row, is before the one to the left (columns without one left out)."""
+    heads = cells.filter((F.col("row") == n_rows - 1) & (F.col("col") > 0)).select("sheet", "col", period(F.col("v_str")).alias("p")).filter("p is not null")
+    heads = heads.withColumn("left_", F.lag("p").over(Window.partitionBy("sheet").orderBy("col")))
+    counted = heads.groupBy("sheet").agg(F.count("*").alias("n_periods"), F.count_if(F.col("p") < F.col("left_")).alias("n_violations"))
+    return counted.withColumn("ok", F.col("n_violations") == 0)
+
+
 def total_rows(found: DataFrame) -> DataFrame:
     """sheet, section, row, label of rows that equal the sum of their section's other rows in every column, within 1 %."""
     sums = found.groupBy("sheet", "section", "col").agg(F.sum("value").alias("s"))
@@ -226,6 +234,14 @@ def total_columns(found: DataFrame) -> DataFrame:
     return both.filter("fits and n_values >= 2 and n_cols > 2 and n_rows - have <= zero_rows - near_zero").select("sheet", "col")
 
 
+def dropped_column_check(found: DataFrame, dropped: DataFrame) -> DataFrame:
+    """sheet, col, ok of dropped columns (sheet, col): none of their values but zeros, or the sum of the other columns. found holds all columns of the kept rows."""
+    real = found.filter("value <> 0").select("sheet", "col").distinct().withColumn("real", F.lit(True))
+    totals = total_columns(found).withColumn("total", F.lit(True))
+    both = dropped.join(real, ["sheet", "col"], "left").join(totals, ["sheet", "col"], "left")
+    return both.select("sheet", "col", (F.col("real").isNull() | F.col("total").isNotNull()).alias("ok"))
+
+
 def dropped_row_check(found: DataFrame, dropped: DataFrame) -> DataFrame:
     """sheet, row, ok of dropped rows' values (sheet, section, row, label, col, value): labelled total, or in every column the sum of its section's kept rows."""
     sums = found.groupBy("sheet", "section", "col").agg(F.sum("value").alias("s"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.lineage import cut
@@ -26,6 +26,14 @@ def mentioning_all(found: DataFrame, concepts: list[str]) -> DataFrame:
         F.countDistinct("concept_id").alias("k"), F.sum("n").alias("n")).filter(F.col("k") == len(set(concepts))).drop("k")
 
 
+def newest_mentioning(found: DataFrame, articles: DataFrame, concepts: list[str], first: str, last: str, most: int = 50) -> DataFrame:
+    """article_id, date, place: the newest of articles (article_id, date) from first to last that mention every one of some concepts."""
+    inside = articles.filter(F.col("date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).select("article_id", "date")
+    order = [F.col("date").desc(), "article_id"]
+    hits = inside.join(mentioning_all(found, concepts), "article_id", "left_semi").orderBy(*order).limit(most)
+    return hits.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint"))  # most rows
+
+
 def incidents(events: DataFrame) -> DataFrame:
     """Events of one type, day and set of concepts are one incident; its reports and first event."""
     sets = events.groupBy("event_key", "type", "date").agg(F.array_join(F.array_sort(F.collect_set("concept")), ",").alias("concepts"))
@@ -51,6 +59,25 @@ def multiset_diff(ours: DataFrame, stored: DataFrame) -> DataFrame:
         "agree", F.col("n_common") >= 0.9 * F.least("n_ours", "n_stored"))
 
 
+def compared(ours: DataFrame, stored: DataFrame) -> DataFrame:
+    """Each sheet's values against stored texts: n_ours, n_stored, n_common, unparseable, the shares found both ways and a verdict.
+
+    Values are rounded to cents, zeros left out; of the stored texts "nan" is a value that matches none, other texts that are no numbers
+    are unparseable.
+    """
+    parsed = stored.select("sheet", "value", F.col("value").try_cast("double").alias("v"))
+    number = F.when(~F.isnan("v"), F.floor(F.col("v") * 100 + 0.5).cast("bigint"))
+    b = parsed.filter("isnan(v) or v is not null").select("sheet", number.alias("v")).filter("v is null or v <> 0").groupBy("sheet", "v").agg(F.count("*").alias("b"))
+    a = ours.select("sheet", F.floor(F.col("value") * 100 + 0.5).cast("bigint").alias("v")).filter("v <> 0").groupBy("sheet", "v").agg(F.count("*").alias("a"))
+    both = a.join(b, ["sheet", "v"], "full").na.fill(0, ["a", "b"]).groupBy("sheet").agg(
+        F.sum("a").alias("n_ours"), F.sum("b").alias("n_stored"), F.sum(F.least("a", "b")).alias("n_common"))
+    odd = parsed.filter("value is not null").groupBy("sheet").agg(F.count_if(F.col("v").isNull()).alias("unparseable"))
+    share = lambda n: F.round(F.when(F.col(n) > 0, 100 * F.col("n_common") / F.col(n)), 1)
+    verdict = F.when(F.col("n_stored") == 0, "nothing stored").when(F.col("n_common") >= 0.9 * F.least("n_ours", "n_stored"), "agree").otherwise("inspect")
+    return both.join(odd, "sheet", "left").na.fill(0, ["unparseable"]).select(
+        "sheet", "n_ours", "n_stored", "n_common", "unparseable", share("n_ours").alias("ours_pct"), share("n_stored").alias("stored_pct"), verdict.alias("verdict"))
+
+
 def reachable(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """src, dst and the fewest steps between them, up to a depth if one is given: each round joins the newly found pairs only."""
     steps = cut(edges.select("src", "dst").distinct())
