@@ -147,6 +147,26 @@ def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, total: i
     return few.unionByName(many)
 
 
+def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """df, a written table, with each row's place from 1 in the order of all rows; rows that tie come in any order.
+
+    Rows are dealt by ranges of the order and sorted inside; the driver adds up one count a range.
+    """
+    spark = df.sparkSession
+    part, place, many = free_names(df, "range_part", "range_place", "range_many")
+    tie = F.monotonically_increasing_id()  # lets ranges part rows that tie
+    dealt = df.withColumn(place, tie).repartitionByRange(shuffles(spark), *order, F.col(place))
+    dealt = dealt.sortWithinPartitions(*order, place).withColumns(
+        {part: F.spark_partition_id(), place: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    dealt = written(dealt, "ranked")
+    before, offsets = 0, []
+    for r in dealt.groupBy(part).agg(F.count("*").alias(many)).orderBy(part).collect():
+        offsets.append((r[part], before))
+        before += r[many]
+    known = F.broadcast(spark.createDataFrame(offsets, f"`{part}` int, `{many}` long"))  # one row a range
+    return dealt.join(known, part).withColumn(name, F.col(many) + F.col(place) + 1).drop(part, place, many)
+
+
 def python_ready(spark: SparkSession, rows: int = 500) -> None:
     """Python workers can import this package, and get so many texts at a time, so that long ones fit in memory."""
     ship_package(spark)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import (
-    digest_index, ftrl, host_rules, html_wrapper, mixing, packing, pseudonyms, rnn_lm, simhash, substring)
+    common,     digest_index, ftrl, host_rules, html_wrapper, mixing, near_vectors, packing, pseudonyms, resampling, rnn_lm, simhash, spelling,
+    substring)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,15 +61,52 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(docs, spark.conf.get("marlstone.pseudonym.key", pseudonyms.DEMO_KEY))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_mixing, op3_html_wrapper, op4_host_quality_rules, op5_quality_classifier,
-        op6_best_fit_packing, op7_substring_dedup, op8_exact_dedup, op9_rnn_lm_scoring, op10_feistel_pseudonyms)
+        op6_best_fit_packing, op7_substring_dedup, op8_exact_dedup, op9_rnn_lm_scoring, op10_feistel_pseudonyms,
+        op11_spelling_variants, op12_embedding_near_dedup, op13_importance_resampling)
 }
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+#: The CRC-32 of each byte value; a macro folds it over a text's UTF-8 bytes.
+CRC_SQL = """
+crc_steps AS (
+  SELECT i, i::BIGINT AS c, 0 AS step FROM range(256) t(i)
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, step + 1 FROM crc_steps WHERE step < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS crcs FROM crc_steps WHERE step = 8)"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text, in a query with crcs of crc_table."""
+    digit = lambda at: f"(strpos('0123456789ABCDEF', hex(encode({text}))[2 * k + {at}]) - 1)"
+    codes = f"list_transform(range(strlen({text})), lambda k: (16 * {digit(1)} + {digit(2)})::BIGINT)"
+    fold = f"list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, b: xor(a >> 8, crcs[(xor(a, b) & 255) + 1]))"
+    return f"xor(4294967295::BIGINT, {fold})"
+
+
+def runs_sql(folded: str, signs: str) -> str:
+    return f"list_filter(regexp_split_to_array({folded}, '[^{signs}]+'), lambda x: x <> '')"
+
+
+FOLDED = f"translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}')"
+
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": rf"""
 WITH sized AS (
@@ -134,6 +172,84 @@ verdicts AS (
   SELECT source, (failed + m * k) / (n + k) <= {host_rules.HOST_LIMIT} AS host_ok FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_ok AS kept
 FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source
+""",
+    "op11_spelling_variants": f"""
+WITH RECURSIVE {CRC_SQL},
+found AS (
+  SELECT doc_id, run, count(*) AS k
+  FROM (SELECT doc_id, unnest({runs_sql(FOLDED, "a-z\u00c0-\u00ff")}) AS run FROM documents) GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, k, {crc_sql("(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)")} AS h FROM found, crc_table),
+changed AS (
+  SELECT CASE WHEN h % {spelling.EVERY} = 0
+      THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, k
+  FROM hashed),
+vocab AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM changed WHERE length(word) >= {spelling.LEAST_LENGTH} GROUP BY word
+  HAVING sum(k) >= {spelling.LEAST_COUNT}),
+cuts AS (
+  SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocab)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, v.word, v.n FROM cuts c JOIN vocab v ON c.rest = v.word
+  UNION SELECT v.word, c.word, c.n FROM cuts c JOIN vocab v ON c.rest = v.word),
+best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, encode(near)) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= {spelling.RATIO} * n THEN near END AS form,
+    CASE WHEN near_n >= {spelling.RATIO} * n THEN near_n END AS form_n
+  FROM vocab v LEFT JOIN best USING (word)),
+walked AS (
+  SELECT word, word AS last_word FROM forms
+  UNION ALL SELECT w.word, f.form FROM walked w JOIN forms f ON f.word = w.last_word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.last_word AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN walked w USING (word) JOIN forms e ON e.word = w.last_word AND e.form IS NULL
+""",
+    "op12_embedding_near_dedup": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= {near_vectors.THRESHOLD}),
+reached AS (
+  SELECT vec_id, vec_id AS seen FROM embeddings UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.seen),
+tops AS (
+  SELECT vec_id, min(seen) AS component_id FROM reached GROUP BY vec_id)
+SELECT vec_id, coalesce(k, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM tops LEFT JOIN (SELECT a AS vec_id, count(*) AS k FROM links GROUP BY a) USING (vec_id)
+""",
+    "op13_importance_resampling": f"""
+WITH RECURSIVE {CRC_SQL},
+texts AS (
+  SELECT 0 AS side, doc_id, {runs_sql(FOLDED, "0-9a-z\u0080-\U0010ffff")} AS w FROM documents
+  UNION ALL SELECT 1, item_id, {runs_sql(FOLDED, "0-9a-z\u0080-\U0010ffff")} FROM benchmark),
+counted AS (
+  SELECT side, doc_id, word, count(*) AS k FROM (SELECT side, doc_id, unnest(w) AS word FROM texts) GROUP BY ALL),
+hashed AS (
+  SELECT word, {crc_sql("word")} % {resampling.BUCKETS} AS bucket FROM (SELECT DISTINCT word FROM counted), crc_table),
+sums AS (
+  SELECT CAST(sum(k) FILTER (side = 0) AS DOUBLE) AS s, CAST(sum(k) FILTER (side = 1) AS DOUBLE) AS t FROM counted),
+buckets AS (
+  SELECT bucket, CAST(coalesce(sum(k) FILTER (side = 0), 0) AS DOUBLE) AS s, CAST(coalesce(sum(k) FILTER (side = 1), 0) AS DOUBLE) AS t
+  FROM counted JOIN hashed USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000.0::DOUBLE * ln(((b.t + 1) * (a.s + {resampling.BUCKETS})) / ((b.s + 1) * (a.t + {resampling.BUCKETS})))) AS BIGINT) AS gain
+  FROM buckets b, sums a),
+weighed AS (
+  SELECT doc_id, CAST(floor(sum(k * gain) / sum(k)) AS BIGINT) AS weight
+  FROM counted JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 0 GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000.0::DOUBLE * ln(-ln(
+      (CAST('0x' || sha256('{resampling.SEED}:' || CAST(doc_id AS VARCHAR))[:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM texts LEFT JOIN weighed USING (doc_id) WHERE side = 0),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM scored WHERE n_features >= {resampling.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= {resampling.PERCENT} * (SELECT count(*) FROM ranked) // 100 THEN r END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
 """,
     "op8_exact_dedup": """
 WITH d AS (
