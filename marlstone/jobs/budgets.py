@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions.lineage import cut
 from marlstone.functions.numbers import rounded
 from marlstone.operators import formulas, pnl
 from marlstone.sources.tables import table
@@ -81,8 +82,13 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = line.groupBy(F.concat(F.lit("S"), F.col("l_suppkey") % 20).alias("sheet"), F.col("l_partkey").cast("int").alias("row"), (F.col("l_linenumber") + 2).alias("col")).agg(F.sum("l_quantity").alias("v"))
     letter = F.char(65 + col)
     ref = lambda k: F.concat(letter, (row + k).cast("string"))
-    text = F.when(row % 16 == 3, F.concat(F.lit("="), ref(0), F.lit("*1.05+12+250"))).when(row % 16 == 7, F.concat(F.lit("='S3'!B5+"), ref(0))).when(
-        row % 16 == 11, F.concat(F.lit("=[1]Book!A1+SUM("), ref(-1), F.lit(":"), ref(0), F.lit(")"))).otherwise(F.concat(F.lit("="), ref(1), F.lit("/2")))
+    span = lambda a, b: F.concat(ref(a), F.lit(":"), ref(b))
+    text = (F.when(row % 32 == 3, F.concat(F.lit("="), ref(0), F.lit("*1.05+12+250")))
+            .when(row % 32 == 19, F.concat(F.lit("=IF("), ref(1), F.lit("=\"A1\",SUM('S3'!B2:B4),MAX("), span(2, 4), F.lit("))")))
+            .when(row % 16 == 7, F.concat(F.lit("='S3'!B5+"), ref(0)))
+            .when(row % 32 == 11, F.concat(F.lit("=[1]Book!A1+SUM("), span(-1, 0), F.lit(")")))
+            .when(row % 32 == 27, F.concat(F.lit("=SUM("), span(-3, -1), F.lit(")+S4!$B$"), (row + 1).cast("string"), F.lit("+LOG10(7)")))
+            .otherwise(F.concat(F.lit("="), ref(1), F.lit("/2"))))
     formula = F.when((row % 4 == 3) & ((row + col) % 6 > 0), text)
     numbers = values.select("sheet", "row", "col", none.alias("v_str"), F.when(formula.isNull(), F.col("v")).alias("v_num"), formula.alias("formula"))
     rows = values.select("sheet", "row").distinct()
@@ -97,14 +103,17 @@ num AS (SELECT *, "row" % 4 = 3 AND ("row" + col) % 6 > 0 AS f FROM val),
 txt AS (SELECT sheet, "row", unnest([0, 1, 2]) AS col, unnest(['G' || ("row" % 3), CASE WHEN "row" % 7 > 0 THEN 'Item ' || ("row" % 50) END, CASE WHEN "row" % 5 = 0 THEN 'alt ' || "row" END]) AS t FROM (SELECT DISTINCT sheet, "row" FROM val)),
 bst AS (SELECT sheet, arg_max(col, (n, -col)) AS best FROM (SELECT sheet, col, count(DISTINCT t) AS n FROM txt WHERE t IS NOT NULL GROUP BY ALL) GROUP BY sheet),
 lab AS (SELECT sheet, "row", arg_min(t, (col <> best, col)) AS label FROM txt JOIN bst USING (sheet) WHERE t IS NOT NULL GROUP BY ALL),
-abst AS (SELECT n.sheet, n."row", n.col, CASE n."row" % 16
-    WHEN 3 THEN '=' || coalesce('[' || a.label || ']', '[row-1]') || '*1.05+12+250'
-    WHEN 7 THEN '=' || CASE WHEN n.sheet = 'S3' THEN coalesce('[' || c.label || ']', '[row' || (4 - n."row") || ']') ELSE 'S3[' || coalesce(c.label, 'row 5') || ']' END || '+' || coalesce('[' || a.label || ']', '[row-1]')
-    WHEN 11 THEN '=[1]Book!A1+SUM(' || coalesce('[' || b.label || ']', '[row-2]') || ' .. ' || coalesce('[' || a.label || ']', '[row-1]') || ')'
-    ELSE '=[row]/2' END AS text
-  FROM num n LEFT JOIN lab a ON a.sheet = n.sheet AND a."row" = n."row" - 1 LEFT JOIN lab b ON b.sheet = n.sheet AND b."row" = n."row" - 2 LEFT JOIN lab c ON c.sheet = 'S3' AND c."row" = 4 WHERE f),
-rul AS (SELECT sheet, "row", text AS rule, n, variants FROM (SELECT *, count(*) OVER (PARTITION BY sheet, "row") AS variants, row_number() OVER (PARTITION BY sheet, "row" ORDER BY n DESC, text) AS nth
-  FROM (SELECT sheet, "row", text, count(*) AS n FROM abst GROUP BY ALL)) WHERE nth = 1)"""
+abst AS (SELECT n.sheet, n."row", n.col, CASE n."row" % 32
+    WHEN 3 THEN coalesce('[' || a.label || ']', '[row-1]') || '*1.05+12+250'
+    WHEN 19 THEN 'IF([row]="A1",SUM(' || CASE WHEN n.sheet = 'S3' THEN '' ELSE 'S3' END || '[' || coalesce(u.label, 'r2') || ' .. ' || coalesce(v.label, 'r4') || ']),MAX([block below]))'
+    WHEN 11 THEN '[1]Book[row-' || n."row" || ']+SUM([block above])'
+    WHEN 27 THEN 'SUM([' || coalesce(d.label, 'r' || (n."row" - 3)) || ' .. ' || coalesce(b.label, 'r' || (n."row" - 1)) || '])+' || CASE WHEN n.sheet = 'S4' THEN '' ELSE 'S4' END || '[row]+LOG10(7)'
+    WHEN 7 THEN seven WHEN 23 THEN seven ELSE '[row]/2' END AS text, CASE n."row" % 32 WHEN 3 THEN '1.05,250' WHEN 27 THEN '7' WHEN 15 THEN '2' WHEN 31 THEN '2' ELSE '' END AS constants
+  FROM (SELECT * FROM num WHERE f) n LEFT JOIN lab a ON a.sheet = n.sheet AND a."row" = n."row" - 1 LEFT JOIN lab b ON b.sheet = n.sheet AND b."row" = n."row" - 2
+  LEFT JOIN lab d ON d.sheet = n.sheet AND d."row" = n."row" - 4 LEFT JOIN lab c ON c.sheet = 'S3' AND c."row" = 4 LEFT JOIN lab u ON u.sheet = 'S3' AND u."row" = 1 LEFT JOIN lab v ON v.sheet = 'S3' AND v."row" = 3,
+  LATERAL (SELECT CASE WHEN n.sheet = 'S3' THEN '' ELSE 'S3' END || '[' || coalesce(c.label, 'row' || CASE WHEN n."row" < 4 THEN '+' ELSE '' END || (4 - n."row")) || ']+' || coalesce('[' || a.label || ']', '[row-1]') AS seven)),
+rul AS (SELECT sheet, "row", text AS rule, constants, n, variants FROM (SELECT *, count(*) OVER (PARTITION BY sheet, "row") AS variants, row_number() OVER (PARTITION BY sheet, "row" ORDER BY n DESC, at_col) AS nth
+  FROM (SELECT sheet, "row", text, constants, count(*) AS n, min(col) AS at_col FROM abst GROUP BY ALL)) WHERE nth = 1)"""
 
 
 def g1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,15 +121,20 @@ def g1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g2_abstracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formulas.abstracted(_cells(spark, sf_dir))
+    return _joined(formulas.abstracted(_cells(spark, sf_dir)))
+
+
+def _joined(df: DataFrame) -> DataFrame:
+    return df.withColumn("constants", F.array_join("constants", ","))
 
 
 def g3_row_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formulas.row_rules(formulas.abstracted(_cells(spark, sf_dir)))
+    return _joined(formulas.row_rules(formulas.abstracted(_cells(spark, sf_dir))))
 
 
 def g3_sheet_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formulas.sheet_rules(formulas.row_rules(formulas.abstracted(_cells(spark, sf_dir))))
+    cells = cut(_cells(spark, sf_dir))
+    return formulas.sheet_rules(formulas.row_rules(formulas.abstracted(cells)), formulas.labels(cells))
 
 
 def g4_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,8 +146,8 @@ def g5_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g6_hidden_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = formulas.abstracted(_cells(spark, sf_dir))
-    return texts.select("sheet", "row", "col", F.array_join(formulas.hidden_constants(F.col("text")), ",").alias("constants"))
+    typed = _cells(spark, sf_dir).filter("formula is not null")
+    return typed.select("sheet", "row", "col", F.array_join(formulas.hidden_constants(F.col("formula")), ",").alias("constants"))
 
 
 def m7_override_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,35 +187,82 @@ def m6_model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def d4_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sheets as submissions: their rows' rules, overrides, links, and inputs of the first product that they miss."""
-    cells = _cells(spark, sf_dir)
-    named = formulas.labels(cells).select("sheet", "row", "label")
+    cells = cut(_cells(spark, sf_dir))
+    named = cut(formulas.labels(cells).select("sheet", "row", "label"))
     rules = formulas.row_rules(formulas.abstracted(cells))
     rows = named.join(rules, ["sheet", "row"], "left").select(
-        F.col("sheet").alias("submission"), "label", F.when(F.col("rule").isNull(), "input").otherwise("computed").alias("role"), F.col("rule").alias("text"),
+        F.col("sheet").alias("submission"), "label", F.when(F.col("rule").isNull(), "input").otherwise("computed").alias("role"), "constants",
         F.when(F.col("row") % 3 > 0, "t").alias("unit"), F.when(F.col("row") % 4 > 0, "c").alias("concept"))
     typed = formulas.overrides(cells).join(named, ["sheet", "row"]).select(F.col("sheet").alias("submission"), "label")
-    links = formulas.references(cells).filter("to_sheet is null").join(named, ["sheet", "row"]).select(F.col("sheet").alias("submission"), "label")
+    links = formulas.references(cells).filter("book <> ''").join(named, ["sheet", "row"]).select(F.col("sheet").alias("submission"), "label")
     missing = cells.filter("col = 3 and row = 40").select(F.col("sheet").alias("submission"), F.lit("sulphur").alias("input"))
     return formulas.questions(rows, typed, links, missing)
 
 
 def d1_period_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A nation's sheet: a note of one year, then a row of month labels, then a part type a row."""
+    """A nation's sheet: a note of one year, then a row of month labels (forecasts from 1998), then a part type a row, the last one without label."""
     nation = F.col("c_nationkey")
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    months = (F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate")
-    values = orders.groupBy(nation.alias("sheet"), (nation % 3 + 3 + F.substring("o_orderpriority", 1, 1).cast("int")).alias("row"), months.alias("col")).agg(F.count("*").cast("double").alias("v_num"))
-    none, no_number = F.lit(None).cast("string").alias("v_str"), F.lit(None).cast("double").alias("v_num")
-    heads = values.select("sheet", F.col("col")).distinct()
-    label = F.date_format(F.add_months(F.to_date(F.lit("1994-12-01")), F.col("col")), "MMM-yy")
-    notes = values.select("sheet").distinct().select("sheet", F.lit(1).alias("row"), F.lit(0).alias("col"), F.lit(None).cast("string").alias("v_str"), F.lit(2024.0).alias("v_num"))
-    cells = values.select("sheet", "row", "col", none, "v_num").unionByName(heads.select("sheet", (F.col("sheet") % 3 + 3).alias("row"), "col", label.alias("v_str"), no_number)).unionByName(notes)
+    months = (F.year("o_orderdate") - 1992) * 12 + F.month("o_orderdate")
+    kind = F.substring("o_orderpriority", 1, 1).cast("int")
+    values = orders.groupBy(nation.alias("sheet"), (nation % 3 + 3 + kind).alias("row"), months.alias("col"), kind.alias("kind")).agg(F.count("*").cast("double").alias("v_num"))
+    none = {"v_str": F.lit(None).cast("string"), "v_num": F.lit(None).cast("double"), "formula": F.lit(None).cast("string"), "number_format": F.lit(None).cast("string")}
+    cell = lambda df, **given: df.select("sheet", "row", "col", *[given.get(k, v).alias(k) for k, v in none.items()])
+    heads = values.select("sheet", (F.col("sheet") % 3 + 3).alias("row"), "col").distinct()
+    label = F.date_format(F.add_months(F.to_date(F.lit("1991-12-01")), F.col("col")), "MMM-yy")
+    ahead = F.when(F.col("col") > 72, 'mmm-yy "f"').otherwise("mmm-yy")
+    notes = values.select("sheet", F.lit(1).alias("row"), F.lit(0).alias("col")).distinct()
+    named = values.filter("kind < 5").select("sheet", "row", F.lit(0).alias("col"), "kind").distinct()
+    types = cell(named.withColumn("v_str", F.concat(F.lit("Type "), "kind")), v_str=F.col("v_str"))
+    cells = cell(values, v_num=F.col("v_num")).unionByName(cell(heads, v_str=label, number_format=ahead)).unionByName(cell(notes, v_num=F.lit(2024.0))).unionByName(types)
     return formulas.period_table(cells)
 
 
+YEARS = range(1992, 1999)
+_LINES = ["Production (kt)", "Price ($/t)", "Revenue (M$)", "Input price ($/t)", "Input cost (M$)", "Freight ($/t)", "Freight cost (M$)", "Fixed costs (M$)", "Headcount", "Total costs (M$)", "Margin (M$)",
+          "Margin rate (%)", "External (M$)"]
+
+
+def _branch_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A supplier's budget: years across (the last a forecast), lines down. Total costs are written in two ways; in a tenth of the sheets they
+    refer to the margin, a tenth have a rule of their own, and a fifth have a number typed over a formula."""
+    given = _submitted(spark, sf_dir)
+    years = given.select("submission").distinct().withColumn("period", F.explode(F.array(*map(F.lit, YEARS))))
+    s = years.join(given, ["submission", "period"], "left").fillna(0.0)
+    number, col = F.col("submission"), F.col("period") - (YEARS[0] - 1)
+    letter = F.char(65 + col)
+    at = lambda row: F.concat(letter, F.lit(str(row)))
+    said = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    total = (F.when(number % 10 == 7, said("=SUM(", at(8), ":", at(9), ")+", at(12), "*0")).when(number % 2 == 0, said("=SUM(", at(8), ":", at(9), ")+", at(6)))
+             .otherwise(said("=", at(6), "+", at(8), "+", at(9))))
+    material = said("=", at(2), "*", at(5), "*0.5/1000", F.when(number % 10 == 3, said("+0*", number.cast("string"))).otherwise(""))
+    typed = (number % 5 == 0) & (F.col("period") == 1995)
+    lines = [(F.col("volume"), None), (F.col("price"), None), (None, said("=", at(2), "*", at(3), "/1000")), (F.col("input_price"), None), (F.when(typed, 7.5), F.when(~typed, material)),
+             (F.col("freight_rate"), None), (None, said("=", at(2), "*", at(7), "/1000")), (F.lit(250.0), None), (F.lit(12.0), None), (None, total), (None, said("=", at(4), "-", at(11))),
+             (None, said("=IFERROR(", at(12), "/", at(4), ",0)")), (None, said("=[1]Hypotheses!", at(4), "*2"))]
+    null, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    cell = lambda row, col, v_str, v_num, formula, fmt: F.struct(
+        F.lit(row).alias("row"), col.cast("int").alias("col"), v_str.alias("v_str"), (null if v_num is None else v_num).alias("v_num"), (text if formula is None else formula).alias("formula"), fmt.alias("number_format"))
+    across = [cell(0, col, text, F.col("period").cast("double"), None, F.when(F.col("period") == YEARS[-1], '0 "f"').otherwise("0"))]
+    across += [cell(k + 1, col, text, v, f, text) for k, (v, f) in enumerate(lines)]
+    down = [cell(k, F.lit(0), F.lit(t), None, None, text) for k, t in enumerate(["Budget", *_LINES])]
+    sheet = F.concat(F.lit("B"), number.cast("string")).alias("sheet")
+    both = s.select(sheet, F.explode(F.array(*across)).alias("c")).unionByName(s.select("submission").distinct().select(sheet, F.explode(F.array(*down)).alias("c")))
+    return both.select("sheet", "c.*")
+
+
+def m1_harvested_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules read from the sheets' formulas, evaluated on the sheets' inputs."""
+    cells = cut(_branch_cells(spark, sf_dir))
+    rows = cut(pnl.discovered_rows(formulas.period_table(cells), formulas.row_rules(formulas.abstracted(cells))))
+    found = pnl.evaluated_sheets(rows)
+    return found.select("submission", "label", F.posexplode_outer("vals").alias("pos", "v"), "problem").select(
+        "submission", "label", "pos", rounded(F.col("v"), 6).alias("value"), "problem")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (m1_evaluated, m2_totals, m3_sensitivities, m4_mark_to_market, m5_shapley, m6_model_rows, m7_override_gaps, g1_labels, g2_abstracted, g3_row_rules, g3_sheet_rules, g4_dependencies,
+    for f in (m1_evaluated, m1_harvested_rules, m2_totals, m3_sensitivities, m4_mark_to_market, m5_shapley, m6_model_rows, m7_override_gaps, g1_labels, g2_abstracted, g3_row_rules, g3_sheet_rules, g4_dependencies,
               g5_overrides, g6_hidden_constants, d1_period_table, d2_identities, d3_roles, d4_questions)
 }
 
@@ -252,17 +313,29 @@ ORACLE_SQL = {
     "m7_override_gaps": f"""WITH {_CELLS_SQL}, sp AS (SELECT sheet, "row", min(col) AS lo, max(col) AS hi FROM num WHERE f GROUP BY ALL)
 SELECT sheet AS submission, col AS period, "row", v AS typed, h AS by_formula, v - h AS gap FROM num JOIN sp USING (sheet, "row") JOIN (SELECT sheet, "row", sum(v) / 2 AS h FROM val GROUP BY ALL) USING (sheet, "row") WHERE NOT f AND col > lo AND col < hi""",
     "g1_labels": f'WITH {_CELLS_SQL} SELECT sheet, "row", label FROM lab',
-    "g2_abstracted": f'WITH {_CELLS_SQL} SELECT sheet, "row", col, text FROM abst',
+    "g2_abstracted": f'WITH {_CELLS_SQL} SELECT sheet, "row", col, text, constants FROM abst',
     "g3_row_rules": f'WITH {_CELLS_SQL} SELECT * FROM rul',
-    "g3_sheet_rules": f'WITH {_CELLS_SQL} SELECT sheet, rule, count(*) AS rows, CAST(sum(n) AS BIGINT) AS cells FROM rul GROUP BY ALL',
-    "g4_dependencies": f"""WITH {_CELLS_SQL} SELECT sheet, 'S3' AS to_sheet, count(*) AS n FROM num WHERE f AND "row" % 16 = 7 AND sheet <> 'S3' GROUP BY 1 UNION ALL SELECT sheet, 'external', count(*) FROM num WHERE f AND "row" % 16 = 11 GROUP BY 1""",
+    "g3_sheet_rules": f"""WITH {_CELLS_SQL}, k AS (SELECT sheet, "row", n, coalesce(label, 'r' || ("row" + 1)) AS label, CASE WHEN "row" % 32 IN (3, 27, 7, 23) AND NOT contains(rule, '[row') THEN coalesce(label, 'r' || ("row" + 1)) || ' = ' || rule ELSE rule END AS rule
+  FROM rul LEFT JOIN lab USING (sheet, "row"))
+SELECT sheet, rule, count(*) AS rows, CAST(sum(n) AS BIGINT) AS cells, arg_min(label, "row") AS example FROM k GROUP BY ALL""",
+    "g4_dependencies": f"""WITH {_CELLS_SQL}, r AS (SELECT sheet, CASE "row" % 32 WHEN 11 THEN '[1]Book' WHEN 27 THEN 'S4' ELSE 'S3' END AS to_sheet FROM num WHERE f AND "row" % 32 IN (7, 23, 11, 19, 27))
+SELECT sheet, to_sheet, to_sheet = '[1]Book' AS external, count(*) AS n FROM r WHERE to_sheet <> sheet GROUP BY ALL""",
     "g5_overrides": f"""WITH {_CELLS_SQL}, sp AS (SELECT sheet, "row", min(col) AS lo, max(col) AS hi FROM num WHERE f GROUP BY ALL) SELECT sheet, "row", col, v AS v_num FROM num JOIN sp USING (sheet, "row") WHERE NOT f AND col > lo AND col < hi""",
-    "g6_hidden_constants": f"""WITH {_CELLS_SQL} SELECT sheet, "row", col, CASE "row" % 16 WHEN 3 THEN '1.05,250' WHEN 15 THEN '2' ELSE '' END AS constants FROM num WHERE f""",
-    "d1_period_table": """SELECT c_nationkey AS sheet, c_nationkey % 3 + 3 + CAST(substr(o_orderpriority, 1, 1) AS INT) AS "row", strftime(o_orderdate, '%Y-%m') AS period, CAST(count(*) AS DOUBLE) AS value
-  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL""",
-    "d4_questions": f"""WITH {_CELLS_SQL}, sp AS (SELECT sheet, "row", min(col) AS lo, max(col) AS hi FROM num WHERE f GROUP BY ALL), lr AS (SELECT lab.*, rule FROM lab LEFT JOIN rul USING (sheet, "row"))
-SELECT sheet AS submission, label AS about, 'hidden constant' AS question FROM lr WHERE rule IS NOT NULL AND "row" % 16 IN (3, 15)
+    "g6_hidden_constants": f'WITH {_CELLS_SQL} SELECT sheet, "row", col, constants FROM abst',
+    "d1_period_table": """WITH o AS (SELECT c_nationkey AS sheet, CAST(substr(o_orderpriority, 1, 1) AS INT) AS kind, (year(o_orderdate) - 1992) * 12 + month(o_orderdate) AS col FROM orders JOIN customer ON o_custkey = c_custkey),
+v AS (SELECT sheet, kind, col, CAST(count(*) AS DOUBLE) AS value FROM o GROUP BY ALL)
+SELECT sheet, sheet % 3 + 3 + kind AS "row", 'Type ' || kind AS label, col, strftime(DATE '1991-12-01' + to_months(CAST(col AS INT)), '%Y-%m') AS period, value, FALSE AS has_formula, col > 72 AS forecast
+FROM (SELECT DISTINCT sheet, kind FROM v WHERE kind < 5) JOIN (SELECT DISTINCT sheet, col FROM v) USING (sheet) LEFT JOIN v USING (sheet, kind, col)""",
+    "m1_harvested_rules": f"""WITH {_SUBMITTED_SQL}, y AS (SELECT submission, CAST(unnest(range({YEARS[0]}, {YEARS[-1] + 1})) AS INT) AS period FROM (SELECT DISTINCT submission FROM s)),
+g AS (SELECT submission, period, coalesce(volume, 0) AS v, coalesce(price, 0) AS p, coalesce(input_price, 0) AS i, coalesce(freight_rate, 0) AS f FROM y LEFT JOIN s USING (submission, period)),
+e AS (SELECT *, v * p / 1000 AS revenue, v * i * 0.5 / 1000 AS material, v * f / 1000 AS freight, v * i * 0.5 / 1000 + v * f / 1000 + 250 AS total FROM g),
+l AS (SELECT submission, period, unnest({_LINES[:12]}) AS label, unnest([v, p, revenue, i, material, f, freight, 250, 12, total, revenue - total, coalesce((revenue - total) / nullif(revenue, 0), 0)]) AS value FROM e)
+SELECT 'B' || submission AS submission, label, CAST(CASE WHEN bad THEN NULL ELSE period - {YEARS[0]} END AS INT) AS pos, floor(CASE WHEN bad THEN NULL ELSE value END * 1e6 + 0.5) / 1e6 AS value,
+  CASE WHEN submission % 10 = 7 THEN 'unknown rows or a cycle: [''Margin (M$)'', ''Margin rate (%)'', ''Total costs (M$)'']' END AS problem
+FROM (SELECT *, submission % 10 = 7 AND label NOT IN ('Production (kt)', 'Price ($/t)', 'Input price ($/t)', 'Freight ($/t)', 'Fixed costs (M$)', 'Headcount') AS bad FROM l) WHERE NOT bad OR period = {YEARS[0]}""",
+    "d4_questions": f"""WITH {_CELLS_SQL}, sp AS (SELECT sheet, "row", min(col) AS lo, max(col) AS hi FROM num WHERE f GROUP BY ALL), lr AS (SELECT lab.*, rule, constants FROM lab LEFT JOIN rul USING (sheet, "row"))
+SELECT sheet AS submission, label AS about, 'hidden constant' AS question FROM lr WHERE constants <> ''
 UNION SELECT sheet, label, 'typed over a formula' FROM num JOIN sp USING (sheet, "row") JOIN lab USING (sheet, "row") WHERE NOT f AND col > lo AND col < hi
 UNION SELECT sheet, label, 'unit' FROM lr WHERE rule IS NULL AND "row" % 3 = 0 UNION SELECT sheet, label, 'concept' FROM lr WHERE rule IS NULL AND "row" % 4 = 0
-UNION SELECT sheet, label, 'external link' FROM num JOIN lab USING (sheet, "row") WHERE f AND "row" % 16 = 11 UNION SELECT sheet, 'sulphur', 'expected input' FROM num WHERE col = 3 AND "row" = 40""",
+UNION SELECT sheet, label, 'external link' FROM num JOIN lab USING (sheet, "row") WHERE f AND "row" % 32 = 11 UNION SELECT sheet, 'sulphur', 'expected input' FROM num WHERE col = 3 AND "row" = 40""",
 }

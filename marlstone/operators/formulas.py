@@ -1,6 +1,6 @@
 """Formulas of sheets to rules, and what a budget's pasted values say: labels, dependencies, overrides, identities, questions.
 
-Cells are (sheet, row, col, v_str, v_num, formula), counted from 0.
+Cells are (sheet, row, col, v_str, v_num, formula, number_format), counted from 0; only period tables need the last one.
 """
 
 from __future__ import annotations
@@ -13,10 +13,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.operators.grids import period
+from marlstone.operators.grids import FORECAST, period
 
 LABEL_COLUMNS = 6
-REFERENCE = r"(?:\[\d+\][A-Za-z0-9_]+!|'[^']+'!|(?<![A-Za-z0-9_\]])[A-Za-z0-9_]+!)?(?<![A-Za-z0-9_])\$?[A-Z]{1,3}\$?\d+(?![\w(])"
+_SIGN = r"[\p{L}\p{N}_.]"
+_CELL = r"\$?[A-Za-z]{1,3}\$?\d+"
+#: A cell or a range as one piece, with its sheet and book: a name followed by a bracket is a function, text in double quotes is none.
+_REFERENCE = rf"(?<![\p{{L}}\p{{N}}_.\]#!])((?:(?:\[\d+\])?(?:{_SIGN}+|'(?:[^']|'')+')!)?{_CELL}(?::{_CELL})?)(?![\p{{L}}\p{{N}}_.(!])"
+#: The pieces of a formula in their order: text, reference (group 1), name or number, any other sign. Joined, they are the formula.
+PIECE = rf'"(?:[^"]|"")*"|{_REFERENCE}|{_SIGN}+|[\s\S]'
 #: Numbers in formulas that scale or convert units and are no assumptions.
 UNIT_FACTORS = ["1", "10", "100", "1000", "1000000", "1e3", "1e6", "0.001", "12", "0"]
 #: How near values must be in every period, the most rows of a sum, and which row an equation is about.
@@ -31,47 +36,73 @@ def labels(cells: DataFrame) -> DataFrame:
     return texts.join(best, "sheet").groupBy("sheet", "row").agg(F.min_by("v_str", F.struct((F.col("col") != F.col("best")).alias("other"), "col")).alias("label"))
 
 
+def pieces(formula: Column, group: int = 0) -> Column:
+    """The pieces of a formula, without the equals sign it starts with; group 1 gives the references, and "" for other pieces."""
+    return F.regexp_extract_all(F.regexp_replace(formula, "^=", ""), F.lit(PIECE), F.lit(group))
+
+
 def references(cells: DataFrame) -> DataFrame:
-    """sheet, row, col, formula, and each reference in order: pos, ref, to_sheet, to_row; other books have neither."""
-    refs = cells.filter("formula is not null").select("sheet", "row", "col", "formula", F.posexplode(F.regexp_extract_all("formula", F.lit(REFERENCE), F.lit(0))).alias("pos", "ref"))
-    outside = F.startswith("ref", F.lit("["))
-    named = F.replace(F.regexp_extract("ref", r"^(.*)!", 1), F.lit("'"), F.lit(""))
-    return refs.withColumns({
-        "to_sheet": F.when(~outside, F.coalesce(F.nullif(named, F.lit("")), "sheet")),
-        "to_row": F.when(~outside, F.regexp_extract("ref", r"(\d+)$", 1).cast("int") - 1)})
+    """sheet, row, col, formula, and each reference in order: pos (of its piece), ref, book ("" or "[1]"), to_sheet, first_row, last_row."""
+    each = cells.filter("formula is not null").select("sheet", "row", "col", "formula", F.posexplode(pieces(F.col("formula"), 1)).alias("pos", "ref")).filter("ref <> ''")
+    prefix = F.regexp_replace(F.regexp_extract("ref", "^(.*)!", 1), "^'|'$", "")
+    # the book stands before the quoted name or inside the quotes
+    book = F.regexp_extract(prefix, r"^(\[\d+\])", 1)
+    name = F.replace(F.regexp_replace(F.regexp_replace(prefix, r"^\[\d+\]", ""), "^'", ""), F.lit("''"), F.lit("'"))
+    rows = F.transform(F.regexp_extract_all(F.substring_index("ref", "!", -1), F.lit(r"(\d+)"), F.lit(1)), lambda r: r.cast("int") - 1)
+    return each.withColumns({"book": book, "to_sheet": F.coalesce(F.nullif(name, F.lit("")), "sheet"), "first_row": F.array_min(rows), "last_row": F.array_max(rows)})
 
 
 def abstracted(cells: DataFrame) -> DataFrame:
-    """sheet, row, col, text: formulas with each reference by its row's label: [row] its own, [row+k] without a label, Sheet[label] elsewhere,
-    [a .. b] a range; references to other books stay."""
-    named = references(cells).join(labels(cells).select(F.col("sheet").alias("to_sheet"), F.col("row").alias("to_row"), "label"), ["to_sheet", "to_row"], "left")
-    away = F.col("to_row") - F.col("row")
-    own = F.when(away == 0, "[row]").when(F.col("label").isNotNull(), F.concat(F.lit("["), "label", F.lit("]"))).otherwise(F.format_string("[row%+d]", away))
-    far = F.concat("to_sheet", F.lit("["), F.coalesce("label", F.concat(F.lit("row "), (F.col("to_row") + 1).cast("string"))), F.lit("]"))
-    said = F.when(F.col("to_sheet").isNull(), F.col("ref")).when(F.col("to_sheet") == F.col("sheet"), own).otherwise(far)
-    per = named.withColumn("said", said).groupBy("sheet", "row", "col", "formula").agg(F.array_sort(F.collect_list(F.struct("pos", "said"))).alias("refs"))
-    woven = F.array_join(F.zip_with(F.split("formula", REFERENCE, -1), F.transform("refs", lambda x: x["said"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    plain = cells.filter(F.col("formula").isNotNull() & ~F.regexp_like("formula", F.lit(REFERENCE))).select("sheet", "row", "col", F.col("formula").alias("text"))
-    return per.select("sheet", "row", "col", F.replace(woven, F.lit("]:["), F.lit("] .. [")).alias("text")).unionByName(plain)
+    """sheet, row, col, text, constants: formulas with the rows' labels in place of references.
+
+    A reference into the formula's own row is [row], into another row its label, or [row+k] without one or in another book; a range over rows is
+    [a .. b] (r7 for a row without label, or in another book), and [block above] or [block below] where it ends just above or starts
+    just below the formula, whatever its other end. Other sheets and books stand before the bracket. Text in quotes stays. constants: the numbers of
+    the formula that convert no units.
+    """
+    named = labels(cells).select(F.col("sheet").alias("to_sheet"), F.col("row").alias("first_row"), "label")
+    found = references(cells)
+    inside = F.when(F.col("book") == "", F.col("to_sheet"))  # labels of other books are not known
+    found = found.withColumn("known", inside).join(named.withColumnsRenamed({"to_sheet": "known", "label": "first"}), ["known", "first_row"], "left")
+    found = found.join(named.withColumnsRenamed({"to_sheet": "known", "first_row": "last_row", "label": "last"}), ["known", "last_row"], "left")
+    own = (F.col("book") == "") & (F.col("to_sheet") == F.col("sheet"))
+    one = F.col("first_row") == F.col("last_row")
+    away = F.col("first_row") - F.col("row")
+    numbered = lambda label, row: F.coalesce(label, F.concat(F.lit("r"), (F.col(row) + 1).cast("string")))
+    where = (F.when(one & (away == 0), "row").when(one & F.col("first").isNotNull(), F.col("first")).when(one, F.format_string("row%+d", away))
+             .when(own & (F.col("last_row") == F.col("row") - 1), "block above").when(own & (F.col("first_row") == F.col("row") + 1), "block below")
+             .otherwise(F.concat(numbered("first", "first_row"), F.lit(" .. "), numbered("last", "last_row"))))
+    said = F.concat(F.when(own, "").otherwise(F.concat("book", "to_sheet")), F.lit("["), where, F.lit("]"))
+    per = found.select("sheet", "row", "col", "formula", "pos", said.alias("said")).groupBy("sheet", "row", "col", "formula").agg(
+        F.map_from_entries(F.collect_list(F.struct("pos", "said"))).alias("refs"))
+    bare = cells.filter(F.col("formula").isNotNull()).filter(F.array_max(pieces(F.col("formula"), 1)) == "")
+    plain = bare.select("sheet", "row", "col", "formula", F.lit(None).cast("map<int,string>").alias("refs"))
+    woven = F.array_join(F.transform(pieces(F.col("formula")), lambda p, k: F.coalesce(F.col("refs")[k], p)), "")
+    return per.unionByName(plain).select("sheet", "row", "col", woven.alias("text"), hidden_constants(F.col("formula")).alias("constants"))
 
 
 def row_rules(texts: DataFrame) -> DataFrame:
-    """sheet, row, rule, n, variants: the most frequent abstract formula of each row, the first by text of equal ones."""
-    n = texts.groupBy("sheet", "row", "text").agg(F.count("*").alias("n"))
-    first = Window.partitionBy("sheet", "row").orderBy(F.col("n").desc(), "text")
+    """sheet, row, rule, constants, n, variants: the most frequent abstract formula of each row, of equal ones the one that comes first in it."""
+    n = texts.groupBy("sheet", "row", "text").agg(F.count("*").alias("n"), F.min("col").alias("at"), F.min("constants").alias("constants"))
+    first = Window.partitionBy("sheet", "row").orderBy(F.col("n").desc(), "at")
     ranked = n.withColumns({"nth": F.row_number().over(first), "variants": F.count("*").over(Window.partitionBy("sheet", "row"))})
-    return ranked.filter("nth = 1").select("sheet", "row", F.col("text").alias("rule"), "n", "variants")
+    return ranked.filter("nth = 1").select("sheet", "row", F.col("text").alias("rule"), "constants", "n", "variants")
 
 
-def sheet_rules(rules: DataFrame) -> DataFrame:
-    """sheet, rule, rows and cells that have it."""
-    return rules.groupBy("sheet", "rule").agg(F.count("*").alias("rows"), F.sum("n").alias("cells"))
+def sheet_rules(rules: DataFrame, named: DataFrame) -> DataFrame:
+    """sheet, rule, rows and cells that have it, example (the first such row's label). Rules relative to their row count together; another is its row's alone
+    and named by it. named: sheet, row, label."""
+    label = F.coalesce("label", F.concat(F.lit("r"), (F.col("row") + 1).cast("string")))
+    relative = F.regexp_like("rule", F.lit(r"\[(row[\]+-]|block (above|below)\])"))
+    keyed = rules.join(named, ["sheet", "row"], "left").withColumn("label", label)
+    keyed = keyed.withColumn("rule", F.when(relative, F.col("rule")).otherwise(F.concat("label", F.lit(" = "), "rule")))
+    return keyed.groupBy("sheet", "rule").agg(F.count("*").alias("rows"), F.sum("n").alias("cells"), F.min_by("label", "row").alias("example"))
 
 
 def dependencies(cells: DataFrame) -> DataFrame:
-    """sheet, to_sheet, n: references from sheet to sheet; those to other books under "external"."""
-    refs = references(cells).withColumn("to_sheet", F.coalesce("to_sheet", F.lit("external")))
-    return refs.filter("to_sheet <> sheet").groupBy("sheet", "to_sheet").agg(F.count("*").alias("n"))
+    """sheet, to_sheet, external, n: references from sheet to sheet, and to other books as [1]Sheet."""
+    refs = references(cells).select("sheet", F.concat("book", "to_sheet").alias("to_sheet"), (F.col("book") != "").alias("external"))
+    return refs.filter("external or to_sheet <> sheet").groupBy("sheet", "to_sheet", "external").agg(F.count("*").alias("n"))
 
 
 def overrides(cells: DataFrame) -> DataFrame:
@@ -81,18 +112,29 @@ def overrides(cells: DataFrame) -> DataFrame:
     return typed.join(span, ["sheet", "row"]).filter("col > lo and col < hi").select("sheet", "row", "col", "v_num")
 
 
-def hidden_constants(expression: Column) -> Column:
-    """The numbers written in an abstract formula, outside references, that convert no units."""
-    bare = F.regexp_replace(expression, r"\[[^\]]*\]", "")
-    return F.array_except(F.array_distinct(F.regexp_extract_all(bare, F.lit(r"(?<![\w.])(\d+(?:\.\d+)?)(?![\w.])"), F.lit(1))), F.array(*map(F.lit, UNIT_FACTORS)))
+def hidden_constants(formula: Column) -> Column:
+    """The whole or decimal numbers written in a formula, outside references and text, that convert no units."""
+    number = lambda p: F.regexp_like(p, F.lit(r"^[0-9]+([.][0-9]+)?$"))
+    return F.array_except(F.array_distinct(F.filter(pieces(formula), number)), F.array(*map(F.lit, UNIT_FACTORS)))
 
 
 def period_table(cells: DataFrame, rows: int = 30) -> DataFrame:
-    """sheet, row, period, value: the header is the first row, of so many, with two period labels or more; values stand under them."""
-    read = cells.filter(F.col("row") < rows).withColumn("p", period(F.coalesce("v_str", F.when(F.col("v_num") == F.floor("v_num"), F.col("v_num").cast("bigint").cast("string"))))).filter("p is not null")
+    """sheet, row, label, col, period, value, has_formula, forecast: a row for each labelled row below the header and each of its columns.
+
+    The header is the first row, of so many, with two period labels or more; a column is a forecast if the header's number format says so.
+    Rows without number or formula under the header go.
+    """
+    whole = F.when(F.col("v_num") == F.floor("v_num"), F.col("v_num").cast("bigint").cast("string"))
+    read = cells.filter(F.col("row") < rows).withColumn("period", period(F.coalesce("v_str", whole))).filter("period is not null and formula is null")
     head = read.groupBy("sheet", "row").count().filter("count >= 2").groupBy("sheet").agg(F.min("row").alias("head"))
-    columns = read.join(head, "sheet").filter("row = head").select("sheet", "head", "col", F.col("p").alias("period"))
-    return cells.filter("v_num is not null").join(columns, ["sheet", "col"]).filter("row > head").select("sheet", "row", "period", F.col("v_num").alias("value"))
+    forecast = F.coalesce(F.regexp_like("number_format", F.lit(FORECAST)), F.lit(False))
+    columns = read.join(head, "sheet").filter("row = head").select("sheet", "head", "col", "period", forecast.alias("forecast"))
+    filled = cells.filter("v_num is not null or formula is not null").select(
+        "sheet", "row", "col", F.when(F.col("formula").isNull(), F.col("v_num")).alias("value"), F.col("formula").isNotNull().alias("has_formula"))
+    placed = filled.join(columns.select("sheet", "head", "col"), ["sheet", "col"]).filter("row > head")
+    kept = placed.select("sheet", "row").distinct().join(labels(cells), ["sheet", "row"])
+    grid = kept.join(columns.drop("head"), "sheet").join(placed.drop("head"), ["sheet", "row", "col"], "left")
+    return grid.select("sheet", "row", "label", "col", "period", "value", F.coalesce("has_formula", F.lit(False)).alias("has_formula"), "forecast")
 
 
 # ---- identities on pasted values
@@ -183,10 +225,10 @@ def roles(rows: DataFrame, found: DataFrame) -> DataFrame:
 def questions(rows: DataFrame, typed: DataFrame, links: DataFrame, missing: DataFrame) -> DataFrame:
     """submission, about, question: what a submitter is asked, each thing once.
 
-    rows: submission, label, role, text, unit, concept; typed (overrides) and links (to other books): submission, label; missing: submission, input.
+    rows: submission, label, role, constants, unit, concept; typed (overrides) and links (to other books): submission, label; missing: submission, input.
     """
     ask: Callable[..., DataFrame] = lambda df, about, what: df.select("submission", F.col(about).alias("about"), F.lit(what).alias("question"))
-    constants = rows.filter(F.size(hidden_constants(F.coalesce("text", F.lit("")))) > 0)
+    constants = rows.filter(F.size("constants") > 0)
     inputs = rows.filter("role = 'input'")
     parts = [ask(constants, "label", "hidden constant"), ask(typed, "label", "typed over a formula"), ask(inputs.filter("unit is null"), "label", "unit"),
              ask(inputs.filter("concept is null"), "label", "concept"), ask(links, "label", "external link"), ask(missing, "input", "expected input")]

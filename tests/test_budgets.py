@@ -49,13 +49,79 @@ def test_identities_of_a_budget(spark):
     assert (roles["result"], roles["sales"], roles["rent"], roles["other"]) == ("computed", "computed (identity)", "input", "input")
 
 
+CELLS = "sheet string, row int, col int, v_str string, v_num double, formula string"
+
+
+def _sheets(spark, labels, formulas_):
+    cells = [(sheet, r, 0, t, None, None) for sheet, texts in labels.items() for r, t in enumerate(texts) if t]
+    return spark.createDataFrame(cells + [(s, r, c, None, None, f) for s, r, c, f in formulas_], CELLS)
+
+
 def test_formulas_become_rules_over_labels(spark):
-    cells = [("Volumes", r, 0, t, None, None) for r, t in enumerate(["DAP", "MAP"])] + [("Prices", 0, 0, "DAP price", None, None), ("Revenue", 0, 0, "DAP revenue", None, None), ("Revenue", 1, 0, "Total", None, None)]
-    cells += [("Revenue", 0, c, None, None, f"=Volumes!{x}1*Prices!{x}1") for c, x in ((1, "B"), (2, "C"), (4, "E"))] + [("Revenue", 0, 3, None, 5.0, None)]
-    cells += [("Revenue", 1, 1, None, None, "=SUM(B1:B1)*1.5+[1]Book!A1")]
-    table = spark.createDataFrame(cells, "sheet string, row int, col int, v_str string, v_num double, formula string")
+    table = _sheets(spark, {"Volumes": ["DAP", "MAP"], "Prices": ["DAP price"], "Revenue": ["DAP revenue", "Total"]},
+                    [("Revenue", 0, c, f"=Volumes!{x}1*Prices!{x}2") for c, x in ((1, "B"), (2, "C"), (4, "E"))] + [("Revenue", 1, 1, "=SUM(B1:B1)*1.5+[1]Book!A1")])
+    table = table.unionByName(spark.createDataFrame([("Revenue", 0, 3, None, 5.0, None)], CELLS))
     texts = formulas.abstracted(table)
-    assert {r["rule"]: r["n"] for r in formulas.row_rules(texts).collect()} == {"=Volumes[DAP]*Prices[DAP price]": 3, "=SUM([DAP revenue] .. [DAP revenue])*1.5+[1]Book!A1": 1}
-    assert {(r["to_sheet"], r["n"]) for r in formulas.dependencies(table).collect()} == {("Volumes", 3), ("Prices", 3), ("external", 1)}
+    assert {r["rule"]: r["n"] for r in formulas.row_rules(texts).collect()} == {"Volumes[row]*Prices[row+1]": 3, "SUM([DAP revenue])*1.5+[1]Book[row-1]": 1}
+    assert {(r["to_sheet"], r["external"], r["n"]) for r in formulas.dependencies(table).collect()} == {("Volumes", False, 3), ("Prices", False, 3), ("[1]Book", True, 1)}
     assert [(r["col"], r["v_num"]) for r in formulas.overrides(table).collect()] == [(3, 5.0)]
-    assert texts.filter("row = 1").select(formulas.hidden_constants(F.col("text"))).first()[0] == ["1.5"]
+    assert texts.filter("row = 1").first()["constants"] == ["1.5"]
+
+
+@pytest.mark.parametrize("formula,text", [
+    ("=SUM(O!B1:B3)", "SUM(O[oth0 .. oth2])"), ("=SUM(B1:B3)", "SUM([block above])"), ("=SUM(B5:B9)", "SUM([block below])"), ("=SUM(B1:B2)", "SUM([own0 .. own1])"),
+    ('=IF(B2="A1",1,0)', 'IF([own1]="A1",1,0)'), ('=B2&"say ""B1"" to A2:A3"', '[own1]&"say ""B1"" to A2:A3"'), ("=[1]Book!A4*2", "[1]Book[row]*2"), ("=[1]Book!A2:A9", "[1]Book[r2 .. r9]"),
+    ("='[2]My book'!A3", "[2]My book[row-1]"), ("='It''s a sheet'!$B$2", "It's a sheet[row-2]"), ("=LOG10(B4)+A1B+x.C2", "LOG10([row])+A1B+x.C2"), ("=$B$2:$D$2", "[own1]"), ("=O!B4", "O[row]"), ("=O!B7", "O[row+3]"),
+    ("=SUM(O!B7:B8)", "SUM(O[r7 .. r8])"), ("=Données!B1", "Données[row-3]"), ("=1.5E3+2", "1.5E3+2"), ("=#REF!A1", "#REF!A1"), ("5", "5")])
+def test_pieces_of_formulas(spark, formula, text):
+    table = _sheets(spark, {"S": ["own0", "own1", "own2", "own3"], "O": ["oth0", "oth1", "oth2", "oth3"]}, [("S", 3, 1, formula)])
+    assert [r["text"] for r in formulas.abstracted(table).collect()] == [text]
+
+
+def test_rules_that_are_not_relative_are_their_rows_own(spark):
+    table = _sheets(spark, {"S": ["a", "b", "rate", "x", "y", "t", ""]}, [("S", 3, 1, "=B3*2"), ("S", 4, 1, "=B3*2"), ("S", 0, 1, "=O!B1"), ("S", 1, 1, "=O!B2"), ("S", 6, 1, "=B3*2")])
+    got = {r["rule"]: (r["rows"], r["example"]) for r in formulas.sheet_rules(formulas.row_rules(formulas.abstracted(table)), formulas.labels(table)).collect()}
+    assert got == {"x = [rate]*2": (1, "x"), "y = [rate]*2": (1, "y"), "r7 = [rate]*2": (1, "r7"), "O[row]": (2, "a")}
+
+
+def test_constants_are_neither_text_nor_names_nor_units(spark):
+    table = spark.createDataFrame([('=IF(B2="2024",B1*1.6*48/1000,0)+\'Plan 2025\'!A77+LOG10(3)+1e3',)], "f string")
+    assert table.select(formulas.hidden_constants(F.col("f"))).first()[0] == ["1.6", "48", "3"]
+
+
+def _rule_rows(*sheets):
+    return [(s, k, label, text, vals) for s, rows in sheets for k, (label, text, vals) in enumerate(rows)]
+
+
+RULES = "submission string, ord int, label string, formula string, vals array<double>"
+PROFIT = [("Volume (kt)", None, [10.0, 0.0, 2.0]), ("Price.x", None, [3.0, 4.0, None]), ("Margin", "[Revenue]-MAX([Volume (kt)],2)^2/4", None), ("Revenue", "[Volume (kt)]×[Price.x]", None),
+          ("Rate", "IFERROR([Margin]/[Revenue],-1)", None), ("All", "SUM([Volume (kt) .. Margin])+ABS(-ROUND([Volume (kt)]/3,1))+MIN([block above])", None)]
+EXPECTED = {"Margin": [5.0, -1.0, None], "Revenue": [30.0, 0.0, None], "Rate": [5 / 30, -1.0, -1.0], "All": [10 + 3 + 5 + 3.3 + 5 / 30, 0 + 4 - 1 + 0 - 1, None]}
+
+
+@pytest.mark.parametrize("most", [0, 16])
+def test_rule_texts_in_columns_and_in_arrays(spark, most):
+    bad = {"cycle": [("a", "[b]+1", None), ("b", "[a]", None)], "unknown": [("a", "[c]", None)], "self": [("a", "[row]*2", None)], "text": [("a", '"x"', None)], "call": [("a", "IF([i],1,2)", None), ("i", None, [1.0])],
+           "open": [("a", "([i]", None), ("i", None, [1.0])], "code": [("a", "__import__('os')", None)]}
+    rows = _rule_rows(("one", PROFIT), ("two", PROFIT), *bad.items())
+    got = pnl.evaluated_sheets(spark.createDataFrame(rows, RULES), most).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r["submission"] in bad:
+            assert r["problem"] and (r["label"] == "i" or r["vals"] is None)
+        else:
+            assert r["problem"] is None and r["vals"] == pytest.approx(EXPECTED.get(r["label"], dict((x, v) for x, _, v in PROFIT)[r["label"]]))
+
+
+def test_models_of_sheets_leave_out_links_and_gaps(spark):
+    head = [("S", 0, c, None, float(y), None, f) for c, y, f in ((1, 2024, "0"), (2, 2025, '0 "f"'))]
+    label = [("S", r, 0, t, None, None, None) for r, t in enumerate(["", "v", "w", "gap", "twice", "linked", "v"]) if t]
+    body = [("S", 1, 1, None, 1.0, None, None), ("S", 1, 2, None, 2.0, None, None), ("S", 2, 1, None, 5.0, None, None), ("S", 2, 2, None, 6.0, None, None), ("S", 3, 1, None, 5.0, None, None),
+            ("S", 4, 1, None, None, "=B2*2+B3", None), ("S", 4, 2, None, 9.0, None, None), ("S", 5, 1, None, None, "=[1]B!A1", None), ("S", 6, 1, None, 7.0, None, None), ("S", 6, 2, None, 7.0, None, None),
+            ("S", 8, 1, None, 7.0, None, None)]
+    cells = spark.createDataFrame(head + label + body, CELLS + ", number_format string")
+    table = formulas.period_table(cells)
+    assert {(r["period"], r["forecast"]) for r in table.collect()} == {("2024-01", False), ("2025-01", True)} and table.filter("row = 8").isEmpty()
+    rows = pnl.discovered_rows(table, formulas.row_rules(formulas.abstracted(cells)))
+    got = {r["label"]: (r["vals"], r["problem"]) for r in pnl.evaluated_sheets(rows).collect()}
+    assert got == {"v": ([1.0, 2.0], None), "w": ([5.0, 6.0], None), "twice": ([7.0, 10.0], None)}
