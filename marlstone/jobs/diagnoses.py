@@ -21,10 +21,11 @@ RATIOS = [("ECONOMY", 1.0), ("LARGE", -0.5), ("PROMO", -0.25)]
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily means with injected moves: an input jumps in every fifth month, the input of that input a month earlier."""
+    """Daily means with injected moves: an input jumps in every fifth month, the input of that input a month earlier; so does a series that is no driver."""
     daily = series.daily_series(assessments(spark, sf_dir))
+    daily = daily.unionByName(daily.filter("concept = 'SMALL'").withColumn("concept", F.lit("BYSTANDER")))
     at = diagnosis.month_index() % 5
-    jump = ((F.col("concept") == "LARGE") & (at == 0)) | ((F.col("concept") == "MEDIUM") & (at == 4)) | ((F.col("concept") == "ECONOMY") & (at == 0) & (F.dayofmonth("date") > 9))
+    jump = ((F.col("concept") == "LARGE") & (at == 0)) | ((F.col("concept") == "MEDIUM") & (at == 4)) | ((F.col("concept") == "ECONOMY") & (at == 0) & (F.dayofmonth("date") > 9)) | ((F.col("concept") == "BYSTANDER") & (at == 2))
     return daily.withColumn("value", F.when(jump, F.col("value") * 4000).otherwise(F.col("value")))
 
 
@@ -60,13 +61,13 @@ def t10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def t13_analogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, drivers = _state(spark, sf_dir)
-    near = diagnosis.analogs(found, diagnosis.episodes(diagnosis.scores(found, drivers)))
+    near = diagnosis.analogs(diagnosis.of_drivers(found, drivers), diagnosis.episodes(diagnosis.scores(found, drivers)))
     return near.withColumns({"mi": F.col("mi").cast("bigint"), "past": F.col("past").cast("bigint")})
 
 
 def t14_analog_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, drivers = _state(spark, sf_dir)
-    near = diagnosis.analogs(found, diagnosis.episodes(diagnosis.scores(found, drivers)))
+    near = diagnosis.analogs(diagnosis.of_drivers(found, drivers), diagnosis.episodes(diagnosis.scores(found, drivers)))
     return diagnosis.analog_support(near).select(F.col("mi").cast("bigint").alias("mi"), "concept", rounded(F.col("support"), 4).alias("support"))
 
 
@@ -83,11 +84,17 @@ def t7_unrankable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnosis.unrankable(spark.createDataFrame(EDGES, "src string, rel string, dst string"), METRIC, PRODUCT, _daily(spark, sf_dir), ["gas"])
 
 
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part type as a product, in two of three months that have orders."""
+    types = table(spark, sf_dir, "part").select(F.col("p_type").alias("product")).distinct()
+    months = table(spark, sf_dir, "orders").select(F.trunc("o_orderdate", "month").alias("d")).distinct().filter(F.month("d") % 3 > 0)
+    return types.select(F.lit(METRIC).alias("metric"), "product").join(months.select(F.date_format("d", "yyyy-MM").alias("month")), how="cross")  # six types
+
+
 def t17_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ranking of the product and of an input that is taken for one."""
     daily = cut(_daily(spark, sf_dir))
-    got = diagnosis.batch(cut(diagnosis.evidence(daily)), daily, spark.createDataFrame(EDGES, "src string, rel string, dst string"), [(METRIC, PRODUCT)])
-    return got.drop("metric", "product")
+    edges = spark.createDataFrame(EDGES, "src string, rel string, dst string")
+    return diagnosis.batch(cut(diagnosis.evidence(daily)), daily, edges, _requests(spark, sf_dir))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,19 +158,50 @@ def t23_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnosis.evaluation(place)
 
 
+def _full_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A case a driver, month of orders, size and onset."""
+    months = table(spark, sf_dir, "orders").select(F.trunc("o_orderdate", "month").alias("first")).distinct()
+    drivers = table(spark, sf_dir, "part").select(F.col("p_type").alias("driver")).distinct()
+    sizes = F.explode(F.array(*map(F.lit, (0.3, 3.0, 30.0)))).alias("size")
+    made = drivers.join(F.broadcast(months), how="cross").select("driver", "first", sizes).withColumn("onset", F.explode(F.array(F.lit(3), F.lit(10))))  # a case a month and type
+    return made.select(F.concat_ws(":", "driver", "first", "size", "onset").alias("case_id"), "driver", F.date_format("first", "yyyy-MM").alias("month"), F.date_add("first", F.col("onset") - 1).alias("start"), "size", "onset")
+
+
+def _case_series(daily: DataFrame, cases: DataFrame) -> DataFrame:
+    """What a case changes: its driver's series, from three months before."""
+    near = diagnosis.shocked(daily, cases).join(cases.select("case_id", F.to_date(F.concat("month", F.lit("-01"))).alias("first")), "case_id")
+    return near.filter((F.col("date") >= F.add_months("first", -diagnosis.BASELINE_MONTHS - 1)) & (F.col("date") < F.add_months("first", 1))).drop("first")
+
+
+def t23_full_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole diagnosis, without analogs, without weekly votes, and the naive rank, on shocks of known driver, size and onset."""
+    daily = cut(series.daily_series(assessments(spark, sf_dir)))
+    cases = cut(_full_cases(spark, sf_dir))
+    places = diagnosis.case_places(daily, cut(_case_series(daily, cases)), cases, cut(_drivers(spark, daily)))
+    placed = places.join(cases.select("case_id", "driver", "size", "onset"), "case_id")
+    return diagnosis.evaluation(placed, ("driver", "size", "onset"), ("method",))
+
+
+def t23_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = cut(series.daily_series(assessments(spark, sf_dir)))
+    cases = cut(_full_cases(spark, sf_dir))
+    return diagnosis.confusions(diagnosis.case_places(daily, cut(_case_series(daily, cases)), cases, cut(_drivers(spark, daily))), cases)
+
+
 def t24_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnosis.report_lines(cut(t16_ranking(spark, sf_dir)))
 
 
 QUERIES = {f.__name__: f for f in (t3_proxy_margin, t6_candidates, t8_evidence, t10_scores, t13_analogs, t14_analog_support, t15_weekly_votes, t16_ranking,
-                                   t7_unrankable, t17_batch, t18_reviewed_labels, t19_listed, t20_answer_problems, t22_shocked, t23_evaluation, t24_report)}
+                                   t7_unrankable, t17_batch, t18_reviewed_labels, t19_listed, t20_answer_problems, t22_shocked, t23_evaluation, t23_full_evaluation,
+                                   t23_confusions, t24_report)}
 
 _RATIOS_SQL = ", ".join(f"('{c}', {r})" for c, r in RATIOS)
 _DAILY = f"""
 o AS (SELECT concept, date, mi, CASE WHEN (concept = 'LARGE' AND mi % 5 = 0) OR (concept = 'MEDIUM' AND mi % 5 = 4)
-    OR (concept = 'ECONOMY' AND mi % 5 = 0 AND day(date) > 9) THEN v * 4000 ELSE v END AS v
-  FROM (SELECT product AS concept, date, floor(avg(mid) * 10 + 0.5) / 10 AS v, year(date) * 12 + month(date) AS mi
-    FROM ({ASSESSMENTS_SQL}) GROUP BY ALL))"""
+    OR (concept = 'ECONOMY' AND mi % 5 = 0 AND day(date) > 9) OR (concept = 'BYSTANDER' AND mi % 5 = 2) THEN v * 4000 ELSE v END AS v
+  FROM (SELECT unnest(CASE WHEN concept = 'SMALL' THEN ['SMALL', 'BYSTANDER'] ELSE [concept] END) AS concept, date, v, mi
+    FROM (SELECT product AS concept, date, floor(avg(mid) * 10 + 0.5) / 10 AS v, year(date) * 12 + month(date) AS mi FROM ({ASSESSMENTS_SQL}) GROUP BY ALL)))"""
 _EVIDENCE = f"""
 {_DAILY},
 bp AS (SELECT k.concept, k.mi AS base, o.mi, o.date, o.v FROM (SELECT DISTINCT concept, mi FROM o) k
@@ -183,11 +221,26 @@ ev AS (SELECT concept, mi, win, floor(ln(1 + least(30.0, 0.5 * abs(ln(any_value(
     floor((any_value(mean) - any_value(ref)) * 1e5 + 0.5) / 1e5 AS delta, floor(100 * (any_value(mean) / any_value(ref) - 1) * 1e4 + 0.5) / 1e4 AS pct,
     floor(any_value(ref) * 1e5 + 0.5) / 1e5 AS reference, count(*) AS n
   FROM ws GROUP BY concept, mi, win HAVING min(v) > 0)"""
-#: The candidates that the graph above gives, as t6 finds them.
-_CANDIDATES = """
-c(concept, role, weight, ord) AS (VALUES ('ECONOMY', 'primary', 1.0::DOUBLE, 0::BIGINT), ('LARGE', 'direct', 1.0, 1), ('PROMO', 'direct', 1.0, 2), ('SMALL', 'direct', 1.0, 3),
-  ('STANDARD', 'direct', 1.0, 4), ('MEDIUM', 'propagation', 0.9, 5)),
-l(up, down) AS (VALUES ('LARGE', 'ECONOMY'), ('PROMO', 'ECONOMY'), ('MEDIUM', 'LARGE'), ('MEDIUM', 'ECONOMY'))"""
+_EDGES_SQL = ", ".join(f"('{a}', '{r}', '{b}')" for a, r, b in EDGES)
+
+
+def _candidates_sql(requests: str) -> str:
+    """Candidates by a walk over the edges from every product and metric asked for; c and l have rq's columns as well."""
+    return f"""
+rq AS ({requests}), ed(src, rel, dst) AS (VALUES {_EDGES_SQL}),
+wk(metric, product, rel, node, path) AS (
+  SELECT metric, product, 'MADE_FROM', product, [product] FROM rq UNION ALL SELECT metric, product, 'DEPENDS_ON', metric, [metric] FROM rq
+  UNION ALL SELECT w.metric, w.product, w.rel, e.dst, list_append(w.path, e.dst) FROM wk w JOIN ed e ON e.src = w.node AND e.rel = w.rel AND NOT list_contains(w.path, e.dst)),
+sp AS (SELECT metric, product, rel, node, arg_min(path, (len(path), path)) AS path FROM wk GROUP BY ALL),
+fd AS (SELECT metric, product, node AS concept, max(path) FILTER (rel = 'MADE_FROM') AS made, max(path) FILTER (rel = 'DEPENDS_ON' AND len(path) > 1) AS lean
+  FROM sp WHERE node IN (SELECT p_type FROM part) GROUP BY ALL HAVING made IS NOT NULL OR lean IS NOT NULL),
+rl AS (SELECT *, CASE WHEN len(made) = 1 THEN 'primary' WHEN len(made) = 2 OR lean IS NOT NULL THEN 'direct' ELSE 'propagation' END AS role FROM fd),
+c AS (SELECT metric, product, concept, role, CASE role WHEN 'propagation' THEN 0.9::DOUBLE ELSE 1.0 END AS weight, coalesce(made, lean) AS path,
+    row_number() OVER (PARTITION BY metric, product ORDER BY role = 'propagation', role = 'direct', concept) - 1 AS ord FROM rl),
+l AS (SELECT * FROM (SELECT metric, product, concept AS up, unnest(made[:-2]) AS down FROM rl) WHERE down IN (SELECT p_type FROM part))"""
+
+
+_CANDIDATES = _candidates_sql(f"SELECT '{METRIC}' AS metric, '{PRODUCT}' AS product")
 _SCORES = f"""
 {_EVIDENCE}, {_CANDIDATES},
 past AS (SELECT mi + 1 AS mi, unnest(['month', 'w1', 'w2', 'w3', 'w4']) AS win, concept, abnormality AS pa, direction AS pway, onset AS ponset FROM ev WHERE win = 'month'),
@@ -204,7 +257,7 @@ sc AS (SELECT concept, role, ord, mi, win, onset, ponset,
   FROM raw JOIN c USING (concept))"""
 _ANALOGS = f"""
 {_SCORES},
-v AS (SELECT concept, mi, z * direction AS z FROM ev WHERE win = 'month'),
+v AS (SELECT concept, mi, z * direction AS z FROM ev WHERE win = 'month' AND concept IN (SELECT concept FROM c)),
 nm AS (SELECT mi, sqrt(sum(z * z)) AS norm FROM v GROUP BY mi),
 sim AS (SELECT mi, past, floor(dot / (x.norm * y.norm) * 1000 + 0.5) / 1000 AS similarity FROM (
     SELECT p.mi, q.mi AS past, sum(p.z * q.z) AS dot FROM v p JOIN v q ON p.concept = q.concept AND q.mi < p.mi GROUP BY ALL)
@@ -225,16 +278,16 @@ SELECT month, floor(sum(ratio * mean) * 100 + 0.5) / 100 AS margin FROM (
 JOIN (VALUES {_RATIOS_SQL}) r(concept, ratio) USING (concept) GROUP BY month HAVING count(DISTINCT concept) = {len(RATIOS)}
 """,
     "t6_candidates": f"""
-WITH {_CANDIDATES} SELECT concept, role, ord, coalesce((SELECT string_agg(down, ',' ORDER BY down) FROM l WHERE up = concept), '') AS downstream, path, routes
-FROM c JOIN (VALUES ('ECONOMY', 'ECONOMY', ''), ('LARGE', 'ECONOMY,LARGE', 'cape,suez'), ('PROMO', 'ECONOMY,PROMO', ''), ('SMALL', 'margin,SMALL', 'suez'), ('STANDARD', 'margin,freight,STANDARD', ''), ('MEDIUM', 'ECONOMY,LARGE,MEDIUM', '')) p(concept, path, routes) USING (concept) WHERE concept IN (SELECT p_type FROM part)
+WITH RECURSIVE {_CANDIDATES} SELECT concept, role, ord, coalesce((SELECT string_agg(down, ',' ORDER BY down) FROM l WHERE up = concept), '') AS downstream, array_to_string(path, ',') AS path,
+  coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM ed WHERE src = concept AND rel = 'TRANSITS'), '') AS routes FROM c
 """,
     "t8_evidence": f"WITH {_EVIDENCE} SELECT * FROM ev",
-    "t10_scores": f"WITH {_SCORES} SELECT * FROM sc",
-    "t13_analogs": f"WITH {_ANALOGS} SELECT * FROM an",
-    "t14_analog_support": f"WITH {_ANALOGS} SELECT mi, concept, floor(support * 10000 + 0.5) / 10000 AS support FROM su",
-    "t15_weekly_votes": f"WITH {_SCORES}, {_VOTES} SELECT * FROM vo",
+    "t10_scores": f"WITH RECURSIVE {_SCORES} SELECT * FROM sc",
+    "t13_analogs": f"WITH RECURSIVE {_ANALOGS} SELECT * FROM an",
+    "t14_analog_support": f"WITH RECURSIVE {_ANALOGS} SELECT mi, concept, floor(support * 10000 + 0.5) / 10000 AS support FROM su",
+    "t15_weekly_votes": f"WITH RECURSIVE {_SCORES}, {_VOTES} SELECT * FROM vo",
     "t16_ranking": f"""
-WITH {_ANALOGS}, {_VOTES},
+WITH RECURSIVE {_ANALOGS}, {_VOTES},
 m AS (SELECT mi, concept, role, ord, score AS s_evid, onset, coalesce(support, 0.0) AS support, coalesce(votes, 0) AS votes,
     CASE WHEN mi IN (SELECT mi FROM an) THEN 0.8 ELSE 1.0 END::DOUBLE AS alpha
   FROM sc LEFT JOIN su USING (mi, concept) LEFT JOIN vo USING (mi, concept)
@@ -251,8 +304,35 @@ _CASES_SQL = f"""dl AS (SELECT product AS concept, date, floor(avg(mid) * 10 + 0
 ca AS (SELECT driver, m, size, driver || ':' || m || ':' || size AS case_id, make_date(1997, CAST(m AS INT), 5) AS start FROM (SELECT DISTINCT p_type AS driver FROM part), range(1, 13) r(m), (VALUES (0.5::DOUBLE), (3.0)) z(size)),
 sh AS (SELECT case_id, driver, size, start, concept, date, floor(CASE WHEN date >= start THEN value * (1 + size) ELSE value END * 10000 + 0.5) / 10000 AS value FROM ca JOIN dl ON concept = driver)"""
 ORACLE_SQL |= {
-    "t7_unrankable": "SELECT concept FROM (VALUES ('sulphur'), ('fx')) t(concept) WHERE concept NOT IN (SELECT p_type FROM part)",
-    "t17_batch": ORACLE_SQL["t16_ranking"],
+    "t7_unrankable": f"""WITH RECURSIVE {_CANDIDATES} SELECT DISTINCT node AS concept FROM sp WHERE node NOT IN (SELECT src FROM ed) AND node NOT IN (SELECT p_type FROM part) AND node NOT IN ('{METRIC}', '{PRODUCT}', 'gas')""",
+    "t17_batch": f"""
+WITH RECURSIVE {_EVIDENCE}, {_candidates_sql(f"SELECT DISTINCT '{METRIC}' AS metric, p_type AS product FROM part")},
+pe AS (SELECT mi + 1 AS mi, unnest(['month', 'w1', 'w2', 'w3', 'w4']) AS win, concept, abnormality AS pa, direction AS pway, onset AS ponset FROM ev WHERE win = 'month'),
+st AS (SELECT metric, product, role, weight, ord, e.* FROM (SELECT * FROM (SELECT mi, win, concept, abnormality AS a, direction AS way, onset FROM ev) FULL JOIN pe USING (mi, win, concept)) e JOIN c USING (concept)),
+up AS (SELECT s.metric, s.product, s.concept, s.mi, s.win, max(CASE WHEN u.onset <= coalesce(s.onset, '9999') AND u.way = s.way THEN u.a END) AS x1, max(CASE WHEN u.ponset IS NOT NULL AND u.pway = s.way THEN u.pa END) AS x2
+  FROM st s JOIN l ON l.metric = s.metric AND l.product = s.product AND l.down = s.concept JOIN st u ON u.metric = s.metric AND u.product = s.product AND u.concept = l.up AND u.mi = s.mi AND u.win = s.win GROUP BY ALL),
+dn AS (SELECT s.metric, s.product, s.concept, s.mi, s.win, avg(CASE WHEN d.onset >= s.onset AND d.way = s.way THEN d.a END) AS later, avg(CASE WHEN d.onset IS NOT NULL AND d.way = s.pway THEN d.a END) AS conf
+  FROM st s JOIN l ON l.metric = s.metric AND l.product = s.product AND l.up = s.concept JOIN st d ON d.metric = s.metric AND d.product = s.product AND d.concept = l.down AND d.mi = s.mi AND d.win = s.win GROUP BY ALL),
+sc AS (SELECT metric, product, concept, role, ord, mi, win, onset, ponset,
+    floor(greatest(coalesce(weight * a * (1 - 0.8 * CASE WHEN a > 0 THEN least(1.0, greatest(coalesce(x1, 0), coalesce(x2, 0)) / a) ELSE 0.0 END) + 0.2 * a * coalesce(later, 0), 0.0),
+      CASE WHEN ponset IS NOT NULL THEN pa * sqrt(coalesce(conf, 0)) ELSE 0.0 END) * 10000 + 0.5) / 10000 AS score
+  FROM st LEFT JOIN up USING (metric, product, concept, mi, win) LEFT JOIN dn USING (metric, product, concept, mi, win)),
+v AS (SELECT metric, product, concept, mi, z * direction AS z FROM ev JOIN c USING (concept) WHERE win = 'month'),
+nm AS (SELECT metric, product, mi, sqrt(sum(z * z)) AS norm FROM v GROUP BY ALL),
+dt AS (SELECT p.metric, p.product, p.mi, q.mi AS past, sum(p.z * q.z) AS dot FROM v p JOIN v q ON p.metric = q.metric AND p.product = q.product AND p.concept = q.concept AND q.mi < p.mi GROUP BY ALL),
+ep AS (SELECT metric, product, mi AS past, concept AS top FROM sc WHERE win = 'month' QUALIFY row_number() OVER (PARTITION BY metric, product, mi ORDER BY score DESC, ord) = 1),
+an AS (SELECT dt.metric, dt.product, dt.mi, past, top, floor(dot / (x.norm * y.norm) * 1000 + 0.5) / 1000 AS similarity FROM dt JOIN nm x USING (metric, product, mi)
+  JOIN nm y ON y.metric = dt.metric AND y.product = dt.product AND y.mi = past JOIN ep USING (metric, product, past) WHERE x.norm > 0 AND y.norm > 0
+  QUALIFY row_number() OVER (PARTITION BY dt.metric, dt.product, dt.mi ORDER BY similarity DESC, past) <= 3 AND similarity > 0),
+su AS (SELECT metric, product, mi, top AS concept, sum(similarity) / sum(sum(similarity)) OVER (PARTITION BY metric, product, mi) AS support FROM an GROUP BY metric, product, mi, top),
+vo AS (SELECT metric, product, mi, concept, CAST(sum(4 - place) AS BIGINT) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY metric, product, mi, win ORDER BY score DESC, ord) AS place FROM sc
+    WHERE win <> 'month' AND (onset IS NOT NULL OR ponset IS NOT NULL)) WHERE place <= 3 GROUP BY ALL),
+m AS (SELECT sc.*, coalesce(support, 0.0) AS support, coalesce(votes, 0) AS votes, CASE WHEN EXISTS (SELECT 1 FROM an WHERE an.metric = sc.metric AND an.product = sc.product AND an.mi = sc.mi) THEN 0.8::DOUBLE ELSE 1.0 END AS alpha
+  FROM sc LEFT JOIN su USING (metric, product, mi, concept) LEFT JOIN vo USING (metric, product, mi, concept)
+  WHERE win = 'month' AND EXISTS (SELECT 1 FROM v WHERE v.metric = sc.metric AND v.product = sc.product AND v.mi = sc.mi)),
+t AS (SELECT *, printf('%04d-%02d', (mi - 1) // 12, (mi - 1) % 12 + 1) AS month, floor((alpha * score + (1 - alpha) * support) * 10000 + 0.5) / 10000 AS total FROM m)
+SELECT metric, product, month, row_number() OVER (PARTITION BY metric, product, mi ORDER BY votes DESC, total DESC, coalesce(onset, '9999'), ord) AS rank, concept, role, score AS s_evid,
+  floor(support * 1000 + 0.5) / 1000 AS s_ret, total AS score, votes, onset FROM t WHERE month IN (SELECT strftime(o_orderdate, '%Y-%m') FROM orders WHERE month(o_orderdate) % 3 > 0)""",
     "t18_reviewed_labels": f"WITH {_DOCS_SQL} SELECT metric, product, period, arg_max(CASE WHEN k % 3 = 0 THEN top1 ELSE next END, file) AS label FROM d WHERE k % 3 < 2 GROUP BY ALL",
     "t19_listed": f"WITH {_DOCS_SQL} SELECT file, status, metric, product, period, top1, CASE WHEN k % 5 > 0 THEN next END AS deterministic_top1, CASE k % 3 WHEN 0 THEN top1 WHEN 1 THEN next END AS reviewed_top1 FROM d",
     "t20_answer_problems": """SELECT o_orderkey AS answer_id, concat_ws(',', CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 3 = 0 THEN 'driver not ranked' END, CASE WHEN o_orderkey % 4 = 0 THEN 'path not in the graph' END,
