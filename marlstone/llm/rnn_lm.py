@@ -150,7 +150,7 @@ class Lanes:
         sizes = np.array([len(docs[d]) for d in order], np.int64)
         self.target = np.concatenate([docs[d] for d in order]).astype(np.int64) if order else np.zeros(0, np.int64)
         self.doc = np.repeat(np.array(order, np.int64), sizes)
-        first = np.cumsum(sizes) - sizes
+        first = (np.cumsum(sizes) - sizes)[sizes > 0]
         self.input = np.concatenate(([START], self.target[:-1])) if order else self.target
         self.input[first] = START
         self.keep = np.ones((len(self.target), 1), np.float32)  # 0 where a document begins
