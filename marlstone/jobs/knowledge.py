@@ -38,13 +38,13 @@ _EDGES_SQL = """edges AS (SELECT DISTINCT 'p' || l_partkey AS src, CASE WHEN l_l
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A part's brand and name, and its type, name it."""
-    part = table(spark, sf_dir, "part").filter("p_partkey % 20 = 0")
+    part = table(spark, sf_dir, "part")
     cid = F.concat(F.lit("p"), F.col("p_partkey")).alias("concept_id")
     return part.select(F.concat_ws(" ", "p_brand", "p_name").alias("term"), cid).unionByName(part.select(F.col("p_type").alias("term"), cid)).distinct()
 
 
-_TERMS_SQL = """terms AS (SELECT DISTINCT term, concept_id FROM (SELECT p_brand || ' ' || p_name AS term, 'p' || p_partkey AS concept_id FROM part WHERE p_partkey % 20 = 0
-  UNION ALL SELECT p_type, 'p' || p_partkey FROM part WHERE p_partkey % 20 = 0))"""
+_TERMS_SQL = """terms AS (SELECT DISTINCT term, concept_id FROM (SELECT p_brand || ' ' || p_name AS term, 'p' || p_partkey AS concept_id FROM part
+  UNION ALL SELECT p_type, 'p' || p_partkey FROM part))"""
 
 
 def v1_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,19 +86,19 @@ def v7_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First lines of documents as labels, and parts' names with a unit."""
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("label_id"), F.substring_index(F.substring("text", 1, 40), "\n", 1).alias("label"))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("label_id"), F.substring_index("text", "\n", 1).alias("label"))
     parts = table(spark, sf_dir, "part").select(F.concat(F.lit("l"), F.col("p_partkey")).alias("label_id"), F.concat_ws(" ", F.initcap("p_name"), F.lit("of the"), "p_brand", F.lit("(kt)")).alias("label"))
     return docs.unionByName(parts)
 
 
-_LABELS_SQL = """labels AS (SELECT 'd' || doc_id AS label_id, split_part(substr(text, 1, 40), chr(10), 1) AS label FROM documents
+_LABELS_SQL = """labels AS (SELECT 'd' || doc_id AS label_id, split_part(text, chr(10), 1) AS label FROM documents
   UNION ALL SELECT 'l' || p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') || ' of the ' || p_brand || ' (kt)' FROM part)"""
 _NORM_SQL = "list_filter(regexp_extract_all(lower(regexp_replace(strip_accents({}), '[^\\x00-\\x7F]', '', 'g')), '[a-z0-9]+'), lambda w: w NOT IN ('" + "', '".join(vocabulary.STOP_WORDS) + "'))"
 
 
 def v8_concept_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts are the concepts; frequent words of the documents name some of them too."""
-    part = table(spark, sf_dir, "part").filter("p_partkey % 40 = 0")
+    part = table(spark, sf_dir, "part")
     words = {"le": "p0", "that": "p40", "und die": "p80", "de la": "p120", "was": "p160"}
     more = spark.createDataFrame(list(words.items()), "term string, concept_id string")
     terms = part.select(F.col("p_name").alias("term"), F.concat(F.lit("p"), F.col("p_partkey")).alias("concept_id")).unionByName(more)
@@ -220,7 +220,7 @@ ORACLE_SQL = {
   LEFT JOIN (SELECT src AS id, string_agg(rel || ' ' || dst, ', ' ORDER BY rel || ' ' || dst) AS o FROM edges GROUP BY 1) USING (id)
   LEFT JOIN (SELECT dst AS id, string_agg(rel || ' ' || src, ', ' ORDER BY rel || ' ' || src) AS i FROM edges GROUP BY 1) USING (id)
   LEFT JOIN (SELECT concept_id AS id, string_agg(term, ', ' ORDER BY term) AS t FROM terms GROUP BY 1) USING (id)""",
-    "v8_concept_match": f"""WITH {_LABELS_SQL}, pt AS (SELECT *, 'p' || p_partkey AS cid FROM part WHERE p_partkey % 40 = 0),
+    "v8_concept_match": f"""WITH {_LABELS_SQL}, pt AS (SELECT *, 'p' || p_partkey AS cid FROM part),
 t AS (SELECT DISTINCT cid, w FROM (SELECT cid, {_NORM_SQL.format("term")} AS w FROM (SELECT cid, p_name AS term FROM pt UNION ALL SELECT cid, p_name || ' ' || replace(p_brand, '#', ' ') FROM pt
   UNION ALL SELECT * FROM (VALUES ('p0', 'le'), ('p40', 'that'), ('p80', 'und die'), ('p120', 'de la'), ('p160', 'was')))) WHERE len(w) > 0),
 l AS (SELECT label_id, list_distinct({_NORM_SQL.format("coalesce(label, '')")}) AS lw FROM labels),

@@ -102,15 +102,21 @@ def neighbourhood(concepts: DataFrame, edges: DataFrame, terms: DataFrame) -> Da
 def matched(labels: DataFrame, terms: DataFrame, kinds: DataFrame, order: list[str] | None = None) -> DataFrame:
     """label_id, concept_id, score and decision of each label (label_id, label); kinds: concept_id, kind.
 
-    A term matches when all its words are in the label, and scores by how much of the label it covers; labels and terms meet on
-    their words, so no pair is looked at that shares none. order: allowed kinds, earlier ones win ties; then the least id.
+    A term matches when all its words are in the label, and scores by how much of the label it covers. Each term is looked for under
+    its rarest word only, by the number of labels that have it; a term with a word that no label has is not looked for. So no
+    pair meets on a common word unless a term has no other. order: allowed kinds, earlier ones win ties; then the least id.
     """
-    words = labels.select("label_id", F.array_distinct(norm_words(F.col("label"))).alias("w"))
-    words = words.select("label_id", F.size("w").alias("n_label"), F.explode("w").alias("word"))
+    held = labels.select("label_id", F.array_distinct(norm_words(F.col("label"))).alias("held"))
+    words = held.select("label_id", F.explode("held").alias("word"))
     own = terms.select("concept_id", norm_words(F.col("term")).alias("w")).distinct().filter("size(w) > 0")
-    own = own.select("concept_id", F.array_join("w", " ").alias("term_"), F.size("w").alias("n_term"), F.size(F.array_distinct("w")).alias("k"), F.explode(F.array_distinct("w")).alias("word"))
-    hits = words.join(own, "word").groupBy("label_id", "concept_id", "term_").agg(
-        F.count("*").alias("have"), F.first("k").alias("k"), F.first("n_term").alias("n_term"), F.first("n_label").alias("n_label")).filter("have = k")
+    own = own.groupBy("w").agg(F.collect_set("concept_id").alias("concepts"))  # concepts that share a term are looked up once
+    own = own.select("w", "concepts", F.explode(F.array_distinct("w")).alias("word"))
+    often = words.join(own.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("often"))
+    rarest = own.join(often, "word", "left").groupBy("w").agg(
+        F.min_by("word", F.struct("often", "word")).alias("word"), F.min("concepts").alias("concepts"), F.count_if(F.col("often").isNull()).alias("absent"))
+    met = words.join(rarest.filter("absent = 0"), "word").select("label_id", "w", "concepts")
+    hits = met.join(held, "label_id").filter(F.size(F.array_except("w", "held")) == 0).select(
+        "label_id", F.explode("concepts").alias("concept_id"), F.size("w").alias("n_term"), F.size("held").alias("n_label"))
     best = hits.groupBy("label_id", "concept_id").agg(F.max(0.5 + 0.5 * F.col("n_term") / F.col("n_label")).alias("score")).join(kinds, "concept_id")
     place = F.lit(0)
     if order:
