@@ -169,7 +169,7 @@ def _budget_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d2_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formulas.identities(_budget_rows(spark, sf_dir))
+    return formulas.identities(_budget_rows(spark, sf_dir)).withColumn("k", rounded(F.col("k"), 6))
 
 
 def d3_roles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,14 +5,12 @@ Cells are (sheet, row, col, v_str, v_num, formula, number_format), counted from
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.lineage import cut
 from marlstone.operators.grids import FORECAST, period
 
 LABEL_COLUMNS = 6
@@ -140,79 +138,116 @@ def period_table(cells: DataFrame, rows: int = 30) -> DataFrame:
 # ---- identities on pasted values
 
 
-def _close(a: np.ndarray, b: np.ndarray | float) -> bool:
-    return bool(np.all(np.abs(a - b) <= REL_TOL * np.maximum(np.maximum(np.abs(a), np.abs(b)), 1e-9)))
+def _close(a: Column, b: Column) -> Column:
+    return F.abs(a - b) <= REL_TOL * F.greatest(F.abs(a), F.abs(b), F.lit(1e-9))
 
 
-def _constant(x: np.ndarray) -> float | None:
-    return float(x[0]) if len(x) and np.isfinite(x).all() and _close(x, x[0]) else None
+def _all_close(a: Column, b: Column) -> Column:
+    return F.forall(F.zip_with(a, b, _close), lambda x: x)
 
 
-def _sum_of(target: str, values: dict[str, np.ndarray], amounts: list[str], told: set[frozenset[str]]) -> tuple[str, list[str]] | None:
-    """The first sum of two to MAX_TERMS other amounts, with signs, that is the target and was not told about another row."""
-    others = [x for x in amounts if x != target]
-    for size in range(2, MAX_TERMS + 1):
-        signs = np.array(list(itertools.product((1, -1), repeat=size - 1)))
-        signs = np.concatenate((np.ones((len(signs), 1), int), signs), 1)
-        for combo in itertools.combinations(others, size):
-            if frozenset((target, *combo)) in told:
-                continue
-            sums = signs @ np.stack([values[x] for x in combo])
-            for s, total in zip(signs, sums, strict=True):
-                if _close(values[target], total):
-                    told.add(frozenset((target, *combo)))
-                    return "".join(("+" if k > 0 else "-") + f"[{x}]" for k, x in zip(s, combo, strict=True)), list(combo)
-    return None
-
-
-def _identities(sheet: pd.DataFrame) -> list[tuple[str, str, str]]:
-    """(row, kind, expression) of one sheet's rows: label, driver, concept, vals."""
-    rows = [r for r in sheet.itertuples() if r.vals is not None and len(r.vals) >= 3 and all(v is not None and v == v for v in r.vals)]
-    values = {r.label: np.array(r.vals, float) for r in rows}
-    kind = {r.label: r.driver for r in rows}
-    concept = {r.label: r.concept for r in rows}
-    flat = {x for x, v in values.items() if _constant(v) is not None}
-    out = [(x, "flat", "constant") for x in values if x in flat]
-    amounts = [x for x in values if kind[x] in PRIORITY]
-    told: set[frozenset[str]] = set()
-
-    def factor(target: str, *terms: str) -> float | None:
-        product = np.prod([values[t] for t in terms], axis=0)
-        return _constant(values[target] / product) if (product != 0).all() else None
-
-    for t in sorted((x for x in amounts if x not in flat), key=lambda x: PRIORITY.index(kind[x])):
-        hit = _sum_of(t, values, amounts, told)
-        if hit:
-            out.append((t, "sum", hit[0]))
-            continue
-        volumes = [x for x in values if kind[x] == "volume"]
-        prices = [x for x in values if kind[x] == "price" and (kind[t] == "revenue" or not concept[t] or concept[x] == concept[t])]
-        found = None
-        if kind[t] in ("revenue", "cost", "unknown"):
-            found = next(((k, v, p) for v in volumes for p in prices if (k := factor(t, v, p)) is not None), None)
-        if not found and kind[t] in ("cost", "unknown", "freight"):
-            found = next(((k, v) for v in volumes if v not in flat and (k := factor(t, v)) is not None), None)
-        if found:
-            out.append((t, "product" if len(found) == 3 else "ratio", f"{found[0]:.6g}" + "".join(f"*[{x}]" for x in found[1:])))
-    for t in (x for x in values if x not in {o[0] for o in out}):
-        v = values[t]
-        growth = _constant(v[1:] / v[:-1]) if (v[:-1] != 0).all() else None
-        if growth is not None:
-            out.append((t, "growth", f"{100 * (growth - 1):+.2f}%"))
-    return out
+def _constant(vals: Column) -> Column:
+    return F.forall(vals, lambda x: _close(x, F.get(vals, F.lit(0))))
 
 
-def identities(rows: DataFrame) -> DataFrame:
-    """submission, label, kind, expr: relations that hold in every period between a submission's rows (label, driver, concept, vals in
-    sheet order ord). The search tries sums of up to four rows, so it runs in numpy, a submission at a time."""
+def _times(sign: Column, vals: Column) -> Column:
+    return F.transform(vals, lambda x: x * sign)
+
+
+def _sums(terms: DataFrame, size: int) -> DataFrame:
+    """submission, ords, labels, signs and vals of the signed sums of so many terms (one or two) in sheet order, under both signs of each."""
+    one = terms.withColumn("sign", F.explode(F.array(F.lit(1.0), F.lit(-1.0)))).select(
+        "submission", F.array("ord").alias("ords"), F.array("label").alias("labels"), F.array("sign").alias("signs"), _times(F.col("sign"), F.col("vals")).alias("vals"))
+    if size == 1:
+        return one
+    other = one.select("submission", *[F.col(c).alias(f"{c}_") for c in ("ords", "labels", "signs", "vals")])
+    both = one.join(other, "submission").filter(F.col("ords")[0] < F.col("ords_")[0])
+    return both.select("submission", *[F.concat(c, f"{c}_").alias(c) for c in ("ords", "labels", "signs")], F.zip_with("vals", "vals_", lambda x, y: x + y).alias("vals"))
+
+
+def _met(targets: DataFrame, terms: DataFrame, size: int) -> DataFrame:
+    """submission, label, rank (of the target), ords, labels, signs: all sums of so many terms that are a target, the first with sign plus.
 
-    def search(sheet: pd.DataFrame) -> pd.DataFrame:
-        found = _identities(sheet.sort_values("ord"))
-        texts = {c: pd.Series([f[k] for f in found], dtype=object) for k, c in enumerate(("label", "kind", "expr"))}
-        return pd.DataFrame({"submission": [sheet["submission"].iloc[0]] * len(found), **texts})
+    Half of a sum is taken from the target, and what is left meets the other half, whose terms come later in the sheet, in cells of the first
+    period's values as wide as the target's tolerance (rounded up to a power of two), and in the neighbouring cells; the values of all periods decide.
+    """
+    first, second = (1, 1) if size == 2 else (2, size - 2)
+    tolerance = 1.01 * REL_TOL * F.greatest(F.abs(F.col("t_vals")[0]), F.lit(1e-9))
+    named = targets.select("submission", F.col("label").alias("t"), "rank", F.col("vals").alias("t_vals")).withColumn("width", F.ceil(F.log2(tolerance)).cast("int"))
+    scale = lambda w: F.pow(F.lit(2.0), F.col(w))
+    halves = named.join(_sums(terms, first).filter(F.col("signs")[0] > 0), "submission").filter(~F.array_contains("labels", F.col("t")))
+    left = F.zip_with("t_vals", "vals", lambda x, y: x - y)
+    halves = halves.withColumn("left", left).withColumn("cell", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("left")[0] / scale("width")) + d)))
+    widths = named.select("submission", "width").distinct()
+    rest = _sums(terms, second).join(widths, "submission").withColumn("cell", F.floor(F.col("vals")[0] / scale("width"))).select(
+        "submission", "width", "cell", *[F.col(c).alias(f"{c}_") for c in ("ords", "labels", "signs", "vals")])
+    both = halves.join(rest, ["submission", "width", "cell"]).filter(
+        (F.array_max("ords") < F.array_min("ords_")) & ~F.array_contains("labels_", F.col("t"))
+        & _all_close(F.col("t_vals"), F.zip_with("vals", "vals_", lambda x, y: x + y)))
+    return both.select("submission", F.col("t").alias("label"), "rank", *[F.concat(c, f"{c}_").alias(c) for c in ("ords", "labels", "signs")])
+
+
+def _chosen(found: DataFrame) -> DataFrame:
+    """submission, label, expr: each target's first sum, in order of targets, whose rows no target before has told about."""
+    order = F.struct("rank", "ords", F.transform("signs", lambda s: -s).alias("turned"), "label", "labels", "signs", F.array_sort(F.concat(F.array("label"), "labels")).alias("rows"))
+    each = found.groupBy("submission").agg(F.array_sort(F.collect_list(order)).alias("found"))
+    empty = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<array<string>>").alias("told"), F.filter("found", lambda x: F.lit(False)).alias("hits"))
+
+    def step(state: Column, x: Column) -> Column:
+        new = ~F.array_contains(state["done"], x["label"]) & ~F.array_contains(state["told"], x["rows"])
+        more = F.struct(F.array_append(state["done"], x["label"]).alias("done"), F.array_append(state["told"], x["rows"]).alias("told"), F.array_append(state["hits"], x).alias("hits"))
+        return F.when(new, more).otherwise(state)
+
+    hits = each.select("submission", F.explode(F.aggregate("found", empty, step, lambda state: state["hits"])).alias("h"))
+    expr = F.array_join(F.zip_with("h.signs", "h.labels", lambda s, x: F.concat(F.when(s > 0, "+").otherwise("-"), F.lit("["), x, F.lit("]"))), "")
+    return hits.select("submission", "h.label", expr.alias("expr"))
+
+
+def _factors(targets: DataFrame, rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """submission, label, expr, k of targets that are a constant times a row of each kind, the first such rows in sheet order."""
+    now = targets.select("submission", "label", F.col("driver").alias("t_driver"), F.col("concept").alias("t_concept"), F.col("vals").alias("rest"), F.array().cast("array<int>").alias("ords"), F.lit("").alias("expr"))
+    for kind in kinds:
+        factor = rows.filter(F.col("driver") == kind)
+        if kinds == ("volume",):
+            factor = factor.filter("not flat")
+        now = now.join(factor.select("submission", "ord", F.col("label").alias("f"), "concept", "vals"), "submission")
+        if kind == "price":  # a cost's price is its own concept's
+            now = now.filter((F.col("t_driver") == "revenue") | F.coalesce(F.col("t_concept") == "", F.col("t_concept").isNull()) | F.col("concept").eqNullSafe(F.col("t_concept")))
+        quotient = F.zip_with("rest", "vals", lambda x, y: F.try_divide(x, y))
+        now = now.filter(F.forall("vals", lambda x: x != 0)).select(
+            "submission", "label", "t_driver", "t_concept", quotient.alias("rest"), F.array_append("ords", F.col("ord").cast("int")).alias("ords"), F.concat("expr", F.lit("*["), "f", F.lit("]")).alias("expr"))
+    fits = now.filter(_constant(F.col("rest")))
+    return fits.groupBy("submission", "label").agg(F.min(F.struct("ords", "expr", F.col("rest")[0].alias("k"))).alias("m")).select(
+        "submission", "label", F.substring("m.expr", 2, 1_000_000).alias("expr"), "m.k")
+
+
+def identities(rows: DataFrame) -> DataFrame:
+    """submission, label, kind, expr, k: relations that hold in every period between a submission's rows (label, driver, concept, vals in sheet order ord).
 
-    kind = rows.schema["submission"].dataType.simpleString()
-    return rows.select("submission", "ord", "label", "driver", "concept", "vals").groupBy("submission").applyInPandas(search, f"submission {kind}, label string, kind string, expr string")
+    A row is flat; or an amount is a signed sum of two to four others, k times a volume and a price, or k times a volume; or it grows by
+    a constant rate k. Rows of less than three periods, or with gaps, take no part; of rows with equal labels the last counts. Amounts are
+    looked at in the order of PRIORITY, and a sum is told about its first row only. Sums of each size are found by joins over what is still unexplained.
+    """
+    full = rows.filter((F.size("vals") >= 3) & F.forall("vals", lambda v: v.isNotNull() & ~F.isnan(v)))
+    last = Window.partitionBy("submission", "label").orderBy(F.col("ord").desc())
+    full = full.withColumn("nth_", F.row_number().over(last)).filter("nth_ = 1").withColumn("flat", _constant(F.col("vals")))
+    full = cut(full.select("submission", F.col("ord").cast("int").alias("ord"), "label", "driver", "concept", "vals", "flat"))
+    out = full.filter("flat").select("submission", "label", F.lit("flat").alias("kind"), F.lit("constant").alias("expr"), F.col("vals")[0].alias("k"))
+    place = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("driver"))
+    amounts = full.filter(F.col("driver").isin(PRIORITY))
+    open_ = amounts.filter("not flat").withColumn("rank", F.struct(place.alias("p"), "ord"))
+    for size in range(2, MAX_TERMS + 1):
+        hit = cut(_chosen(_met(open_, amounts, size)))
+        out = out.unionByName(hit.select("submission", "label", F.lit("sum").alias("kind"), "expr", F.lit(None).cast("double").alias("k")))
+        open_ = cut(open_.join(hit, ["submission", "label"], "left_anti"))
+    for kind, of, drivers in (("product", ("volume", "price"), ["revenue", "cost", "unknown"]), ("ratio", ("volume",), ["cost", "unknown", "freight"])):
+        hit = cut(_factors(open_.filter(F.col("driver").isin(drivers)), full, of))
+        out = out.unionByName(hit.select("submission", "label", F.lit(kind).alias("kind"), "expr", "k"))
+        open_ = open_.join(hit, ["submission", "label"], "left_anti")
+    rest = full.join(out.select("submission", "label"), ["submission", "label"], "left_anti")
+    growth = F.zip_with(F.slice("vals", 2, F.size("vals") - 1), F.slice("vals", 1, F.size("vals") - 1), lambda x, y: F.try_divide(x, y))
+    growing = rest.withColumn("g", growth).filter(F.forall("g", lambda x: x.isNotNull()) & _constant(F.col("g")))
+    return out.unionByName(growing.select("submission", "label", F.lit("growth").alias("kind"), F.lit("per period").alias("expr"), (F.col("g")[0] - 1).alias("k")))
 
 
 def roles(rows: DataFrame, found: DataFrame) -> DataFrame:

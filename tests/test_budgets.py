@@ -1,5 +1,9 @@
 """Profit models, formulas and identities on small literal inputs."""
 
+import collections
+import itertools
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,13 +46,107 @@ def test_identities_of_a_budget(spark):
             ("result", "margin", None, [r - c - 7 for r, c in zip(revenue, cost)]), ("other", "unknown", None, [1.0, 5.0, 2.0]), ("gap", "cost", None, [1.0, None, 2.0])]
     table = spark.createDataFrame([("s", k, *r) for k, r in enumerate(rows)], "submission string, ord int, label string, driver string, concept string, vals array<double>")
     found = formulas.identities(table)
-    got = {r["label"]: (r["kind"], r["expr"]) for r in found.collect()}
-    assert got == {"rent": ("flat", "constant"), "result": ("sum", "+[sales]-[acid]-[rent]"), "sales": ("product", "1*[volume]*[price]"), "acid": ("ratio", "0.4*[volume]")}
+    got = {r["label"]: (r["kind"], r["expr"], r["k"]) for r in found.collect()}
+    assert got == {"rent": ("flat", "constant", 7.0), "result": ("sum", "+[sales]-[acid]-[rent]", None), "sales": ("product", "[volume]*[price]", 1.0), "acid": ("ratio", "[volume]", pytest.approx(0.4))}
     marked = table.select("submission", "label", (F.col("label") == "result").alias("has_formulas"))
     roles = {r["label"]: r["role"] for r in formulas.roles(marked, found).collect()}
     assert (roles["result"], roles["sales"], roles["rent"], roles["other"]) == ("computed", "computed (identity)", "input", "input")
 
 
+def _near(a, b):
+    return all(abs(x - y) <= 0.005 * max(abs(x), abs(y), 1e-9) for x, y in zip(a, b))
+
+
+def _plain_identities(rows):
+    """By trying everything, a row (label, driver, concept, values) after the other."""
+    rank = ["margin", "revenue", "cost", "fixed_cost", "freight", "unknown"]
+    values = {r[0]: r[3] for r in rows if len(r[3]) >= 3 and None not in r[3]}
+    driver, concept = {r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows}
+    level = lambda v: _near(v, [v[0]] * len(v))
+    out = {x: ("flat", "constant") for x, v in values.items() if level(v)}
+    told = set()
+
+    def total(t):
+        for size in (2, 3, 4):
+            for combo in itertools.combinations([x for x in values if x != t and driver[x] in rank], size):
+                for signs in itertools.product((1, -1), repeat=size - 1):
+                    both = list(zip((1, *signs), combo))
+                    rows_of = frozenset((t, *combo))
+                    if rows_of not in told and _near(values[t], [sum(s * values[x][k] for s, x in both) for k in range(len(values[t]))]):
+                        told.add(rows_of)
+                        return "sum", "".join(("+" if s > 0 else "-") + f"[{x}]" for s, x in both)
+        return None
+
+    def factor(t):
+        volumes = [x for x in values if driver[x] == "volume" and 0 not in values[x]]
+        prices = [x for x in values if driver[x] == "price" and 0 not in values[x] and (driver[t] == "revenue" or not concept[t] or concept[x] == concept[t])]
+        if driver[t] in ("revenue", "cost", "unknown"):
+            for v, p in itertools.product(volumes, prices):
+                if level([a / b / c for a, b, c in zip(values[t], values[v], values[p])]):
+                    return "product", f"[{v}]*[{p}]"
+        if driver[t] in ("cost", "unknown", "freight"):
+            for v in volumes:
+                if v not in out and level([a / b for a, b in zip(values[t], values[v])]):
+                    return "ratio", f"[{v}]"
+        return None
+
+    flat = set(out)
+    for t in sorted((x for x in values if driver[x] in rank and x not in flat), key=lambda x: rank.index(driver[x])):
+        if hit := total(t) or factor(t):
+            out[t] = hit
+    for t, v in values.items():
+        if t not in out and 0 not in v[:-1] and level([b / a for a, b in zip(v, v[1:])]):
+            out[t] = ("growth", "per period")
+    return out
+
+
+def _random_sheet(rng, n):
+    """Amounts that are sums, products and shares of each other, and others that are not."""
+    periods, rows = int(rng.integers(3, 7)), []
+    for k in range(n):
+        kind = str(rng.choice(["margin", "revenue", "cost", "fixed_cost", "freight", "unknown", "volume", "price", "fx"]))
+        v = rng.integers(1, 9000, periods).astype(float)
+        made = [np.array(r[3], float) for r in rows if None not in r[3]]
+        case = rng.integers(0, 10)
+        if case < 4 and len(made) > 3:
+            picked = rng.choice(len(made), int(rng.integers(2, 5)), replace=False)
+            v = sum(s * made[i] for s, i in zip(rng.choice([1, -1], len(picked)), picked))
+        elif case == 4:
+            v = np.full(periods, v[0])
+        elif case == 5:
+            v = v[0] * 1.05 ** np.arange(periods)
+        elif case == 6 and len(made) > 1:
+            v = 0.3 * made[0] * made[-1]
+        rows.append((f"row {k}", kind, str(rng.choice(["a", "b", ""])) or None, [float(x) for x in v] if case < 9 else [float(v[0]), None, 2.0]))
+    return rows
+
+
+def test_identities_are_those_of_trying_everything(spark):
+    rng = np.random.default_rng(17)
+    sheets = {f"s{k}": _random_sheet(rng, int(rng.integers(4, 15))) for k in range(40)}
+    table = spark.createDataFrame([(s, k, *r) for s, rows in sheets.items() for k, r in enumerate(rows)], "submission string, ord int, label string, driver string, concept string, vals array<double>")
+    got = collections.defaultdict(dict)
+    for r in formulas.identities(table.repartition(5)).collect():
+        assert r["label"] not in got[r["submission"]]
+        got[r["submission"]][r["label"]] = (r["kind"], r["expr"])
+    kinds = collections.Counter()
+    for s, rows in sheets.items():
+        expected = _plain_identities(rows)
+        assert got[s] == expected
+        kinds.update(k for k, _ in expected.values())
+    assert set(kinds) == {"flat", "sum", "product", "ratio", "growth"} or kinds["sum"] > 20
+
+
+def test_a_long_sheet_is_searched_by_joins(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(10**6, 10**9, (120, 4)).astype(float)
+    rows = [(f"row {k}", "cost", None, v.tolist()) for k, v in enumerate(base)]
+    rows.append(("total", "margin", None, (base[3] - base[50] + base[51] - base[119]).tolist()))
+    table = spark.createDataFrame([("s", k, *r) for k, r in enumerate(rows)], "submission string, ord int, label string, driver string, concept string, vals array<double>")
+    got = {r["label"]: r["expr"] for r in formulas.identities(table).filter("label = 'total'").collect()}
+    assert got == {"total": "+[row 3]-[row 50]+[row 51]-[row 119]"}
+
+
 CELLS = "sheet string, row int, col int, v_str string, v_num double, formula string"
 
 
