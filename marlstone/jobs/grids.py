@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.lineage import cut
-from marlstone.operators import grids
+from marlstone.operators import grids, replay
 from marlstone.sources.tables import table
 
 HEADER_ROWS, MARKER, FIRST_YEAR = 2, "^Year ", 1995
@@ -156,7 +156,8 @@ def x4_filled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = line.filter("row % 3 = 0").select("sheet", "row", F.lit(0).alias("col"), F.concat(F.lit("A"), "row").alias("v_str"))
     second = line.filter("k < 6").select("sheet", "row", F.lit(1).alias("col"), F.when(F.col("row") % 10 == 3, "Sub Total").otherwise(F.concat(F.lit("B"), "k")).alias("v_str"))
     rest = line.filter("k >= 6").select("sheet", "row", F.lit(4).alias("col"), F.lit(None).cast("string").alias("v_str"))
-    return grids.filled_labels(first.unionByName(second).unionByName(rest), 2, 2, ["TOTAL"])
+    rows = first.unionByName(second).unionByName(rest).withColumn("v_num", F.lit(None).cast("double"))
+    return grids.filled_labels(rows, 2, 2, ["TOTAL"])
 
 
 def x7_marked_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,6 +167,40 @@ def x7_marked_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.marked_facts(found, formats, "2000-06").select("cell", "sheet", "status")
 
 
+def _specs(grid: DataFrame) -> DataFrame:
+    """A specification a sheet, written when its table stood three rows lower; in a fifth of the sheets the anchor's text is gone."""
+    at = lambda k, level, name: F.struct((F.col("row") + k).alias("row"), F.lit(level).alias("level"), name.alias("name"))
+    marks = grid.filter(F.col("v_str").rlike(MARKER)).select("sheet", F.explode(F.array(at(3, 0, F.col("v_str")), at(3, 1, F.lit("H1")), at(10, 1, F.lit("H2")))).alias("s"))
+    marks = marks.groupBy("sheet").agg(F.collect_list("s").alias("subtitles"))
+    size = grid.groupBy("sheet").agg((F.max("row") + 3).alias("last_row"), F.max("col").alias("last_col"))
+    ints, texts, even = (lambda *xs: F.array(*map(F.lit, xs)).cast("array<int>")), (lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")), F.col("sheet") % 2 == 0
+    return size.join(marks, "sheet").select(
+        F.concat(F.lit("spec"), "sheet").alias("spec_id"), "sheet", F.lit(3).alias("first_row"), "last_row", F.lit(0).alias("first_col"), "last_col", ints(3, 4).alias("header_rows"), ints(0).alias("label_columns"),
+        F.lit(True).alias("fill_header"), even.alias("fill_labels"), ints().alias("drop_rows"), F.when(even, ints(5)).otherwise(ints()).alias("drop_columns"), texts("TOTAL").alias("skip_words"),
+        texts("region").alias("skip_kinds"), "subtitles", texts("nm").alias("missing"), F.to_date(F.lit("1997-06-15")).alias("published"), F.lit("usd").alias("unit"), F.lit(4).alias("anchor_row"),
+        F.lit(1).alias("anchor_col"), F.when(F.col("sheet") % 5 == 0, "Gone").otherwise("p1 ").alias("anchor_text"), texts("month").alias("row_dimensions"), F.lit("priority").alias("column_dimension"),
+        F.lit("year").alias("section_dimension"), F.create_map(F.lit("source"), F.lit("orders")).alias("fixed"))
+
+
+def x6_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specifications moved to their anchors and replayed on all sheets."""
+    grid = cells(spark, sf_dir)
+    found = replay.replayed(grid, cut(replay.placed(_specs(grid), grid)), _terms(spark, sf_dir))
+    return found.select("spec_id", "cell", *[F.col("dims")[d].alias(d) for d in ("source", "year", "month", "priority")], F.col("value").cast("bigint").alias("value"), "unit", "status")
+
+
+def x1_specs_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The specifications of x6_replayed, broken in one way each by their sheet's number."""
+    n = F.col("sheet")
+    s = _specs(cells(spark, sf_dir))
+    s = s.withColumns({
+        "unit": F.when(n % 12 == 1, "bushel").when(n % 12 != 2, F.col("unit")), "row_dimensions": F.when(n % 12 == 3, F.array(F.lit("a"), F.lit("b"))).otherwise(F.col("row_dimensions")),
+        "drop_rows": F.when(n % 12 == 4, F.array(F.lit(1))).otherwise(F.col("drop_rows")), "section_dimension": F.when(n % 12 != 5, F.col("section_dimension")),
+        "fixed": F.when(n % 12 == 6, F.create_map(F.lit("month"), F.lit("x"))).otherwise(F.col("fixed")), "anchor_row": F.when(n % 12 != 7, F.col("anchor_row")),
+        "drop_columns": F.when(n % 12 == 8, F.array(F.lit(0))).when(n % 12 == 9, F.array(F.lit(77))).otherwise(F.col("drop_columns")), "header_rows": F.when(n % 12 == 10, F.array().cast("array<int>")).otherwise(F.col("header_rows"))})
+    return replay.spec_problems(s, ["usd", "kiloton"])
+
+
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months of labels as names: January is a region, February a region and a country, March a country."""
     return spark.createDataFrame([(f"{m}-{y:02d}", k) for y in range(95, 100) for m, k in (("jan", "region"), ("feb", "region"), ("feb", "country"), ("mar", "country"))], "term string, kind string")
@@ -271,7 +306,7 @@ def x24_monthly_mid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (x2_anchor_offset, x3_headers, x5_sections, x6_facts, x9_periods, x11_value_check, x15_period_order, x15_header_order, x17_total_rows, x21_check_report,
+    for f in (x2_anchor_offset, x3_headers, x5_sections, x6_facts, x6_replayed, x1_specs_checked, x9_periods, x11_value_check, x15_period_order, x15_header_order, x17_total_rows, x21_check_report,
               x1_spec_problems, x4_filled_labels, x7_marked_facts, x8_without_subtotals, x10_evidenced_units, x10_unit_check, x12_header_check, x12_label_check, x13_section_check, x14_outside_check,
               x16_corner_check, x18_total_columns, x19_dropped_rows, x19_dropped_columns, x20_subtotal_labels, x23_latest_specs, x24_monthly_mid)
 }
@@ -298,8 +333,13 @@ SELECT sheet, count(*) AS n_periods, count(*) FILTER (p < l) AS n_violations, co
 SELECT *, CASE WHEN bool_and(ok) OVER (PARTITION BY sheet) THEN 'proposed' ELSE 'rejected' END AS status FROM every""",
     "x1_spec_problems": """SELECT c_custkey AS spec_id, concat_ws(',', CASE WHEN c_custkey % 5 = 2 THEN 'missing key' END, CASE WHEN c_custkey % 5 = 1 THEN 'unknown operator' END, CASE WHEN c_custkey % 5 = 0 THEN 'stack is not last' END,
   CASE WHEN c_custkey % 7 + 2 < 3 THEN 'row outside' END, CASE WHEN c_custkey % 8 NOT BETWEEN 1 AND 6 THEN 'column outside' END, CASE WHEN c_custkey % 3 = 2 THEN 'unknown unit' END, CASE WHEN c_custkey % 3 = 1 THEN 'anchor without text' END) AS problems FROM customer""",
-    "x4_filled_labels": """WITH l AS (SELECT l_suppkey AS sheet, CAST(l_partkey + 2 AS INT) AS "row", max(l_linenumber) AS k FROM lineitem GROUP BY ALL), o AS (SELECT * FROM l WHERE k >= 6 OR "row" % 10 <> 3)
-SELECT sheet, "row", coalesce(last_value(CASE WHEN "row" % 3 = 0 THEN 'A' || "row" END IGNORE NULLS) OVER w, '') || ' | ' || coalesce(last_value(CASE WHEN k < 6 THEN 'B' || k END IGNORE NULLS) OVER w, '') AS labels FROM o WINDOW w AS (PARTITION BY sheet ORDER BY "row")""",
+    "x4_filled_labels": """WITH l AS (SELECT l_suppkey AS sheet, CAST(l_partkey + 2 AS INT) AS "row", max(l_linenumber) AS k FROM lineitem GROUP BY ALL), o AS (SELECT *, CASE WHEN k < 6 THEN CASE WHEN "row" % 10 = 3 THEN 'Sub Total' ELSE 'B' || k END END AS b FROM l)
+SELECT sheet, "row", coalesce(last_value(CASE WHEN "row" % 3 = 0 THEN 'A' || "row" END IGNORE NULLS) OVER w, '') || ' | ' || coalesce(last_value(b IGNORE NULLS) OVER w, '') AS labels FROM o WINDOW w AS (PARTITION BY sheet ORDER BY "row") QUALIFY NOT contains(labels, 'Total')""",
+    "x6_replayed": CELLS_SQL + """SELECT 'spec' || sheet AS spec_id, cell, 'orders' AS source, section || CASE WHEN CAST(strftime(strptime(label, '%b-%y'), '%m') AS INT) < 7 THEN ' | H1' ELSE ' | H2' END AS year, label AS month,
+  header AS priority, CAST(value AS BIGINT) AS value, 'usd' AS unit, CASE WHEN strptime(label, '%b-%y') > DATE '1997-06-15' THEN 'forecast' ELSE 'actual' END AS status
+FROM facts WHERE label <> 'Total' AND NOT regexp_matches(label, '^Jan-9[5-9]') AND sheet % 5 > 0 AND (sheet % 2 = 1 OR col <> 5)""",
+    "x1_specs_checked": """SELECT 'spec' || n AS spec_id, (['', 'unknown unit', 'no unit', 'label columns and dimensions', 'row outside', 'subtitles without dimension', 'dimension twice', 'anchor', 'label column dropped', 'column outside',
+  'no header row', ''])[n % 12 + 1] AS problems FROM (SELECT DISTINCT c_nationkey AS n FROM customer JOIN orders ON o_custkey = c_custkey)""",
     "x7_marked_facts": CELLS_SQL + """SELECT cell, sheet, CASE WHEN status = 'forecast' OR col = 3 OR (label <> 'Total' AND strftime(try_strptime(label, '%b-%y'), '%Y-%m') > '2000-06') THEN 'forecast' ELSE 'actual' END AS status FROM facts""",
     "x8_without_subtotals": CELLS_SQL + "SELECT sheet, count(*) AS n FROM facts WHERE NOT regexp_matches(label, '^Jan-9[5-9]') GROUP BY 1",
     "x10_evidenced_units": "SELECT c_custkey AS sheet, unnest(([['kiloton', 'metric_ton'], ['kiloton', 'kiloton_p2o5'], ['metric_ton'], [], ['kiloton']])[c_custkey % 5 + 1]) AS unit FROM customer",

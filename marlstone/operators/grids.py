@@ -34,7 +34,7 @@ def period(label: Column) -> Column:
     c = r"^([a-z]{3})[- ](\d{2}|\d{4})$"
     month = F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(t, c, 1)).cast("int")
     return (
-        F.when(t.rlike(r"^\d{4}$"), made(t.try_cast("int"), F.lit(1)))
+        F.when(t.rlike(r"^\d{4}$"), F.when(t.try_cast("int").between(1990, 2100), made(t.try_cast("int"), F.lit(1))))
         .when(t.rlike(a), made(quarter_year.try_cast("int"), 3 * F.regexp_extract(t, a, 1).try_cast("int") - 2))
         .when(t.rlike(b), made(F.regexp_extract(t, b, 2).try_cast("int"), 3 * F.regexp_extract(t, b, 1).try_cast("int") - 2))
         .when(t.rlike(c) & (month > 0), made(year(F.regexp_extract(t, c, 2)), month)))
@@ -51,10 +51,17 @@ def a1(row: Column, col: Column) -> Column:
     return F.concat(name, (row + 1).cast("string"))
 
 
+def cell_text(text: Column, number: Column) -> Column:
+    """What a cell says: its text, or its number, whole ones without a point; null for blanks."""
+    number = number.cast("double")
+    said = F.when(number == F.floor(number), F.format_string("%.0f", number)).otherwise(number.cast("string"))
+    return F.coalesce(F.nullif(F.btrim(text), F.lit("")), F.when(~F.isnan(number), said))
+
+
 def headers(cells: DataFrame, n_rows: int) -> DataFrame:
-    """sheet, col, header: the first rows, blanks filled from the left, joined from top to bottom."""
+    """sheet, col, header: the first rows, numbers as they read, blanks filled from the left, joined from top to bottom."""
     so_far = Window.partitionBy("sheet", "row").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
-    filled = cells.filter((F.col("row") < n_rows) & (F.col("col") > 0)).withColumn("v", F.last("v_str", ignorenulls=True).over(so_far))
+    filled = cells.filter((F.col("row") < n_rows) & (F.col("col") > 0)).withColumn("v", F.last(cell_text(F.col("v_str"), F.col("v_num")), ignorenulls=True).over(so_far))
     parts = filled.filter("v is not null").groupBy("sheet", "col").agg(F.array_sort(F.collect_list(F.struct("row", "v"))).alias("p"))
     return parts.select("sheet", "col", F.array_join(F.transform("p", lambda x: x["v"]), " | ").alias("header"))
 
@@ -62,7 +69,7 @@ def headers(cells: DataFrame, n_rows: int) -> DataFrame:
 def labelled_rows(cells: DataFrame, n_rows: int, marker: str) -> DataFrame:
     """sheet, row, label, fmt, section: rows under the header; a section is the latest label that fits the marker."""
     so_far = Window.partitionBy("sheet").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    labels = cells.filter((F.col("row") >= n_rows) & (F.col("col") == 0)).select("sheet", "row", F.col("v_str").alias("label"), "fmt")
+    labels = cells.filter((F.col("row") >= n_rows) & (F.col("col") == 0)).select("sheet", "row", cell_text(F.col("v_str"), F.col("v_num")).alias("label"), "fmt")
     is_marker = F.col("label").rlike(marker)
     return (labels.withColumn("section", F.last(F.when(is_marker, F.col("label")), ignorenulls=True).over(so_far))
             .filter(F.coalesce(~is_marker, F.lit(True))))
@@ -132,25 +139,26 @@ def spec_problems(specs: DataFrame, units: list[str], operations: list[str]) ->
     return specs.select("spec_id", F.array_join(found, ",").alias("problems"))
 
 
-def filled_labels(cells: DataFrame, n_rows: int, n_labels: int, dropped: list[str]) -> DataFrame:
-    """sheet, row, labels: the label columns of each row, blanks filled from above, as one text. Rows under the header whose own label holds a
-    dropped word neither come out nor are filled from."""
-    own = cells.filter((F.col("row") >= n_rows) & (F.col("col") < n_labels) & F.col("v_str").isNotNull())
-    bad = F.lit(False)
-    for w in dropped:
-        bad = bad | F.contains(F.lower("v_str"), F.lit(w.lower()))
-    gone = own.filter(bad).select("sheet", "row").distinct()
-    rows = cells.filter(F.col("row") >= n_rows).select("sheet", "row").distinct().join(gone, ["sheet", "row"], "left_anti")
-    grid = rows.withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(n_labels - 1)))).join(own.select("sheet", "row", "col", "v_str"), ["sheet", "row", "col"], "left")
+def filled_labels(cells: DataFrame, n_rows: int, n_labels: int, skipped: list[str]) -> DataFrame:
+    """sheet, row, labels: the label columns of each row under the header, blanks filled from above, as one text. Rows one of whose labels, filled ones too, holds a
+    skipped word do not come out, but are filled from."""
+    own = cells.filter((F.col("row") >= n_rows) & (F.col("col") < n_labels)).select("sheet", "row", "col", cell_text(F.col("v_str"), F.col("v_num")).alias("text")).filter("text is not null")
+    rows = cells.filter(F.col("row") >= n_rows).select("sheet", "row").distinct()
+    grid = rows.withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(n_labels - 1)))).join(own, ["sheet", "row", "col"], "left")
     so_far = Window.partitionBy("sheet", "col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    full = grid.withColumn("v", F.coalesce(F.last("v_str", ignorenulls=True).over(so_far), F.lit("")))
-    return full.groupBy("sheet", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "v"))), lambda x: x["v"]), " | ").alias("labels"))
+    full = grid.withColumn("v", F.coalesce(F.last("text", ignorenulls=True).over(so_far), F.lit("")))
+    texts = full.groupBy("sheet", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "v"))), lambda x: x["v"]).alias("texts"))
+    hit = F.lit(False)
+    for w in skipped:
+        hit = hit | F.contains(F.lower(F.array_join("texts", "\n")), F.lit(w.lower()))
+    return texts.filter(~hit).select("sheet", "row", F.array_join("texts", " | ").alias("labels"))
 
 
 def marked_facts(found: DataFrame, column_formats: DataFrame, published: str | None = None) -> DataFrame:
-    """facts with status also from a column's format (sheet, col, fmt) and, with a date of publication (yyyy-MM), from later periods in the label."""
+    """facts with status also from a column's format (sheet, col, fmt) and, with a date of publication (yyyy-MM), from later periods in the label or the header."""
     both = found.join(column_formats.select("sheet", "col", F.col("fmt").alias("fmt_")), ["sheet", "col"], "left")
-    later = F.coalesce(period(F.col("label")) > published, F.lit(False)) if published else F.lit(False)
+    after = lambda text: F.coalesce(period(text) > published, F.lit(False))
+    later = after(F.col("label")) | F.coalesce(F.exists(F.split("header", r" \| "), after), F.lit(False)) if published else F.lit(False)
     ahead = (F.col("status") == "forecast") | F.coalesce(F.col("fmt_").rlike(FORECAST), F.lit(False)) | later
     return both.withColumn("status", F.when(ahead, "forecast").otherwise("actual")).drop("fmt_")
 
