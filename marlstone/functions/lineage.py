@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +21,29 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_made: list[list[str]] = []  # tables of the scratch() blocks that are open, the innermost last
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and written as a table, which several branches of a job read."""
+    """df computed once and written as a table, which several branches of a job read; inside scratch() it goes when the block ends."""
     path = shared_path(df.sparkSession, "cut")
     df.write.parquet(path)
+    if _made:
+        _made[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that cut() made inside. What is to stay must be written or collected before."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            deleted(spark, path)

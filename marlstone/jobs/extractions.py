@@ -99,10 +99,8 @@ def n7_resolved_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n9_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = _prices(spark, sf_dir)
-    prices = prices.join(extraction.guarded(prices.filter("verified")).select("id", "outlier"), "id", "left")
     events = extraction.quoted(extraction.unnested(_records(spark, sf_dir), "events"), _articles(spark, sf_dir))
-    return extraction.accounting(prices, events.withColumn("verified", F.col("quote_ok")))
+    return extraction.accounted(_prices(spark, sf_dir), events.withColumn("verified", F.col("quote_ok")))[2]
 
 
 def n11_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,11 +153,22 @@ def s6_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.reloaded(lines.filter("l_returnflag = 'R'").withColumn("n", -F.col("n")), path, "l_returnflag")
 
 
+def s6_stored_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layer of all lines by flag, replaced by none, and by those of flag R: how many rows each version has."""
+    layer = stores.Layer(spark, shared_path(spark, "stored-layer"))
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey")
+    for condition in ("true", "false", "l_returnflag = 'R'"):
+        layer.replace(lines.filter(condition))
+    found = [layer.read(v).groupBy("l_returnflag").agg(F.count("*").alias("n")).select(F.lit(v).alias("version"), "l_returnflag", "n") for v in layer.versions()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def s7_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part types by size; sizes that are there stay as they are."""
+    """Part types by size in a stored layer; sizes that are there stay as they are."""
     part = table(spark, sf_dir, "part").select(F.col("p_size").cast("bigint").alias("size"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"))
-    old = part.filter("size % 3 = 0").groupBy("size", "brand").agg(F.max("type").alias("type"))
-    return stores.upserted(old, part.filter("size % 2 = 0"), ["size", "brand"])
+    layer = stores.Layer(spark, shared_path(spark, "types"))
+    layer.replace(part.filter("size % 3 = 0").groupBy("size", "brand").agg(F.max("type").alias("type")))
+    return layer.upsert(part.filter("size % 2 = 0"), ["size", "brand"])
 
 
 def s8_partitioned_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,7 +300,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         n2_unnested_items, n4_price_validation, n5_outlier_items, n6_event_dates, n7_resolved_items, n9_accounting, n11_timeline, n14_assessments,
-        s2_extraction_records, s4_diagnosis_documents, s5_config_tables, s6_reload, s7_upsert, s8_partitioned_facts,
+        s2_extraction_records, s4_diagnosis_documents, s5_config_tables, s6_reload, s6_stored_layer, s7_upsert, s8_partitioned_facts,
         f1_as_of, f2_windows, f3_targeted, f4_named_like, f5_missing, f6_actual_only, f7_skipped_rows, f8_capped,
         a3_citations, k1_places, k2_regions, k3_aggregate_rows, k4_scenarios, k5_freight_headers, k6_products, k8_dates)
 }
@@ -334,6 +343,7 @@ ORACLE_SQL = {
   FROM supplier GROUP BY s_nationkey""",
     "s5_config_tables": """SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'fast' WHEN o_orderpriority = '5-LOW' THEN 'slow' ELSE 'none' END AS lane, count(*) AS n FROM orders GROUP BY 1""",
     "s6_reload": "SELECT l_returnflag, l_linestatus, CASE WHEN l_returnflag = 'R' THEN -c ELSE c END AS n FROM (SELECT l_returnflag, l_linestatus, count(*) AS c FROM lineitem GROUP BY ALL)",
+    "s6_stored_layer": """SELECT v.version, l_returnflag, count(*) AS n FROM lineitem, (VALUES (1), (3)) v(version) WHERE version = 1 OR l_returnflag = 'R' GROUP BY ALL""",
     "s7_upsert": """WITH o AS (SELECT p_size AS size, p_brand AS brand, max(p_type) AS type FROM part WHERE p_size % 3 = 0 GROUP BY ALL)
   SELECT * FROM o UNION ALL SELECT p_size, p_brand, min(p_type) FROM part WHERE p_size % 2 = 0 AND (p_size, p_brand) NOT IN (SELECT (size, brand) FROM o) GROUP BY 1, 2""".replace("p_size AS size", "CAST(p_size AS BIGINT) AS size"),
     "s8_partitioned_facts": "SELECT l_returnflag AS file, l_linestatus AS sheet, l_orderkey || '-' || l_linenumber AS cell FROM lineitem WHERE l_returnflag = 'A' AND l_orderkey % 3 = 0",

@@ -78,9 +78,20 @@ def v13_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news.reachable(part.select("src", dst.alias("dst")).filter("src % 5 > 0"))
 
 
+def v13_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ways from large parts to the parts of a tenth and of a fortieth of their number."""
+    part = table(spark, sf_dir, "part").filter("p_partkey > 0").select(F.col("p_partkey").alias("src"), "p_size")
+    edges = part.select("src", F.explode(F.array(*[F.floor(F.col("src") / k).cast("bigint") for k in (2, 3)])).alias("dst")).filter("src % 5 > 0")
+    seeds = part.filter("p_size > 40").select(F.col("src").alias("seed"))
+    ends = seeds.select("seed", F.explode(F.array(*[F.floor(F.col("seed") / k).cast("bigint") for k in (9, 36)])).alias("node"))
+    found = news.walked(news.searched(edges, seeds, ends), ends)
+    return found.select("seed", "node", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (n1_term_mentions, n8_incidents, n10_articles_mentioning_all, n10_newest_articles, e1_dominant_direction, s3_new_records, x22_multiset_diff, x22_compared_values, v13_reachability)
+    for f in (n1_term_mentions, n8_incidents, n10_articles_mentioning_all, n10_newest_articles, e1_dominant_direction, s3_new_records, x22_multiset_diff, x22_compared_values, v13_reachability,
+              v13_shortest_paths)
 }
 
 _MENTIONS_SQL = f"""
@@ -139,5 +150,15 @@ SELECT sheet, n_ours, n_stored, n_common, unparseable, round(100.0 * n_common /
 WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS src, p_partkey // k AS dst FROM part, (VALUES (2), (3)) t(k) WHERE p_partkey > 0 AND p_partkey % 5 > 0),
 r AS (SELECT src, dst, 1 AS steps FROM e UNION SELECT r.src, e.dst, r.steps + 1 FROM r JOIN e ON r.dst = e.src)
 SELECT src, dst, CAST(min(steps) AS INT) AS steps FROM r GROUP BY ALL
+""",
+    "v13_shortest_paths": """
+WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS src, p_partkey // k AS dst FROM part, (VALUES (2), (3)) t(k) WHERE p_partkey > 0 AND p_partkey % 5 > 0),
+sd AS (SELECT p_partkey AS seed FROM part WHERE p_partkey > 0 AND p_size > 40),
+r AS (SELECT seed, seed AS node, 0 AS steps FROM sd UNION SELECT r.seed, e.dst, r.steps + 1 FROM r JOIN e ON r.node = e.src WHERE r.steps < 40),
+d AS (SELECT seed, node, min(steps) AS steps FROM r GROUP BY ALL),
+b AS (SELECT d.seed, d.node, min(p.node) AS before FROM d JOIN e ON e.dst = d.node JOIN d p ON p.seed = d.seed AND p.node = e.src AND p.steps = d.steps - 1 GROUP BY ALL),
+w AS (SELECT DISTINCT seed, seed // k AS node, seed // k AS cur, CAST(seed // k AS VARCHAR) AS path FROM sd, (VALUES (9), (36)) t(k) WHERE (seed, seed // k) IN (SELECT (seed, node) FROM d)
+  UNION ALL SELECT w.seed, w.node, b.before, CAST(b.before AS VARCHAR) || '>' || w.path FROM w JOIN b ON b.seed = w.seed AND b.node = w.cur WHERE w.cur <> w.seed)
+SELECT seed, node, path FROM w WHERE cur = seed
 """,
 }

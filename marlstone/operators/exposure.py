@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.news import searched
+
 #: Fixed values: (role of a lane, what happened on it) -> effect.
 LANE_EFFECT = {
     ("supply", "impaired"): "headwind",
@@ -92,11 +94,8 @@ def site_effects(events: DataFrame, made_at: DataFrame) -> DataFrame:
 
 def reached(items: DataFrame, made_from: DataFrame, own: DataFrame) -> DataFrame:
     """item, product: the own products that an item reaches, as itself or through what is made from it (product, input)."""
-    from marlstone.operators.news import reachable
-
-    up = reachable(made_from.select(F.col("input").alias("src"), F.col("product").alias("dst"))).select(F.col("src").alias("item"), F.col("dst").alias("product"))
-    itself = items.select("item", F.col("item").alias("product"))
-    return itself.unionByName(up.join(items, "item", "left_semi")).distinct().join(own.select("product").distinct(), "product", "left_semi").select("item", "product")
+    up = searched(made_from.select(F.col("input").alias("src"), F.col("product").alias("dst")), items.select(F.col("item").alias("seed")))
+    return up.select(F.col("seed").alias("item"), F.col("node").alias("product")).join(own.select("product").distinct(), "product", "left_semi").select("item", "product")
 
 
 def scoped(links: DataFrame, reach: DataFrame, scope: str | None = None) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.lineage import cut
 from marlstone.operators.audits import squashed
 from marlstone.operators.series import upper_medians
 
@@ -66,6 +67,22 @@ def accounting(prices: DataFrame, events: DataFrame) -> DataFrame:
         F.count("*").alias("n_items"), F.count_if(~F.col("verified")).alias("n_rejected"), F.count_if(F.coalesce("outlier", F.lit(False))).alias("n_outliers"))
 
 
+def accounted(prices: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The verified prices, with their outliers marked, the verified events, and accounting() of both: all is counted while the verified items are written.
+
+    prices and events have verified. Each is gone through once; outliers need a route's median, and so a pass over the verified prices.
+    """
+    told, tables = {"prices": Observation("prices"), "events": Observation("events")}, {}
+    for kind, items in (("prices", prices), ("events", events)):
+        counts = [F.count(F.lit(1)).alias("n_items"), F.count_if(~F.col("verified")).alias("n_rejected")]
+        tables[kind] = cut(items.observe(told[kind], *counts).filter("verified"))
+    outliers = Observation("outliers")
+    marked = cut(guarded(tables["prices"]).observe(outliers, F.count_if("outlier").alias("n_outliers")))
+    rows = [(kind, told[kind].get["n_items"], told[kind].get["n_rejected"], outliers.get["n_outliers"] if kind == "prices" else 0) for kind in told]
+    counted = prices.sparkSession.createDataFrame(rows, "kind string, n_items long, n_rejected long, n_outliers long")
+    return marked, tables["events"], counted
+
+
 def timeline(events: DataFrame, concepts: list[str], until: str) -> DataFrame:
     """Incidents that touch any of some concepts until a date: reports, the five least articles and the first event's quote.
 

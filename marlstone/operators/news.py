@@ -90,3 +90,35 @@ def reachable(edges: DataFrame, depth: int | None = None) -> DataFrame:
         new = cut(new)
         found = found.unionByName(new)  # a scan a round: plans grow by one line, not by a copy
     return found
+
+
+def searched(edges: DataFrame, seeds: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """seed, node, steps, before: what each seed reaches over edges (src, dst), the fewest steps to it, and the least node one step before it (null for the seed itself).
+
+    Only what the last round found is joined with the edges, so work grows with what the seeds reach. With targets (seed, node) a seed is
+    searched until all its targets are found, or nothing new is; a seed without targets is not searched.
+    """
+    steps = cut(edges.select("src", "dst").distinct())
+    first = seeds.select("seed").distinct()
+    new = cut(first.select("seed", F.col("seed").alias("node"), F.lit(0).alias("steps"), F.col("seed").alias("before")).withColumn("before", F.when(F.col("steps") > 0, F.col("before"))))
+    found, k = new, 0
+    wanted = None if targets is None else cut(targets.select("seed", "node").distinct().join(first, "seed", "left_semi"))
+    while not new.isEmpty():
+        k += 1
+        if wanted is not None:
+            wanted = cut(wanted.join(new.select("seed", "node"), ["seed", "node"], "left_anti"))
+            new = new.join(wanted.select("seed").distinct(), "seed", "left_semi")
+        grown = new.select("seed", F.col("node").alias("src")).join(steps, "src").groupBy("seed", F.col("dst").alias("node")).agg(F.min("src").alias("before"))
+        new = cut(grown.join(found.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(k).alias("steps"), "before"))
+        found = found.unionByName(new)  # a scan a round
+    return found
+
+
+def walked(found: DataFrame, ends: DataFrame) -> DataFrame:
+    """seed, node, path of those ends (seed, node) that a search found: the nodes from the seed on, by their nodes before."""
+    now = cut(found.join(ends.select("seed", "node").distinct(), ["seed", "node"], "left_semi").select("seed", "node", F.array("node").alias("path"), F.col("before").alias("at")))
+    back = found.select("seed", F.col("node").alias("at"), F.col("before").alias("next_"))
+    while not now.filter("at is not null").isEmpty():
+        now = cut(now.join(back, ["seed", "at"], "left").select(
+            "seed", "node", F.when(F.col("at").isNull(), F.col("path")).otherwise(F.concat(F.array("at"), "path")).alias("path"), F.col("next_").alias("at")))
+    return now.select("seed", "node", "path")
