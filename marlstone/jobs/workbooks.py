@@ -50,6 +50,16 @@ def w5_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mentions(spark, sf_dir)
 
 
+def w5_large_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different words of the benchmark's texts as terms, in the documents."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sheet"), F.lit("rows").alias("zone"), F.lower("text").alias("text"))
+    w = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))
+    pairs = table(spark, sf_dir, "benchmark").select(w.alias("w")).filter("size(w) > 1").select(F.explode(F.arrays_zip(
+        F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w") - 1).alias("b"))).alias("p")).select("p.a", "p.b").distinct().filter("a <> b")
+    terms = pairs.select(F.concat_ws(" ", "a", "b").alias("term"), F.concat(F.lit("c"), F.length("a") * 100 + F.length("b")).alias("concept_id"))
+    return workbooks.mentions(texts, terms)
+
+
 def w6_mentioning_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     sheets = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sheet"), F.when(F.col("doc_id") % 3 == 0, "other").otherwise("data").alias("role"))
     return workbooks.mentioning(cut(_mentions(spark, sf_dir)), sheets, ["english", "grammar"])
@@ -61,7 +71,7 @@ def w7_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workbooks.routed(sheets, exact, PATTERNS)
 
 
-QUERIES = {f.__name__: f for f in (w1_profiles, w2_formula_counts, w3_roles, w4_descriptions, w5_mentions, w6_mentioning_all, w7_routes)}
+QUERIES = {f.__name__: f for f in (w1_profiles, w2_formula_counts, w3_roles, w4_descriptions, w5_mentions, w5_large_vocabulary, w6_mentioning_all, w7_routes)}
 
 _TERMS_SQL = ", ".join(f"('{t}', '{c}')" for t, c in TERMS)
 _MENTIONS_SQL = f"""SELECT sheet, 'rows' AS zone, concept_id, max(n) AS n FROM (SELECT doc_id AS sheet, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]')) AS w FROM documents) GROUP BY ALL)
@@ -80,6 +90,10 @@ SELECT e.sheet, head AS header_row, coalesce(stop - head, 0) AS header_depth, ga
     "w4_descriptions": """WITH c AS (SELECT p_partkey // 3 AS r, max(' s' || p_size) AS s, max(p_name) AS a, max(p_brand) AS b FROM part WHERE p_partkey // 3 < 400 GROUP BY 1)
 SELECT 'S' || s[3:] AS sheet, arg_max(a || ' | ' || b, r) AS description FROM c WHERE CAST(s[3:] AS INT) IN (SELECT p_size FROM part WHERE p_size % 2 = 0) GROUP BY 1""",
     "w5_mentions": _MENTIONS_SQL,
+    "w5_large_vocabulary": """WITH pr AS (SELECT DISTINCT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark)) WHERE w[i] <> w[i + 1]),
+tk AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+|[^a-z0-9]+') AS x FROM documents),
+oc AS (SELECT doc_id, x[i] AS a, x[i + 2] AS b, count(*) AS n FROM (SELECT doc_id, x, unnest(range(1, len(x) - 1)) AS i FROM tk) WHERE x[i + 1] = ' ' GROUP BY ALL)
+SELECT doc_id AS sheet, 'rows' AS zone, 'c' || (length(a) * 100 + length(b)) AS concept_id, max(n) AS n FROM oc JOIN pr USING (a, b) GROUP BY ALL""",
     "w6_mentioning_all": f"""WITH m AS ({_MENTIONS_SQL}), s AS (SELECT sheet, CASE WHEN sheet % 3 = 0 THEN 'other' ELSE 'data' END AS role, CAST(sum(n) AS BIGINT) AS strength FROM m WHERE concept_id IN ('english', 'grammar') GROUP BY 1 HAVING count(*) = 2)
 SELECT *, row_number() OVER (ORDER BY role = 'data' DESC, strength DESC, sheet) AS place FROM s QUALIFY place <= 50""",
     "w7_routes": """WITH s AS (SELECT 'file_' || s_nationkey AS file, 'S' || s_suppkey AS sheet FROM supplier)

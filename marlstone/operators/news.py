@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.lineage import cut
+from marlstone.operators.terms import longest_first
 
 
 def mentions(articles: DataFrame, terms: DataFrame, term_list: list[str], chars: int | None = None) -> DataFrame:
@@ -20,6 +21,14 @@ def mentions(articles: DataFrame, terms: DataFrame, term_list: list[str], chars:
     return counted.join(terms, "term").groupBy("article_id", "concept_id").agg(F.sum("count").alias("n"))
 
 
+def indexed_mentions(articles: DataFrame, terms: DataFrame, chars: int | None = None) -> DataFrame:
+    """mentions() for a vocabulary of any size: article_id, concept_id and n; a term may name several concepts."""
+    text = F.substring("text", 1, chars) if chars else F.col("text")
+    counted = longest_first(articles.select("article_id", text.alias("text")), ["article_id"], terms)
+    named = terms.select(F.lower("term").alias("term"), "concept_id").distinct()
+    return counted.join(named, "term").groupBy("article_id", "concept_id").agg(F.sum("n").alias("n"))
+
+
 def mentioning_all(found: DataFrame, concepts: list[str]) -> DataFrame:
     """Articles that mention every one of some concepts, with all their mentions."""
     return found.filter(F.col("concept_id").isin(concepts)).groupBy("article_id").agg(

@@ -10,6 +10,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.terms import occurrences
+
 #: Rows looked at for the layout, and the fixed words of sheets' names that give their role.
 SCAN_ROWS = 300
 CONTENTS_WORDS, DASHBOARD_WORDS = ["contents", "index", "toc"], ["dashboard", "chart", "summary"]
@@ -77,14 +79,12 @@ def descriptions(contents: DataFrame, sheets: DataFrame, rows: int = 400) -> Dat
 def mentions(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """sheet, zone, concept_id, n of texts (sheet, zone, text): how often the concept's most frequent term stands there as a token, any case.
 
-    Terms of three characters or more meet the texts on their first word, and are then counted whole.
+    Terms of three characters or more are looked up by their rarest word; the texts of a sheet's zone are one text, a line each.
     """
-    own = terms.filter("length(term) >= 3").select("concept_id", F.lower("term").alias("term_"), F.lower(F.regexp_extract("term", r"([A-Za-z0-9]+)", 1)).alias("word")).distinct()
     joined = texts.groupBy("sheet", "zone").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
-    words = joined.select("sheet", "zone", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9]+)"), F.lit(1)))).alias("word"))
-    quoted = F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9])\Q"), F.col("term_"), F.lit(r"\E(?![A-Za-z0-9])"))
-    counted = words.join(own, "word").select("sheet", "zone", "concept_id", F.regexp_count("text", quoted).alias("n")).filter("n > 0")
-    return counted.groupBy("sheet", "zone", "concept_id").agg(F.max("n").cast("bigint").alias("n"))
+    named = terms.select(F.lower("term").alias("term"), "concept_id").distinct()
+    counted = occurrences(joined, ["sheet", "zone"], terms).join(named, "term")
+    return counted.groupBy("sheet", "zone", "concept_id").agg(F.max("n").alias("n"))
 
 
 def mentioning(found: DataFrame, sheets: DataFrame, concepts: list[str]) -> DataFrame:
