@@ -500,3 +500,15 @@ def test_classifier_equals_a_plain_reading(spark):
     for r in ftrl.score(d, got, "doc_id").collect():
         i, v = make.of(texts[r["doc_id"]])
         assert abs(r["score"] - 1 / (1 + np.exp(-(sum(got[a] * b for a, b in zip(i, v, strict=True)) + got[-1])))) < 1e-9
+
+
+@pytest.mark.parametrize("html,text", [
+    ('<div class="content share"><h1>T</h1><p>Body</p></div>', "T\n\nBody"),
+    ('<article><div class="social-policy"><p>Main story text</p></div><p>tail</p></article>', "Main story text\n\ntail"),
+    ('<article><p>A long enough story about something.</p><div class="share-links">Tell a friend</div><div class="notice">Read this</div></article>', "A long enough story about something."),
+    ('<div class="comments"><p>All that there is on this page are the comments</p></div><p>x</p>', "x"),
+    ('<div class="banner"><div class="social"><p>One two three four</p></div></div>', "One two three four"),
+    ('<header><p>Site</p></header><article><header><h1>Title</h1></header><p>Words</p></article>', "Title\n\nWords")])
+def test_parts_named_like_content_stay_where_the_text_is(spark, html, text):
+    pages = spark.createDataFrame([(1, "http://h/1", html)], "page_id long, url string, html string")
+    assert [r["text"] for r in html_wrapper.extract(pages).collect()] == [text]
