@@ -67,6 +67,18 @@ def e8_link_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exposure.link_events(_events(spark, sf_dir), _lanes(spark, sf_dir))
 
 
+def e8_explained_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All links with their reasons: nations as lanes, two concepts as markets, one as a site."""
+    k = F.col("event_id") % 2 == 0
+    direction = F.when(F.col("event_type") == "view", "moved").when(F.col("value") > 10, F.when(k, "disrupted").otherwise("down")).otherwise(F.when(k, "restored").otherwise("up"))
+    day = F.date_format("ts", "yyyy-MM-dd")
+    events = table(spark, sf_dir, "events").select(F.concat_ws(":", "user_id", day).alias("incident"), day.alias("date"), F.concat(F.lit("c"), F.col("user_id") % 10).alias("concept"), direction.alias("direction"))
+    n = F.col("lane_id")
+    lanes = _lanes(spark, sf_dir).withColumns({"to": F.when(n % 8 == 0, F.lit("home")), "status": F.when(n % 5 == 0, "confirmed"), "via": F.when(n % 6 > 0, F.col("via"))})
+    items = spark.createDataFrame([("c3", "bought"), ("c4", "sold")], "item string, side string")
+    return exposure.explained_links(events, lanes, items, spark.createDataFrame([("c5",)], "site string"), "us")
+
+
 def e2_merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty events are an incident, but for each ninth one, which is its own."""
     raw = table(spark, sf_dir, "events")
@@ -179,7 +191,7 @@ def r6_site_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (e3_alias_remap, e4_lane_touches, e5_market_effects, e8_link_rollup, e8_link_events, e2_merged_events, e6_site_effects, e7_reached_products,
+    for f in (e3_alias_remap, e4_lane_touches, e5_market_effects, e8_link_rollup, e8_link_events, e8_explained_links, e2_merged_events, e6_site_effects, e7_reached_products,
               e10_monthly_prices, e11_scoped_links, e11_untouched_items, e11_lane_status, e12_lane_snapshot, a2_number_grounding, n3_quotes_found, v2_snapshot_diff,
               k7_remaining_cargo, r1_entity_features, r6_site_assets)
 }
@@ -206,6 +218,26 @@ ORACLE_SQL = {
   (SELECT count(DISTINCT lane_id) FROM x WHERE x.effect = f.effect AND x.role = f.role AND x.item = f.item) AS lanes FROM f GROUP BY effect, role, item""",
     "e8_link_events": _TOUCH_SQL + """ SELECT effect, role, item, string_agg(DISTINCT kind, ',' ORDER BY kind) AS touched, string_agg(date || ' ' || incident || ' ' || kind, '; ' ORDER BY date || ' ' || incident || ' ' || kind) AS events
   FROM (SELECT *, row_number() OVER (PARTITION BY effect, role, item ORDER BY date, incident) AS nth FROM f) WHERE nth <= 8 GROUP BY ALL""",
+    "e8_explained_links": """WITH e AS (SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') AS incident, strftime(ts, '%Y-%m-%d') AS date, 'c' || (user_id % 10) AS concept,
+  CASE WHEN event_type = 'view' THEN 'moved' WHEN value > 10 THEN CASE WHEN event_id % 2 = 0 THEN 'disrupted' ELSE 'down' END ELSE CASE WHEN event_id % 2 = 0 THEN 'restored' ELSE 'up' END END AS d FROM events),
+ln AS (SELECT n_nationkey AS n, ['supply', 'export', 'competitor'][n_nationkey % 3 + 1] AS role, 'item ' || n_regionkey AS item, 'c' || (n_nationkey % 10) AS o, CASE WHEN n_nationkey % 6 > 0 THEN 'c' || ((n_nationkey + 3) % 10) END AS v,
+  CASE WHEN n_nationkey % 4 > 0 THEN 'c' || ((2 * n_nationkey + 1) % 10) END AS dst, CASE WHEN n_nationkey % 5 = 0 THEN 'confirmed' ELSE 'public' END AS status FROM nation),
+rt AS (SELECT *, o || ' -> ' || coalesce(v, 'direct') || ' -> ' || coalesce(dst, CASE WHEN n % 8 = 0 THEN 'home' END, 'world market') AS lane FROM ln),
+tc AS (SELECT n, concept, min(pos) AS pos FROM (SELECT n, o AS concept, 0 AS pos FROM ln WHERE role <> 'export' UNION ALL SELECT n, v, CASE WHEN role = 'export' THEN 0 ELSE 1 END FROM ln WHERE v IS NOT NULL UNION ALL SELECT n, dst, 2 FROM ln WHERE dst IS NOT NULL) GROUP BY ALL),
+x AS (SELECT e.incident, e.date, CASE WHEN d IN ('disrupted', 'down') THEN 'impaired' WHEN d IN ('restored', 'up') THEN 'eased' ELSE 'unclear' END AS state, rt.*, tc.pos FROM e JOIN tc USING (concept) JOIN rt USING (n)),
+a AS (SELECT incident, date, CASE WHEN state = 'unclear' THEN 'unclear' WHEN (role = 'competitor') = (state = 'eased') THEN 'headwind' ELSE 'tailwind' END AS effect, role AS link, item, (CAST(n AS VARCHAR), pos, date) AS ord,
+  CASE WHEN state = 'unclear' THEN 'direction of the effect unclear' WHEN role = 'supply' AND state = 'impaired' THEN 'less ' || item || ' reaching us from ' || o || ': availability risk and a higher ' || item || ' cost'
+    WHEN role = 'supply' THEN item || ' supply from ' || o || ' back to normal: lower cost pressure' WHEN role = 'export' AND state = 'impaired' THEN 'us ' || item || ' shipments to ' || coalesce(dst, '') || ' delayed or costlier (freight, longer route, duties)'
+    WHEN role = 'export' THEN 'us ' || item || ' shipments to ' || coalesce(dst, '') || ' easier' WHEN state = 'impaired' THEN 'less competing ' || item || ' from ' || o || ' on the market: support for the price us gets'
+    ELSE 'more competing ' || item || ' from ' || o || ': pressure on the price us gets' END AS why, lane, status FROM x
+  UNION ALL SELECT incident, date, CASE WHEN d IN ('up', 'disrupted') THEN 'headwind' WHEN d IN ('down', 'restored') THEN 'tailwind' ELSE 'unclear' END AS ef, 'input market', concept, ('', 0, date),
+    concept || ' market ' || CASE ef WHEN 'headwind' THEN 'tighter or dearer' WHEN 'tailwind' THEN 'easier or cheaper' ELSE 'moved' END || ': us buys it', NULL, 'graph' FROM e WHERE concept = 'c3'
+  UNION ALL SELECT incident, date, CASE d WHEN 'up' THEN 'tailwind' WHEN 'down' THEN 'headwind' ELSE 'unclear' END, 'product market', concept, ('', 0, date), concept || ' market ' || CASE d WHEN 'up' THEN 'price up' WHEN 'down' THEN 'price down' ELSE d END || ': us sells it', NULL, 'graph' FROM e WHERE concept = 'c4'
+  UNION ALL SELECT incident, date, CASE WHEN d IN ('disrupted', 'down') THEN 'headwind' WHEN d IN ('restored', 'up') THEN 'tailwind' ELSE 'unclear' END, 'own site', concept, ('', 0, date), 'event at us site ' || concept || ': production of what it makes may be affected', NULL, 'graph' FROM e WHERE concept = 'c5'),
+p AS (SELECT effect, link, item, incident, arg_min(date, ord) AS date FROM a GROUP BY ALL),
+q AS (SELECT effect, link, item, count(*) AS incidents, min(date) AS first_date, max(date) AS last_date FROM p GROUP BY ALL)
+SELECT q.*, (SELECT string_agg(DISTINCT why, '; ' ORDER BY why) FROM a WHERE (a.effect, a.link, a.item) = (q.effect, q.link, q.item)) AS why, coalesce((SELECT string_agg(DISTINCT lane, '; ' ORDER BY lane) FROM a WHERE (a.effect, a.link, a.item) = (q.effect, q.link, q.item)), '') AS lanes,
+  (SELECT CASE WHEN bool_and(status = 'public') THEN 'public knowledge, not confirmed' ELSE string_agg(DISTINCT status, '; ' ORDER BY status) END FROM a WHERE (a.effect, a.link, a.item) = (q.effect, q.link, q.item)) AS lane_status FROM q""",
     "e2_merged_events": """
 WITH r AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS date, 'c' || (user_id % 7) AS concept, event_type AS direction, CASE WHEN value > 10 THEN 'price' ELSE 'supply' END AS channel, event_id // 3 AS article_id FROM events),
 i AS (SELECT event_id, 'i' || (event_id // 20) AS incident, strftime(min(ts) OVER (PARTITION BY event_id // 20), '%Y-%m-%d') AS incident_date FROM events WHERE event_id % 9 > 0),

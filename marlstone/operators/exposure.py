@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.news import searched
@@ -18,6 +20,19 @@ LANE_EFFECT = {
 }
 
 
+#: The same with the words that say why; who is the group that the exposure is about.
+LANE_WHY = {
+    ("supply", "impaired"): "less {item} reaching {who} from {origin}: availability risk and a higher {item} cost",
+    ("supply", "eased"): "{item} supply from {origin} back to normal: lower cost pressure",
+    ("export", "impaired"): "{who} {item} shipments to {destination} delayed or costlier (freight, longer route, duties)",
+    ("export", "eased"): "{who} {item} shipments to {destination} easier",
+    ("competitor", "impaired"): "less competing {item} from {origin} on the market: support for the price {who} gets",
+    ("competitor", "eased"): "more competing {item} from {origin}: pressure on the price {who} gets",
+}
+UNCLEAR_WHY = "direction of the effect unclear"
+IMPAIRED, EASED = ("disrupted", "down"), ("restored", "up")
+
+
 def effect(role, state):
     out = F.lit("unclear")
     for (r, s), e in LANE_EFFECT.items():
@@ -66,6 +81,51 @@ def link_events(events: DataFrame, lanes: DataFrame, most: int = 8) -> DataFrame
         F.array_join(F.array_sort(F.collect_set("t.kind")), ",").alias("touched"), F.array_join(F.array_sort(F.collect_list(told)), "; ").alias("events"))
 
 
+def _worded(text: str, who: str, **columns: Column) -> Column:
+    """A text with columns in the place of names in braces; null columns say nothing."""
+    parts = re.split(r"\{(\w+)\}", text.replace("{who}", who))
+    return F.concat(*[F.coalesce(columns[x], F.lit("")) if k % 2 else F.lit(x) for k, x in enumerate(parts)])
+
+
+def explained_links(events: DataFrame, lanes: DataFrame, items: DataFrame, sites: DataFrame, who: str = "the group") -> DataFrame:
+    """effect, link, item, incidents, first_date, last_date, why, lanes, lane_status of all links: lanes, markets of items, and own sites.
+
+    events: incident, date, concept, direction; lanes: lane_id, role, item, origin, via, destination, to, status; items: item, side (bought or sold); sites: site.
+    Of an incident's touches of a link the first counts, by lane, place on it and date. Reasons, lanes and statuses are sorted and joined by "; ". Events are
+    reduced to one row an incident, concept and direction before they meet anything.
+    """
+    few = events.groupBy("incident", "concept", "direction").agg(F.min("date").alias("first"))
+    hurt, helped, way = F.col("direction").isin(*IMPAIRED), F.col("direction").isin(*EASED), F.col("direction")
+    state = F.when(hurt, "impaired").when(helped, "eased").otherwise("unclear")
+    route = F.concat_ws(" -> ", "origin", F.when(F.size(F.coalesce("via", F.array().cast("array<string>"))) > 0, F.array_join("via", " -> ")).otherwise("direct"), F.coalesce("destination", "to", F.lit("world market")))
+    named = lanes.select("lane_id", "origin", "destination", route.alias("lane"), F.coalesce("status", F.lit("public")).alias("status"))
+    on_lanes = few.withColumn("state", state).join(touches(lanes), "concept").join(named, "lane_id")
+    why = F.lit(UNCLEAR_WHY)
+    for (role, s), text in LANE_WHY.items():
+        why = F.when((F.col("role") == role) & (F.col("state") == s), _worded(text, who, item=F.col("item"), origin=F.col("origin"), destination=F.col("destination"))).otherwise(why)
+    told = ["incident", "first"]
+    on_lanes = on_lanes.select(*told, effect(F.col("role"), F.col("state")).alias("effect"), F.col("role").alias("link"), "item", F.struct(F.col("lane_id").cast("string").alias("lane_id"), "pos", "first").alias("order"), why.alias("why"), "lane", "status")
+    bought = F.col("side") == "bought"
+    market = (F.when(bought & way.isin("up", "disrupted"), "headwind").when(bought & way.isin("down", "restored"), "tailwind")
+              .when(~bought & (way == "up"), "tailwind").when(~bought & (way == "down"), "headwind").otherwise("unclear"))
+    dearer = F.when(F.col("effect") == "headwind", "tighter or dearer").when(F.col("effect") == "tailwind", "easier or cheaper").otherwise("moved")
+    moved = F.when(way == "up", "price up").when(way == "down", "price down").otherwise(F.coalesce(way, F.lit("moved")))
+    reason = F.when(bought, F.concat("item", F.lit(" market "), dearer, F.lit(f": {who} buys it"))).otherwise(F.concat("item", F.lit(" market "), moved, F.lit(f": {who} sells it")))
+    none, alone = F.lit(None).cast("string").alias("lane"), F.struct(F.lit("").alias("lane_id"), F.lit(0).alias("pos"), "first").alias("order")
+    on_items = few.join(items.select("item", "side").distinct(), F.col("concept") == F.col("item")).withColumn("effect", market)
+    on_items = on_items.select(*told, "effect", F.when(bought, "input market").otherwise("product market").alias("link"), "item", alone, reason.alias("why"), none, F.lit("graph").alias("status"))
+    at_site = F.concat(F.lit(f"event at {who} site "), "site", F.lit(": production of what it makes may be affected"))
+    on_sites = few.join(sites.select("site").distinct(), F.col("concept") == F.col("site"))
+    on_sites = on_sites.select(*told, F.when(hurt, "headwind").when(helped, "tailwind").otherwise("unclear").alias("effect"), F.lit("own site").alias("link"), F.col("site").alias("item"), alone, at_site.alias("why"), none, F.lit("graph").alias("status"))
+    key = ["effect", "link", "item"]
+    every = on_lanes.unionByName(on_items).unionByName(on_sites)
+    dates = every.groupBy(*key, "incident").agg(F.min_by("first", "order").alias("date")).groupBy(*key).agg(F.count("*").alias("incidents"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "; ")
+    words = every.select(*key, "why", "lane", "status").distinct().groupBy(*key).agg(joined("why").alias("why"), joined("lane").alias("lanes"), joined("status").alias("statuses"))
+    public = F.when(F.col("statuses") == "public", "public knowledge, not confirmed").otherwise(F.col("statuses"))
+    return dates.join(words, key).withColumn("lane_status", public).drop("statuses")
+
+
 def merged_events(reports: DataFrame, incidents: DataFrame) -> DataFrame:
     """incident, date, concept, direction, channel and article_ids of reports (event_id, date, concept, direction, channel, article_id).
 
