@@ -127,3 +127,39 @@ def test_specifications_are_checked(spark):
 def test_filled_labels_take_skipped_rows_too(spark):
     cells = spark.createDataFrame([("s", 1, 0, "A", None, None), ("s", 2, 0, "Total x", None, None), ("s", 3, 1, "v", None, None), ("s", 4, 0, None, 2024.0, None)], CELLS)
     assert [(r["row"], r["labels"]) for r in grids.filled_labels(cells, 1, 1, ["total"]).orderBy("row").collect()] == [(1, "A"), (4, "2024")]
+
+
+def _checked(spark, cells, kinds=(), **changes):
+    specs = _specs(spark, {"anchor_text": None, "fill_labels": False, "skip_words": [], "drop_rows": [], "drop_columns": [], "subtitles": [], "section_dimension": None, "published": None, "first_row": 0, "last_row": 5, "last_col": 3,
+                           "header_rows": [0], "label_columns": [0], "row_dimensions": ["item"], **changes})
+    grid = spark.createDataFrame([("s", r, c, v if isinstance(v, str) else None, v if not isinstance(v, str) else None, None) for r, row in enumerate(cells) for c, v in enumerate(row) if v is not None], CELLS)
+    terms = spark.createDataFrame([(t, k) for t, k in kinds], "term string, kind string")
+    return {r["check"]: (r["ok"], r["detail"], r["status"]) for r in replay.checked(grid, replay.placed(specs, grid), terms).collect()}
+
+
+def test_all_checks_of_a_specification(spark):
+    good = [["", "2023", "2024", "2025"], ["Jan-24", 1.0, 2.0, 4.0], ["Feb-24", 2.0, 4.0, 9.0], ["Mar-24", 3.0, 5.0, 1.0], ["Apr-24", 5.0, 7.0, 2.0], ["May-24", 7.0, 1.0, 2.0]]
+    got = _checked(spark, good)
+    assert all(ok and status == "proposed" for ok, _, status in got.values())
+    assert got["values_parse"][1] == "15 numbers, 0 other" and len(got) == 11
+    bad = [["", "2024", "2023", "9"], ["Feb-24", 1.0, 2.0, 3.0], ["Jan-24", 2.0, 4.0, 6.0], ["Asia", 3.0, 6.0, 9.0], ["France", "x", "y", 8.0], ["Sum total", 6.0, 12.0, 18.0], ["below", 4.0, None, None]]
+    got = _checked(spark, bad, [("Asia", "region"), ("France", "country")], skip_kinds=[])
+    assert {c for c, (ok, *_) in got.items() if not ok} == {"values_parse", "column_periods_in_order", "row_periods_in_order", "covers_whole_table", "no_subtotal_labels"}
+    assert (got["column_periods_in_order"][1], got["row_periods_in_order"][1], got["covers_whole_table"][1]) == ("2023-01", "2024-01", "1 below, 0 right")
+    assert got["no_subtotal_labels"][1] == "1 regions, 1 countries, 1 totals" and {s for *_, s in got.values()} == {"rejected"}
+
+
+def test_totals_that_are_kept_or_dropped(spark):
+    rows = [["", "a", "b", "all"], ["x", 1.0, 2.0, 3.0], ["y", 2.0, 5.0, 7.0], ["z", 4.0, 4.0, 8.0], ["sum", 7.0, 11.0, 18.0], ["w", 9.0, 9.0, 9.0]]
+    got = _checked(spark, rows, last_row=4)
+    assert got["no_total_rows"][:2] == (False, "5") and got["no_total_columns"][:2] == (False, "D") and got["covers_whole_table"][1] == "3 below, 0 right"
+    got = _checked(spark, rows[:5], last_row=4, drop_rows=[4], drop_columns=[3])
+    assert all(ok for ok, *_ in got.values())
+    got = _checked(spark, rows, drop_rows=[4, 5], drop_columns=[2])
+    assert got["dropped_rows_are_totals"][:2] == (False, "6") and got["dropped_columns_are_totals"][:2] == (False, "C")
+
+
+def test_a_dropped_row_may_sum_its_subtotals(spark):
+    rows = [["", "a", "b", "c"], ["Asia", 1.0, 2.0, 4.0], ["x", 5.0, 5.0, 3.0], ["Europe", 2.0, 5.0, 7.0], ["everything", 3.0, 7.0, 11.0], ["y", 1.0, 1.0, 6.0]]
+    got = _checked(spark, rows, [("asia", "region"), ("europe", "region")], drop_rows=[4])
+    assert got["dropped_rows_are_totals"][0] and got["no_subtotal_labels"][0]
