@@ -51,6 +51,23 @@ def v1_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.integrity(_concepts(spark, sf_dir), _edges(spark, sf_dir), KINDS)
 
 
+def v2_vocabulary_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as concepts, before and after: some come, some go, some change their name or definition; so do their terms and relations."""
+    k = F.col("p_partkey")
+    part = table(spark, sf_dir, "part").filter("p_partkey > 0")
+    cid = F.concat(F.lit("p"), k)
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("p_size") % 3 + 1)
+
+    def version(df: DataFrame, name, definition, step: int) -> dict[str, DataFrame]:
+        return {"concepts": df.select(cid.alias("id"), kind.alias("kind"), name.alias("name"), definition.alias("definition")), "terms": df.select(name.alias("term"), cid.alias("concept_id")).distinct(),
+                "relations": df.select(cid.alias("src"), F.lit("MADE_FROM").alias("rel"), F.concat(F.lit("p"), F.floor(k / step).cast("string")).alias("dst")).filter(k % 5 == 0)}
+
+    before = version(part.filter(k % 11 != 1), F.col("p_name"), F.col("p_brand"), 2)
+    after = version(part.filter(k % 13 != 1), F.when(k % 17 == 0, F.upper("p_name")).otherwise(F.col("p_name")), F.when(k % 19 != 0, F.col("p_brand")), 3)
+    additions = part.filter(k % 7 == 0).select(F.concat(F.lit("extra "), F.col("p_type")).alias("term"), cid.alias("concept_id"))
+    return vocabulary.changes(before, after, _edges(spark, sf_dir), additions)
+
+
 def v3_orphan_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = _concepts(spark, sf_dir).filter("id like '%7'")
     return vocabulary.orphan_impact(removed, _edges(spark, sf_dir))
@@ -200,7 +217,7 @@ def r7_asset_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (v1_integrity, v3_orphan_impact, v4_region_concepts, v4_in_region, v5_expanded_aliases, v6_term_lookup, v7_neighbourhood, v8_concept_match, v9_driver_types,
+    for f in (v1_integrity, v2_vocabulary_changes, v3_orphan_impact, v4_region_concepts, v4_in_region, v5_expanded_aliases, v6_term_lookup, v7_neighbourhood, v8_concept_match, v9_driver_types,
               v10_clashes, v11_lane_problems, v12_missing_inputs, r2_completed_assets, r3_partition_problems, r4_asset_edges, r5_found_by_name, r7_asset_list)
 }
 
@@ -208,6 +225,16 @@ ORACLE_SQL = {
     "v1_integrity": f"""WITH {_CONCEPTS_SQL}, {_EDGES_SQL} SELECT 'duplicate' AS problem, id FROM concepts GROUP BY id HAVING count(*) > 1
   UNION SELECT 'unknown kind', id FROM concepts WHERE kind = 'thing' UNION SELECT 'incomplete', id FROM concepts WHERE name IS NULL
   UNION SELECT 'dangling', id FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges) WHERE id NOT IN (SELECT id FROM concepts)""",
+    "v2_vocabulary_changes": f"""WITH {_EDGES_SQL}, q AS (SELECT *, p_partkey AS k, 'p' || p_partkey AS id, (['product', 'input', 'metric'])[p_size % 3 + 1] AS kd, CASE WHEN p_partkey % 17 = 0 THEN upper(p_name) ELSE p_name END AS n2,
+  CASE WHEN p_partkey % 19 <> 0 THEN p_brand END AS d2 FROM part WHERE p_partkey > 0), a AS (SELECT * FROM q WHERE k % 11 <> 1), b AS (SELECT * FROM q WHERE k % 13 <> 1),
+ta AS (SELECT DISTINCT p_name || ' -> ' || id AS t FROM a), tb AS (SELECT DISTINCT n2 || ' -> ' || id AS t FROM b), ra AS (SELECT id || ' MADE_FROM p' || (k // 2) AS t FROM a WHERE k % 5 = 0), rb AS (SELECT id || ' MADE_FROM p' || (k // 3) AS t FROM b WHERE k % 5 = 0)
+SELECT '+' AS sign, 'concept' AS what, id || ' (' || kd || ')' AS said FROM b WHERE k % 11 = 1 UNION ALL SELECT '-', 'concept', id || ' (' || kd || ')' FROM a WHERE k % 13 = 1
+UNION ALL SELECT '~', 'concept', id || '.name: ' || p_name || ' -> ' || n2 FROM a JOIN b USING (id, p_name, n2) WHERE p_name <> n2
+UNION ALL SELECT '~', 'concept', a.id || '.definition: ' || a.p_brand || ' -> nothing' FROM a JOIN b USING (id) WHERE a.k % 19 = 0
+UNION ALL SELECT '+', 'term', t FROM (SELECT t FROM tb EXCEPT SELECT t FROM ta) UNION ALL SELECT '-', 'term', t FROM (SELECT t FROM ta EXCEPT SELECT t FROM tb)
+UNION ALL SELECT '+', 'relation', t FROM (SELECT t FROM rb EXCEPT SELECT t FROM ra) UNION ALL SELECT '-', 'relation', t FROM (SELECT t FROM ra EXCEPT SELECT t FROM rb)
+UNION ALL SELECT '!', 'edges', id || ' ' || side || ' ' || rel || ': ' || count(*) FROM (SELECT src AS id, rel, 'out' AS side FROM edges UNION ALL SELECT dst, rel, 'in' FROM edges) WHERE id IN (SELECT id FROM a WHERE k % 13 = 1) GROUP BY id, side, rel
+UNION ALL SELECT '!', 'added term', 'extra ' || p_type || ' -> ' || id FROM a WHERE k % 13 = 1 AND k % 7 = 0""",
     "v3_orphan_impact": f"""WITH {_CONCEPTS_SQL}, {_EDGES_SQL} SELECT id, rel, side, count(*) AS n FROM (SELECT src AS id, rel, 'out' AS side FROM edges UNION ALL SELECT dst, rel, 'in' FROM edges)
   WHERE id IN (SELECT id FROM concepts WHERE id LIKE '%7') GROUP BY ALL""",
     "v4_region_concepts": """SELECT DISTINCT 'country_' || lower(n_name) AS id, 'country' AS kind, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey

@@ -20,6 +20,14 @@ def w1_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workbooks.profiles(cells)
 
 
+def w1_sheet_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The formula sheets moved down, with a title and a note above."""
+    down = F.when(F.substring("sheet", 2, 2).cast("int") % 3 == 0, 4).otherwise(0)
+    moved = cut(_cells(spark, sf_dir).withColumn("row", F.col("row") + down))
+    lists = workbooks.sheet_lists(moved, workbooks.profiles(moved))
+    return lists.select("sheet", *[F.array_join(c, "|").alias(c) for c in ("preamble", "header_cells", "row_labels")])
+
+
 def w2_formula_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _cells(spark, sf_dir).withColumn("v_str", F.when((F.col("col") == 0) & (F.col("row") % 5 == 0), F.concat("v_str", F.lit(" Total"))).otherwise(F.col("v_str")))
     return workbooks.formula_counts(cells)
@@ -71,7 +79,7 @@ def w7_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workbooks.routed(sheets, exact, PATTERNS)
 
 
-QUERIES = {f.__name__: f for f in (w1_profiles, w2_formula_counts, w3_roles, w4_descriptions, w5_mentions, w5_large_vocabulary, w6_mentioning_all, w7_routes)}
+QUERIES = {f.__name__: f for f in (w1_profiles, w1_sheet_lists, w2_formula_counts, w3_roles, w4_descriptions, w5_mentions, w5_large_vocabulary, w6_mentioning_all, w7_routes)}
 
 _TERMS_SQL = ", ".join(f"('{t}', '{c}')" for t, c in TERMS)
 _MENTIONS_SQL = f"""SELECT sheet, 'rows' AS zone, concept_id, max(n) AS n FROM (SELECT doc_id AS sheet, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]')) AS w FROM documents) GROUP BY ALL)
@@ -85,6 +93,14 @@ e AS (SELECT h.sheet, head, lo, (SELECT min(x) FROM range(0, 302) t(x) WHERE x >
 b AS (SELECT sheet, count(*) FILTER (gap > 1) AS gaps FROM (SELECT sheet, "row" - lag("row") OVER (PARTITION BY sheet ORDER BY "row") AS gap FROM r) GROUP BY 1)
 SELECT e.sheet, head AS header_row, coalesce(stop - head, 0) AS header_depth, gaps + CASE WHEN lo > 0 THEN 1 ELSE 1 END AS blocks, false AS time_in_columns,
   coalesce((SELECT arg_min(first, "row") FROM r WHERE r.sheet = e.sheet AND "row" < 5), '') AS title FROM e JOIN b USING (sheet)""",
+    "w1_sheet_lists": f"""WITH {_CELLS_SQL}, tx AS (SELECT sheet, "row" + o AS "row", col, t FROM txt JOIN (SELECT sheet, CASE WHEN CAST(sheet[2:] AS INT) % 3 = 0 THEN 4 ELSE 0 END AS o FROM (SELECT DISTINCT sheet FROM val)) USING (sheet) WHERE t IS NOT NULL),
+al AS (SELECT sheet, "row", col, 1 AS s FROM tx UNION ALL SELECT sheet, "row" + CASE WHEN CAST(sheet[2:] AS INT) % 3 = 0 THEN 4 ELSE 0 END, col, CASE WHEN f THEN 1 ELSE 0 END FROM num),
+rw AS (SELECT sheet, "row", count(*) AS n, 2 * sum(s) >= count(*) AS texty FROM al WHERE "row" < 300 GROUP BY ALL),
+hd AS (SELECT sheet, min("row") FILTER (n >= 3 AND texty) AS head FROM rw GROUP BY 1),
+dp AS (SELECT hd.sheet, coalesce(head, 0) AS head, least(greatest((SELECT min(x) FROM range(0, 302) t(x) WHERE x >= head AND NOT EXISTS (SELECT 1 FROM rw WHERE rw.sheet = hd.sheet AND rw."row" = x AND texty)) - head, 1), 3) AS depth FROM hd),
+zn AS (SELECT DISTINCT sheet, CASE WHEN "row" < head THEN 1 WHEN "row" < head + coalesce(depth, 1) THEN 2 ELSE 3 END AS z, t FROM tx JOIN dp USING (sheet) WHERE "row" < 300)
+SELECT sheet, coalesce((SELECT array_to_string(list_sort(list(t))[:30], '|') FROM zn WHERE zn.sheet = dp.sheet AND z = 1), '') AS preamble, coalesce((SELECT array_to_string(list_sort(list(t))[:200], '|') FROM zn WHERE zn.sheet = dp.sheet AND z = 2), '') AS header_cells,
+  coalesce((SELECT array_to_string(list_sort(list(t))[:300], '|') FROM zn WHERE zn.sheet = dp.sheet AND z = 3), '') AS row_labels FROM dp""",
     "w2_formula_counts": f"""WITH {_CELLS_SQL}, q AS (SELECT sheet, "row", count(*) FILTER (f) AS f FROM num GROUP BY ALL) SELECT sheet, CAST(sum(f) AS BIGINT) AS formulas, count(*) FILTER (f > 0 AND "row" % 5 = 0) AS total_rows FROM q GROUP BY 1""",
     "w3_roles": """SELECT c_custkey AS id, CASE WHEN c_custkey % 9 = 0 THEN 'contents' WHEN c_custkey % 9 = 1 THEN 'dashboard' WHEN c_custkey % 2 = 0 THEN 'data' WHEN c_custkey % 3 > 0 THEN 'dashboard' ELSE 'other' END AS role FROM customer""",
     "w4_descriptions": """WITH c AS (SELECT p_partkey // 3 AS r, max(' s' || p_size) AS s, max(p_name) AS a, max(p_brand) AS b FROM part WHERE p_partkey // 3 < 400 GROUP BY 1)

@@ -82,6 +82,33 @@ def expanded(aliases: DataFrame, terms: DataFrame) -> DataFrame:
     return terms.select("term", "concept_id").unionByName(real.join(known, "key_").select("term", "concept_id")).distinct()
 
 
+def changes(old: dict[str, DataFrame], new: dict[str, DataFrame], edges: DataFrame, additions: DataFrame) -> DataFrame:
+    """sign, what, said: what a reload of the vocabulary would change. + and - for concepts, terms and relations that come and go, ~ for each field of a concept
+    that differs, and ! for what concepts that go would leave behind: their edges in other layers, by relation and side, and added terms.
+
+    old and new: concepts (id, kind, name, definition), terms (term, concept_id), relations (src, rel, dst), each row once; edges: src, rel, dst; additions: term, concept_id.
+    """
+    line = lambda df, sign, what, said: df.select(F.lit(sign).alias("sign"), F.lit(what).alias("what"), said.alias("said"))
+    fields = ("kind", "name", "definition")
+    side = lambda d, s: d["concepts"].select("id", F.lit(True).alias(f"in_{s}"), *[F.col(f).alias(f"{f}_{s}") for f in fields])
+    both = side(old, "old").join(side(new, "new"), "id", "full")
+    told = lambda k: F.concat("id", F.lit(" ("), F.coalesce(k, F.lit("")), F.lit(")"))
+    gone = both.filter("in_new is null")
+    out = line(both.filter("in_old is null"), "+", "concept", told(F.col("kind_new"))).unionByName(line(gone, "-", "concept", told(F.col("kind_old"))))
+    stay = both.filter("in_old and in_new")
+    shown = lambda c: F.coalesce(c, F.lit("nothing"))
+    moved = F.array_compact(F.array(*[
+        F.when(~F.col(f"{f}_old").eqNullSafe(F.col(f"{f}_new")), F.concat("id", F.lit(f".{f}: "), shown(F.col(f"{f}_old")), F.lit(" -> "), shown(F.col(f"{f}_new")))) for f in fields]))
+    out = out.unionByName(stay.select(F.lit("~").alias("sign"), F.lit("concept").alias("what"), F.explode(moved).alias("said")))
+    for what, said in (("terms", F.concat("term", F.lit(" -> "), "concept_id")), ("relations", F.concat_ws(" ", "src", "rel", "dst"))):
+        a, b = old[what].distinct(), new[what].distinct()
+        out = out.unionByName(line(b.join(a, b.columns, "left_anti"), "+", what[:-1], said)).unionByName(line(a.join(b, a.columns, "left_anti"), "-", what[:-1], said))
+    lost = orphan_impact(gone.select("id"), edges)
+    out = out.unionByName(line(lost, "!", "edges", F.concat("id", F.lit(" "), "side", F.lit(" "), "rel", F.lit(": "), F.col("n").cast("string"))))
+    orphans = additions.join(gone.select(F.col("id").alias("concept_id")), "concept_id", "left_semi")
+    return out.unionByName(line(orphans, "!", "added term", F.concat("term", F.lit(" -> "), "concept_id")))
+
+
 def looked_up(terms: DataFrame, query: str) -> DataFrame:
     """concept_id, exact of the concepts that a text names, exactly or as a part of a term; exact ones first."""
     q = F.lower(F.lit(query))

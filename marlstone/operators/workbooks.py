@@ -51,6 +51,23 @@ def profiles(cells: DataFrame) -> DataFrame:
         F.coalesce(F.substring(F.min_by(F.when(F.col("row") < 5, F.col("first")), F.when(F.col("row") < 5, F.col("row"))), 1, 120), F.lit("")).alias("title"), first.alias("first_")).drop("first_")
 
 
+def sheet_lists(cells: DataFrame, profile: DataFrame) -> DataFrame:
+    """sheet, preamble, header_cells, row_labels: the different texts above the header (the first 30 in order), in the first three of its rows (200), and in the
+    first three columns below (300); texts are trimmed and cut at 60 characters, formulas are none. profile: sheet, header_row, header_depth (profiles()).
+    """
+    where = profile.select("sheet", F.coalesce("header_row", F.lit(0)).alias("head"), F.least(F.greatest("header_depth", F.lit(1)), F.lit(3)).alias("depth"))
+    seen = cells.filter((F.col("row") < SCAN_ROWS) & F.col("formula").isNull() & (F.btrim(F.coalesce("v_str", F.lit(""))) != "") & ~F.startswith("v_str", F.lit("="))).join(where, "sheet")
+    below = F.col("row") >= F.col("head") + F.col("depth")
+    zone = F.when(F.col("row") < F.col("head"), "preamble").when(~below, "header_cells").when(F.col("col") < 3, "row_labels")
+    texts = seen.select("sheet", zone.alias("zone"), F.substring(F.btrim("v_str"), 1, 60).alias("t")).filter("zone is not null").distinct()
+    most = F.when(F.col("zone") == "preamble", 30).when(F.col("zone") == "header_cells", 200).otherwise(300)
+    first = texts.withColumn("nth", F.row_number().over(Window.partitionBy("sheet", "zone").orderBy("t"))).filter(F.col("nth") <= most)
+    told = lambda z: F.array_sort(F.collect_list(F.when(F.col("zone") == z, F.col("t")))).alias(z)
+    found = first.groupBy("sheet").agg(*map(told, ("preamble", "header_cells", "row_labels")))
+    none = F.array().cast("array<string>")
+    return profile.select("sheet").join(found, "sheet", "left").select("sheet", *[F.coalesce(z, none).alias(z) for z in ("preamble", "header_cells", "row_labels")])
+
+
 def formula_counts(cells: DataFrame) -> DataFrame:
     """sheet, formulas, total_rows: formulas of a whole sheet, and rows of formulas with "total" in their first four columns."""
     named = F.coalesce(F.contains(F.lower("v_str"), F.lit("total")), F.lit(False)) & (F.col("col") < 4)

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from marlstone.operators import cleaning, diagnosis, entities, exposure, extraction, filters, vocabulary
+from marlstone.operators import cleaning, diagnosis, entities, exposure, extraction, filters, vocabulary, workbooks
 
 
 def test_labels_match_terms_whose_words_they_have(spark):
@@ -84,3 +84,23 @@ def test_cleaning_of_dates_grades_and_headers(spark):
 def test_a_rejected_review_erases_no_label(spark):
     docs = spark.createDataFrame([("a", "sulphur"), ("b", "ammonia"), ("c", None)], "file string, label string").selectExpr("*", "'m' as metric", "'p' as product", "'2025-06' as period")
     assert [r["label"] for r in diagnosis.reviewed_labels(docs).collect()] == ["ammonia"]
+
+
+def test_changes_of_a_vocabulary(spark):
+    concepts, terms, relations = "id string, kind string, name string, definition string", "term string, concept_id string", "src string, rel string, dst string"
+    made = lambda c, t, r: {"concepts": spark.createDataFrame(c, concepts), "terms": spark.createDataFrame(t, terms), "relations": spark.createDataFrame(r, relations)}
+    old = made([("a", "input", "A", None), ("b", "input", "B", "x"), ("c", None, "C", None)], [("one", "a"), ("two", "b")], [("a", "R", "b")])
+    new = made([("a", "input", "A", None), ("b", "product", "B", None), ("d", "site", "D", "y")], [("one", "a"), ("three", "b")], [("b", "R", "a")])
+    edges = spark.createDataFrame([("c", "MENTIONS", "z"), ("y", "MENTIONS", "c"), ("y", "MENTIONS", "a")], relations)
+    additions = spark.createDataFrame([("more", "c"), ("other", "a")], terms)
+    got = {tuple(r) for r in vocabulary.changes(old, new, edges, additions).collect()}
+    assert got == {("+", "concept", "d (site)"), ("-", "concept", "c ()"), ("~", "concept", "b.kind: input -> product"), ("~", "concept", "b.definition: x -> nothing"), ("+", "term", "three -> b"), ("-", "term", "two -> b"),
+                   ("+", "relation", "b R a"), ("-", "relation", "a R b"), ("!", "edges", "c out MENTIONS: 1"), ("!", "edges", "c in MENTIONS: 1"), ("!", "added term", "more -> c")}
+
+
+def test_texts_of_a_sheet_by_zone(spark):
+    cells = [("s", 0, 0, "A title"), ("s", 1, 0, " note "), ("s", 1, 1, "=x"), ("s", 3, 0, "Country"), ("s", 3, 1, "Jan"), ("s", 3, 2, "Feb"), ("s", 4, 0, "France"), ("s", 5, 0, "Spain"), ("s", 5, 3, "far right"), ("s", 6, 0, "France"), ("t", 0, 0, "only")]
+    numbers = [("s", r, c, None) for r in (4, 5, 6) for c in (1, 2)]
+    table = spark.createDataFrame([(*c, None if c[3] else 1.0, None) for c in cells + numbers], "sheet string, row int, col int, v_str string, v_num double, formula string")
+    got = {r["sheet"]: (r["preamble"], r["header_cells"], r["row_labels"]) for r in workbooks.sheet_lists(table, workbooks.profiles(table)).collect()}
+    assert got == {"s": (["A title", "note"], ["Country", "Feb", "Jan"], ["France", "Spain"]), "t": ([], ["only"], [])}
