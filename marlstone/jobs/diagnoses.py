@@ -192,9 +192,26 @@ def t24_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnosis.report_lines(cut(t16_ranking(spark, sf_dir)))
 
 
+def t24_full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports with analogs, what the product's price did after them, dear orders as incidents, and drivers that cannot be ranked."""
+    daily = cut(_daily(spark, sf_dir))
+    found, drivers = cut(diagnosis.evidence(daily, 5)), cut(_drivers(spark, daily))
+    scored = cut(diagnosis.scores(found, drivers))
+    mine = cut(diagnosis.of_drivers(found, drivers))
+    library = diagnosis.episodes(scored)
+    near = cut(diagnosis.analogs(mine, library))
+    means = daily.filter(F.col("concept") == PRODUCT).groupBy(diagnosis.month_index().alias("past")).agg(F.avg("value").alias("mean"))
+    after = means.join(means.select((F.col("past") - 1).alias("past"), F.col("mean").alias("next_")), "past").select("past", rounded(F.col("next_") - F.col("mean"), 2).alias("next_change"))
+    near = near.join(library.select(F.col("mi").alias("past"), "label"), "past").join(after, "past", "left")
+    orders = table(spark, sf_dir, "orders").filter("o_totalprice > 400000")
+    incidents = orders.select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.to_date("o_orderdate").alias("date"), F.col("o_orderstatus").alias("type"), F.concat(F.lit("order "), F.col("o_orderkey")).alias("summary"))
+    unranked = diagnosis.unrankable(spark.createDataFrame(EDGES, "src string, rel string, dst string"), METRIC, PRODUCT, daily)
+    return diagnosis.full_report(cut(diagnosis.ranked(mine, scored, near.drop("label", "next_change"))), found, drivers, near, incidents, unranked)
+
+
 QUERIES = {f.__name__: f for f in (t3_proxy_margin, t6_candidates, t8_evidence, t10_scores, t13_analogs, t14_analog_support, t15_weekly_votes, t16_ranking,
                                    t7_unrankable, t17_batch, t18_reviewed_labels, t19_listed, t20_answer_problems, t22_shocked, t23_evaluation, t23_full_evaluation,
-                                   t23_confusions, t24_report)}
+                                   t23_confusions, t24_report, t24_full_report)}
 
 _RATIOS_SQL = ", ".join(f"('{c}', {r})" for c, r in RATIOS)
 _DAILY = f"""
@@ -346,5 +363,22 @@ nr AS (SELECT concept, month, floor(abs(mean / lag(mean) OVER w - 1) * 100 * 100
 pl AS (SELECT case_id, driver, size, count(*) FILTER (concept <> driver AND theirs > pct) + 1 AS place FROM ow JOIN nr USING (month) WHERE gap = 1 GROUP BY ALL)
 SELECT driver, size, count(*) AS n, floor(avg(CASE WHEN place <= 1 THEN 1.0 ELSE 0.0 END) * 10000 + 0.5) / 10000 AS top1, floor(avg(CASE WHEN place <= 3 THEN 1.0 ELSE 0.0 END) * 10000 + 0.5) / 10000 AS top3,
   floor((avg(1 / place) + 1e-12) * 10000 + 0.5) / 10000 AS mrr FROM pl GROUP BY GROUPING SETS ((), (driver), (size))""",
+    "t24_full_report": f"""
+WITH RECURSIVE {_ANALOGS}, {_VOTES},
+m AS (SELECT mi, concept, role, ord, score AS s_evid, onset, coalesce(support, 0.0) AS support, coalesce(votes, 0) AS votes, CASE WHEN mi IN (SELECT mi FROM an) THEN 0.8 ELSE 1.0 END::DOUBLE AS alpha
+  FROM sc LEFT JOIN su USING (mi, concept) LEFT JOIN vo USING (mi, concept) WHERE win = 'month' AND mi IN (SELECT mi FROM v)),
+t AS (SELECT *, floor((alpha * s_evid + (1 - alpha) * support) * 10000 + 0.5) / 10000 AS score FROM m),
+rk AS (SELECT *, printf('%04d-%02d', (mi - 1) // 12, (mi - 1) % 12 + 1) AS month, row_number() OVER (PARTITION BY mi ORDER BY votes DESC, score DESC, coalesce(onset, '9999'), ord) AS rank FROM t),
+e2 AS (SELECT concept, mi, onset, z, max_z, floor((delta * 100) + 0.5) / 100 AS delta, floor((pct * 100) + 0.5) / 100 AS pct, floor((reference * 100) + 0.5) / 100 AS reference FROM ev WHERE win = 'month'),
+li AS (SELECT month, 0 AS part, lpad(CAST(rank AS VARCHAR), 9, '0') AS at_, printf('%d. %s [%s] ev:%s:%s: ', rank, rk.concept, role, rk.concept, month) || coalesce(printf('%+.2f (%+.2f%%) vs reference %.2f, z %.2f, max z %.2f, first abnormal %s', n.delta, n.pct, n.reference, n.z, n.max_z, coalesce(n.onset, 'none')), 'no data in the period')
+    || coalesce(printf('; earlier move %+.2f%% (z %.2f, from %s)', p.pct, p.z, p.onset), '') || printf('; score %.4f, weekly votes %d; path ', score, votes) || array_to_string((SELECT path FROM c WHERE c.concept = rk.concept), ' <- ')
+    || coalesce('; transits ' || (SELECT string_agg(dst, ', ' ORDER BY dst) FROM ed WHERE src = rk.concept AND rel = 'TRANSITS'), '') AS line
+  FROM rk LEFT JOIN e2 n ON n.concept = rk.concept AND n.mi = rk.mi LEFT JOIN e2 p ON p.concept = rk.concept AND p.mi = rk.mi - 1 AND p.onset IS NOT NULL
+  UNION ALL SELECT DISTINCT month, 1, '', 'Drivers in the graph without a series (not ranked, cannot be ruled out): ' || (SELECT string_agg(DISTINCT node, ', ' ORDER BY node) FROM sp WHERE node NOT IN (SELECT src FROM ed) AND node NOT IN (SELECT p_type FROM part) AND node NOT IN ('{METRIC}', '{PRODUCT}')) FROM rk
+  UNION ALL SELECT printf('%04d-%02d', (mi - 1) // 12, (mi - 1) % 12 + 1), 2, lpad(CAST(place AS VARCHAR), 9, '0'), printf('analog:%04d-%02d: similarity %.3f, top driver then %s (automatic)', (past - 1) // 12, (past - 1) % 12 + 1, similarity, top)
+    || coalesce((SELECT printf(', metric changed %+.2f the following month', floor((b.w - a.w) * 100 + 0.5) / 100) FROM (SELECT mi, avg(v) AS w FROM o WHERE concept = '{PRODUCT}' GROUP BY 1) a JOIN (SELECT mi, avg(v) AS w FROM o WHERE concept = '{PRODUCT}' GROUP BY 1) b ON b.mi = a.mi + 1 WHERE a.mi = past), '') FROM an
+  UNION ALL SELECT strftime(o_orderdate, '%Y-%m'), 3, strftime(o_orderdate, '%Y-%m-%d') || ' order ' || o_orderkey, 'incident ' || strftime(o_orderdate, '%Y-%m-%d') || ' ' || o_orderstatus || ': order ' || o_orderkey FROM orders
+    WHERE o_totalprice > 400000 AND strftime(o_orderdate, '%Y-%m') IN (SELECT month FROM rk))
+SELECT month, string_agg(line, chr(10) ORDER BY part, at_) AS report FROM li GROUP BY 1""",
     "t24_report": f"""SELECT month, string_agg(printf('%d. %s [%s]: first abnormal %s; score %.4f, weekly votes %d', rank, concept, role, coalesce(onset, 'none'), score, votes), chr(10) ORDER BY rank) AS report FROM ({ORACLE_SQL["t16_ranking"]}) GROUP BY 1""",
 }

@@ -147,6 +147,36 @@ def report_lines(ranked: DataFrame) -> DataFrame:
     return told.select("month", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("report"))
 
 
+def full_report(order: DataFrame, found: DataFrame, drivers: DataFrame, near: DataFrame, incidents: DataFrame, not_ranked: DataFrame) -> DataFrame:
+    """month, report: all that is said of a month's diagnosis, a line each: the ranked drivers with their moves now and the month before, their way and routes; drivers that
+    cannot be ranked; analogs; incidents.
+
+    order: ranking(); found: evidence; drivers: candidates; near: analogs() with next_change; incidents: month, date, type, summary; not_ranked: concept. Lines of a
+    kind are in order of rank, place, or date and summary.
+    """
+    signed = lambda c: F.format_string("%+.2f", rounded(c, 2))
+    month = found.filter("win = 'month'")
+    now = month.select(month_label().alias("month"), "concept", F.concat(
+        signed(F.col("delta")), F.lit(" ("), signed(F.col("pct")), F.lit("%) vs reference "), F.format_string("%.2f", rounded(F.col("reference"), 2)), F.lit(", z "), F.format_string("%.2f", "z"), F.lit(", max z "), F.format_string("%.2f", "max_z"),
+        F.lit(", first abnormal "), F.coalesce("onset", F.lit("none"))).alias("now"))
+    before = month.filter("onset is not null").withColumn("mi", F.col("mi") + 1).select(month_label().alias("month"), "concept", F.concat(
+        F.lit("; earlier move "), signed(F.col("pct")), F.lit("% (z "), F.format_string("%.2f", "z"), F.lit(", from "), "onset", F.lit(")")).alias("before"))
+    ways = drivers.select("concept", F.array_join("path", " <- ").alias("way"), F.when(F.size("routes") > 0, F.concat(F.lit("; transits "), F.array_join("routes", ", "))).otherwise("").alias("transits"))
+    both = order.join(now, ["month", "concept"], "left").join(before, ["month", "concept"], "left").join(ways, "concept")
+    line = F.concat(F.format_string("%d. %s [%s] ev:%s:%s: ", "rank", "concept", "role", "concept", "month"), F.coalesce("now", F.lit("no data in the period")), F.coalesce("before", F.lit("")),
+                    F.format_string("; score %.4f, weekly votes %d; path ", "score", "votes"), "way", "transits")
+    lines = both.select("month", F.lit(0).alias("part"), F.lpad("rank", 9, "0").alias("at"), line.alias("line"))
+    rest = not_ranked.agg(F.array_join(F.array_sort(F.collect_set("concept")), ", ").alias("names")).filter("names <> ''")
+    missing = order.select("month").distinct().join(F.broadcast(rest), how="cross")  # one row
+    lines = lines.unionByName(missing.select("month", F.lit(1).alias("part"), F.lit("").alias("at"), F.concat(F.lit("Drivers in the graph without a series (not ranked, cannot be ruled out): "), "names").alias("line")))
+    told = F.concat(F.lit("analog:"), month_label("past"), F.format_string(": similarity %.3f, top driver then %s (%s)", "similarity", "top", "label"),
+                    F.when(F.col("next_change").isNotNull(), F.concat(F.lit(", metric changed "), signed(F.col("next_change")), F.lit(" the following month"))).otherwise(""))
+    lines = lines.unionByName(near.select(month_label().alias("month"), F.lit(2).alias("part"), F.lpad(F.col("place").cast("string"), 9, "0").alias("at"), told.alias("line")))
+    said = F.concat(F.lit("incident "), F.date_format("date", "yyyy-MM-dd"), F.lit(" "), "type", F.lit(": "), "summary")
+    lines = lines.unionByName(incidents.join(order.select("month").distinct(), "month", "left_semi").select("month", F.lit(3).alias("part"), F.concat_ws(" ", F.date_format("date", "yyyy-MM-dd"), "summary").alias("at"), said.alias("line")))
+    return lines.groupBy("month").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "at", "line"))), lambda x: x["line"]), "\n").alias("report"))
+
+
 def batch(found: DataFrame, series: DataFrame, edges: DataFrame, requests: DataFrame) -> DataFrame:
     """metric, product and the ranking of the months that are asked for, of all requests (metric, product, month) in one job; evidence is shared."""
     drivers = cut(requested_candidates(edges, requests, series))
