@@ -6,8 +6,8 @@ replaced by a keyed Feistel permutation of itself within its format. A permutati
 values get equal pseudonyms in every document, different values stay different, and with the key
 restore() gives the originals back. Pseudonyms of cards and account numbers pass the same checks.
 
-Kept as they are: separators, country codes, the domain of an e-mail address, the name before a
-secret's "=", and every candidate that is not valid.
+Kept as they are: separators, country codes, the domain of an e-mail address and letters beyond ASCII before it, the name
+before a secret's "=", and every candidate that is not valid.
 
 Defined cases: null text stays null, an empty one empty; repeated rows are treated alike; texts of any length are
 scanned whole; an empty table gives no rows; other columns, whatever their names, are passed on.
@@ -28,11 +28,11 @@ CHUNK = 9
 
 #: Fixed patterns of the kinds, each tried in this order at a place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "secret": r"(?i:(?<![a-z])(?:password|passwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}\"?)[0-9A-Za-z_+/-]{12,}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "phone": r"(?<![\w+])\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3,4}[ .-]?[0-9]{3,4}(?!\w)|(?<![\w+])\+[0-9]{1,3}(?:[ -][0-9]{2,4}){2,4}(?!\w|[.-][0-9])|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![\w])|(?<![\w-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w-])",
+    "phone": r"(?<![\w+])\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3,4}[ .-]?[0-9]{3,4}(?!\w)|(?<![\w+])\+[0-9]{1,3}(?:[ -][0-9])?(?:[ -][0-9]{2,4}){2,4}(?!\w|[.-][0-9])|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![\w])|(?<![\w-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w-])",
     "date": r"(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])",

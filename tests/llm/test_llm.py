@@ -512,3 +512,14 @@ def test_classifier_equals_a_plain_reading(spark):
 def test_parts_named_like_content_stay_where_the_text_is(spark, html, text):
     pages = spark.createDataFrame([(1, "http://h/1", html)], "page_id long, url string, html string")
     assert [r["text"] for r in html_wrapper.extract(pages).collect()] == [text]
+
+
+def test_phones_with_a_single_digit_and_names_beyond_ascii(spark):
+    texts = ["call +33 6 12 34 56 78 now", "+33-6-12-34-56-78", "josé.martin@mail.com", "søren@mail.com and x@mail.com", "sum +1 2 3 and +12 4 56", "+33 6 12 34 56 78"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    done = pseudonyms.pseudonymise(rows, KEY)
+    got = {r["doc_id"]: r["text"] for r in done.collect()}
+    assert got[0].startswith("call +33 ") and "6 12 34 56 78" not in got[0] and got[0] == f"call {got[5]} now" and got[1].startswith("+33-") and got[1] != texts[1]
+    assert got[2].endswith("@mail.com") and "martin" not in got[2] and not got[2].startswith("jos") and "søren" not in got[3]
+    assert got[4] == texts[4]
+    assert {r["doc_id"]: r["text"] for r in pseudonyms.restore(done, KEY).collect()} == dict(enumerate(texts))
