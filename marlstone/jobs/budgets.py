@@ -299,6 +299,35 @@ def _sensitivity_sql() -> str:
 SELECT *, row_number() OVER (PARTITION BY submission ORDER BY abs(per_pct) DESC, input) AS rank FROM r"""
 
 
+#: Identities by trying every signed sum of two to four amounts, then taking them in the order of the targets.
+_NEAR = "len(list_filter(range(1, len({a}) + 1), lambda i: abs({a}[i] - {b}) > 0.005 * greatest(abs({a}[i]), abs({b}), 1e-9))) = 0"
+_IDENTITIES_SQL = f"""{_SUBMITTED_SQL}, ev AS (SELECT *, volume * price AS revenue, volume * input_price * 0.5 AS material, volume * freight_rate AS freight FROM s),
+lg AS (SELECT submission, period, unnest(range(0, 8)) AS ord, unnest(['volume', 'price', 'revenue', 'input_price', 'material', 'freight', 'fixed', 'margin']) AS label, unnest(['volume', 'price', 'revenue', 'price', 'cost', 'freight', 'fixed_cost', 'margin']) AS driver,
+  unnest([NULL, 'p', NULL, 'i', 'i', NULL, NULL, NULL]) AS concept, unnest([volume, price, revenue, input_price, material, freight, fixed, revenue - (material + freight + fixed)]) AS v FROM ev),
+fu AS (SELECT submission, CAST(ord AS INT) AS ord, label, driver, concept, list(v ORDER BY period) AS x, {_NEAR.format(a="x", b="x[1]")} AS flat FROM lg
+  WHERE submission NOT IN (SELECT submission FROM s WHERE period = 1997 AND submission % 10 = 3) GROUP BY ALL HAVING count(*) >= 3),
+am AS (SELECT *, list_position(['margin', 'revenue', 'cost', 'fixed_cost', 'freight'], driver) AS prio FROM fu WHERE driver NOT IN ('volume', 'price')),
+cb AS (SELECT submission, [ord] AS ords, [label] AS labs, [0] AS sg, x FROM am
+  UNION ALL SELECT c.submission, list_append(ords, a.ord), list_append(labs, a.label), list_append(sg, z), list_transform(range(1, len(c.x) + 1), lambda i: c.x[i] + (1 - 2 * z) * a.x[i]) FROM cb c JOIN am a ON a.submission = c.submission AND a.ord > c.ords[-1], (VALUES (0), (1)) t(z) WHERE len(ords) < 4),
+ht AS (SELECT t.submission, t.label, array_to_string(list_sort(list_append(labs, t.label)), ',') AS key, array_to_string(list_transform(range(1, len(labs) + 1), lambda i: CASE WHEN sg[i] = 0 THEN '+' ELSE '-' END || '[' || labs[i] || ']'), '') AS expr,
+    row_number() OVER (PARTITION BY t.submission ORDER BY len(ords), prio, t.ord, ords, sg) AS nth
+  FROM am t JOIN cb c ON c.submission = t.submission AND len(ords) > 1 AND NOT list_contains(labs, t.label) AND NOT flat AND {_NEAR.format(a="t.x", b="c.x[i]")}),
+st AS (SELECT DISTINCT submission, CAST(0 AS BIGINT) AS i, ['' ] AS done, [''] AS told, FALSE AS fresh FROM fu
+  UNION ALL SELECT st.submission, nth, CASE WHEN NOT list_contains(done, label) AND NOT list_contains(told, key) THEN list_append(done, label) ELSE done END, CASE WHEN NOT list_contains(done, label) AND NOT list_contains(told, key) THEN list_append(told, key) ELSE told END,
+    NOT list_contains(done, label) AND NOT list_contains(told, key) FROM st JOIN ht ON ht.submission = st.submission AND nth = i + 1),
+sm AS (SELECT ht.submission, ht.label, expr FROM st JOIN ht ON ht.submission = st.submission AND nth = i WHERE fresh),
+lf AS (SELECT * FROM am WHERE NOT flat AND (submission, label) NOT IN (SELECT (submission, label) FROM sm)),
+pr AS (SELECT t.submission, t.label, v.ord AS o1, p.ord AS o2, '[' || v.label || ']*[' || p.label || ']' AS expr, list_transform(range(1, len(t.x) + 1), lambda i: t.x[i] / v.x[i] / p.x[i]) AS q
+  FROM lf t JOIN fu v ON v.submission = t.submission AND v.driver = 'volume' JOIN fu p ON p.submission = t.submission AND p.driver = 'price' AND (t.driver = 'revenue' OR t.concept IS NULL OR t.concept = p.concept)
+  WHERE t.driver IN ('revenue', 'cost') AND NOT list_contains(v.x, 0) AND NOT list_contains(p.x, 0)),
+pd AS (SELECT submission, label, arg_min(expr, (o1, o2)) AS expr, arg_min(q[1], (o1, o2)) AS k FROM pr WHERE {_NEAR.format(a="q", b="q[1]")} GROUP BY ALL),
+ra AS (SELECT t.submission, t.label, '[' || v.label || ']' AS expr, list_transform(range(1, len(t.x) + 1), lambda i: t.x[i] / v.x[i]) AS q FROM lf t JOIN fu v ON v.submission = t.submission AND v.driver = 'volume' AND NOT v.flat
+  WHERE t.driver IN ('cost', 'freight') AND NOT list_contains(v.x, 0) AND (t.submission, t.label) NOT IN (SELECT (submission, label) FROM pd)),
+kn AS (SELECT submission, label, 'flat' AS kind, 'constant' AS expr, x[1] AS k FROM fu WHERE flat UNION ALL SELECT submission, label, 'sum', expr, NULL FROM sm UNION ALL SELECT submission, label, 'product', expr, k FROM pd
+  UNION ALL SELECT submission, label, 'ratio', expr, q[1] FROM ra WHERE {_NEAR.format(a="q", b="q[1]")}),
+gr AS (SELECT submission, label, list_transform(range(1, len(x)), lambda i: x[i + 1] / nullif(x[i], 0)) AS q FROM fu WHERE (submission, label) NOT IN (SELECT (submission, label) FROM kn) AND NOT list_contains(x[:-2], 0)),
+ids AS (SELECT submission, label, kind, expr, floor(k * 1e6 + 0.5) / 1e6 AS k FROM (SELECT * FROM kn UNION ALL SELECT submission, label, 'growth', 'per period', q[1] - 1 FROM gr WHERE {_NEAR.format(a="q", b="q[1]")}))"""
+
 _M = _MARGIN.format(**_OWN)
 ORACLE_SQL = {
     "m1_evaluated": f"""WITH {_SUBMITTED_SQL} SELECT submission, period, volume * price AS revenue, volume * input_price * 0.5 AS material, volume * input_price * 0.5 + volume * freight_rate + fixed AS costs, {_M} AS margin,
@@ -333,6 +362,8 @@ l AS (SELECT submission, period, unnest({_LINES[:12]}) AS label, unnest([v, p, r
 SELECT 'B' || submission AS submission, label, CAST(CASE WHEN bad THEN NULL ELSE period - {YEARS[0]} END AS INT) AS pos, floor(CASE WHEN bad THEN NULL ELSE value END * 1e6 + 0.5) / 1e6 AS value,
   CASE WHEN submission % 10 = 7 THEN 'unknown rows or a cycle: [''Margin (M$)'', ''Margin rate (%)'', ''Total costs (M$)'']' END AS problem
 FROM (SELECT *, submission % 10 = 7 AND label NOT IN ('Production (kt)', 'Price ($/t)', 'Input price ($/t)', 'Freight ($/t)', 'Fixed costs (M$)', 'Headcount') AS bad FROM l) WHERE NOT bad OR period = {YEARS[0]}""",
+    "d2_identities": f"WITH RECURSIVE {_IDENTITIES_SQL} SELECT * FROM ids",
+    "d3_roles": f"""WITH RECURSIVE {_IDENTITIES_SQL} SELECT DISTINCT submission, label, CASE WHEN label = 'margin' THEN 'computed' WHEN kind IN ('sum', 'product', 'ratio') THEN 'computed (identity)' ELSE 'input' END AS role FROM lg LEFT JOIN ids USING (submission, label)""",
     "d4_questions": f"""WITH {_CELLS_SQL}, sp AS (SELECT sheet, "row", min(col) AS lo, max(col) AS hi FROM num WHERE f GROUP BY ALL), lr AS (SELECT lab.*, rule, constants FROM lab LEFT JOIN rul USING (sheet, "row"))
 SELECT sheet AS submission, label AS about, 'hidden constant' AS question FROM lr WHERE constants <> ''
 UNION SELECT sheet, label, 'typed over a formula' FROM num JOIN sp USING (sheet, "row") JOIN lab USING (sheet, "row") WHERE NOT f AND col > lo AND col < hi

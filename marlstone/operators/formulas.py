@@ -168,20 +168,23 @@ def _sums(terms: DataFrame, size: int) -> DataFrame:
 def _met(targets: DataFrame, terms: DataFrame, size: int) -> DataFrame:
     """submission, label, rank (of the target), ords, labels, signs: all sums of so many terms that are a target, the first with sign plus.
 
-    Half of a sum is taken from the target, and what is left meets the other half, whose terms come later in the sheet, in cells of the first
-    period's values as wide as the target's tolerance (rounded up to a power of two), and in the neighbouring cells; the values of all periods decide.
+    Half of a sum is taken from the target, and what is left meets the other half, whose terms come later in the sheet, in cells as wide as the target's tolerance
+    (rounded up to a power of two) in the period where the target is largest, and in the neighbouring cells; the values of all periods decide.
     """
     first, second = (1, 1) if size == 2 else (2, size - 2)
-    tolerance = 1.01 * REL_TOL * F.greatest(F.abs(F.col("t_vals")[0]), F.lit(1e-9))
-    named = targets.select("submission", F.col("label").alias("t"), "rank", F.col("vals").alias("t_vals")).withColumn("width", F.ceil(F.log2(tolerance)).cast("int"))
-    scale = lambda w: F.pow(F.lit(2.0), F.col(w))
+    sizes = F.transform("t_vals", F.abs)
+    tolerance = 1.01 * REL_TOL * F.greatest(F.array_max(sizes), F.lit(1e-9))
+    named = targets.select("submission", F.col("label").alias("t"), "rank", F.col("vals").alias("t_vals")).withColumns(
+        {"width": F.ceil(F.log2(tolerance)).cast("int"), "at": F.array_position(sizes, F.array_max(sizes)).cast("int")})
+    # far beyond any value that could still fit, so that cells are whole numbers
+    cell = lambda vals: F.floor(F.least(F.greatest(F.element_at(vals, F.col("at")) / F.pow(F.lit(2.0), F.col("width")), F.lit(-1e15)), F.lit(1e15)))
     halves = named.join(_sums(terms, first).filter(F.col("signs")[0] > 0), "submission").filter(~F.array_contains("labels", F.col("t")))
-    left = F.zip_with("t_vals", "vals", lambda x, y: x - y)
-    halves = halves.withColumn("left", left).withColumn("cell", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("left")[0] / scale("width")) + d)))
-    widths = named.select("submission", "width").distinct()
-    rest = _sums(terms, second).join(widths, "submission").withColumn("cell", F.floor(F.col("vals")[0] / scale("width"))).select(
-        "submission", "width", "cell", *[F.col(c).alias(f"{c}_") for c in ("ords", "labels", "signs", "vals")])
-    both = halves.join(rest, ["submission", "width", "cell"]).filter(
+    halves = halves.withColumn("left", F.zip_with("t_vals", "vals", lambda x, y: x - y)).withColumn("near", cell("left"))
+    halves = halves.withColumn("cell", F.explode(F.array(F.col("near") - 1, F.col("near"), F.col("near") + 1)))
+    widths = named.select("submission", "width", "at").distinct()
+    rest = _sums(terms, second).join(widths, "submission").withColumn("cell", cell("vals")).select(
+        "submission", "width", "at", "cell", *[F.col(c).alias(f"{c}_") for c in ("ords", "labels", "signs", "vals")])
+    both = halves.join(rest, ["submission", "width", "at", "cell"]).filter(
         (F.array_max("ords") < F.array_min("ords_")) & ~F.array_contains("labels_", F.col("t"))
         & _all_close(F.col("t_vals"), F.zip_with("vals", "vals_", lambda x, y: x + y)))
     return both.select("submission", F.col("t").alias("label"), "rank", *[F.concat(c, f"{c}_").alias(c) for c in ("ords", "labels", "signs")])

@@ -137,6 +137,13 @@ def test_identities_are_those_of_trying_everything(spark):
     assert set(kinds) == {"flat", "sum", "product", "ratio", "growth"} or kinds["sum"] > 20
 
 
+def test_sums_that_begin_with_nothing(spark):
+    rows = [("big", "cost", None, [4e12, 7e12, 1e12]), ("bigger", "cost", None, [4e12, 5e12, 9e12]), ("gap", "margin", None, [0.0, 2e12, -8e12]), ("none", "cost", None, [0.0, 0.0, 0.0]), ("late", "cost", None, [0.0, 0.0, 5.0])]
+    table = spark.createDataFrame([("s", k, *r) for k, r in enumerate(rows)], "submission string, ord int, label string, driver string, concept string, vals array<double>")
+    got = {r["label"]: (r["kind"], r["expr"]) for r in formulas.identities(table).collect()}
+    assert got == _plain_identities(rows) and got["gap"] == ("sum", "+[big]-[bigger]")
+
+
 def test_a_long_sheet_is_searched_by_joins(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(10**6, 10**9, (120, 4)).astype(float)
