@@ -1,13 +1,14 @@
-"""Terms of a large vocabulary in many texts: an index from words to terms tells which terms a text may hold, and only those are looked for.
+"""Terms of a large vocabulary in many texts, by the places of their pieces.
 
-A term is held where it stands in the text in any case with no ASCII letter or digit before or behind it. All its words (runs of letters and
-digits of ASCII) are then words of the text, so each term is indexed under its rarest word, by the number of texts that have it. Neither is the
-vocabulary put into one pattern nor a text copied for its words: texts meet their few candidates once.
+A text and a term are cut into the same pieces: runs of ASCII letters and digits, and any other sign by itself, in lower case. A term is held at the places
+where the text has its pieces one after the other, and no letter or digit of ASCII before or behind it; so runs of pieces as long as some term are looked up
+in the vocabulary by equality. Neither is the vocabulary put into a pattern nor a text copied for its terms, and the work grows with the text and the number of
+different lengths of terms, not with the number of terms.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.lineage import cut
@@ -15,42 +16,55 @@ from marlstone.functions.lineage import cut
 LEAST = 3
 
 
-def words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)))
+def pieces(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+|[^a-z0-9])"), F.lit(1))
 
 
-def candidates(texts: DataFrame, key: list[str], vocabulary: DataFrame) -> DataFrame:
-    """texts (key, text) with terms, the terms (term) of the vocabulary whose words they all have, in lower case; texts without any go.
+def _is_word(piece: Column) -> Column:
+    return F.coalesce(F.regexp_like(piece, F.lit("^[a-z0-9]")), F.lit(False))
 
-    Terms of less than three characters, or without a letter or digit, are left out.
+
+def places(texts: DataFrame, key: list[str], vocabulary: DataFrame) -> DataFrame:
+    """key, term (in lower case), at, size: where the terms (term) of the vocabulary stand in the texts (key, text), by number of the first piece and of pieces.
+
+    Terms of less than three characters are left out; null texts have none.
     """
-    own = vocabulary.select(F.lower("term").alias("term")).distinct().filter(F.length("term") >= LEAST).withColumn("all_", words(F.col("term"))).filter("size(all_) > 0")
-    spread = own.select("term", F.explode("all_").alias("word_"))
-    held = texts.select(*key, F.explode(words(F.col("text"))).alias("word_"))
-    held = cut(held.join(spread.select("word_").distinct(), "word_", "left_semi"))
-    often = held.groupBy("word_").agg(F.count("*").alias("often_"))
-    rarest = spread.join(often, "word_", "left").groupBy("term").agg(F.min_by("word_", F.struct("often_", "word_")).alias("word_"), F.count_if(F.col("often_").isNull()).alias("absent_"))
-    rarest = rarest.filter("absent_ = 0").select("term", "word_").join(own, "term")
-    of = held.groupBy(*key).agg(F.collect_set("word_").alias("held_"))  # words of the vocabulary only
-    fits = held.join(rarest, "word_").join(of, key).filter(F.size(F.array_except("all_", "held_")) == 0)
-    return texts.join(fits.groupBy(*key).agg(F.collect_list("term").alias("terms")), key)
+    own = cut(vocabulary.select(F.lower("term").alias("term")).distinct().filter(F.length("term") >= LEAST).withColumn("size", F.size(pieces(F.col("term")))))
+    sizes = sorted(r["size"] for r in own.select("size").distinct().collect())  # different lengths of terms
+    p = F.col("p_")
+    none = F.array().cast("array<struct<at:int,size:int,gram:string,before:string,behind:string>>")
 
+    def runs(n: int) -> Column:
+        run = lambda i: F.struct((i - 1).alias("at"), F.lit(n).alias("size"), F.array_join(F.slice(p, i, n), "").alias("gram"), F.get(p, i - 2).alias("before"), F.get(p, i - 1 + n).alias("behind"))
+        return F.when(F.size(p) >= n, F.transform(F.sequence(F.lit(1), F.size(p) - n + 1), run)).otherwise(none)
 
-def _literal(term: Column) -> Column:
-    """A term as a part of a pattern that means itself."""
-    return F.concat(F.lit(r"\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    rows = texts.select(*key, pieces(F.col("text")).alias("p_")).filter("p_ is not null")
+    each = rows.select(*key, F.explode(F.flatten(F.array(none, *map(runs, sizes)))).alias("r"))
+    found = each.select(*key, "r.at", "r.size", F.col("r.gram").alias("term"), "r.before", "r.behind").join(own, ["term", "size"])
+    # words are maximal, so only a term that begins or ends with another sign can have one beside it
+    clear = (_is_word(F.col("term")) | ~_is_word(F.col("before"))) & (F.regexp_like("term", F.lit("[a-z0-9]$")) | ~_is_word(F.col("behind")))
+    return found.filter(clear).select(*key, "term", "at", "size")
 
 
 def occurrences(texts: DataFrame, key: list[str], vocabulary: DataFrame) -> DataFrame:
-    """key, term, n: how often each term stands in each text, every term by itself; places of different terms may overlap."""
-    bounded = lambda t: F.concat(F.lit("(?iu)(?<![A-Za-z0-9])"), _literal(t), F.lit("(?![A-Za-z0-9])"))
-    each = candidates(texts, key, vocabulary).select(*key, F.explode(F.transform("terms", lambda t: F.struct(t.alias("term"), F.regexp_count("text", bounded(t)).alias("n")))).alias("x"))
-    return each.select(*key, "x.term", F.col("x.n").cast("bigint").alias("n")).filter("n > 0")
+    """key, term, n: how often each term stands in each text, every term by itself and without overlapping itself."""
+    ends = F.array_sort(F.collect_list(F.struct("at", "size")))
+    first = F.struct(F.lit(0).alias("free"), F.lit(0).cast("bigint").alias("n"))
+    step = lambda s, x: F.when(x["at"] >= s["free"], F.struct((x["at"] + x["size"]).alias("free"), (s["n"] + 1).alias("n"))).otherwise(s)
+    return places(texts, key, vocabulary).groupBy(*key, "term").agg(ends.alias("places_")).select(*key, "term", F.aggregate("places_", first, step, lambda s: s["n"]).alias("n"))
 
 
 def longest_first(texts: DataFrame, key: list[str], vocabulary: DataFrame) -> DataFrame:
     """key, term, n: how often each term stands in each text, read from the left, the longest term at a place, without overlaps."""
-    order = F.transform(F.array_sort(F.transform("terms", lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t")))), lambda s: _literal(s["t"]))
-    pattern = F.concat(F.lit("(?iu)(?<![A-Za-z0-9])("), F.array_join(order, "|"), F.lit(")(?![A-Za-z0-9])"))
-    hits = candidates(texts, key, vocabulary).select(*key, F.explode(F.regexp_extract_all("text", pattern, F.lit(1))).alias("term"))
-    return hits.groupBy(*key, F.lower("term").alias("term")).agg(F.count("*").alias("n"))
+    # only places that overlap, one by the other, need to be read in order: a run of them begins where all before it have ended
+    by = Window.partitionBy(*key).orderBy("at", F.col("size").desc())
+    ended = F.coalesce(F.max(F.col("at") + F.col("size")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) <= F.col("at")
+    alone = F.col("begins_") & F.coalesce(F.lead("at").over(by) >= F.col("at") + F.col("size"), F.lit(True))
+    marked = places(texts, key, vocabulary).withColumn("begins_", ended).withColumns(
+        {"alone_": alone, "run_": F.sum(F.col("begins_").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))})
+    marked = cut(marked.select(*key, "term", "at", "size", "alone_", "run_"))
+    order = F.array_sort(F.collect_list(F.struct("at", (-F.col("size")).alias("less"), "term")))
+    first = F.struct(F.lit(0).alias("free"), F.array().cast("array<string>").alias("terms"))
+    step = lambda s, x: F.when(x["at"] >= s["free"], F.struct((x["at"] - x["less"]).alias("free"), F.array_append(s["terms"], x["term"]).alias("terms"))).otherwise(s)
+    read = marked.filter("not alone_").groupBy(*key, "run_").agg(order.alias("places_")).select(*key, F.explode(F.aggregate("places_", first, step, lambda s: s["terms"])).alias("term"))
+    return read.unionByName(marked.filter("alone_").select(*key, "term")).groupBy(*key, "term").agg(F.count("*").alias("n"))

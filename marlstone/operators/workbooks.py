@@ -96,7 +96,7 @@ def descriptions(contents: DataFrame, sheets: DataFrame, rows: int = 400) -> Dat
 def mentions(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """sheet, zone, concept_id, n of texts (sheet, zone, text): how often the concept's most frequent term stands there as a token, any case.
 
-    Terms of three characters or more are looked up by their rarest word; the texts of a sheet's zone are one text, a line each.
+    Terms of three characters or more are looked up by their pieces; the texts of a sheet's zone are one text, a line each.
     """
     joined = texts.groupBy("sheet", "zone").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
     named = terms.select(F.lower("term").alias("term"), "concept_id").distinct()

@@ -46,7 +46,8 @@ def test_a_concept_takes_its_most_frequent_term(spark):
     assert {(r["zone"], r["concept_id"]): r["n"] for r in workbooks.mentions(texts, vocabulary).collect()} == {("rows", "c"): 2, ("header", "c"): 1}
 
 
-def test_only_texts_that_have_all_words_are_looked_at(spark):
-    texts = spark.createDataFrame([(1, "common rare"), (2, "common"), (3, "rare")], "k int, text string")
-    got = terms.candidates(texts, ["k"], spark.createDataFrame([("common rare",), ("rare, common",)], "term string"))
-    assert {r["k"]: sorted(r["terms"]) for r in got.collect()} == {1: ["common rare", "rare, common"]}
+def test_places_by_pieces(spark):
+    texts = spark.createDataFrame([(1, "ab-cd ab-cd-ab"), (2, None), (3, "abx ab")], "k int, text string")
+    got = terms.places(texts, ["k"], spark.createDataFrame([("AB-cd",), ("-ab",), ("cd ab",), ("ab",)], "term string"))
+    assert {(r["k"], r["term"], r["at"], r["size"]) for r in got.collect()} == {(1, "ab-cd", 0, 3), (1, "ab-cd", 4, 3), (1, "cd ab", 2, 3)}
+    assert terms.places(texts, ["k"], spark.createDataFrame([], "term string")).count() == 0
