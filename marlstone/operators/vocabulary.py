@@ -10,6 +10,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.lineage import cut
+
 #: Words that say nothing about a label, and aliases that stand for nothing.
 STOP_WORDS = ["de", "du", "des", "la", "le", "les", "et", "en", "the", "of", "and", "per", "par", "a", "au", "aux", "t", "kt", "mt"]
 PLACEHOLDERS = ["", "nan", "none", "null", "undefined"]
@@ -132,25 +134,35 @@ def matched(labels: DataFrame, terms: DataFrame, kinds: DataFrame, order: list[s
     A term matches when all its words are in the label, and scores by how much of the label it covers. Each term is looked for under
     its rarest word only, by the number of labels that have it; a term with a word that no label has is not looked for. So no
     pair meets on a common word unless a term has no other. order: allowed kinds, earlier ones win ties; then the least id.
+
+    Labels of the same words are matched once. Concepts that share a term score alike by it, so a concept can only be a label's first or second
+    if it is so among those of the term that it scores best by; no other concepts of a term meet the labels.
     """
-    held = labels.select("label_id", F.array_distinct(norm_words(F.col("label"))).alias("held"))
-    words = held.select("label_id", F.explode("held").alias("word"))
-    own = terms.select("concept_id", norm_words(F.col("term")).alias("w")).distinct().filter("size(w) > 0")
-    own = own.groupBy("w").agg(F.collect_set("concept_id").alias("concepts"))  # concepts that share a term are looked up once
-    own = own.select("w", "concepts", F.explode(F.array_distinct("w")).alias("word"))
-    often = words.join(own.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("often"))
-    rarest = own.join(often, "word", "left").groupBy("w").agg(
-        F.min_by("word", F.struct("often", "word")).alias("word"), F.min("concepts").alias("concepts"), F.count_if(F.col("often").isNull()).alias("absent"))
-    met = words.join(rarest.filter("absent = 0"), "word").select("label_id", "w", "concepts")
-    hits = met.join(held, "label_id").filter(F.size(F.array_except("w", "held")) == 0).select(
-        "label_id", F.explode("concepts").alias("concept_id"), F.size("w").alias("n_term"), F.size("held").alias("n_label"))
-    best = hits.groupBy("label_id", "concept_id").agg(F.max(0.5 + 0.5 * F.col("n_term") / F.col("n_label")).alias("score")).join(kinds, "concept_id")
     place = F.lit(0)
     if order:
-        best = best.filter(F.col("kind").isin(order))
+        kinds = kinds.filter(F.col("kind").isin(order))
         place = F.array_position(F.array(*map(F.lit, order)), F.col("kind"))
-    ranked = best.withColumn("key_", F.struct((-F.col("score")).alias("s"), place.cast("int").alias("p"), F.col("concept_id").alias("c"), "kind"))
-    two = ranked.groupBy("label_id").agg(F.slice(F.array_sort(F.collect_list("key_")), 1, 2).alias("t"))  # the concepts of one label's words
+    kinds = kinds.groupBy("concept_id", "kind").agg(F.least(F.count("*"), F.lit(2)).alias("copies")).withColumn("p", place.cast("int"))
+    held = cut(labels.filter("label_id is not null").select("label_id", F.array_sort(F.array_distinct(norm_words(F.col("label")))).alias("held")))
+    sets = cut(held.select("held").distinct().withColumn("set_", F.monotonically_increasing_id()))
+    words = sets.select("set_", F.explode("held").alias("word"))
+    own = terms.select("concept_id", norm_words(F.col("term")).alias("w")).distinct().filter("size(w) > 0").join(kinds.groupBy("concept_id").agg(F.min("p").alias("p")), "concept_id")
+    own = own.withColumn("nth", F.row_number().over(Window.partitionBy("w").orderBy("p", "concept_id"))).filter("nth <= 2")
+    own = cut(own.groupBy("w").agg(F.collect_list("concept_id").alias("concepts")))
+    parts = own.select("w", "concepts", F.explode(F.array_distinct("w")).alias("word"))
+    often = words.join(parts.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("often"))
+    rarest = parts.join(often, "word", "left").groupBy("w").agg(
+        F.min_by("word", F.struct("often", "word")).alias("word"), F.min("concepts").alias("concepts"), F.count_if(F.col("often").isNull()).alias("absent"))
+    met = words.join(rarest.filter("absent = 0"), "word").select("set_", "w", "concepts")
+    hits = met.join(sets, "set_").filter(F.size(F.array_except("w", "held")) == 0).select(
+        "set_", F.explode("concepts").alias("concept_id"), F.size("w").alias("n_term"), F.size("held").alias("n_label"))
+    best = hits.groupBy("set_", "concept_id").agg(F.max(0.5 + 0.5 * F.col("n_term") / F.col("n_label")).alias("score")).join(kinds, "concept_id")
+    ranked = best.withColumn("key_", F.struct((-F.col("score")).alias("s"), "p", F.col("concept_id").alias("c"), "kind", "copies"))
+    few = ranked.groupBy("set_").agg(F.slice(F.array_sort(F.collect_list("key_")), 1, 2).alias("t"))  # the concepts of one label's terms, two a term
+    each = held.join(sets, "held").select("label_id", "set_").join(few, "set_").select("label_id", F.explode("t").alias("key_"))
+    each = each.groupBy("label_id", "key_.c", "key_.kind").agg(F.min("key_").alias("key_"))  # an id may stand at several labels
+    twice = F.flatten(F.transform(F.array_sort(F.collect_list("key_")), lambda x: F.array_repeat(x, x["copies"].cast("int"))))
+    two = each.groupBy("label_id").agg(F.slice(twice, 1, 2).alias("t"))
     first, second = F.get("t", F.lit(0)), F.get("t", F.lit(1))
     score = -first["s"]
     prefers = F.lit(bool(order)) & (first["kind"] != second["kind"])
