@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.lineage import dealt
 from marlstone.operators.news import searched
 
 #: Fixed values: (role of a lane, what happened on it) -> effect.
@@ -30,6 +31,8 @@ LANE_WHY = {
     ("competitor", "eased"): "more competing {item} from {origin}: pressure on the price {who} gets",
 }
 UNCLEAR_WHY = "direction of the effect unclear"
+#: Fixed value: events of one task, each of which may touch many lanes.
+PER_TASK = 100_000
 IMPAIRED, EASED = ("disrupted", "down"), ("restored", "up")
 
 
@@ -42,7 +45,7 @@ def effect(role, state):
 
 def remapped(events: DataFrame, aliases: DataFrame) -> DataFrame:
     """Events whose concept is an alias (alias, route) get the route."""
-    return events.join(aliases, F.col("concept") == F.col("alias"), "left").withColumn(
+    return events.join(F.broadcast(aliases), F.col("concept") == F.col("alias"), "left").withColumn(
         "concept", F.coalesce("route", "concept")).drop("alias", "route")
 
 
@@ -61,18 +64,17 @@ def lane_links(events: DataFrame, lanes: DataFrame) -> DataFrame:
     Of an incident's touches of a link the first counts, by lane, place on it and date. Events are reduced to one row an
     incident, concept and state before they meet the lanes.
     """
-    few = events.groupBy("incident", "concept", "state").agg(F.min("date").alias("first"))
-    both = few.join(touches(lanes), "concept").withColumn("effect", effect(F.col("role"), F.col("state")))
-    per = both.groupBy("effect", "role", "item", "incident").agg(
-        F.min_by("first", F.struct("lane_id", "pos", "first")).alias("date"), F.collect_set("lane_id").alias("on"))
-    lanes_ = both.groupBy("effect", "role", "item").agg(F.count_distinct("lane_id").alias("lanes"))
+    touched = lambda few: few.join(touches(lanes), "concept").withColumn("effect", effect(F.col("role"), F.col("state")))
+    few = dealt(events, "incident", rows=PER_TASK).groupBy("incident", "concept", "state").agg(F.min("date").alias("first"))
+    per = touched(few).groupBy("effect", "role", "item", "incident").agg(F.min_by("first", F.struct("lane_id", "pos", "first")).alias("date"))
+    lanes_ = touched(events.select("concept", "state").distinct()).groupBy("effect", "role", "item").agg(F.count_distinct("lane_id").alias("lanes"))
     return per.groupBy("effect", "role", "item").agg(
         F.count("*").alias("incidents"), F.min("date").alias("first_date"), F.max("date").alias("last_date")).join(lanes_, ["effect", "role", "item"])
 
 
 def link_events(events: DataFrame, lanes: DataFrame, most: int = 8) -> DataFrame:
     """effect, role, item, touched (the kinds of touches) and events: the link's first incidents by date, as one text."""
-    few = events.groupBy("incident", "concept", "state").agg(F.min("date").alias("first"))
+    few = dealt(events, "incident", rows=PER_TASK).groupBy("incident", "concept", "state").agg(F.min("date").alias("first"))
     both = few.join(touches(lanes), "concept").withColumn("effect", effect(F.col("role"), F.col("state")))
     per = both.groupBy("effect", "role", "item", "incident").agg(F.min(F.struct("lane_id", "pos", "first", "kind")).alias("t"))
     told = F.concat_ws(" ", "t.first", "incident", "t.kind")
@@ -92,19 +94,19 @@ def explained_links(events: DataFrame, lanes: DataFrame, items: DataFrame, sites
 
     events: incident, date, concept, direction; lanes: lane_id, role, item, origin, via, destination, to, status; items: item, side (bought or sold); sites: site.
     Of an incident's touches of a link the first counts, by lane, place on it and date. Reasons, lanes and statuses are sorted and joined by "; ". Events are
-    reduced to one row an incident, concept and direction before they meet anything.
+    reduced to one row an incident, concept and direction before they meet anything; what is said of a link does not depend on the incidents, so it is
+    put together from the different concepts and directions.
     """
-    few = events.groupBy("incident", "concept", "direction").agg(F.min("date").alias("first"))
+    few = dealt(events, "incident", rows=PER_TASK).groupBy("incident", "concept", "direction").agg(F.min("date").alias("first"))
+    ways = events.select("concept", "direction").distinct().select(F.lit(None).cast("string").alias("incident"), "concept", "direction", F.lit(None).cast("string").alias("first"))
     hurt, helped, way = F.col("direction").isin(*IMPAIRED), F.col("direction").isin(*EASED), F.col("direction")
     state = F.when(hurt, "impaired").when(helped, "eased").otherwise("unclear")
     route = F.concat_ws(" -> ", "origin", F.when(F.size(F.coalesce("via", F.array().cast("array<string>"))) > 0, F.array_join("via", " -> ")).otherwise("direct"), F.coalesce("destination", "to", F.lit("world market")))
     named = lanes.select("lane_id", "origin", "destination", route.alias("lane"), F.coalesce("status", F.lit("public")).alias("status"))
-    on_lanes = few.withColumn("state", state).join(touches(lanes), "concept").join(named, "lane_id")
     why = F.lit(UNCLEAR_WHY)
     for (role, s), text in LANE_WHY.items():
         why = F.when((F.col("role") == role) & (F.col("state") == s), _worded(text, who, item=F.col("item"), origin=F.col("origin"), destination=F.col("destination"))).otherwise(why)
     told = ["incident", "first"]
-    on_lanes = on_lanes.select(*told, effect(F.col("role"), F.col("state")).alias("effect"), F.col("role").alias("link"), "item", F.struct(F.col("lane_id").cast("string").alias("lane_id"), "pos", "first").alias("order"), why.alias("why"), "lane", "status")
     bought = F.col("side") == "bought"
     market = (F.when(bought & way.isin("up", "disrupted"), "headwind").when(bought & way.isin("down", "restored"), "tailwind")
               .when(~bought & (way == "up"), "tailwind").when(~bought & (way == "down"), "headwind").otherwise("unclear"))
@@ -112,16 +114,21 @@ def explained_links(events: DataFrame, lanes: DataFrame, items: DataFrame, sites
     moved = F.when(way == "up", "price up").when(way == "down", "price down").otherwise(F.coalesce(way, F.lit("moved")))
     reason = F.when(bought, F.concat("item", F.lit(" market "), dearer, F.lit(f": {who} buys it"))).otherwise(F.concat("item", F.lit(" market "), moved, F.lit(f": {who} sells it")))
     none, alone = F.lit(None).cast("string").alias("lane"), F.struct(F.lit("").alias("lane_id"), F.lit(0).alias("pos"), "first").alias("order")
-    on_items = few.join(items.select("item", "side").distinct(), F.col("concept") == F.col("item")).withColumn("effect", market)
-    on_items = on_items.select(*told, "effect", F.when(bought, "input market").otherwise("product market").alias("link"), "item", alone, reason.alias("why"), none, F.lit("graph").alias("status"))
     at_site = F.concat(F.lit(f"event at {who} site "), "site", F.lit(": production of what it makes may be affected"))
-    on_sites = few.join(sites.select("site").distinct(), F.col("concept") == F.col("site"))
-    on_sites = on_sites.select(*told, F.when(hurt, "headwind").when(helped, "tailwind").otherwise("unclear").alias("effect"), F.lit("own site").alias("link"), F.col("site").alias("item"), alone, at_site.alias("why"), none, F.lit("graph").alias("status"))
+
+    def touched(rows: DataFrame) -> DataFrame:
+        on_lanes = rows.withColumn("state", state).join(touches(lanes), "concept").join(named, "lane_id")
+        on_lanes = on_lanes.select(*told, effect(F.col("role"), F.col("state")).alias("effect"), F.col("role").alias("link"), "item", F.struct(F.col("lane_id").cast("string").alias("lane_id"), "pos", "first").alias("order"), why.alias("why"), "lane", "status")
+        on_items = rows.join(F.broadcast(items.select("item", "side").distinct()), F.col("concept") == F.col("item")).withColumn("effect", market)
+        on_items = on_items.select(*told, "effect", F.when(bought, "input market").otherwise("product market").alias("link"), "item", alone, reason.alias("why"), none, F.lit("graph").alias("status"))
+        on_sites = rows.join(F.broadcast(sites.select("site").distinct()), F.col("concept") == F.col("site"))
+        on_sites = on_sites.select(*told, F.when(hurt, "headwind").when(helped, "tailwind").otherwise("unclear").alias("effect"), F.lit("own site").alias("link"), F.col("site").alias("item"), alone, at_site.alias("why"), none, F.lit("graph").alias("status"))
+        return on_lanes.unionByName(on_items).unionByName(on_sites)
+
     key = ["effect", "link", "item"]
-    every = on_lanes.unionByName(on_items).unionByName(on_sites)
-    dates = every.groupBy(*key, "incident").agg(F.min_by("first", "order").alias("date")).groupBy(*key).agg(F.count("*").alias("incidents"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    dates = touched(few).groupBy(*key, "incident").agg(F.min_by("first", "order").alias("date")).groupBy(*key).agg(F.count("*").alias("incidents"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "; ")
-    words = every.select(*key, "why", "lane", "status").distinct().groupBy(*key).agg(joined("why").alias("why"), joined("lane").alias("lanes"), joined("status").alias("statuses"))
+    words = touched(ways).select(*key, "why", "lane", "status").distinct().groupBy(*key).agg(joined("why").alias("why"), joined("lane").alias("lanes"), joined("status").alias("statuses"))
     public = F.when(F.col("statuses") == "public", "public knowledge, not confirmed").otherwise(F.col("statuses"))
     return dates.join(words, key).withColumn("lane_status", public).drop("statuses")
 
@@ -148,7 +155,7 @@ def site_effects(events: DataFrame, made_at: DataFrame) -> DataFrame:
     """effect, site, product, incidents of events at sites, for what is made there (site, product)."""
     impaired, eased = F.col("direction").isin("disrupted", "down"), F.col("direction").isin("restored", "up")
     named = events.withColumn("effect", F.when(impaired, "headwind").when(eased, "tailwind").otherwise("unclear"))
-    counted = named.groupBy("effect", F.col("concept").alias("site")).agg(F.count_distinct("incident").alias("incidents"))
+    counted = dealt(named.select("effect", F.col("concept").alias("site"), "incident"), "incident").distinct().groupBy("effect", "site").agg(F.count("incident").alias("incidents"))
     return counted.join(made_at.distinct(), "site")
 
 
@@ -206,6 +213,7 @@ def market_effects(events: DataFrame, roles: DataFrame) -> DataFrame:
     up, down = F.col("direction") == "up", F.col("direction") == "down"
     scarce, plenty = F.col("direction").isin("up", "disrupted"), F.col("direction").isin("down", "restored")
     bought = F.col("role") == "bought"
-    named = events.join(roles, F.col("concept") == F.col("item")).withColumn(
+    # a few items against many events: shuffled by item, one task would hold an item's events
+    named = events.join(F.broadcast(roles), F.col("concept") == F.col("item")).withColumn(
         "effect", F.when((bought & scarce) | (~bought & down), "headwind").when((bought & plenty) | (~bought & up), "tailwind").otherwise("unclear"))
-    return named.groupBy("effect", "role", "item").agg(F.count_distinct("incident").alias("incidents"))
+    return dealt(named.select("effect", "role", "item", "incident"), "incident").distinct().groupBy("effect", "role", "item").agg(F.count("incident").alias("incidents"))

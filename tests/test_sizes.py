@@ -1,6 +1,10 @@
 """Steps whose rows or memory must not grow faster than their input."""
 
-from marlstone.operators import vocabulary
+import pytest
+from pyspark.sql import functions as F
+
+from marlstone.functions import lineage
+from marlstone.operators import exposure, vocabulary
 
 
 def most_rows(df):
@@ -35,3 +39,19 @@ def test_an_id_at_several_labels_and_kinds_takes_the_best_of_all(spark):
     kinds = spark.createDataFrame([("a", "input"), ("b", "input"), ("b", "product"), ("c", "input"), ("c", "input")], "concept_id string, kind string")
     got = {(r["label_id"], r["concept_id"], r["score"], r["decision"]) for r in vocabulary.matched(labels, terms, kinds, ["input", "product"]).collect()}
     assert got == {(1, "a", 1.0, "accept"), (2, "b", 0.833, "accept"), (3, "c", 0.75, "accept"), (4, "c", 0.667, "review")}
+
+
+def test_events_are_dealt_by_incident_not_by_item(spark):
+    events = spark.range(3000).selectExpr("id div 2 as incident", "'a' as concept", "if(id % 2 = 0, 'up', 'down') as direction")
+    roles = spark.createDataFrame([("a", "sold")], "item string, role string")
+    got = exposure.market_effects(events, roles)
+    assert {(r["effect"], r["incidents"]) for r in got.collect()} == {("tailwind", 1500), ("headwind", 1500)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan and "SortMergeJoin" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+@pytest.mark.parametrize("rows", [1, 7, 100])
+def test_dealt_keeps_rows_and_makes_parts_by_their_number(spark, rows):
+    got = lineage.dealt(spark.range(50), "id", rows=rows)
+    assert got.rdd.getNumPartitions() == -(-50 // rows) and got.agg(F.sum("id")).first()[0] == 1225
+    assert lineage.dealt(spark.range(0), "id").count() == 0
