@@ -3,27 +3,46 @@
 A text and a term are cut into the same pieces: runs of ASCII letters and digits, and any other sign by itself, in lower case. A term is held at the places
 where the text has its pieces one after the other, and no letter or digit of ASCII before or behind it; so runs of pieces as long as some term are looked up
 in the vocabulary by equality. Neither is the vocabulary put into a pattern nor a text copied for its terms, and the work grows with the text and the number of
-different lengths of terms, not with the number of terms.
+different lengths of terms, not with the number of terms. Before the look-up, which is a join, runs are held against a table of bits of the terms' checksums, of one
+size for any vocabulary; it lets every term pass, and few other runs while the vocabulary has fewer terms than bits.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.lineage import cut
+from marlstone.functions.ship import ship_package
 
 LEAST = 3
+#: Bits of the table, runs of a batch, first pieces of runs that a task remembers, and texts that it reads at a time.
+BITS, PER_BATCH, KEPT, TEXTS = 1 << 22, 50_000, 200_000, 500
+PIECES = "[a-z0-9]+|[^a-z0-9]"
 
 
 def pieces(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+|[^a-z0-9])"), F.lit(1))
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({PIECES})"), F.lit(1))
 
 
 def _is_word(piece: Column) -> Column:
     return F.coalesce(F.regexp_like(piece, F.lit("^[a-z0-9]")), F.lit(False))
 
 
+def _batch(batch: pa.RecordBatch, key: list[str], held: list[tuple]) -> pa.RecordBatch:
+    """Runs (number of the row, at, size, term, before, behind) with their rows' keys."""
+    rows, *rest = zip(*held, strict=True) if held else [()] * 6
+    kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows, pa.int64())) for c in key), *(pa.array(v, t) for v, t in zip(rest, kinds, strict=True))],
+                                      names=[*key, "at", "size", "term", "before", "behind"])
+
+
 def places(texts: DataFrame, key: list[str], vocabulary: DataFrame) -> DataFrame:
     """key, term (in lower case), at, size: where the terms (term) of the vocabulary stand in the texts (key, text), by number of the first piece and of pieces.
 
@@ -31,16 +50,47 @@ def places(texts: DataFrame, key: list[str], vocabulary: DataFrame) -> DataFrame
     """
     own = cut(vocabulary.select(F.lower("term").alias("term")).distinct().filter(F.length("term") >= LEAST).withColumn("size", F.size(pieces(F.col("term")))))
     sizes = sorted(r["size"] for r in own.select("size").distinct().collect())  # different lengths of terms
-    p = F.col("p_")
-    none = F.array().cast("array<struct<at:int,size:int,gram:string,before:string,behind:string>>")
-
-    def runs(n: int) -> Column:
-        run = lambda i: F.struct((i - 1).alias("at"), F.lit(n).alias("size"), F.array_join(F.slice(p, i, n), "").alias("gram"), F.get(p, i - 2).alias("before"), F.get(p, i - 1 + n).alias("behind"))
-        return F.when(F.size(p) >= n, F.transform(F.sequence(F.lit(1), F.size(p) - n + 1), run)).otherwise(none)
-
-    rows = texts.select(*key, pieces(F.col("text")).alias("p_")).filter("p_ is not null")
-    each = rows.select(*key, F.explode(F.flatten(F.array(none, *map(runs, sizes)))).alias("r"))
-    found = each.select(*key, "r.at", "r.size", F.col("r.gram").alias("term"), "r.before", "r.behind").join(own, ["term", "size"])
+    code = lambda *c: F.pmod(F.crc32(F.concat_ws("\t", F.col("size").cast("string"), *c)), F.lit(BITS))
+    marks = own.select(F.explode(F.array(code("term"), code(F.element_at(pieces(F.col("term")), 1), F.lit("")))).alias("bit")).distinct()
+    bits = np.zeros(BITS, bool)
+    bits[marks.toPandas()["bit"].to_numpy(np.int64)] = True  # at most BITS rows
+    packed = np.packbits(bits, bitorder="little").tobytes()
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def marked(n: int, *words: str) -> bool:
+            k = zlib.crc32("\t".join((str(n), *words)).encode()) % BITS
+            return packed[k >> 3] >> (k & 7) & 1 == 1
+
+        cut_up, firsts = re.compile(PIECES).findall, {n: {} for n in sizes}
+        for batch in batches:
+            held: list[tuple] = []
+            for row, text in enumerate(batch.column("text_").to_pylist()):
+                p = cut_up(text)
+                for n in sizes:
+                    known, last = firsts[n], len(p) - n
+                    for i, x in enumerate(p):
+                        if i > last:
+                            break
+                        ok = known.get(x)
+                        if ok is None:
+                            if len(known) >= KEPT:
+                                known.clear()
+                            ok = known[x] = marked(n, x, "") and (n > 1 or marked(1, x))
+                        if ok:
+                            run = x if n == 1 else "".join(p[i:i + n])
+                            if n == 1 or marked(n, run):
+                                held.append((row, i, n, run, p[i - 1] if i else None, p[i + n] if i < last else None))
+                if len(held) >= PER_BATCH:
+                    yield _batch(batch, key, held)
+                    held = []
+            yield _batch(batch, key, held)
+
+    ship_package(texts.sparkSession)
+    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS)
+    rows = texts.select(*key, F.lower("text").alias("text_")).filter("text_ is not null")
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in key)
+    each = rows.mapInArrow(look, f"{kinds}, at int, size int, term string, before string, behind string")
+    found = each.join(own, ["term", "size"])
     # words are maximal, so only a term that begins or ends with another sign can have one beside it
     clear = (_is_word(F.col("term")) | ~_is_word(F.col("before"))) & (F.regexp_like("term", F.lit("[a-z0-9]$")) | ~_is_word(F.col("behind")))
     return found.filter(clear).select(*key, "term", "at", "size")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import lineage
-from marlstone.operators import exposure, vocabulary
+from marlstone.operators import exposure, terms, vocabulary
 
 
 def most_rows(df):
@@ -55,3 +55,9 @@ def test_dealt_keeps_rows_and_makes_parts_by_their_number(spark, rows):
     got = lineage.dealt(spark.range(50), "id", rows=rows)
     assert got.rdd.getNumPartitions() == -(-50 // rows) and got.agg(F.sum("id")).first()[0] == 1225
     assert lineage.dealt(spark.range(0), "id").count() == 0
+
+
+def test_runs_that_are_no_terms_do_not_reach_the_look_up(spark):
+    texts = spark.createDataFrame([(k, "one two three, four " * 200 + "phosphate rock") for k in range(5)], "k int, text string")
+    most, got = most_rows(terms.places(texts, ["k"], spark.createDataFrame([("Phosphate Rock",), ("rock",), ("one",)], "term string")))
+    assert len(got) == 5 * 202 and most <= 5 * 202  # was 5 * 3,600 runs
