@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
@@ -50,9 +49,6 @@ INSIDE = INLINE | frozenset("script style noscript template button select textar
 KEPT_REFERENCES = 256
 #: Nodes nested deeper are named by their path, not aligned.
 DEEPEST = 150
-#: Above so many cells two lists of children are matched by label and order; above so many pairs of nodes below two
-#: children, their likeness is judged by their labels.
-MOST_CELLS, MOST_PAIRS = 40_000, 2_500
 #: A template node is on so many of 64 classes of different pages, by three classings, and on this share of the host's rows.
 MIN_PAGES, MIN_SHARE = 4, 0.1
 SAME_CLOSES = frozenset("li dt dd tr td th option".split())
@@ -151,10 +147,10 @@ class Tree(HTMLParser):
 class Block:
     """A block and the text that stands in it outside the blocks below."""
 
-    __slots__ = ("label", "path", "depth", "children", "words", "order", "size", "shape", "name")
+    __slots__ = ("label", "path", "depth", "children", "words", "order", "shape", "name", "deep", "near", "size")
 
     def __init__(self, label: str, path: int, depth: int):
-        self.label, self.path, self.depth, self.name = label, path, depth, 0
+        self.label, self.path, self.depth, self.name, self.deep, self.near = label, path, depth, 0, 0, 1
         self.children: list[Block] = []
         self.words: list[str] = []
 
@@ -187,35 +183,50 @@ def read(html: str) -> tuple[Block, list[Block], list[tuple[Block, int, str]]]:
             stack.extend((c, block) for c in reversed(x.children))
     for k in range(len(blocks) - 1, -1, -1):
         x = blocks[k]
-        x.order, x.size = k, 1 + sum(c.size for c in x.children)
+        x.order, near = k, x.children if x.depth < DEEPEST else []
+        x.near, x.deep = 1 + sum(c.near for c in near), hash((x.label, *x.words, len(x.words), *(c.deep for c in near)))  # compared in this process only
         x.shape = _hash(x.label, *(c.shape for c in x.children))
     return top, blocks, runs
 
 
 def _weight(a: Block, b: Block) -> int:
-    """How many nodes of two trees simple tree matching pairs, nodes of equal text counted twice."""
+    """How many nodes of two trees, down to DEEPEST, simple tree matching pairs, nodes of equal text counted twice."""
     if a.label != b.label:
         return 0
+    if a.deep and a.deep == b.deep:
+        return 2 * a.near
     own = 2 if a.words == b.words else 1
-    if not a.children or not b.children:
-        return own
-    if a.size * b.size > MOST_PAIRS:
-        labels = Counter(c.label for c in a.children) & Counter(c.label for c in b.children)
-        return own + labels.total()
-    return own + _table(a.children, b.children)[-1][-1]
+    return own + _most(a.children, b.children) if a.children and b.children and a.depth < DEEPEST else own
 
 
-def _table(xs: list[Block], ys: list[Block]) -> list[list[int]]:
-    """The best matching's weight of each two beginnings of xs and ys."""
-    rows = [[0] * (len(ys) + 1)]
+def _most(xs: list[Block], ys: list[Block]) -> int:
+    """The best matching's weight of two lists; equal trees at both ends are part of a best one."""
+    i, m, n, out = 0, len(xs), len(ys), 0
+    while i < m and i < n and xs[i].deep and xs[i].deep == ys[i].deep:
+        out += 2 * xs[i].near
+        i += 1
+    while m > i and n > i and xs[m - 1].deep and xs[m - 1].deep == ys[n - 1].deep:
+        m, n = m - 1, n - 1
+        out += 2 * xs[m].near
+    return out + _table(xs[i:m], ys[i:n], None)
+
+
+def _table(xs: list[Block], ys: list[Block], steps: list[bytearray] | None) -> int:
+    """The best matching's weight, by a row of weights at a time; steps gets how each two beginnings' best came about, a byte each: without x, without y, with both."""
+    above = [0] * (len(ys) + 1)
     for x in xs:
-        above, row = rows[-1], [0]
+        row, step = [0], bytearray(len(ys))
         for j, y in enumerate(ys):
             best = above[j + 1] if above[j + 1] > row[j] else row[j]
             w = _weight(x, y)
-            row.append(above[j] + w if w and above[j] + w > best else best)
-        rows.append(row)
-    return rows
+            if w and above[j] + w > best:
+                best = above[j] + w
+            step[j] = 0 if best == above[j + 1] else 1 if best == row[j] else 2
+            row.append(best)
+        if steps is not None:
+            steps.append(step)
+        above = row
+    return above[-1]
 
 
 def _pairs(xs: list[Block], ys: list[Block]) -> list[tuple[Block, Block]]:
@@ -229,17 +240,14 @@ def _pairs(xs: list[Block], ys: list[Block]) -> list[tuple[Block, Block]]:
         m, n = m - 1, n - 1
         out.append((xs[m], ys[n]))
     xs, ys = xs[i:m], ys[i:n]
-    if len(xs) * len(ys) > MOST_CELLS:
-        waiting: dict[str, list[Block]] = {}
-        for y in reversed(ys):
-            waiting.setdefault(y.label, []).append(y)
-        return out + [(x, waiting[x.label].pop()) for x in xs if waiting.get(x.label)]
-    rows = _table(xs, ys)
+    steps: list[bytearray] = []
+    _table(xs, ys, steps)
     i, j = len(xs), len(ys)
     while i and j:
-        if rows[i][j] == rows[i - 1][j]:
+        step = steps[i - 1][j - 1]
+        if step == 0:
             i -= 1
-        elif rows[i][j] == rows[i][j - 1]:
+        elif step == 1:
             j -= 1
         else:
             i, j = i - 1, j - 1

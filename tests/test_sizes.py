@@ -61,3 +61,18 @@ def test_runs_that_are_no_terms_do_not_reach_the_look_up(spark):
     texts = spark.createDataFrame([(k, "one two three, four " * 200 + "phosphate rock") for k in range(5)], "k int, text string")
     most, got = most_rows(terms.places(texts, ["k"], spark.createDataFrame([("Phosphate Rock",), ("rock",), ("one",)], "term string")))
     assert len(got) == 5 * 202 and most <= 5 * 202  # was 5 * 3,600 runs
+
+
+def test_large_trees_are_weighed_like_small_ones():
+    html_wrapper = pytest.importorskip("marlstone.llm.html_wrapper")
+
+    def tree(labels, word, n=40):
+        top = html_wrapper.Block("div", 0, 0)
+        top.children = [html_wrapper.Block(label, 0, 1) for label in labels for _ in range(n)]
+        for c in top.children:
+            c.words, c.size, c.shape = [word], 1, 0
+        top.size = 1 + len(top.children)
+        return top
+
+    assert html_wrapper._weight(tree("xy", "a"), tree("yx", "b")) == 2 + 40  # was 2 + 80: labels counted without their order
+    assert len(html_wrapper._pairs(tree("xy", "a", 150).children, tree("yx", "b", 150).children)) == 150  # was 300, across each other
