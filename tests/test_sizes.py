@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import lineage
-from marlstone.operators import exposure, terms, vocabulary
+from marlstone.operators import exposure, formulas, terms, vocabulary
 
 
 def most_rows(df):
@@ -76,3 +76,15 @@ def test_large_trees_are_weighed_like_small_ones():
 
     assert html_wrapper._weight(tree("xy", "a"), tree("yx", "b")) == 2 + 40  # was 2 + 80: labels counted without their order
     assert len(html_wrapper._pairs(tree("xy", "a", 150).children, tree("yx", "b", 150).children)) == 150  # was 300, across each other
+
+
+def test_formulas_meet_labels_once_and_are_read_once(spark):
+    """Two ends of a range were two joins of all references, and formulas without references a further reading of all cells."""
+    cells = spark.createDataFrame(
+        [("s", 1, 0, "a", None, None), ("s", 2, 0, "b", None, None), ("s", 5, 3, None, None, "=SUM(B2:B3)+B2*[1]T!B9-C6"), ("s", 6, 3, None, None, "=7*3"), ("t", 5, 1, None, None, "=s!B3&\"B3\"")],
+        "sheet string, row int, col int, v_str string, v_num double, formula string")
+    got = formulas.abstracted(cells, formulas.labels(cells))
+    assert {(r["sheet"], r["row"], r["text"], tuple(r["constants"])) for r in got.collect()} == {
+        ("s", 5, "SUM([a .. b])+[a]*[1]T[row+3]-[row]", ()), ("s", 6, "7*3", ("7", "3")), ("t", 5, 's[b]&"B3"', ())}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1 and "Union" not in plan  # were two and a union
