@@ -88,3 +88,18 @@ def test_formulas_meet_labels_once_and_are_read_once(spark):
         ("s", 5, "SUM([a .. b])+[a]*[1]T[row+3]-[row]", ()), ("s", 6, "7*3", ("7", "3")), ("t", 5, 's[b]&"B3"', ())}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == 1 and "Union" not in plan  # were two and a union
+
+
+def test_labels_are_dealt_in_as_many_parts_as_the_cells_need(spark):
+    cells = spark.range(60).selectExpr("concat('s', id % 2) as sheet", "cast(id as int) as row", "cast(id % 2 as int) as col", "concat('t', id) as v_str", "cast(null as double) as v_num", "cast(null as string) as formula")
+    got = formulas.labels(cells, 13)  # was one number for any input
+    assert got.rdd.getNumPartitions() == 13 and got.count() == 60
+
+
+def test_rows_are_asked_about_in_one_reading(spark):
+    rows = spark.range(6).selectExpr("id as submission", "concat('r', id) as label", "if(id < 4, 'input', 'computed') as role", "if(id = 5, array('7'), array()) as constants", "if(id = 1, null, 'u') as unit",
+                                     "if(id < 2, null, 'c') as concept")
+    none = spark.createDataFrame([], "submission bigint, label string")
+    got = formulas.questions(rows, none, none, none.withColumnRenamed("label", "input"))
+    assert {tuple(r) for r in got.collect()} == {(0, "r0", "concept"), (1, "r1", "unit"), (1, "r1", "concept"), (5, "r5", "hidden constant")}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1  # was read three times
