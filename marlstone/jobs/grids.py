@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions.lineage import cut
+from marlstone.functions.lineage import cut, dealt
 from marlstone.operators import grids, replay
 from marlstone.sources.tables import table
 
@@ -152,11 +152,13 @@ def x1_spec_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def x4_filled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A supplier's lines as rows: its first label stands in the first of three rows, the second in most; some rows are dropped."""
-    line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("sheet"), (F.col("l_partkey") + 2).cast("int").alias("row")).agg(F.max("l_linenumber").alias("k"))
-    first = line.filter("row % 3 = 0").select("sheet", "row", F.lit(0).alias("col"), F.concat(F.lit("A"), "row").alias("v_str"))
-    second = line.filter("k < 6").select("sheet", "row", F.lit(1).alias("col"), F.when(F.col("row") % 10 == 3, "Sub Total").otherwise(F.concat(F.lit("B"), "k")).alias("v_str"))
-    rest = line.filter("k >= 6").select("sheet", "row", F.lit(4).alias("col"), F.lit(None).cast("string").alias("v_str"))
-    rows = first.unionByName(second).unionByName(rest).withColumn("v_num", F.lit(None).cast("double"))
+    given = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sheet"), (F.col("l_partkey") + 2).cast("int").alias("row"), F.col("l_linenumber").alias("k"))
+    line = dealt(given, "sheet").groupBy("sheet", "row").agg(F.max("k").alias("k"))  # all that follows stays in a sheet
+    cell = lambda col, v_str: F.struct(F.lit(col).alias("col"), v_str.alias("v_str"))
+    first = F.when(F.col("row") % 3 == 0, cell(0, F.concat(F.lit("A"), "row")))
+    second = F.when(F.col("k") < 6, cell(1, F.when(F.col("row") % 10 == 3, "Sub Total").otherwise(F.concat(F.lit("B"), "k"))))
+    rest = F.when(F.col("k") >= 6, cell(4, F.lit(None).cast("string")))
+    rows = line.select("sheet", "row", F.explode(F.array(first, second, rest)).alias("c")).filter("c is not null").select("sheet", "row", "c.*", F.lit(None).cast("double").alias("v_num"))
     return grids.filled_labels(rows, 2, 2, ["TOTAL"])
 
 

@@ -141,13 +141,13 @@ def spec_problems(specs: DataFrame, units: list[str], operations: list[str]) ->
 
 def filled_labels(cells: DataFrame, n_rows: int, n_labels: int, skipped: list[str]) -> DataFrame:
     """sheet, row, labels: the label columns of each row under the header, blanks filled from above, as one text. Rows one of whose labels, filled ones too, holds a
-    skipped word do not come out, but are filled from."""
-    own = cells.filter((F.col("row") >= n_rows) & (F.col("col") < n_labels)).select("sheet", "row", "col", cell_text(F.col("v_str"), F.col("v_num")).alias("text")).filter("text is not null")
-    rows = cells.filter(F.col("row") >= n_rows).select("sheet", "row").distinct()
-    grid = rows.withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(n_labels - 1)))).join(own, ["sheet", "row", "col"], "left")
-    so_far = Window.partitionBy("sheet", "col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    full = grid.withColumn("v", F.coalesce(F.last("text", ignorenulls=True).over(so_far), F.lit("")))
-    texts = full.groupBy("sheet", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "v"))), lambda x: x["v"]).alias("texts"))
+    skipped word do not come out, but are filled from. Cells are grouped to rows once, and all label columns filled in one order of a sheet's rows."""
+    text = cell_text(F.col("v_str"), F.col("v_num"))
+    own = [F.max(F.when(F.col("col") == k, text)).alias(f"own_{k}") for k in range(n_labels)]
+    rows = cells.filter(F.col("row") >= n_rows).groupBy("sheet", "row").agg(*own)
+    so_far = Window.partitionBy("sheet").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    filled = [F.coalesce(F.last(f"own_{k}", ignorenulls=True).over(so_far), F.lit("")) for k in range(n_labels)]
+    texts = rows.select("sheet", "row", F.array(*filled).alias("texts"))
     hit = F.lit(False)
     for w in skipped:
         hit = hit | F.contains(F.lower(F.array_join("texts", "\n")), F.lit(w.lower()))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import lineage
-from marlstone.operators import exposure, formulas, terms, vocabulary
+from marlstone.operators import exposure, formulas, grids, terms, vocabulary
 
 
 def most_rows(df):
@@ -103,3 +103,11 @@ def test_rows_are_asked_about_in_one_reading(spark):
     got = formulas.questions(rows, none, none, none.withColumnRenamed("label", "input"))
     assert {tuple(r) for r in got.collect()} == {(0, "r0", "concept"), (1, "r1", "unit"), (1, "r1", "concept"), (5, "r5", "hidden constant")}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1  # was read three times
+
+
+def test_label_columns_are_filled_in_one_order_without_a_join(spark):
+    cells = spark.createDataFrame([("s", 0, 0, "head"), ("s", 1, 0, "A"), ("s", 1, 1, "x"), ("s", 2, 1, "Total"), ("s", 3, 4, "far"), ("s", 4, 1, "y"), ("t", 1, 1, "z")], "sheet string, row int, col int, v_str string")
+    got = grids.filled_labels(cells.withColumn("v_num", F.lit(None).cast("double")), 1, 2, ["total"])
+    assert {tuple(r) for r in got.collect()} == {("s", 1, "A | x"), ("s", 4, "A | y"), ("t", 1, " | z")}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Window [") == 1  # cells were read twice, joined and grouped again
