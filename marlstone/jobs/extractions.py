@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions.lineage import shared_path
+from marlstone.functions.lineage import cut, shared_path
 from marlstone.operators import cleaning, extraction, filters
 from marlstone.sources import stores
 from marlstone.sources.tables import table
@@ -38,12 +38,21 @@ def _event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             "event_id", F.col("event_type").alias("type"), _day("ts").alias("day"), "user_id", said.alias("said")))).alias("lines"))
 
 
-def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+Lines = tuple[DataFrame, DataFrame]
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> Lines:
+    return _price_lines(spark, sf_dir), _event_lines(spark, sf_dir)
+
+
+def _articles(lines: Lines) -> DataFrame:
     told = lambda df, sep: df.select("article_id", "date", F.array_join(F.transform("lines", lambda x: x["said"]), sep).alias("text"))
-    return told(_price_lines(spark, sf_dir), ".\n").unionByName(told(_event_lines(spark, sf_dir), "; "))
+    return told(lines[0], ".\n").unionByName(told(lines[1], "; "))
+
 
+def _records(spark: SparkSession, sf_dir: str, lines: Lines | None = None) -> DataFrame:
+    price_lines, event_lines = lines or _lines(spark, sf_dir)
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     def assessment(x):
         quote = F.when(x["k"] == 1, F.concat(x["said"], F.lit(" today"))).when(x["k"] == 2, "").when(
             x["k"] == 3, F.concat(F.lit("  "), F.upper(x["said"]))).otherwise(x["said"])
@@ -58,19 +67,22 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.when(x["event_id"] % 7 == 0, "nothing").otherwise(x["said"]).alias("quote"), affects.alias("affects"))
 
     none_p, none_e = F.array().cast(f"array<{stores.ASSESSMENT}>"), F.array().cast(f"array<{stores.EVENT}>")
-    prices = _price_lines(spark, sf_dir).select(F.lit("prices").alias("kind"), "article_id", "date", F.struct(
+    prices = price_lines.select(F.lit("prices").alias("kind"), "article_id", "date", F.struct(
         F.transform("lines", assessment).alias("assessments"), none_e.alias("events")).alias("output"))
-    events = _event_lines(spark, sf_dir).select(F.lit("events").alias("kind"), "article_id", "date", F.struct(
+    events = event_lines.select(F.lit("events").alias("kind"), "article_id", "date", F.struct(
         none_p.alias("assessments"), F.transform("lines", event).alias("events")).alias("output"))
     return prices.unionByName(events)
 
 
-def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.priced(extraction.quoted(extraction.unnested(_records(spark, sf_dir), "prices"), _articles(spark, sf_dir)))
+def _prices(spark: SparkSession, sf_dir: str, lines: Lines | None = None) -> DataFrame:
+    """The lines, which records and articles both tell, are put together once."""
+    lines = lines or (cut(_price_lines(spark, sf_dir)), _event_lines(spark, sf_dir))
+    return extraction.priced(extraction.quoted(extraction.unnested(_records(spark, sf_dir, lines), "prices"), _articles(lines)))
 
 
 def _guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.guarded(_prices(spark, sf_dir).filter("verified"))
+    # medians and rows both come from them
+    return extraction.guarded(cut(_prices(spark, sf_dir).filter("verified").select("id", *extraction.ROUTE, "low", "high")))
 
 
 def n2_unnested_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,8 +111,9 @@ def n7_resolved_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n9_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = extraction.quoted(extraction.unnested(_records(spark, sf_dir), "events"), _articles(spark, sf_dir))
-    return extraction.accounted(_prices(spark, sf_dir), events.withColumn("verified", F.col("quote_ok")))[2]
+    lines = tuple(map(cut, _lines(spark, sf_dir)))
+    events = extraction.quoted(extraction.unnested(_records(spark, sf_dir, lines), "events"), _articles(lines))
+    return extraction.accounted(_prices(spark, sf_dir, lines), events.withColumn("verified", F.col("quote_ok")))[2]
 
 
 def n11_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import lineage
+from marlstone.jobs import extractions
 from marlstone.operators import exposure, formulas, grids, terms, vocabulary
 
 
@@ -111,3 +112,14 @@ def test_label_columns_are_filled_in_one_order_without_a_join(spark):
     assert {tuple(r) for r in got.collect()} == {("s", 1, "A | x"), ("s", 4, "A | y"), ("t", 1, " | z")}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Window [") == 1  # cells were read twice, joined and grouped again
+
+
+def test_lines_and_verified_items_are_put_together_once(spark, monkeypatch):
+    calls, made = [], extractions._price_lines
+    monkeypatch.setattr(extractions, "_price_lines", lambda *args: calls.append(1) or made(*args))
+    with lineage.scratch(spark):
+        got = extractions.n5_outlier_items(spark, "/root/testdata/sf0.001")
+        assert len(calls) == 1 and all("/cut-" in f for f in got.inputFiles())  # were two, and the prices of three branches
+        del calls[:]
+        extractions.n9_accounting(spark, "/root/testdata/sf0.001")
+        assert len(calls) == 1  # were three
