@@ -42,8 +42,10 @@ STEPS = 16
 SCORE_STEPS = 64
 LANES = 256
 RATE = 0.1
-#: Documents that share the lanes of one training round.
-GROUP = 1024
+#: Tokens of the documents that share lanes: with few, most lanes wait for the longest document. A shard's are one group as a rule.
+GROUP_TOKENS = 6_000_000
+#: Times from which the gradients of one input are added up by themselves.
+OFTEN = 12
 #: Training tokens of a shard.
 SHARD_TOKENS = 4_000_000
 TOP_WORDS = 1 << 17
@@ -81,39 +83,81 @@ def start_weights(shares: np.ndarray | None = None, seed: int = 7) -> Weights:
     return {k: a.astype(np.float32) for k, a in p.items()}
 
 
-def step(p: Weights, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """The state after the inputs c, and what its derivative needs."""
-    a, g = h @ p["u"], p["x"][c]
-    g += p["g"]
+def _gated(u: np.ndarray, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """The state after the inputs' sums g, and what its derivative needs."""
+    a = h @ u
     zr = g[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]
-    np.tanh(0.5 * zr, out=zr)
-    zr = 0.5 * zr + np.float32(0.5)
+    np.exp(np.negative(zr, out=zr), out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
     z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
     an = a[:, 2 * HIDDEN :]
-    n = np.tanh(g[:, 2 * HIDDEN :] + r * an)
-    return n + z * (h - n), (h, z, r, n, an)
+    n = r * an
+    n += g[:, 2 * HIDDEN :]
+    np.tanh(n, out=n)
+    after = h - n
+    after *= z
+    after += n
+    return after, (h, z, r, n, an)
+
+
+def step(p: Weights, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """The state after the inputs c, and what its derivative needs."""
+    return _gated(p["u"], h, p["x"][c] + p["g"])
+
+
+def _shifted(o: np.ndarray) -> np.ndarray:
+    """o less a number for each row, in place, so that exponentials neither overflow nor all vanish."""
+    if len(o):
+        top = o.max()
+        o -= top if top - o.min() < 60 else o.max(1, keepdims=True)
+    return o
+
+
+def _sums(o: np.ndarray) -> np.ndarray:
+    return o @ np.ones(o.shape[1], o.dtype)
 
 
 def _softmax(o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(o - max) in place of o, and its row sums."""
-    o -= o.max(1, keepdims=True)
-    np.exp(o, out=o)
-    return o, o.sum(1)
+    """exp(o) up to a factor for each row, in place of o, and its row sums."""
+    np.exp(_shifted(o), out=o)
+    return o, _sums(o)
+
+
+def _added(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and the sum of each one's rows."""
+    order = np.argsort(keys, kind="stable")
+    keys, rows = keys[order], rows.take(order, axis=0)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    times = np.diff(first, append=len(keys))
+    out = rows.take(first, axis=0)
+    for k in range(1, OFTEN):
+        some = np.flatnonzero((times > k) & (times <= OFTEN))
+        out[some] += rows.take(first[some] + k, axis=0)
+    for k in np.flatnonzero(times > OFTEN).tolist():
+        out[k] = np.ones(times[k], rows.dtype) @ rows[first[k] : first[k] + times[k]]
+    return keys[first], out
 
 
 def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """An order of the targets by class, and (class, first, end) of each class but the end token's."""
-    k = target // SLOTS
+    k = (target // SLOTS).astype(np.uint16)  # sorted by digits
     order = np.argsort(k, kind="stable")
     edges = np.searchsorted(k[order], np.arange(CLASSES + 1)).tolist()
     return order, [(c, a, b) for c, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
 
 
-def _word_logits(p: Weights, hs: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
+def _with_bias(p: Weights, h: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The states in an order with a one behind each, and the words' vectors with their biases below."""
+    hs = np.ones((len(order), HIDDEN + 1), h.dtype)
+    hs[:, :HIDDEN] = h.take(order, axis=0)
+    return hs, np.concatenate((p["v"], p["c"][:, None]), 1)
+
+
+def _word_logits(vc: np.ndarray, hs: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
     o = np.empty((parts[-1][2] if parts else 0, SLOTS), np.float32)
     for c, a, b in parts:
-        np.matmul(hs[a:b], p["v"][c], out=o[a:b])
-        o[a:b] += p["c"][c]
+        np.matmul(hs[a:b], vc[c], out=o[a:b])
     return o
 
 
@@ -122,17 +166,16 @@ def target_logs(p: Weights, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     o = h @ p["w"]
     o += p["b"]
     at = np.arange(len(target))
-    o -= o.max(1, keepdims=True)
-    out = o[at, target // SLOTS].astype(np.float64)
+    out = _shifted(o)[at, target // SLOTS].astype(np.float64)
     np.exp(o, out=o)
-    out -= np.log(o.sum(1))
+    out -= np.log(_sums(o))
     order, parts = _by_class(target)
-    o = _word_logits(p, h[order], parts)
+    hs, vc = _with_bias(p, h, order)
+    o = _shifted(_word_logits(vc, hs, parts))
     order = order[: len(o)]
-    o -= o.max(1, keepdims=True)
     inside = o[at[: len(o)], target[order] % SLOTS].astype(np.float64)
     np.exp(o, out=o)
-    out[order] += inside - np.log(o.sum(1))
+    out[order] += inside - np.log(_sums(o))
     return out
 
 
@@ -148,13 +191,11 @@ class Lanes:
         heap.sort(key=lambda x: (-x[0], x[1]))
         order = [d for *_, held in heap for d in held]
         sizes = np.array([len(docs[d]) for d in order], np.int64)
-        self.target = np.concatenate([docs[d] for d in order]).astype(np.int64) if order else np.zeros(0, np.int64)
-        self.doc = np.repeat(np.array(order, np.int64), sizes)
+        self.target = np.concatenate([docs[d] for d in order]).astype(np.uint16) if order else np.zeros(0, np.uint16)
+        self.doc = np.repeat(np.array(order, np.int32), sizes)
         first = (np.cumsum(sizes) - sizes)[sizes > 0]
-        self.input = np.concatenate(([START], self.target[:-1])) if order else self.target
-        self.input[first] = START
-        self.keep = np.ones((len(self.target), 1), np.float32)  # 0 where a document begins
-        self.keep[first] = 0
+        self.input = np.roll(self.target, 1)
+        self.input[first] = START  # nowhere else
         self.length = np.array([n for n, *_ in heap], np.int64)
         self.first = np.cumsum(self.length) - self.length
 
@@ -165,20 +206,30 @@ class Lanes:
             yield [self.first[:n] + t0 + k for k, n in enumerate(live) if n]
 
 
+@np.errstate(over="ignore")  # a gate of 1 / (1 + inf) is 0
 def document_logs(p: Weights, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each document's word numbers."""
     lanes, out = Lanes(docs), np.zeros(len(docs))
     h = np.zeros((len(lanes.length), HIDDEN), np.float32)
     for window in lanes.windows(SCORE_STEPS):
-        states = []
-        for at in window:
-            h, _ = step(p, h[: len(at)] * lanes.keep[at], lanes.input[at])
+        at, states, end = np.concatenate(window), [], 0
+        g, going = _inputs(p, lanes, at)
+        for m in map(len, window):
+            h, _ = _gated(p["u"], h[:m] * going[end : end + m], g[end : end + m])
             states.append(h)
-        at = np.concatenate(window)
-        out += np.bincount(lanes.doc[at], target_logs(p, np.concatenate(states), lanes.target[at]), len(docs))
+            end += m
+        out += np.bincount(lanes.doc[at], target_logs(p, np.concatenate(states), lanes.target[at].astype(np.int64)), len(docs))
     return out
 
 
+def _inputs(p: Weights, lanes: Lanes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the inputs at these places add to the gates, and 0 where a document begins, 1 elsewhere."""
+    inputs = lanes.input[at]
+    g = p["x"].take(inputs, axis=0)
+    g += p["g"]
+    return g, (inputs != START).astype(np.float32)[:, None]
+
+
 class Trainer:
     """Truncated backpropagation through STEPS steps, with rates that fall with each weight's past gradients."""
 
@@ -187,69 +238,79 @@ class Trainer:
         self.past = {k: np.full_like(v, 1e-2) for k, v in p.items()}
 
     def _turn(self, k: str, g: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
-        past = self.past[k][rows] + g * g
+        past = self.past[k][rows]
+        past += g * g
         self.past[k][rows] = past
-        self.p[k][rows] -= np.float32(RATE) * g / np.sqrt(past)
+        turned = np.sqrt(past)
+        np.divide(g, turned, out=turned)
+        turned *= np.float32(RATE)
+        self.p[k][rows] -= turned
 
     def window(self, h: np.ndarray, lanes: Lanes, places: list[np.ndarray]) -> np.ndarray:
         """Learns one window; returns the state after it."""
         p, saved, states = self.p, [], []
-        for at in places:
-            h, s = step(p, h[: len(at)] * lanes.keep[at], lanes.input[at])
+        at, end = np.concatenate(places), 0
+        gates, going = _inputs(p, lanes, at)
+        for m in map(len, places):
+            h, s = _gated(p["u"], h[:m] * going[end : end + m], gates[end : end + m])
             saved.append(s)
             states.append(h)
-        flat, at = np.concatenate(states), np.concatenate(places)
-        target = lanes.target[at]
+            end += m
+        flat = np.concatenate(states)
+        target = lanes.target[at].astype(np.int64)
         n = np.float32(LANES)  # a window's gradient is a sum over its tokens, scaled alike for all windows
         o = flat @ p["w"]
         o += p["b"]
         d, total = _softmax(o)
-        d /= total[:, None]
-        d[np.arange(len(target)), target // SLOTS] -= 1
-        d /= n
+        d *= (1 / (n * total))[:, None]
+        d[np.arange(len(target)), target // SLOTS] -= 1 / n
         dflat = d @ p["w"].T
         order, parts = _by_class(target)
-        hs = flat[order]
-        e, total = _softmax(_word_logits(p, hs, parts))
-        e /= total[:, None]
-        e[np.arange(len(e)), target[order[: len(e)]] % SLOTS] -= 1
-        e /= n
-        dhs = np.zeros_like(hs)
-        grad_v, grad_c, used = np.empty((len(parts), HIDDEN, SLOTS), np.float32), np.empty((len(parts), SLOTS), np.float32), [c for c, _, _ in parts]
+        hs, vc = _with_bias(p, flat, order)
+        e, total = _softmax(_word_logits(vc, hs, parts))
+        e *= (1 / (n * total))[:, None]
+        e[np.arange(len(e)), target[order[: len(e)]] % SLOTS] -= 1 / n
+        grad_vc, used = np.empty((len(parts), HIDDEN + 1, SLOTS), np.float32), [c for c, _, _ in parts]
+        dhs = np.empty((len(e), HIDDEN), np.float32)
         for k, (c, a, b) in enumerate(parts):
-            grad_v[k] = hs[a:b].T @ e[a:b]
-            grad_c[k] = e[a:b].sum(0)
-            dhs[a:b] = e[a:b] @ p["v"][c].T
-        dflat[order] += dhs
-        grad_u, grad_w, grad_b = np.zeros_like(p["u"]), flat.T @ d, d.sum(0)
-        dg_all, dh = [None] * len(places), np.zeros((0, HIDDEN), np.float32)
-        end = len(target)
-        for t in range(len(places) - 1, -1, -1):
-            m = len(places[t])
-            h0, z, r, nn, an = saved[t]
-            dht = dflat[end - m : end]
+            np.matmul(hs[a:b].T, e[a:b], out=grad_vc[k])
+            np.matmul(e[a:b], p["v"][c].T, out=dhs[a:b])
+        dflat[order[: len(e)]] += dhs
+        grad_w, grad_b = flat.T @ d, d.sum(0)
+        # what the derivatives of all steps are multiplied by, then back through the steps
+        before, z, r, new, an = (np.concatenate(x) for x in zip(*saved, strict=True))
+        by_n = (1 - z) * (1 - new * new)
+        by_z = (before - new) * (z - z * z)
+        by_r = an * (r - r * r)
+        dg, dh, back = np.empty_like(gates), np.zeros((0, HIDDEN), np.float32), p["u"].T.copy()
+        da = np.empty_like(gates)
+        for m in map(len, reversed(places)):
+            t = slice(end - m, end)
             end -= m
+            dht = dflat[t]
             dht[: len(dh)] += dh
-            dn = dht * (1 - z) * (1 - nn * nn)
-            dz = dht * (h0 - nn) * z * (1 - z)
-            dr = dn * an * r * (1 - r)
-            da = np.concatenate((dz, dr, dn * r), 1)
-            dg_all[t] = np.concatenate((dz, dr, dn), 1)
-            grad_u += h0.T @ da
-            dh = (dht * z + da @ p["u"].T) * lanes.keep[places[t]]
-        dg, inputs = np.concatenate(dg_all), lanes.input[at]
-        by_input = np.argsort(inputs, kind="stable")
-        present, first = np.unique(inputs[by_input], return_index=True)
-        self._turn("x", np.add.reduceat(dg[by_input], first), present)
+            dn, now = dg[t, 2 * HIDDEN :], da[t]
+            np.multiply(dht, by_n[t], out=dn)
+            np.multiply(dht, by_z[t], out=now[:, :HIDDEN])
+            np.multiply(dn, by_r[t], out=now[:, HIDDEN : 2 * HIDDEN])
+            np.multiply(dn, r[t], out=now[:, 2 * HIDDEN :])
+            dh = now @ back
+            dh += dht * z[t]
+            dh *= going[t]
+        dg[:, : 2 * HIDDEN] = da[:, : 2 * HIDDEN]
+        present, grad_x = _added(dg, lanes.input[at])
+        self._turn("x", grad_x, present)
         self._turn("g", dg.sum(0))
-        self._turn("u", grad_u)
+        self._turn("u", before.T @ da)
         self._turn("w", grad_w)
         self._turn("b", grad_b)
         if used:
-            self._turn("v", grad_v, np.array(used))
-            self._turn("c", grad_c, np.array(used))
+            rows = slice(None) if len(used) == CLASSES else np.array(used)
+            self._turn("v", grad_vc[:, :HIDDEN], rows)
+            self._turn("c", grad_vc[:, HIDDEN], rows)
         return h
 
+    @np.errstate(over="ignore")  # a gate of 1 / (1 + inf) is 0
     def documents(self, docs: list[np.ndarray]) -> None:
         lanes = Lanes(docs)
         h = np.zeros((len(lanes.length), HIDDEN), np.float32)
@@ -330,7 +391,7 @@ class Coder:
 
 
 def _numbers(ids: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u2").astype(np.int64) for x in ids.to_pylist()]
+    return [np.frombuffer(x, "<u2") for x in ids.to_pylist()]
 
 
 def _shards(learnt: DataFrame, tokens: int) -> tuple[DataFrame, int]:
@@ -349,7 +410,7 @@ def train(learnt: DataFrame, tokens: int, weights: Weights) -> Weights:
         start = spark.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            trainer, shard, held, seen = None, None, [], 0
+            trainer, shard, held, waiting, seen = None, None, [], 0, 0
 
             def told() -> Iterator[pa.RecordBatch]:
                 if held:
@@ -362,12 +423,13 @@ def train(learnt: DataFrame, tokens: int, weights: Weights) -> Weights:
                 for k, ids in zip(batch.column("shard").to_pylist(), _numbers(batch.column("ids")), strict=True):
                     if k != shard:
                         yield from told()
-                        trainer, shard, held, seen = Trainer(start.value), k, [], 0
+                        trainer, shard, held, waiting, seen = Trainer(start.value), k, [], 0, 0
                     held.append(ids)
+                    waiting += len(ids)
                     seen += len(ids)
-                    if len(held) == GROUP:
+                    if waiting >= GROUP_TOKENS:
                         trainer.documents(held)
-                        held = []
+                        held, waiting = [], 0
             yield from told()
 
         rows = rows.repartitionByRange(n, "shard").sortWithinPartitions("shard", "key").select("shard", "ids")
@@ -427,9 +489,21 @@ def score(docs: DataFrame) -> DataFrame:
     weights = spark.sparkContext.broadcast(train(rows.filter("not held_out"), n, start_weights(shares)))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if held:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                logs_ = document_logs(weights.value, _numbers(rows.column("ids"))) / np.log(10)
+                yield from rows.select(COLUMNS).append_column("model", pa.array(logs_)).to_batches()
+
         for batch in batches:
-            logs_ = document_logs(weights.value, _numbers(batch.column("ids"))) / np.log(10)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in COLUMNS), pa.array(logs_)], names=[*COLUMNS, "model"])
+            held.append(batch)
+            waiting += pc.sum(batch.column("n")).as_py() or 0
+            if waiting >= GROUP_TOKENS:
+                yield from told()
+                held, waiting = [], 0
+        yield from told()
 
     rare = rows.select("row_id", F.explode(F.arrays_zip("words", "times")).alias("r")).select("row_id", F.col("r.words").alias("word"), F.col("r.times").alias("k"))
     rare = rare.join(counts.select("word", "c"), "word")

@@ -274,6 +274,27 @@ def test_lm_learns_from_every_training_document_and_not_from_partitions(spark, d
     assert [x[:2] for x in a] == [x[:2] for x in b] and np.allclose([x[2] for x in a], [x[2] for x in b], 1e-5)
 
 
+def test_lm_documents_of_a_shard_share_lanes(spark):
+    ids = np.array([5, 70, rnn_lm.END_ID], "<u2")  # all alike, so that their order does not matter
+    learnt = spark.createDataFrame([(k, ids.tobytes()) for k in range(1100)], "doc_id long, ids binary")
+    want = rnn_lm.start_weights()
+    for _ in range(2):  # the common start, then all
+        trainer = rnn_lm.Trainer(want)
+        trainer.documents([ids] * 1100)
+        want = trainer.p
+    got = rnn_lm.train(learnt, 3300, rnn_lm.start_weights())
+    assert all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
+
+
+def test_lm_sums_of_rows_are_those_by_key():
+    rng = np.random.default_rng(3)
+    keys = np.concatenate((np.repeat(np.arange(30), np.arange(30)), [900])).astype(np.uint16)
+    rng.shuffle(keys)
+    rows = rng.normal(0, 1, (len(keys), 5)).astype(np.float32)
+    found, sums = rnn_lm._added(rows, keys)
+    assert found.tolist() == sorted(set(keys.tolist())) and np.allclose(sums, [rows[keys == k].sum(0) for k in found], atol=1e-5)
+
+
 def test_lm_carries_its_state_across_windows():
     rng = np.random.default_rng(1)
     p = _drawn()
