@@ -7,9 +7,12 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.lineage import cut
+from marlstone.functions.lineage import bucketed, cut
 from marlstone.operators.terms import longest_first
 
+#: Edges of a bucket of reachable().
+EDGES = 100_000
+
 
 def mentions(articles: DataFrame, terms: DataFrame, term_list: list[str], chars: int | None = None) -> DataFrame:
     """article_id, concept_id and n: whole terms, longest first, any case, found in whole texts or their first chars."""
@@ -88,17 +91,26 @@ def compared(ours: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, depth: int | None = None) -> DataFrame:
-    """src, dst and the fewest steps between them, up to a depth if one is given: each round joins the newly found pairs only."""
+    """src, dst and the fewest steps between them, up to a depth if one is given: each round puts an edge before the newly found pairs.
+
+    Pairs are in buckets by src and edges by dst, so the pairs of a round are shuffled once, and those found before not at all.
+    """
     steps = cut(edges.select("src", "dst").distinct())
-    found = new = steps.withColumn("steps", F.lit(1))
-    k = 1
-    while (depth is None or k < depth) and not new.isEmpty():
+    many = steps.count()
+    # one bucket would count as dealt by no key
+    n = max(2, -(-many // EDGES), min(steps.sparkSession.sparkContext.defaultParallelism, many // 1000))
+    before, _ = bucketed(steps, n, "dst")
+    new, plain = bucketed(steps.withColumn("steps", F.lit(1)), n, "src")
+    found, result, k = new, plain, 1
+    while (depth is None or k < depth) and not plain.isEmpty():
         k += 1
-        new = new.alias("n").join(steps.alias("e"), F.col("n.dst") == F.col("e.src")).select(
-            F.col("n.src"), F.col("e.dst")).distinct().join(found, ["src", "dst"], "left_anti").withColumn("steps", F.lit(k))
-        new = cut(new)
-        found = found.unionByName(new)  # a scan a round: plans grow by one line, not by a copy
-    return found
+        grown = before.alias("e").join(new.hint("merge").alias("n"), F.col("e.dst") == F.col("n.src")).select(F.col("e.src"), F.col("n.dst"))
+        # all parts of this union are dealt by src alike, so only grown is shuffled
+        both = found.unionByName(grown.repartition(n, "src").withColumn("steps", F.lit(k)))
+        fewest = both.groupBy("src", "dst").agg(F.min("steps").alias("steps"))
+        new, plain = bucketed(fewest.filter(F.col("steps") == k), n, "src")
+        found, result = found.unionByName(new), result.unionByName(plain)  # a scan a round: plans grow by one line, not by a copy
+    return result
 
 
 def searched(edges: DataFrame, seeds: DataFrame, targets: DataFrame | None = None) -> DataFrame:

@@ -52,3 +52,20 @@ def test_reachability_has_no_limit(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(10)], "src int, dst int")
     got = {(r["src"], r["dst"]): r["steps"] for r in news.reachable(e).collect()}
     assert len(got) == 55 and got[0, 10] == 10
+
+
+def test_reachability_shuffles_no_pair_twice(spark):
+    e = spark.createDataFrame([(k, k + 1) for k in range(12)], "src int, dst int")
+    sc, name = spark.sparkContext, "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, -1)  # pairs that are too many to be sent
+    sc.setJobGroup("reachable", "")
+    try:
+        pairs = news.reachable(e).count()
+        tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+        stages = {s for j in tracker.getJobIdsForGroup("reachable") for s in tracker.getJobInfo(j).stageIds}
+        rows = sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+    finally:
+        spark.conf.set(name, before)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert pairs == 78 and rows < 3 * pairs
