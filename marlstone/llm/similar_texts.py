@@ -6,8 +6,14 @@ itself with one bit wild; an equality join on the variants finds pairs in which
 the 64 bits of the first word and then all 320 rule out unrelated pairs, and the shingle sets themselves decide: no pair below 0.8 is linked.
 At 0.8 two bits differ with a chance of 0.15, so a segment meets with 0.17 and one of fifteen with 0.94; at 0.9 it is more than 0.99.
 
-Nodes are the distinct first words, whatever the number of copies; texts with the same 64 bits count as alike and the one of smallest
-doc_id stands for them. Whole equal segments are linked first, each node with its neighbour in the order of fingerprints. The variants are then
+Two exact bounds keep pairs that are somewhat alike, of which a dense group has about as many as its square, from being made at all:
+a shingle that no other text has is in no intersection, so a text with more than a fifth of such shingles is like no other and is not
+indexed, and for a pair the rest of either set must be large enough; and a set has a sketch of 512 bits, the parities of its shingles
+in 512 cells, so that of two sketches no more bits differ than shingles are in one set only, which at 0.8 are a ninth of both sets' sizes.
+Both look at a pair inside the join. They lose no pair; the sketch decides less where sets are far larger than it.
+
+Nodes are the distinct shingle sets, whatever the number of copies; the text of smallest doc_id stands for its set.
+Whole equal segments are linked first, each node with its neighbour in the order of fingerprints. The variants are then
 searched for pairs in different components only, and rows of a variant's most frequent component are not compared with
 each other, so that a large group of copies is compared with the rest but not with itself. Of the pairs between two components the closest is
 decided first, and the rest only where it did not link them.
@@ -20,6 +26,8 @@ columns are ignored by similar() and kept by keep_one_of_each().
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +42,14 @@ SHINGLE = 5
 WORDS, BITS, EACH = 5, 20, 3  #: words of a fingerprint, bits of a segment, segments of a word
 #: Differing bits beyond which a pair is not looked at, of 64 and of 320: at 0.8 it is 9.7 +- 2.9 and 48 +- 6.4, unrelated 32 +- 4 and 160 +- 9.
 MOST_OF_FIRST, MOST_OF_ALL = 21, 84
+SKETCH = 8  #: words of a sketch
 #: Rows of eight bytes that are broadcast at most, about 64 MB in a task's table.
 MOST_SENT = 2_000_000
-PARTS = [f"f{k}" for k in range(1, WORDS)]
+#: Shingles that a Python worker holds at once, about.
+HELD = 1 << 20
+PARTS, CELLS = [f"f{k}" for k in range(WORDS)], [f"s{k}" for k in range(SKETCH)]
+#: What the join knows of a node: own is the number of its shingles that no other set has.
+KNOWN = ["set_id", "size", "own", *PARTS, *CELLS]
 
 
 def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
@@ -55,19 +68,69 @@ def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        fps = np.array([long_fingerprint(np.unique(shingle_hashes(t, SHINGLE))) for t in texts], "<u8").reshape(-1, WORDS).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("tie"), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(WORDS))],
-            names=["doc_id", "tie", "fp", *PARTS])
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The parities of a set's number of hashes in each cell."""
+    cells = (hashes >> np.uint64(20)).astype(np.int64) & (64 * SKETCH - 1)
+    return np.packbits(np.bincount(cells, minlength=64 * SKETCH) & 1, bitorder="little").view("<u8")
+
+
+def _set(text: str | None) -> np.ndarray:
+    return np.unique(shingle_hashes(text, SHINGLE))
+
 
+def _id(hashes: np.ndarray) -> np.uint64:
+    return np.bitwise_xor.reduce(hashes) if len(hashes) else np.uint64(0)
 
-def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, sizes = [], []
+        for text in batch.column("text").to_pylist():
+            s = _set(text)
+            ids.append(_id(s))
+            sizes.append(len(s))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("tie"), pa.array(np.array(ids, "<u8").view(np.int64)), pa.array(sizes, pa.int64())],
+            names=["doc_id", "tie", "set_id", "size"])
+
+
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles (40 bits; where two meet, both count as shared) with the id of a set that holds them; of some texts at a time a
+    shingle has its smallest and its largest holder, and rows of a set stand together, which packs better."""
+
+    def told(sets: list[np.ndarray]) -> pa.RecordBatch:
+        flat = np.concatenate(sets) & np.uint64((1 << 40) - 1)
+        owner = np.repeat(np.array([_id(s) for s in sets], "<u8").view(np.int64), [len(s) for s in sets])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order].view(np.int64), owner[order]
+        first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+        low, high = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
+        two = low != high
+        shingle, holder = np.concatenate((flat[first], flat[first][two])), np.concatenate((low, high[two]))
+        order = np.argsort(holder, kind="stable")
+        return pa.RecordBatch.from_arrays([pa.array(shingle[order]), pa.array(holder[order])], names=["shingle", "holder"])
+
+    sets, n = [], 0
     for batch in batches:
-        sets = [np.unique(shingle_hashes(t, SHINGLE)).view(np.int64) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
+        for text in batch.column("text").to_pylist():
+            s = _set(text)
+            if len(s):
+                sets.append(s)
+                n += len(s)
+            if n >= HELD:
+                yield told(sets)
+                sets, n = [], 0
+    if sets:
+        yield told(sets)
+
+
+def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [_set(t) for t in batch.column("text").to_pylist()]
+        words = np.array([np.concatenate((long_fingerprint(s), sketch(s))) for s in sets], "<u8").reshape(-1, WORDS + SKETCH).view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("set_id", "size", "own")), *(pa.array(np.ascontiguousarray(w)) for w in words.T),
+             pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=[*KNOWN, "shingles"])
 
 
 def _tie(text: Column) -> Column:
@@ -76,48 +139,41 @@ def _tie(text: Column) -> Column:
 
 def _segments() -> Column:
     mask = (1 << BITS) - 1
-    return F.array(*[F.shiftrightunsigned(word, BITS * j).bitwiseAND(F.lit(mask)).cast("int")
-                     for word in ("fp", *PARTS) for j in range(EACH)])
+    return F.array(*[F.shiftrightunsigned(word, BITS * j).bitwiseAND(F.lit(mask)).cast("int") for word in PARTS for j in range(EACH)])
 
 
 def _variants(nodes: DataFrame) -> DataFrame:
-    """key (segment, place of the wild bit and the other bits), bit (the wild one), fp and root: 300 rows a node."""
-    cut = nodes.select("fp", "root", F.posexplode(_segments()).alias("segment", "bits"))
+    """key (segment, place of the wild bit and the other bits), bit (the wild one), root and what is known: 300 rows a node."""
+    cut = nodes.select("root", *KNOWN, F.posexplode(_segments()).alias("segment", "bits"))
     wild = cut.withColumn("wild", F.explode(F.array(*[F.lit(k) for k in range(BITS)])))
     one = F.expr("shiftleft(1, wild)")
     return wild.select(
         F.expr(f"shiftleft(segment * {BITS} + wild, {BITS})").bitwiseOR(F.col("bits").bitwiseAND(F.bitwise_not(one))).alias("key"),
-        (F.col("bits").bitwiseAND(one) != 0).alias("bit"), "fp", "root")
+        (F.col("bits").bitwiseAND(one) != 0).alias("bit"), "root", *KNOWN)
 
 
-def _close(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MOST_OF_FIRST
+def _differing(words: list[str]) -> Column:
+    return reduce(add, (F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in words))
 
 
-def _measured(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) with bits, the number of differing bits of all words, where that is not too many."""
-    for side in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("fp").alias(side), *[F.col(p).alias(f"{side}_{p}") for p in PARTS]), side)
-    differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    for p in PARTS:
-        differ = differ + F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}")))
-    kept = [c for c in pairs.columns if not c.startswith(("a_f", "b_f"))]
-    return pairs.withColumn("bits", differ).filter(F.col("bits") <= MOST_OF_ALL).select(*kept, "bits")
+def _possible() -> Column:
+    """Whether a and b may be alike, by their fingerprints and by what bounds their intersection i from above.
+
+    i / (m + n - i) >= 4 / 5 is 9 i >= 4 (m + n), and 9 (m + n - 2 i) <= m + n.
+    """
+    sizes = F.col("a.size") + F.col("b.size")
+    return ((_differing(PARTS[:1]) <= MOST_OF_FIRST)
+            & (9 * F.least(F.expr("a.size - a.own"), F.expr("b.size - b.own")) >= 4 * sizes)
+            & (9 * _differing(CELLS) <= sizes) & (_differing(PARTS) <= MOST_OF_ALL))
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard index of 0.8 or more."""
-    named = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b"))).distinct()
-    wanted = common.written(nodes.join(named, "fp").select("fp", "tie"), "pair-texts")
-    texts = docs.select("text", _tie(F.col("text")).alias("tie"))
-    if wanted.count() <= MOST_SENT:  # other texts need not be shuffled
-        sent = wanted.select(F.xxhash64("tie").alias("hash")).distinct()
-        texts = texts.withColumn("hash", F.xxhash64("tie")).join(F.broadcast(sent), "hash", "left_semi")
-    texts = texts.join(wanted.hint("merge"), "tie").select("fp", "text")
-    sets = texts.mapInArrow(_shingled, "fp bigint, shingles array<bigint>").groupBy("fp").agg(F.any_value("shingles").alias("shingles"))
-    sets = common.written(sets, "shingle-sets")
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("s")), "a").join(
-        sets.select(F.col("fp").alias("b"), F.col("shingles").alias("t")), "b")
+    named = common.written(pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b"))).distinct(), "pair-sets")
+    if named.count() <= MOST_SENT:  # other sets need not be shuffled
+        sets = sets.join(F.broadcast(named), "set_id", "left_semi")
+    both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("s")), "a").join(
+        sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("t")), "b")
     # i / (m + n - i) >= 4 / 5
     found = both.filter(9 * F.size(F.array_intersect("s", "t")) >= 4 * (F.size("s") + F.size("t"))).select("a", "b")
     return common.written(found, "alike")
@@ -131,9 +187,9 @@ def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _between(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b, bits) whose nodes have different roots, with them (ra, rb)."""
+    """The pairs (a, b) whose nodes have different roots, with them (ra, rb)."""
     for side in ("a", "b"):
-        pairs = pairs.drop(f"r{side}").join(nodes.select(F.col("fp").alias(side), F.col("root").alias(f"r{side}")), side)
+        pairs = pairs.join(nodes.select(F.col("set_id").alias(side), F.col("root").alias(f"r{side}")), side)
     return pairs.filter("ra <> rb")
 
 
@@ -141,34 +197,51 @@ def _links(alike: DataFrame, nodes: DataFrame) -> DataFrame:
     return _between(alike, nodes).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
-def near_classes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """nodes (fp, further words, tie of the text that stands for it) -> nodes with root, equal in a component."""
-    nodes = common.written(nodes.withColumn("root", F.col("fp")), "nodes")
+def near_classes(sets: DataFrame) -> DataFrame:
+    """sets (KNOWN and shingles), a written table -> its nodes with root, equal in a component."""
+    nodes = common.written(sets.select(*KNOWN, F.col("set_id").alias("root")), "nodes")
     # whole segments: neighbours in each one's order
-    order = Window.partitionBy("segment", "bits").orderBy("fp")
-    whole = nodes.select("fp", F.posexplode(_segments()).alias("segment", "bits"))
-    chain = whole.select(F.lag("fp").over(order).alias("a"), F.col("fp").alias("b")).filter(_close("a", "b")).distinct()
-    chain = common.written(_measured(chain, nodes), "chain")
-    nodes = _rooted(nodes, _links(_alike(chain, nodes, docs), nodes))
+    order = Window.partitionBy("segment", "bits").orderBy("b.f0", "b.set_id")
+    whole = nodes.select(F.struct(*KNOWN).alias("b"), F.posexplode(_segments()).alias("segment", "bits"))
+    chain = whole.select(F.lag("b").over(order).alias("a"), "b").filter(_possible())
+    chain = common.written(chain.select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")).distinct(), "chain")
+    nodes = _rooted(nodes, _links(_alike(chain, sets), nodes))
     # variants: pairs between components; a pair meets once in a segment, where its bit differs or, if none does, at the first
     same, rooted = Window.partitionBy("key"), Window.partitionBy("key", "root")
     # one exchange by key serves both windows and both sides of the join
     index = _variants(nodes).repartition("key").withColumn("n", F.count("*").over(rooted))
     index = index.withColumns({"top": F.max(F.struct("n", "root")).over(same), "lo": F.min("root").over(same), "hi": F.max("root").over(same)})
-    busy = index.filter("lo <> hi").select("key", "bit", "fp", "root", (F.col("root") == F.col("top.root")).alias("top"))
+    busy = index.filter("lo <> hi").select("key", "bit", "root", *KNOWN, (F.col("root") == F.col("top.root")).alias("top"))
     first = F.floor(F.shiftright("a.key", BITS) % BITS) == 0
     met = busy.filter("not top").alias("a").join(
         busy.hint("merge").alias("b"),  # the planner's estimate does not know how many rows explode() makes
         (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (F.col("b.top") | (F.col("a.root") < F.col("b.root")))
-        & _close("a.fp", "b.fp") & ((F.col("a.bit") != F.col("b.bit")) | first))
-    met = met.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct()
-    pairs = common.written(_between(_measured(common.written(met, "met"), nodes), nodes), "pairs")
+        & _possible() & ((F.col("a.bit") != F.col("b.bit")) | first))
+    met = met.select(F.least("a.set_id", "b.set_id").alias("a"), F.greatest("a.set_id", "b.set_id").alias("b"), _differing(PARTS).alias("bits"),
+                     F.least("a.root", "b.root").alias("x"), F.greatest("a.root", "b.root").alias("y"))
+    pairs = common.written(met.distinct(), "pairs")
     # the closest pair of two components, then those left between components
-    nearest = pairs.groupBy(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y")).agg(F.min(F.struct("bits", "a", "b")).alias("p"))
+    nearest = pairs.groupBy("x", "y").agg(F.min(F.struct("bits", "a", "b")).alias("p"))
     nearest = common.written(nearest.select("p.a", "p.b"), "nearest")
-    nodes = _rooted(nodes, _links(_alike(nearest, nodes, docs), nodes))
-    rest = common.written(_between(pairs.join(nearest, ["a", "b"], "left_anti"), nodes).select("a", "b"), "rest")
-    return _rooted(nodes, _links(_alike(rest, nodes, docs), nodes))
+    nodes = _rooted(nodes, _links(_alike(nearest, sets), nodes))
+    rest = common.written(_between(pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti"), nodes).select("a", "b"), "rest")
+    return _rooted(nodes, _links(_alike(rest, sets), nodes))
+
+
+def _likely(distinct: DataFrame, docs: DataFrame) -> DataFrame:
+    """KNOWN and shingles of the distinct sets that may be like another: four fifths of their shingles or more occur in others."""
+    held = docs.select("text").mapInArrow(_holders, "shingle bigint, holder bigint").repartition("shingle")
+    alone = held.groupBy("shingle").agg(F.min("holder").alias("set_id"), F.max("holder").alias("high")).filter("set_id = high")
+    alone = common.written(alone.groupBy("set_id").agg(F.count("*").alias("own")), "own-shingles")
+    wanted = distinct.join(alone, "set_id", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter("5 * own <= size")
+    wanted = common.written(wanted.select(F.struct("doc_id").alias("row"), "tie", "set_id", "size", "own"), "likely")
+    texts = docs.select(F.struct("doc_id").alias("row"), "text", _tie(F.col("text")).alias("tie"))
+    if wanted.count() <= MOST_SENT:  # other texts need not be shuffled
+        sent = wanted.select(F.xxhash64("tie").alias("hash")).distinct()
+        texts = texts.withColumn("hash", F.xxhash64("tie")).join(F.broadcast(sent), "hash", "left_semi")
+    texts = texts.join(wanted.hint("merge"), ["row", "tie"]).select("set_id", "size", "own", "text")
+    words = ", ".join(f"{c} bigint" for c in KNOWN)
+    return common.written(texts.mapInArrow(_printed, f"{words}, shingles array<bigint>").dropDuplicates(["set_id"]), "likely-sets")
 
 
 @common.tidy("similar-texts")
@@ -176,17 +249,18 @@ def similar(docs: DataFrame) -> DataFrame:
     """doc_id, tie (SHA-256 of the text) and component_id (the smallest doc_id of texts linked to it) of each row."""
     common.python_ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    words = ", ".join(f"{p} bigint" for p in ("fp", *PARTS))
-    prints = docs.select("doc_id", "text", _tie(F.col("text")).alias("tie")).mapInArrow(_fingerprinted, f"doc_id bigint, tie string, {words}")
-    prints = common.written(prints, "long-fingerprints")
-    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie", *PARTS)).alias("one")
-    distinct = prints.groupBy("fp").agg(one, F.count("*").alias("n"))
-    distinct = common.written(distinct.select("fp", "n", *[f"one.{c}" for c in ("doc_id", "tie", *PARTS)]), "distinct-fingerprints")
-    nodes = near_classes(distinct.drop("n", "doc_id"), docs)
-    named = common.written(nodes.select("fp", "root").join(distinct.select("fp", "n", "doc_id"), "fp"), "named")
+    prints = docs.select("doc_id", "text", _tie(F.col("text")).alias("tie")).mapInArrow(
+        _identified, "doc_id bigint, tie string, set_id bigint, size bigint")
+    prints = common.written(prints, "shingle-sets")
+    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie", "size")).alias("one")
+    distinct = prints.groupBy("set_id").agg(one, F.count("*").alias("n"))
+    distinct = common.written(distinct.select("set_id", "n", *[f"one.{c}" for c in ("doc_id", "tie", "size")]), "distinct-sets")
+    nodes = near_classes(_likely(distinct, docs))
+    named = distinct.select("set_id", "n", "doc_id").join(nodes.select("set_id", "root"), "set_id", "left")
+    named = common.written(named.withColumn("root", F.coalesce("root", "set_id")), "named")
     smallest = common.written(named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m")), "smallest")
-    classes = common.written(common.lookup(named, smallest, ["root"], "m", named.count()).select("fp", "component_id", "n"), "classes")
-    return common.lookup(prints.select("doc_id", "tie", "fp"), classes, ["fp"], "n", prints.count()).select("doc_id", "tie", "component_id")
+    classes = common.written(common.lookup(named, smallest, ["root"], "m", named.count()).select("set_id", "component_id", "n"), "classes")
+    return common.lookup(prints.select("doc_id", "tie", "set_id"), classes, ["set_id"], "n", prints.count()).select("doc_id", "tie", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
